@@ -10,12 +10,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from itertools import chain
 
 import numpy as np
 
-#: Words kept per worker process, and the longest that is kept: about 150 MB at most.
-MEMO_WORDS = 700_000
+#: Words kept per worker process in each of two generations, and the longest that is kept: about 250 MB at most.
+MEMO_WORDS = 650_000
 MEMO_WORD_BYTES = 64
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -49,33 +48,127 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_spaces(json.load(f))
+            spec = json.load(f)
+        self.by_word = splits_at_spaces(spec)
+        #: A special string is found before all else and cuts a text, so it can stand between words.
+        special = [t for t in spec.get("added_tokens", []) if t["special"] and not t["normalized"]]
+        self.cut = (special[0]["content"], special[0]["id"]) if special else None
+        self.specials = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype=self.dtype).tobytes() for x in found]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._encode(texts)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        split = [t.encode().split() for t in texts]  # bytes split at ASCII white space only
-        new = list({w for w in chain.from_iterable(split) if w not in memo})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            memo.update(zip(part, self._encode([w.decode() for w in part]), strict=True))
-        out = [b"".join(map(memo.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > MEMO_WORD_BYTES:
-                del memo[w]
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of single words: many in one text, held apart by a special string, which spares a call for each."""
+        if self.cut is None:
+            return self._encode([w.decode() for w in words])
+        mark, mark_id = self.cut
+        size, out = self.dtype.itemsize, []
+        joined = [mark.join([w.decode() for w in words[i : i + 1000]]) for i in range(0, len(words), 1000)]
+        for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(x.ids, dtype=self.dtype)
+            raw, cuts = ids.tobytes(), np.flatnonzero(ids == mark_id) * size
+            out += [raw[i:j] for i, j in zip([0, *(cuts + size).tolist()], [*cuts.tolist(), len(raw)], strict=True)]
         return out
 
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, through the memo."""
+        if len(self.memo) > MEMO_WORDS:  # words in use come back from the older generation
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        found = list(map(memo.get, words))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        if older:
+            for i in lacking:
+                if (x := older.get(words[i])) is not None:
+                    found[i] = memo[words[i]] = x
+            lacking = [i for i in lacking if found[i] is None]
+        whole = b" ".join([words[i] for i in lacking])
+        special = [i for i in lacking if any(x in words[i] for x in self.specials)] if any(x in whole for x in self.specials) else []
+        apart = set(special)
+        plain = [i for i in lacking if i not in apart]
+        encoded = self._encode_words([words[i] for i in plain]) if plain else []
+        encoded += self._encode([words[i].decode() for i in special]) if special else []
+        for i, x in zip(plain + special, encoded, strict=True):
+            found[i] = x
+            if len(words[i]) <= MEMO_WORD_BYTES:
+                memo[words[i]] = x
+        return found
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and where each text begins (with the end as last)."""
+        raw = [t.encode() for t in texts]
+        if not self.by_word:
+            parts = self._encode(texts)
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+            return np.frombuffer(b"".join(parts), self.dtype), np.concatenate(([0], np.cumsum(sizes)))
+        begin = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        data = b" ".join([*raw, b" " * 32])  # the tail lets three loads start at any word
+        starts, sizes = word_places(np.frombuffer(data, np.uint8))
+        which, words = distinct_words(data, starts, sizes)
+        ids = self._ids_of(words)
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        pool, pool_at = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(n) - n
+        per_word = n[which]
+        stop = np.cumsum(per_word)
+        gather = np.arange(stop[-1] if len(stop) else 0) + np.repeat(pool_at[which] - stop + per_word, per_word)
+        upto = np.concatenate(([0], stop))
+        return pool[gather], upto[np.searchsorted(starts, begin)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        flat, at = self.flat(texts)
+        raw, at = flat.tobytes(), (at * self.dtype.itemsize).tolist()
+        return [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(x) // self.dtype.itemsize for x in self.ids(texts)]
+        return np.diff(self.flat(texts)[1]).tolist()
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the words between ASCII white space; the data ends with a space."""
+    edge = np.flatnonzero(np.diff(_SPACE[data].view(np.int8), prepend=np.int8(1)))
+    return edge[::2], edge[1::2] - edge[::2]
+
+
+def distinct_words(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each word its number among the distinct ones, and those.
+
+    Words of up to 24 bytes are three masked 8-byte loads and a length; they are grouped by a mix of those, and the grouping
+    is verified against them.  Longer words go by a dictionary.
+    """
+    load = np.ndarray(shape=(max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,))
+    short = np.flatnonzero(sizes <= 24)
+    s, size = starts[short], sizes[short]
+    keys = []
+    for at in (0, 8, 16):
+        bits = (np.clip(size - at, 0, 8) * 8).astype(np.uint64)
+        mask = np.where(bits == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(bits, np.uint64(63))) - np.uint64(1))
+        keys.append(load[s + at] & mask)
+    keys.append(size.astype(np.uint64))  # a word may end in zero bytes
+    mix = keys[0] * np.uint64(0x9E3779B97F4A7C15)
+    for k in keys[1:]:
+        mix = (mix ^ (mix >> np.uint64(29)) ^ k) * np.uint64(0xBF58476D1CE4E5B9)
+    _, first, back = np.unique(mix, return_index=True, return_inverse=True)
+    which = np.empty(len(starts), np.int64)
+    if all((k[first[back]] == k).all() for k in keys):
+        which[short] = back
+        words = [data[i : i + n] for i, n in zip(s[first].tolist(), size[first].tolist(), strict=True)]
+        rest = np.flatnonzero(sizes > 24)
+    else:  # two words of one mix: go by the dictionary for all
+        words, rest = [], np.arange(len(starts))
+    number: dict[bytes, int] = {}
+    for i in rest.tolist():
+        word = data[starts[i] : starts[i] + sizes[i]]
+        which[i] = number.setdefault(word, len(words) + len(number))
+    return which, words + list(number)
 
 
 def encoder(path: str) -> Encoder:
