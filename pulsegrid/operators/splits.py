@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def largest_remainder(n: int, fractions: dict[str, float]) -> dict[str, int]:
     """Whole counts that sum to ``n``; each part has at least one where there are enough."""
-    floor = {k: int(n * f) for k, f in fractions.items()}
-    rest = sorted(fractions, key=lambda k: (-(n * fractions[k] - floor[k]), k))
+    floor = {k: int(n * f + 1e-9) for k, f in fractions.items()}
+    rest = sorted(fractions, key=lambda k: (-round(n * fractions[k] - floor[k], 9), k))
     for k in rest[: n - sum(floor.values())]:
         floor[k] += 1
     for k in fractions:
