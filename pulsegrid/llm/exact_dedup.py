@@ -50,7 +50,8 @@ def recipes(docs: DataFrame, id_column: str, text_column: str, id_bits: int = 64
     )
     if clashing.isEmpty():  # each identifier stands for one content
         return cut.select("doc_id", "text_sha256", F.transform("chunks", lambda c: F.struct(c["id"].alias("id"), F.lit(0).alias("nth"))).alias("recipe"))
-    pieces = cut.select("doc_id", "text_sha256", F.monotonically_increasing_id().alias("row"), F.posexplode_outer("chunks").alias("pos", "c"))
+    numbered = cut.withColumn("row", F.monotonically_increasing_id())
+    pieces = numbered.select("doc_id", "text_sha256", "row", F.posexplode_outer("chunks").alias("pos", "c"))
     named = pieces.join(clashing, F.col("c.id") == clashing["id"], "left").select(
         "row", "doc_id", "text_sha256", "pos",
         F.struct(F.col("c.id").alias("id"), F.coalesce(F.array_position("digests", F.col("c.digest")), F.lit(1)).cast("int").alias("nth")).alias("part"),
