@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import ascii_lower, broadcast_if_small, materialise, text_of
 
-#: Runs of characters that are in no word, once A-Z are lower case; and a word of a text as it is.
+#: Runs of characters that are in no word, once A-Z are lower case; and in a text as it is.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Lists that are intersected for each window before the words are compared.
 RAREST = 2
@@ -34,6 +34,11 @@ def words_of(text: str | Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text_of(text)), SEPARATORS), "")
 
 
+def word_count(text: Column) -> Column:
+    """Number of words; letters count alike in either case, so nothing is lower-cased."""
+    return F.size(F.array_remove(F.split(text, RAW_SEPARATORS), "")).cast("long")
+
+
 def item_windows(items: DataFrame, item_column: str, text_column: str, window: int) -> DataFrame:
     """(item_id, at, phrase): windows of ``window`` words, or one shorter window for a shorter item."""
     words = items.select(F.col(item_column).alias("item_id"), words_of(text_column).alias("words")).filter(F.size("words") > 0)
@@ -144,7 +149,7 @@ def contamination(
     names = found.select("doc_id", "phrase_id").distinct().join(broadcast_if_small(index.phrase_items, BROADCAST_ROWS), "phrase_id")
     named = names.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     by_doc = hits.join(named, "doc_id").select("doc_id", covered(F.col("spans")).alias("n_hit"), "items")
-    light = docs.select(F.col(id_column).alias("doc_id"), F.regexp_count(text_of(text_column), F.lit(RAW_WORD)).cast("long").alias("n_words"))
+    light = docs.select(F.col(id_column).alias("doc_id"), word_count(text_of(text_column)).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return light.join(by_doc, "doc_id", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
