@@ -60,3 +60,11 @@ def hjorth_complexity(x: Column) -> Column:
 def share(x: Column, test) -> Column:
     """Share of the samples that meet ``test``."""
     return F.try_divide(F.size(F.filter(x, test)).cast("double"), F.size(x))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of two arrays of one length; null where either doesn't vary."""
+    product = F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    n = F.size(x)
+    covariance = F.try_divide(product, n) - mean(x) * mean(y)
+    return F.when((n > 1) & (n == F.size(y)), F.try_divide(covariance, F.nullif(F.sqrt(variance(x) * variance(y)), F.lit(0.0))))

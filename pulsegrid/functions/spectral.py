@@ -196,3 +196,18 @@ def pair_udf(rate: float, low: float, high: float):
         return pd.DataFrame(rows, columns=["coherence", "plv"]).astype(float)
 
     return run
+
+
+def hrv_udf():
+    """Column function of times (s) and RR intervals (ms): VLF, LF and HF power, and sample entropy."""
+
+    @F.pandas_udf("hrv_vlf_power double, hrv_lf_power double, hrv_hf_power double, rr_sample_entropy double")
+    def run(at: pd.Series, rr: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, x in zip(at, rr, strict=True):
+            t, x = np.asarray(t, float), np.asarray(x, float)
+            powers = lomb_powers(t, x) or (None, None, None)
+            rows.append((*powers, sample_entropy(x) if len(x) >= 150 else None))
+        return pd.DataFrame(rows, columns=["hrv_vlf_power", "hrv_lf_power", "hrv_hf_power", "rr_sample_entropy"]).astype(float)
+
+    return run

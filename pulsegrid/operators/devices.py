@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays, seeds
@@ -241,6 +241,28 @@ def align(rows: DataFrame) -> DataFrame:
     return out.withColumns({"aligned_time_ns": aligned, "alignment_residual_sec": residual}).drop("slope", "intercept")
 
 
+def global_field_power(channels: list) -> Column:
+    """Mean over samples of the spatial standard deviation of the channels."""
+    n = float(len(channels))
+    zipped = F.arrays_zip(*channels)
+    names = [str(i) for i in range(len(channels))]
+    values = lambda s: F.array(*[F.coalesce(s[k].cast("double"), F.lit(0.0)) for k in names])
+    spread = lambda v: F.sqrt(F.greatest(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / n - F.pow(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n, F.lit(2.0)), F.lit(0.0)))
+    return arrays.mean(F.transform(zipped, lambda s: spread(values(s))))
+
+
+def peaks(rows: DataFrame, stream: str, channel: str, threshold: float) -> DataFrame:
+    """(run_id, person_id, t): times of local maxima above ``threshold`` times the second's range over its minimum."""
+    x = F.transform(F.filter(F.try_element_at("channels", F.lit(channel)), lambda v: v.isNotNull()), lambda v: v.cast("double"))
+    one = rows.filter(F.col("stream_name") == stream).select("run_id", "person_id", "second_ns", "sample_rate_hz", x.alias("x"))
+    level = F.array_min("x") + F.lit(threshold) * (F.array_max("x") - F.array_min("x"))
+    each = one.filter(F.size("x") > 2).select("*", level.alias("level"), F.posexplode("x").alias("k", "v"))
+    before, after = F.try_element_at("x", F.col("k")), F.try_element_at("x", F.col("k") + 2)
+    inner = (F.col("k") > 0) & (F.col("k") < F.size("x") - 1)
+    top = each.filter(inner).filter((F.col("v") > F.col("level")) & (F.col("v") > before) & (F.col("v") >= after))
+    return top.select("run_id", "person_id", (F.col("second_ns") + (F.col("k") * F.lit(1e9) / F.col("sample_rate_hz")).cast("long")).alias("t"))
+
+
 def one_second_summaries(rows: DataFrame) -> DataFrame:
     """timeline_1hz columns from native seconds: one pivoting aggregate, never a mean of raw EEG."""
     ch = lambda c: F.try_element_at("channels", F.lit(c))
@@ -262,7 +284,14 @@ def one_second_summaries(rows: DataFrame) -> DataFrame:
                     f"{loc}_coverage_ratio": of(stream, F.size(valid(vm)) / F.col("sample_rate_hz"))}
     ecg = valid(ch("ecg"))
     peaks = F.size(F.filter(F.zip_with(F.zip_with(ecg, F.slice(ecg, 2, F.greatest(F.size(ecg) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.concat(F.array(F.lit(0.0).cast("float")), ecg), lambda s, p: (s["a"] > 500) & (s["a"] >= s["b"]) & (s["a"] > p)), lambda v: F.coalesce(v, F.lit(False))))
-    ppg = valid(ch("green"))
+    ppg, pulse = valid(ch("green")), arrays.peak_to_peak
+    middle = {a: arrays.mean(F.transform(valid(ch(a)), lambda v: v.cast("double"))) for a in "xyz"}
+    for loc, stream in (("wrist", "acc"), ("head", "headband_acc"), ("chest", "strap_acc")):
+        columns |= {f"{loc}_{a}": of(stream, middle[a]) for a in "xyz"}
+    wide = F.transform(ecg, lambda v: v.cast("double"))
+    columns |= {"ecg_rpeak_confidence": of("ecg", F.least(F.greatest(F.array_max(wide) / 1000.0, F.lit(0.0)), F.lit(1.0))), "ecg_mean_uv": of("ecg", arrays.mean(wide)), "ecg_rms_uv": of("ecg", arrays.rms(wide)),
+                "ecg_line_length": of("ecg", arrays.line_length(wide)), "ppg_ir_ac": of("ppg", pulse(valid(ch("ir")))), "ppg_red_ac": of("ppg", pulse(valid(ch("red")))),
+                "eeg_gfp": of("eeg", global_field_power([ch(c) for c in ("tp9", "af7", "af8", "tp10")]))}
     columns |= {"ecg_rpeak_count": of("ecg", peaks), "ecg_coverage_ratio": of("ecg", F.size(ecg) / F.col("sample_rate_hz")), "hr_bpm": of("hr_rr", one("hr")), "rr_ms": of("hr_rr", one("rr")), "watch_hr_bpm": of("hr_ibi", one("hr")),
                 "watch_ibi_ms": of("hr_ibi", one("ibi")), "eda_us": of("eda", one("eda")), "ppg_green_dc": of("ppg", arrays.mean(ppg)), "ppg_green_ac": of("ppg", arrays.peak_to_peak(ppg)), "skin_temp_c": of("temperature", one("skin")),
                 "ambient_temp_c": of("temperature", one("ambient")), "quality_min": F.min("quality_native")}

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays, spectral
 from pulsegrid.functions.timecols import SECOND, floor_div
-from pulsegrid.operators.windows import latest, mad, median, trailing
+from pulsegrid.operators.intervals import during
+from pulsegrid.operators.windows import latest, mad, median, sessions, trailing, upcoming
 from pulsegrid.sources.tables import require_no_truth
 
 KEYS, T = ["run_id", "person_id"], "canonical_time_ns"
@@ -54,7 +55,11 @@ def cardiac(window: int) -> dict[str, Callable]:
         "ecg_rpeak_count": lambda w: F.sum("ecg_rpeak_count").over(w), "ecg_rr_valid_ratio": lambda w: F.avg(rr.between(300, 2000).cast("double")).over(w),
         "ecg_rr_missed_peak_suspect_count": lambda w: F.sum((rr > F.lit(1.6) * F.col("_rr_med")).cast("long")).over(w),
         "ecg_rr_extra_peak_suspect_count": lambda w: F.sum((rr < F.lit(0.6) * F.col("_rr_med")).cast("long")).over(w), "ecg_coverage_ratio": lambda w: F.avg("ecg_coverage_ratio").over(w),
+        "ecg_rpeak_confidence_mean": lambda w: F.avg("ecg_rpeak_confidence").over(w), "ecg_baseline_wander_score": lambda w: F.try_divide(F.stddev_samp("ecg_mean_uv").over(w), F.nullif(F.avg("ecg_rms_uv").over(w), F.lit(0.0))),
+        "ecg_motion_artifact_score": lambda w: F.abs(correlation("ecg_line_length", "chest_enmo", w)),
+        "ecg_quality_score": lambda w: F.avg("ecg_coverage_ratio").over(w) * F.avg(rr.between(300, 2000).cast("double")).over(w) * F.avg("ecg_rpeak_confidence").over(w),
     }
+    out["polar_rr_source_disagreement_ms"] = lambda w, a=out["polar_rr_device_median_ms"], b=out["polar_rr_ecg_median_ms"]: F.abs(a(w) - b(w))
     if window >= SHORTEST["hrv_time"]:
         enough = lambda w, v: F.when(F.count(rr).over(w) >= 30, v)
         sd, msd = (lambda w: F.stddev_samp(rr).over(w)), (lambda w: F.var_samp(d).over(w))
@@ -79,8 +84,11 @@ def eda(window: int) -> dict[str, Callable]:
         "eda_scr_count": lambda w: F.sum(F.col("_scr").cast("long")).over(w), "eda_scr_amplitude_mean_us": lambda w: F.avg(F.when(F.col("_scr"), F.col("_scr_amp"))).over(w),
         "eda_scr_amplitude_max_us": lambda w: F.max(F.when(F.col("_scr"), F.col("_scr_amp"))).over(w), "eda_scr_area_us_sec": lambda w: F.sum(F.greatest(phasic, F.lit(0.0))).over(w),
         "eda_flatline_ratio": lambda w: F.avg((F.abs("_deda") < 1e-6).cast("double")).over(w), "eda_spike_ratio": lambda w: F.avg((F.abs("_deda") > 1.0).cast("double")).over(w),
-        "eda_coverage_ratio": lambda w: F.count("eda_us").over(w) / F.lit(float(window)),
+        "eda_coverage_ratio": lambda w: F.count("eda_us").over(w) / F.lit(float(window)), "eda_variability": lambda w: F.stddev_samp("eda_us").over(w),
+        "eda_time_since_last_scr_sec": lambda w: (F.col(T) - F.max(F.when(F.col("_scr"), F.col(T))).over(w)) / F.lit(float(SECOND)),
     }
+    spikes, flat, there = out["eda_spike_ratio"], out["eda_flatline_ratio"], out["eda_coverage_ratio"]
+    out["eda_quality_score"] = lambda w: there(w) * (1 - spikes(w)) * (1 - flat(w))
     return out
 
 
@@ -93,6 +101,8 @@ def motion(window: int) -> dict[str, Callable]:
             f"{loc}_sma_g": lambda w, loc=loc: F.avg(f"{loc}_sma").over(w), f"{loc}_jerk_mean_g_per_sec": lambda w, j=jerk: F.avg(j).over(w), f"{loc}_jerk_p95_g_per_sec": lambda w, j=jerk: F.percentile(j, F.lit(0.95)).over(w),
             f"{loc}_stillness_ratio": lambda w, vm=vm: F.avg((F.abs(vm - 1) < 0.05).cast("double")).over(w), f"{loc}_activity_burst_count": lambda w, loc=loc: F.sum(f"_{loc}_burst").over(w),
             f"{loc}_coverage_ratio": lambda w, loc=loc: F.sum(f"{loc}_coverage_ratio").over(w) / F.lit(float(window)),
+            f"{loc}_orientation_change_rate": lambda w, loc=loc: F.avg(f"_{loc}_turn").over(w),
+            f"{loc}_quality_score": lambda w, loc=loc: F.least(F.sum(f"{loc}_coverage_ratio").over(w) / F.lit(float(window)), F.lit(1.0)),
         }
     return out
 
@@ -103,6 +113,8 @@ def optical(window: int) -> dict[str, Callable]:
         "watch_ppg_pulse_amplitude_variability": lambda w: F.try_divide(F.stddev_samp("ppg_green_ac").over(w), F.avg("ppg_green_ac").over(w)),
         "watch_ppg_motion_correlation": lambda w: correlation("ppg_green_ac", "wrist_enmo", w), "watch_ppg_saturation_ratio": lambda w: F.avg((F.col("ppg_green_dc") >= 4090).cast("double")).over(w),
         "watch_skin_temp_slope_c_per_min": lambda w: slope_per_minute("skin_temp_c", w), "watch_temp_coverage_ratio": lambda w: F.count("skin_temp_c").over(w) / F.lit(float(window)),
+        "watch_ppg_ir_ac_amplitude": lambda w: F.avg("ppg_ir_ac").over(w), "watch_ppg_red_ac_amplitude": lambda w: F.avg("ppg_red_ac").over(w),
+        "watch_ppg_quality_score": lambda w: F.count("ppg_green_ac").over(w) / F.lit(float(window)) * (1 - F.avg((F.col("ppg_green_dc") >= 4090).cast("double")).over(w)),
     }
 
 
@@ -115,6 +127,8 @@ def cross_modal(window: int, lags: tuple[int, ...] = (0, 5, 10, 20)) -> dict[str
         "eda_motion_lag_corr_max": best("eda_us", "wrist_enmo"), "eeg_motion_lag_corr_max": best("_eeg_rms", "wrist_enmo"),
         "cross_modal_synchrony_score": lambda w: (correlation("hr_bpm", "eda_us", w) + correlation("hr_bpm", "wrist_enmo", w) + correlation("eda_us", "wrist_enmo", w)) / 3,
         "multisensor_valid_axis_count": lambda w: sum(((F.count(c).over(w) >= 0.8 * window).cast("int") for c in ("hr_bpm", "eda_us", "wrist_vm", "_eeg_rms")), F.lit(0)),
+        "cross_device_disagreement_score": lambda w: (F.avg(F.abs(F.col("watch_hr_bpm") - F.col("hr_bpm")) / 10).over(w) + F.avg(F.abs(F.col("watch_ibi_ms") - F.col("rr_ms")) / 100).over(w)) / 2,
+        "eeg_global_field_power": lambda w: F.avg("eeg_gfp").over(w), "eeg_motion_correlation": lambda w: correlation("_eeg_rms", "head_vm", w),
         "multisensor_quality_min": lambda w: F.min("quality_min").over(w), "multisensor_quality_mean": lambda w: F.avg("quality_min").over(w),
     }
 
@@ -122,6 +136,10 @@ def cross_modal(window: int, lags: tuple[int, ...] = (0, 5, 10, 20)) -> dict[str
 FAMILIES = {"cardiac": cardiac, "eda": eda, "motion": motion, "optical": optical, "cross_modal": cross_modal}
 
 
+def _norm(location: str, of) -> Column:
+    return F.sqrt(sum((of(f"{location}_{a}") * of(f"{location}_{a}") for a in "xyz"), F.lit(0.0)))
+
+
 def prepared(timeline: DataFrame, lags: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """The timeline with differences and lagged columns, by one pass of short windows."""
     block = floor_div(F.col(T), 3600 * SECOND)
@@ -137,6 +155,7 @@ def prepared(timeline: DataFrame, lags: tuple[int, ...] = (5, 10, 20)) -> DataFr
         F.percentile("rr_ms", F.lit(0.5)).over(short).alias("_rr_med"), (F.col("eda_us") - F.percentile("eda_us", F.lit(0.5)).over(short)).alias("_phasic"),
         ((before("eda_us") > before("eda_us", 2)) & (before("eda_us") >= F.col("eda_us")) & (before("eda_us") - F.min("eda_us").over(w.rangeBetween(-8 * SECOND, -SECOND)) > 0.03)).alias("_scr"),
         (before("eda_us") - F.min("eda_us").over(w.rangeBetween(-8 * SECOND, -SECOND))).alias("_scr_amp"),
+        *[F.acos(F.least(F.greatest(F.try_divide(sum((F.col(f"{x}_{a}") * before(f"{x}_{a}") for a in "xyz"), F.lit(0.0)), F.nullif(_norm(x, F.col) * _norm(x, before), F.lit(0.0))), F.lit(-1.0)), F.lit(1.0))).alias(f"_{x}_turn") for x in ("wrist", "head", "chest")],
         *[((F.col(f"{x}_enmo") > 0.1) & (F.coalesce(before(f"{x}_enmo"), F.lit(0.0)) <= 0.1)).cast("long").alias(f"_{x}_burst") for x in ("wrist", "head", "chest")],
         *[(before(c, k) if k else F.col(c)).alias(f"_{c}_lag{k}") for c in ("hr_bpm", "wrist_enmo") for k in (0, *lags)],
     )
@@ -178,7 +197,15 @@ def eeg_features(timeline: DataFrame, window: int, rate: int = 256) -> DataFrame
                     arrays.share(F.col(c), lambda v: F.abs(v) > 200).alias(f"eeg_{c}_extreme_amplitude_ratio"), arrays.share(arrays.differences(F.col(c)), lambda d: F.abs(d) < 1e-9).alias(f"eeg_{c}_flatline_ratio")]
     log = lambda c: F.log(F.col(f"_s_{c}.alpha_abs_power"))
     columns += [(log("af8") - log("af7")).alias("eeg_frontal_alpha_asymmetry_af7_af8"), (log("tp10") - log("tp9")).alias("eeg_temporal_alpha_asymmetry_tp9_tp10")]
-    columns += [pair("af7", "af8")["coherence"].alias("eeg_pair_af7_af8_coherence_alpha"), pair("af7", "af8")["plv"].alias("eeg_pair_af7_af8_plv_alpha")]
+    corr = lambda a, b: arrays.correlation(F.col(a), F.col(b))
+    pairs = [(a, b) for i, a in enumerate(CHANNELS) for b in CHANNELS[i + 1 :]]
+    for a, b in pairs:
+        out = out.withColumn(f"_p_{a}_{b}", pair(a, b))
+        columns += [F.col(f"_p_{a}_{b}.coherence").alias(f"eeg_pair_{a}_{b}_coherence_alpha"), F.col(f"_p_{a}_{b}.plv").alias(f"eeg_pair_{a}_{b}_plv_alpha")]
+    columns += [(sum((F.coalesce(corr(a, b), F.lit(0.0)) for a, b in pairs), F.lit(0.0)) / len(pairs)).alias("eeg_channel_correlation_mean")]
+    noise = sum((F.coalesce(F.col(f"_s_{c}.line_noise_ratio"), F.lit(1.0)) + F.coalesce(F.col(f"_s_{c}.high_freq_artifact_ratio"), F.lit(1.0)) for c in CHANNELS), F.lit(0.0)) / len(CHANNELS)
+    quality = F.greatest(1 - noise, F.lit(0.0)) * F.least(sum((F.size(c) for c in CHANNELS), F.lit(0)) / F.lit(float(rate * window * len(CHANNELS))), F.lit(1.0))
+    columns += [quality.alias("eeg_quality_score"), (quality < 0.3).alias("eeg_artifact_dominant")]
     columns += [sum(((F.size(c) >= 0.8 * rate * window).cast("int") for c in CHANNELS), F.lit(0)).alias("eeg_valid_channel_count")]
     return require_no_truth(out.select(*columns))
 
@@ -209,17 +236,78 @@ def latest_temperature(timeline: DataFrame) -> DataFrame:
     return filled.select(*KEYS, T, F.col("skin_temp_c").alias("watch_skin_temp_c"), F.col("ambient_temp_c").alias("watch_ambient_temp_c"), (F.col("skin_temp_c") - F.col("ambient_temp_c")).alias("watch_skin_ambient_gap_c"))
 
 
-def repetition(timeline: DataFrame, window: int = 60, rate: int = 1) -> DataFrame:
-    """Periodicity of wrist and head motion in windows that end on multiples of their length."""
-    end = F.col(T) - F.pmod(F.col(T), F.lit(window * SECOND).cast("long")) + F.lit((window - 1) * SECOND).cast("long")
-    series = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(T, F.col(c).alias("x")))), lambda s: F.coalesce(s["x"], F.lit(0.0)))
-    grouped = timeline.groupBy(*KEYS, end.alias(T)).agg(series("wrist_jerk").alias("wrist"), series("head_jerk").alias("head"))
-    period, summary, pair = spectral.periodicity_udf(4.0 * rate), spectral.summary_udf(4.0 * rate), spectral.pair_udf(4.0 * rate, 0.5, 2)
-    out = grouped.withColumn("_w", period("wrist")).withColumn("_h", period("head")).withColumn("_f", summary("wrist"))
-    return out.select(
-        *KEYS, T, F.col("_w.autocorr_peak").alias("wrist_autocorr_peak"), F.col("_w.autocorr_peak").alias("wrist_repetition_score"), F.col("_h.autocorr_peak").alias("head_repetition_score"),
-        F.col("_f.dominant_frequency_hz").alias("wrist_dominant_frequency_hz"), F.col("_f.spectral_entropy").alias("wrist_spectral_entropy"), pair("wrist", "head")["coherence"].alias("cross_location_repetition_coherence"),
-    )
+def tumbling(t: str, window: int) -> Column:
+    """The last second of the window that a row falls in: no sample after it is used."""
+    return F.col(t) - F.pmod(F.col(t), F.lit(window * SECOND).cast("long")) + F.lit((window - 1) * SECOND).cast("long")
+
+
+def in_order(t: str, x: Column) -> Column:
+    """The values of a group in order of time; a group is one window of one person."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), x.alias("x")))), lambda s: s["x"])
+
+
+def hrv_kernels(timeline: DataFrame, window: int = 300) -> DataFrame:
+    """Frequency-domain powers and sample entropy of RR intervals, in windows of at least five minutes."""
+    if window < SHORTEST["hrv_frequency"]:
+        raise ValueError("frequency-domain features need at least 300 s")
+    rows = timeline.filter(F.col("rr_ms").isNotNull())
+    grouped = rows.groupBy(*KEYS, tumbling(T, window).alias(T)).agg(in_order(T, F.col("rr_ms")).alias("rr"), in_order(T, F.col(T) / F.lit(float(SECOND))).alias("at"))
+    k = spectral.hrv_udf()("at", "rr")
+    out = grouped.select(*KEYS, T, k.alias("k")).select(*KEYS, T, *[F.col(f"k.{n}").alias(n) for n in ("hrv_vlf_power", "hrv_lf_power", "hrv_hf_power", "rr_sample_entropy")])
+    return out.withColumns({"hrv_lf_hf_ratio": F.try_divide("hrv_lf_power", "hrv_hf_power"), "hrv_total_power": F.col("hrv_vlf_power") + F.col("hrv_lf_power") + F.col("hrv_hf_power")})
+
+
+def motion_spectra(native: DataFrame, window: int = 5) -> DataFrame:
+    """Dominant frequency, spectral entropy and periodicity of each accelerometer, at its native rate."""
+    out = None
+    for loc, stream, rate in (("wrist", "acc", 25), ("head", "headband_acc", 52), ("chest", "strap_acc", 100)):
+        ch = lambda c: F.element_at("channels", F.lit(c))
+        vm = F.zip_with(F.zip_with(ch("x"), ch("y"), lambda a, b: a * a + b * b), ch("z"), lambda s, c: F.sqrt(s + c * c).cast("double"))
+        rows = native.filter(F.col("stream_name") == stream).select(*KEYS, F.col("second_ns").alias(T), F.filter(vm, lambda v: v.isNotNull()).alias("vm"))
+        x = rows.groupBy(*KEYS, tumbling(T, window).alias(T)).agg(F.flatten(in_order(T, F.col("vm"))).alias("x"))
+        s = x.withColumn("s", spectral.summary_udf(float(rate))("x")).withColumn("p", spectral.periodicity_udf(float(rate))("x"))
+        one = s.select(*KEYS, T, F.col("s.dominant_frequency_hz").alias(f"{loc}_dominant_frequency_hz"), F.col("s.spectral_entropy").alias(f"{loc}_spectral_entropy"), F.col("p.autocorr_peak").alias(f"{loc}_autocorr_peak"),
+                       (F.greatest(F.col("p.autocorr_peak"), F.lit(0.0)) * (1 - F.col("s.spectral_entropy"))).alias(f"{loc}_periodicity_score"))
+        out = one if out is None else out.join(one, [*KEYS, T], "full_outer")
+    return out
+
+
+def repetition(spectra: DataFrame, window: int = 5, least: float = 0.5) -> DataFrame:
+    """Repetition scores of wrist and head, how long the wrist has kept repeating, and how steady its frequency is."""
+    r = spectra.select(*KEYS, T, F.col("wrist_periodicity_score").alias("wrist_repetition_score"), F.col("head_periodicity_score").alias("head_repetition_score"), "wrist_autocorr_peak", "wrist_dominant_frequency_hz", "head_dominant_frequency_hz")
+    on = r.filter(F.col("wrist_autocorr_peak") >= least)
+    w = Window.partitionBy(*KEYS, "session_start").orderBy(T).rowsBetween(Window.unboundedPreceding, 0)
+    runs = sessions(on, KEYS, T, window * SECOND)
+    f = F.col("wrist_dominant_frequency_hz")
+    held = runs.select(*KEYS, T, ((F.col(T) - F.col("session_start")) / F.lit(float(SECOND)) + window).alias("repetition_duration_sec"), (1 / (1 + F.coalesce(F.try_divide(F.stddev_samp(f).over(w), F.nullif(F.avg(f).over(w), F.lit(0.0))), F.lit(0.0)))).alias("repetition_frequency_stability"))
+    out = r.join(held, [*KEYS, T], "left").withColumn("repetition_duration_sec", F.coalesce("repetition_duration_sec", F.lit(0.0)))
+    same = 1 / (1 + F.abs(f - F.col("head_dominant_frequency_hz")))
+    return out.withColumn("cross_location_repetition_coherence", F.sqrt(F.greatest("wrist_repetition_score", F.lit(0.0)) * F.greatest("head_repetition_score", F.lit(0.0))) * same)
+
+
+def pulse_transit(ecg_peaks: DataFrame, ppg_peaks: DataFrame, window: int = 60, longest_ms: float = 600.0) -> DataFrame:
+    """Median delay from each heart beat to the first pulse at or after it, by window."""
+    beats = ecg_peaks.select(*KEYS, "t", F.lit(True).alias("beat"), F.lit(None).cast("long").alias("pulse"))
+    both = beats.unionByName(ppg_peaks.select(*KEYS, "t", F.lit(False).alias("beat"), F.col("t").alias("pulse")))
+    paired = upcoming(both, KEYS, "t", ["pulse"], 600 * SECOND).filter("beat")
+    delay = (F.col("pulse") - F.col("t")) / F.lit(1e6)
+    return paired.filter(delay <= longest_ms).groupBy(*KEYS, tumbling("t", window).alias(T)).agg(F.percentile(delay, F.lit(0.5)).alias("ppg_ecg_pulse_transit_proxy_ms"), F.count(F.lit(1)).alias("pairs"))
+
+
+def deviation(baselines: DataFrame, names: list[str], threshold: float = 3.0) -> DataFrame:
+    """Mean absolute z over the modalities that have one (a feature, never a label), and which of them are far off."""
+    z = [F.col(f"{n}_personal_robust_z") for n in names]
+    total = sum((F.coalesce(F.abs(c), F.lit(0.0)) for c in z), F.lit(0.0))
+    there = sum((c.isNotNull().cast("int") for c in z), F.lit(0))
+    far = {n: F.when(F.abs(c) > threshold, F.col(T)) for n, c in zip(names, z, strict=True)}
+    return baselines.select(*KEYS, T, F.try_divide(total, there).alias("multisensor_deviation_score"), *[c.alias(f"{n}_exceeds") for n, c in far.items()])
+
+
+def event_onset_orders(deviations: DataFrame, events: DataFrame, names: list[str]) -> DataFrame:
+    """For each target: the order in which modalities first went far off during it."""
+    hits = during(deviations, events.filter("is_target").select(*KEYS, "event_id", "start_time_ns", "end_time_ns"), KEYS, T, "start_time_ns", "end_time_ns", 3600 * SECOND, "inner")
+    first = hits.groupBy(*KEYS, "event_id").agg(*[F.min(f"{n}_exceeds").alias(n) for n in names])
+    return first.select(*KEYS, "event_id", onset_order({n: F.col(n) for n in names}).alias("modality_onset_order_code"))
 
 
 def onset_order(first_exceed: dict[str, Column]) -> Column:

@@ -72,6 +72,9 @@ def write_features(spark: SparkSession, config: RunConfig, home: str) -> list[st
         tables.write_table(features.window_features(slim, w, config.features.minimum_coverage), home, f"features_{w}s")
         names.append(f"features_{w}s")
     tables.write_table(features.eeg_features(timeline, 5), home, "features_eeg_5s")
+    if config.run.duration_sec >= 300:
+        tables.write_table(features.hrv_kernels(slim, 300), home, "features_hrv_300s")
+        names.append("features_hrv_300s")
     eligible = F.col("is_awake") & ~F.col("context_state").isin(*config.features.baseline_excluded_contexts) & (F.coalesce("quality_min", F.lit(1.0)) >= 0.5)
     z = slim.select(*KEYS, T, "hr_bpm", "eda_us", "wrist_enmo", eligible.alias("ok"))
     out = None
@@ -79,6 +82,7 @@ def write_features(spark: SparkSession, config: RunConfig, home: str) -> list[st
         one = features.personal_baseline(z.select(*KEYS, T, value, "ok"), KEYS, T, value, F.col("ok"), config.features.baseline_lookback_sec * SECOND, config.features.baseline_warmup_sec * SECOND, 60 * SECOND)
         one = one.drop("ok", value) if out is None else one.select(*KEYS, T, f"{value}_personal_robust_z")
         out = one if out is None else out.join(one, [*KEYS, T])
+    out = out.join(features.deviation(out, ["hr_bpm", "eda_us", "wrist_enmo"]).select(*KEYS, T, "multisensor_deviation_score"), [*KEYS, T])
     tables.write_table(out, home, "features_baseline")
     return [*names, "features_eeg_5s", "features_baseline"]
 

@@ -192,7 +192,8 @@ def test_interval_join_equals_definition(spark, spans, bucket):
 
 def grid(spark, n, values):
     base = {c: None for c in ("hr_bpm", "rr_ms", "eda_us", "ecg_rpeak_count", "ecg_coverage_ratio", "watch_hr_bpm", "watch_ibi_ms", "ppg_green_dc", "ppg_green_ac", "skin_temp_c", "quality_min", "eeg_tp9_rms_uv", "eeg_af7_rms_uv", "eeg_af8_rms_uv", "eeg_tp10_rms_uv")}
-    base |= {f"{x}_{k}": None for x in ("wrist", "head", "chest") for k in ("vm", "enmo", "jerk", "sma", "coverage_ratio")}
+    base |= {f"{x}_{k}": None for x in ("wrist", "head", "chest") for k in ("vm", "enmo", "jerk", "sma", "coverage_ratio", "x", "y", "z")}
+    base |= dict.fromkeys(("ecg_rpeak_confidence", "ecg_mean_uv", "ecg_rms_uv", "ecg_line_length", "ppg_ir_ac", "ppg_red_ac", "eeg_gfp"))
     columns = sorted(base)
     rows = [("r", "P001", i * SECOND, *[float(values[c](i)) if c in values else None for c in columns]) for i in range(n)]
     return spark.createDataFrame(rows, "run_id string, person_id string, canonical_time_ns long, " + ", ".join(f"{c} double" for c in columns))
@@ -239,6 +240,36 @@ def test_spectral_kernels():
     assert all(v is None for v in spectral.spectral_summary(np.zeros(3), 256).values())
 
 
+def test_kernels_on_native_streams(spark):
+    c = cfg.builtin("golden")
+    ev = truth.events(spark, c)
+    latent = truth.latent_timeline(spark, c, ev).filter("seconds_from_start BETWEEN 60 AND 179")
+    rows = devices.native(latent, truth.participants(spark, c), devices.artifacts(spark, c).limit(0), None, c).cache()
+    spectra = features.motion_spectra(rows, 5).cache()
+    found = spectra.toPandas()
+    assert len(found) == 24 and found.wrist_dominant_frequency_hz.between(1, 3).all() and found.chest_spectral_entropy.between(0, 1).all()
+    again = features.repetition(spectra).toPandas()
+    assert (again.repetition_duration_sec >= 0).all() and again.wrist_repetition_score.notna().all()
+    transit = features.pulse_transit(devices.peaks(rows, "ecg", "ecg", 0.7), devices.peaks(rows, "ppg", "green", 0.8)).toPandas()
+    assert transit.pairs.sum() > 100 and transit.ppg_ecg_pulse_transit_proxy_ms.between(50, 600).all()
+    one = run.observed_timeline(rows, latent)
+    eeg = features.eeg_features(one, 5).toPandas()
+    assert len(eeg) == 24 and (eeg.eeg_valid_channel_count == 4).all() and eeg.eeg_tp9_alpha_relative_power.between(0, 1).all() and eeg.eeg_quality_score.between(0, 1).all()
+    assert eeg.eeg_channel_correlation_mean.between(-1, 1).all() and (one.toPandas().eeg_gfp > 0).all()
+
+
+def test_hrv_kernels_and_onset_order(spark):
+    t = grid(spark, 600, {"rr_ms": lambda i: 850 + 40 * np.sin(2 * np.pi * 0.1 * i)})
+    k = features.hrv_kernels(t, 300).toPandas()
+    assert len(k) == 2 and (k.hrv_lf_power > 5 * k.hrv_hf_power).all() and k.rr_sample_entropy.notna().all()
+    with pytest.raises(ValueError):
+        features.hrv_kernels(t, 60)
+    z = spark.createDataFrame([("r", "p", i * SECOND, 5.0 if i >= 3 else 0.0, 9.0 if i >= 2 else None) for i in range(6)], "run_id string, person_id string, canonical_time_ns long, a_personal_robust_z double, b_personal_robust_z double")
+    d = features.deviation(z, ["a", "b"])
+    ev = spark.createDataFrame([("r", "p", "e", True, 0, 6 * SECOND)], "run_id string, person_id string, event_id string, is_target boolean, start_time_ns long, end_time_ns long")
+    assert features.event_onset_orders(d, ev, ["a", "b"]).first()["modality_onset_order_code"] == "b>a"
+
+
 # splits, streaming, round trips
 
 
