@@ -551,3 +551,39 @@ def streaming_hourly(spark, sf_dir):
     from pulsegrid.streaming.incremental import hourly
 
     return hourly(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("value_mean", r(F.col("value_mean")))
+
+
+_FEATURES = """f AS (SELECT user_id AS person_id, event_type = 'error' AS y, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, hour(ts) AS h FROM events)"""
+
+
+@query(f"""WITH {_FEATURES}, u AS (SELECT y, unnest(['value', 'k', 'h']) AS feature, unnest([value, k, h::DOUBLE]) AS v FROM f),
+    r AS (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS rk FROM u),
+    a AS (SELECT feature, CAST(count(*) FILTER (y) AS BIGINT) AS positives, CAST(count(*) FILTER (NOT y) AS BIGINT) AS negatives, sum(rk) FILTER (y) AS s FROM r GROUP BY 1)
+    SELECT feature, positives, negatives, round((s - positives * (positives + 1) / 2.0) / (positives * negatives), 6) AS auc FROM a""")
+def single_feature_auc(spark, sf_dir):
+    """No single feature, person or time of day may tell targets apart."""
+    from pulsegrid.operators import sanity
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    f = e.select((F.col("event_type") == "error").alias("y"), "value", F.get_json_object("props", "$.k").cast("double").alias("k"), F.hour("ts").cast("double").alias("h"))
+    return sanity.feature_aucs(f, ["value", "k", "h"], "y").withColumn("auc", r(F.col("auc")))
+
+
+@query("SELECT user_id AS person_id, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS share FROM events GROUP BY 1")
+def label_share_by_person(spark, sf_dir):
+    from pulsegrid.operators import sanity
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("person_id"), (F.col("event_type") == "error").alias("y"))
+    return sanity.key_entropy(e, "person_id", "y").withColumn("share", r(F.col("share")))
+
+
+@query()
+def sanity_models(spark, sf_dir):
+    """AUC of a logistic and a forest model on held-out persons; near one half, as the label is random here."""
+    from pulsegrid.operators import sanity
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    f = e.select("user_id", (F.col("event_type") == "error").alias("y"), "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    train, test = f.filter(F.xxhash64("user_id") % 3 != 0), f.filter(F.xxhash64("user_id") % 3 == 0)
+    rows = [sanity.model_auc(train, test, ["value", "k"], "y", kind).withColumn("model", F.lit(kind)) for kind in ("logistic", "forest")]
+    return rows[0].unionByName(rows[1])
