@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of text in an Arrow batch; bounds what a Python worker holds at once.
 BATCH_ROWS = 1000
+#: Workers serve task after task: freed arrays go back to the system instead of staying in each worker.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package by the driver's path, and keep their Arrow batches small.
+    """Let Python workers import this package by the driver's path, and keep them and their Arrow batches small.
 
     On a cluster whose nodes lack that path, ship the package with ``--py-files`` as usual.
     """
@@ -23,6 +25,8 @@ def prepare(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
+    for name, value in WORKER_ENV.items():
+        spark.sparkContext.environment.setdefault(name, value)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -1,12 +1,13 @@
 """Word-wise encoding gives the ids of the library over whole texts."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.tokenization import Encoder
+from pulsegrid.llm.tokenization import Encoder, word_keys
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = Tokenizer.from_file(PATH)
@@ -30,10 +31,20 @@ def test_edges(text):
     same([text, text])
 
 
-def test_memo_is_cleared(monkeypatch):
-    monkeypatch.setattr("pulsegrid.llm.tokenization.MEMO_WORDS", 3)
-    for _ in range(3):
-        same(["one two three four five six", "seven eight"])
+def test_memo_is_merged_and_cut(monkeypatch):
+    import random
+
+    monkeypatch.setattr("pulsegrid.llm.tokenization.MEMO_WORDS", 40)
+    monkeypatch.setattr("pulsegrid.llm.tokenization.FRESH_WORDS", 10)
+    rnd = random.Random(7)
+    words = ["".join(rnd.choices("abcé0'", k=rnd.randint(1, 40))) for _ in range(120)]
+    for _ in range(60):
+        same([" ".join(rnd.choices(words, k=9)) for _ in range(3)])
+
+
+def test_words_of_one_mix(monkeypatch):
+    monkeypatch.setattr("pulsegrid.llm.tokenization.word_keys", lambda data, starts, sizes, f=word_keys: (np.zeros(len(starts), np.uint64), f(data, starts, sizes)[1]))
+    same(["one two three one", "two four"])
 
 
 def test_other_tokenizer_is_encoded_whole():
