@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
-Words get log-odds of toxic against clean text under an informative Dirichlet prior (their own frequencies in the
-training texts together); only words whose log-odds are clearly off zero keep a score, all others score the same
-small loss.  One linear scan over a document finds all its maximal scoring segments.  Their scores are made
+Words and their first letters (stems, for inflected forms) get log-odds of toxic against clean text under an
+informative Dirichlet prior (their own frequencies in the training texts together); only those whose log-odds are
+clearly off zero keep a score.  A word scores as itself, else as its longest kept stem, else a small loss.  One linear scan over a document finds all its maximal scoring segments.  Their scores are made
 comparable by extreme-value statistics: with rate ``decay`` (lambda) and ``size`` (K) of clean text, a segment of
 score s in n words is expected K n exp(-lambda s) times by chance.  Significant segments are added up, and a
 logistic curve over the sums gives the score.
@@ -33,6 +33,8 @@ from pulsegrid.llm.common import ascii_lower, materialise, prepare, text_of
 SAMPLE_ROWS, MAX_TERMS = 60_000, 20_000
 #: Strength of the prior in words, least |z| of a kept word, loss of a word without score, expected chance segments.
 PRIOR_WORDS, LEAST_Z, LOSS, SIGNIFICANT = 2_000.0, 4.0, 0.05, 0.1
+#: Letters of a stem, and how many words a worker remembers the scores of.
+STEMS, MEMO_WORDS = (4, 8), 200_000
 NOT_LETTERS = r"[\x00-\x60\x7B-\x7F]+"
 _LETTERS = bytes(b if b > 0x7F or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 SEGMENTS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())]))
@@ -40,14 +42,33 @@ SEGMENTS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Scores of words, the extreme-value constants of clean text, and the logistic curve."""
+    """Scores of words and of stems (marked by a star), the extreme-value constants of clean text, and the curve."""
 
-    scores: dict[bytes, float]
+    scores: dict[str, float]
     decay: float
     size: float
     curve: tuple[float, ...]
 
 
+class WordScores(dict):
+    """Scores of words in UTF-8, None where there is none; looked up once and remembered within a bound."""
+
+    def __init__(self, scores: dict[str, float]) -> None:
+        super().__init__()
+        self.scores = scores
+
+    def __missing__(self, word: bytes) -> float | None:
+        text = word.decode()
+        found = self.scores.get(text)
+        if found is None:
+            stems = (self.scores.get(f"{text[:n]}*") for n in range(min(STEMS[1], len(text) - 1), STEMS[0] - 1, -1))
+            found = next((x for x in stems if x is not None), None)
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = found
+        return found
+
+
 def maximal_segments(places: list[int], scores: list[float], loss: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, stop, score) in linear time.
 
@@ -81,11 +102,10 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_LETTERS).split()
 
 
-def text_segments(text: str, model: ToxicityModel) -> tuple[int, list[tuple[int, int, float, float]]]:
+def text_segments(text: str, model: ToxicityModel, scores: WordScores) -> tuple[int, list[tuple[int, int, float, float]]]:
     """Number of words, and the segments with the number expected by chance."""
     all_words = words(text)
-    get = model.scores.get
-    hits = [(i, s) for i, s in enumerate(map(get, all_words)) if s is not None]
+    hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, all_words)) if s is not None]
     n = len(all_words)
     if not hits:
         return n, []
@@ -94,11 +114,11 @@ def text_segments(text: str, model: ToxicityModel) -> tuple[int, list[tuple[int,
 
 
 def features(n_words: int, segments: list[tuple[int, int, float, float]]) -> list[float]:
-    """What the logistic curve sees: evidence of the best and of all significant segments, and their number."""
+    """What the logistic curve sees: evidence of the best and of all significant segments, and its density in words."""
     evidence = sorted((max(0.0, -math.log(max(e, 1e-300) / SIGNIFICANT)) for *_, e in segments), reverse=True)
     kept = [x for x in evidence if x > 0]
     best = kept[0] if kept else 0.0
-    return [1.0, min(best, 30.0) / 10, min(sum(kept), 100.0) / 10, math.log1p(len(kept)), math.log1p(n_words) / 10]
+    return [1.0, float(best > 0), math.log1p(best), math.log1p(sum(kept)), math.log1p(sum(kept) / max(n_words, 1) * 100)]
 
 
 def chance(x: list[float], curve: tuple[float, ...]) -> float:
@@ -119,13 +139,17 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
 
 
 def word_log_odds(texts: DataFrame) -> DataFrame:
-    """(word, toxic, clean, log_odds, z) over rows (text, toxic 0/1)."""
+    """(word, toxic, clean, log_odds, z) over rows (text, toxic 0/1), for words and for stems with a star."""
     tokens = texts.select("toxic", F.explode(F.array_remove(F.split(ascii_lower(F.col("text")), NOT_LETTERS), "")).alias("word"))
     counts = materialise(
         tokens.groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")), "word_counts"
     )
     total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     n_t, n_c = total["t"] or 0.0, total["c"] or 0.0
+    longest = F.least(F.length("word") - 1, F.lit(STEMS[1]))
+    cut = counts.filter(longest >= STEMS[0]).select("word", "t", "c", F.explode(F.sequence(F.lit(STEMS[0]), longest)).alias("n"))
+    stems = cut.groupBy(F.concat(F.substring(F.col("word"), F.lit(1), F.col("n")), F.lit("*")).alias("word")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    units = counts.unionByName(stems)
     prior = F.lit(PRIOR_WORDS) * (F.col("t") + F.col("c")) / F.lit(max(n_t + n_c, 1.0))
 
     def log_odds(k: Column, n: float) -> Column:
@@ -133,10 +157,22 @@ def word_log_odds(texts: DataFrame) -> DataFrame:
 
     odds = log_odds(F.col("t"), n_t) - log_odds(F.col("c"), n_c)
     deviation = F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-    return counts.select("word", F.col("t").alias("toxic"), F.col("c").alias("clean"), odds.alias("log_odds"), (odds / deviation).alias("z"))
+    return units.select("word", F.col("t").alias("toxic"), F.col("c").alias("clean"), odds.alias("log_odds"), (odds / deviation).alias("z"))
+
+
+def clean_shares(clean: dict[str, float], words_in_all: float) -> dict[str, float]:
+    """Share of clean words that score as each unit: a stem's words without those of longer units under it."""
+    own = dict(clean)
+    for unit in sorted(clean, key=len, reverse=True):
+        text = unit.rstrip("*")
+        for n in range(min(STEMS[1], len(text) - 1), STEMS[0] - 1, -1):
+            if (stem := f"{text[:n]}*") in own:
+                own[stem] -= own[unit]
+                break
+    return {u: max(c, 0.0) / words_in_all for u, c in own.items()}
 
 
-def extreme_value_rate(scores: dict[bytes, float], share: dict[bytes, float]) -> float:
+def extreme_value_rate(scores: dict[str, float], share: dict[str, float]) -> float:
     """The positive root of sum p exp(lambda s) = 1 over the words of clean text."""
     rest = max(1e-9, 1 - sum(share.values()))
 
@@ -175,15 +211,16 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_colum
     texts = materialise(texts, "labelled")
     odds = word_log_odds(texts.filter(~F.col("calibrate"))).filter(F.abs("z") >= LEAST_Z)
     rows = odds.orderBy(F.desc(F.abs("z")), "word").limit(MAX_TERMS).collect()
-    scores = {r["word"].encode(): r["log_odds"] for r in rows}
+    scores = {r["word"]: r["log_odds"] for r in rows}
     clean_words = texts.filter("NOT calibrate AND toxic = 0").agg(F.sum(F.size(F.split(ascii_lower(F.col("text")), NOT_LETTERS)))).first()[0]
-    share = {r["word"].encode(): r["clean"] / max(clean_words or 1, 1) for r in rows}
+    share = clean_shares({r["word"]: r["clean"] for r in rows}, max(clean_words or 1, 1))
     decay = extreme_value_rate(scores, share)
     raw = ToxicityModel(scores, decay, 1.0, ())
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordScores(raw.scores)
         for b in batches:
-            found = [text_segments(t, raw) for t in b.column("text").to_pylist()]
+            found = [text_segments(t, raw, known) for t in b.column("text").to_pylist()]
             top = [max((s for *_, s, _ in seg), default=None) for _, seg in found]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array(top, pa.float64())], names=["toxic", "n", "top"])
 
@@ -194,8 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_colum
     model = ToxicityModel(scores, decay, size, ())
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordScores(model.scores)
         for b in batches:
-            x = [features(*text_segments(t, model)) for t in b.column("text").to_pylist()]
+            x = [features(*text_segments(t, model, known)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
     calibration = texts.filter("calibrate").select("text", "toxic").mapInArrow(seen, "toxic int, x array<double>").collect()  # at most SAMPLE_ROWS
@@ -219,8 +257,9 @@ def score(docs: DataFrame, model: ToxicityModel, text_column: str = "text", scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
+        known = WordScores(m.scores)
         for b in batches:
-            found = [text_segments(t or "", m) for t in b.column(at).to_pylist()]
+            found = [text_segments(t or "", m, known) for t in b.column(at).to_pylist()]
             columns = [*b.columns, pa.array([chance(features(*f), m.curve) for f in found], pa.float64())]
             if segments_column:
                 kept = [[dict(zip(("start", "stop", "score", "expected"), s, strict=True)) for s in seg if s[3] <= SIGNIFICANT] for _, seg in found]
