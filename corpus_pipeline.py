@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontamination, exact_dedup, packing, simhash, toxicity
-from pulsegrid.llm.common import broadcast_if_small, materialise
+from pulsegrid.llm.common import ascii_lower, broadcast_if_small, materialise, text_of
 
 #: Ids of rejected documents up to this number (8 MB) are broadcast.
 BROADCAST_IDS = 500_000
@@ -34,8 +34,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: that with the largest id."""
-    return _without(docs, exact_dedup.exact_duplicates(docs).filter("NOT kept"))
+    """One document of each group of equal texts: that with the largest id; of repeats of one row, one."""
+    found = materialise(exact_dedup.exact_duplicates(docs), "duplicates")
+    per_id = found.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    repeated = materialise(per_id.filter("stays AND n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    out = _without(docs, per_id.filter("NOT stays"))
+    if repeated.isEmpty():
+        return out
+    # ids that stand for several rows: decided by id and text
+    texts = out.withColumn("text_sha256", F.sha2(ascii_lower(text_of("text")), 256)).join(repeated, "doc_id", "left_semi")
+    once = texts.dropDuplicates(["doc_id", "text_sha256"]).join(found.filter("kept").select("doc_id", "text_sha256"), ["doc_id", "text_sha256"], "left_semi")
+    return _without(out, repeated).unionByName(once.select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

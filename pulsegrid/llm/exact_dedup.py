@@ -6,8 +6,8 @@ ordinal beside them.  A document is then its ordered list of identifiers (its re
 texts.  Texts are read once and never shuffled: only identifiers move.
 
 Defined cases: null text counts as empty, and the recipe of an empty text is the empty list; of equal texts the row
-with the largest id stays (null ids come last; all repeats of that id share the decision); an empty table gives an
-empty result; other columns of the input are ignored, whatever their names.
+with the largest id stays (null ids come last), of repeats of that row one; an empty table gives an empty result;
+other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def chunks_of(text: Column, smallest: int = MIN_CHUNK, largest: int = MAX_CHUNK,
 
 
 def recipes(docs: DataFrame, id_column: str, text_column: str, id_bits: int = 64) -> DataFrame:
-    """(doc_id, text_sha256, recipe): recipe is the ordered list of verified chunk identifiers.
+    """(row, doc_id, text_sha256, recipe): recipe is the ordered list of verified chunk identifiers.
 
     ``id_bits`` below 64 weakens the identifiers, so that tests meet collisions.
     """
@@ -43,15 +43,14 @@ def recipes(docs: DataFrame, id_column: str, text_column: str, id_bits: int = 64
             lambda c: F.struct(F.xxhash64(c).bitwiseAND(F.lit(keep)).alias("id"), F.unhex(F.sha2(c, 256)).alias("digest")),
         ).alias("chunks"),
     )
-    cut = materialise(cut, "recipes")
+    cut = materialise(cut.withColumn("row", F.monotonically_increasing_id()), "recipes")
     store = cut.select(F.explode("chunks").alias("c")).select("c.*").distinct()
     clashing = materialise(
         store.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("digest")).alias("digests")).filter("n > 1"), "clashes"
     )
     if clashing.isEmpty():  # each identifier stands for one content
-        return cut.select("doc_id", "text_sha256", F.transform("chunks", lambda c: F.struct(c["id"].alias("id"), F.lit(0).alias("nth"))).alias("recipe"))
-    numbered = cut.withColumn("row", F.monotonically_increasing_id())
-    pieces = numbered.select("doc_id", "text_sha256", "row", F.posexplode_outer("chunks").alias("pos", "c"))
+        return cut.select("row", "doc_id", "text_sha256", F.transform("chunks", lambda c: F.struct(c["id"].alias("id"), F.lit(0).alias("nth"))).alias("recipe"))
+    pieces = cut.select("doc_id", "text_sha256", "row", F.posexplode_outer("chunks").alias("pos", "c"))
     named = pieces.join(clashing, F.col("c.id") == clashing["id"], "left").select(
         "row", "doc_id", "text_sha256", "pos",
         F.struct(F.col("c.id").alias("id"), F.coalesce(F.array_position("digests", F.col("c.digest")), F.lit(1)).cast("int").alias("nth")).alias("part"),
@@ -60,22 +59,21 @@ def recipes(docs: DataFrame, id_column: str, text_column: str, id_bits: int = 64
     listed = named.groupBy("row", "doc_id", "text_sha256").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("part.id").isNotNull(), F.struct("pos", "part")))), lambda x: x["part"]).alias("recipe")
     )
-    return listed.select("doc_id", "text_sha256", "recipe")
+    return listed.select("row", "doc_id", "text_sha256", "recipe")
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", id_bits: int = 64) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of ``docs``.
 
-    Groups are counted before the shuffle, and only groups of two or more are joined back; that join has plain
-    exchanges on both sides, which adaptive execution splits where a group is large.
+    Groups are counted before the shuffle, written, and only those of two or more are joined back; that join has
+    plain exchanges on both sides, which adaptive execution splits where a group is large.
     """
     rows = recipes(docs, id_column, text_column, id_bits)
-    groups = (
-        rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    )
+    sizes = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialise(sizes.filter("group_size > 1"), "groups")
     joined = rows.join(groups, "recipe", "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    alone = F.col("group_size").isNull()
     return joined.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == keep, F.col("group_size").isNull()).alias("kept"), "text_sha256",
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("keep.row"))).alias("kept"), "text_sha256",
     )

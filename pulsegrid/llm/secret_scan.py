@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.blobs import content_digest, open_ledger, unseen
-from pulsegrid.llm.common import prepare, text_of
+from pulsegrid.llm.common import materialise, prepare, text_of
 
 #: Base rules, in the order in which they are listed: kind, pattern, the group that is measured, its least length.
 BASE_RULES = (
@@ -85,7 +85,8 @@ def scan_versions(versions: DataFrame, ledger_path: str, keys: list[str], conten
             yield pa.RecordBatch.from_arrays([b.column("blob_id"), pa.array([version] * b.num_rows, pa.string()), found], names=schema.names)
 
     unseen(keyed, "blob_id", "content", scanned()).mapInArrow(scan, schema).write.mode("append").parquet(ledger_path)
-    findings = scanned().dropDuplicates(["blob_id"]).filter(F.size("spans") > 0)
+    # written, so that the join's exchanges can be split where a blob has very many paths
+    findings = materialise(scanned().dropDuplicates(["blob_id"]).filter(F.size("spans") > 0), "findings")
     light = versions.select(*keys, content_digest(content).alias("blob_id"))
     none = F.from_json(F.lit("[]"), schema["spans"].dataType)
     return light.join(findings.select("blob_id", "spans"), "blob_id", "left").select(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.blobs import content_digest, open_ledger, unseen
-from pulsegrid.llm.common import prepare, text_of
+from pulsegrid.llm.common import materialise, prepare, text_of
 from pulsegrid.llm.tokenization import encoder, splits_at_spaces, tokenizer_digest
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -58,7 +58,8 @@ def count_tokens(
 
     misses = unseen(keyed, "content_digest", "content", stored())
     misses.mapInArrow(encode, schema).write.mode("append").parquet(cache_path)
-    counts = stored().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may have appended alike
+    # two runs may have appended alike; written, so that the join's exchanges can be split where a content is frequent
+    counts = materialise(stored().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     light = docs.select(
         F.col(id_column).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(norm).alias("content_digest")
     )

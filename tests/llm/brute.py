@@ -27,9 +27,9 @@ def encode(texts):
 
 def exact(rows):
     groups = {}
-    for i, t in rows:
-        groups.setdefault(lower(t), []).append(i)
-    return sorted((i, max(groups[lower(t)]), len(groups[lower(t)]), i == max(groups[lower(t)]), sha(lower(t))) for i, t in rows)
+    for n, (i, t) in enumerate(rows):
+        groups.setdefault(lower(t), []).append((i, n))
+    return sorted((i, max(groups[lower(t)])[0], len(groups[lower(t)]), (i, n) == max(groups[lower(t)]), sha(lower(t))) for n, (i, t) in enumerate(rows))
 
 
 def words(text):

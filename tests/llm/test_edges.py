@@ -276,6 +276,13 @@ def test_warc(spark, tmp_path):
     assert warc.derive_records(warc.responses_of_pages(pages.limit(0))).count() == 0
 
 
+def test_dedup_stage_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a"), (1, "a"), (2, "b"), (3, "B"), (3, "B"), (4, "c"), (4, "d"), (5, "d"), (None, "e"), (None, "e")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_copies(spark, docs, "")
+    assert got(out, "doc_id", "text") == sorted([(1, "a"), (3, "B"), (4, "c"), (5, "d"), (None, "e"), (None, "e")], key=repr)
+
+
 def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     base = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long")
