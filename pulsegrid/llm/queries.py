@@ -80,7 +80,43 @@ QUERIES["pipeline"] = corpus_pipeline.run
 #: Lower-casing of A-Z only; DuckDB's lower() is wider.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _uuid(h: str) -> str:
+    return f"'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+def _sha1(text: str) -> str:
+    """Base-32 SHA-1: eight groups of five hex digits give four letters each."""
+    value = f"CAST(('0x' || substr(sha1({text}), 5 * i + 1, 5)) AS BIGINT)"
+    letters = " || ".join(f"substr('{warc.BASE32}', CAST(({value} >> {k}) & 31 AS INTEGER) + 1, 1)" for k in (15, 10, 5, 0))
+    return f"'sha1:' || array_to_string(list_transform(range(0, 8), lambda i: {letters}), '')"
+
+
+def _plain(html: str) -> str:
+    text = html
+    for pattern, by in ((warc.HIDDEN, "' '"), (warc.LINES, "chr(10)"), (r"<[^>]*>", "''")):
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    for name, char in warc.NAMED:
+        quoted = char.replace("'", "''")
+        text = f"replace({text}, '{name.replace(chr(39), chr(39) * 2)}', '{quoted}')"
+    text = f"regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g')"
+    return f"trim(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+_CRLF = "chr(13) || chr(10)"
+
 ORACLE_SQL = {
+    "op2_warc_derivatives": f"""
+        WITH p AS (SELECT md5(coalesce(CAST(page_id AS VARCHAR), '') || ' ' || coalesce(url, '')) AS h, coalesce(url, '') AS target_uri, coalesce(html, '') AS body FROM pages),
+        b AS (SELECT {_uuid('h')} AS refers_to, target_uri, '2024-01-01T00:00:00Z' AS date,
+                'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || strlen(body) || {_CRLF} || {_CRLF} AS source_header,
+                {_sha1('body')} AS payload_digest, trim(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1)) AS title,
+                regexp_extract_all(body, '(?i)<a\\s[^>]*?href="([^"]*)"', 1) AS links, {_plain('body')} AS text FROM p),
+        d AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type, 'title: ' || title || {_CRLF} || 'source-status: 200' || {_CRLF} ||
+                coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || x || {_CRLF}), ''), '') AS block FROM b
+              UNION ALL SELECT *, 'conversion', 'text/plain', text FROM b),
+        e AS (SELECT *, md5(record_type || ' ' || refers_to) AS h FROM d)
+        SELECT {_uuid('h')} AS record_id, record_type, refers_to, target_uri, date, content_type, CAST(strlen(block) AS BIGINT) AS content_length, {_sha1('block')} AS block_digest,
+               payload_digest, source_header, CAST(len(links) AS BIGINT) AS n_links, block FROM e""",
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)

@@ -26,7 +26,7 @@ from pulsegrid.llm.common import prepare
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RESPONSE_SCHEMA = "record_id string, target_uri string, date string, http_header string, body string"
 #: Elements whose contents are no text, elements that end a line, and the named characters that are spelt out.
-HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>"
+HIDDEN = r"(?is)<!--.*?-->" + "".join(rf"|<{e}\b.*?</{e}\s*>" for e in ("script", "style", "noscript", "template"))
 LINES = r"(?i)</?(p|div|br|hr|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|title|blockquote|pre)\b[^>]*>"
 NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
