@@ -545,12 +545,48 @@ def hourly_timeline(spark, sf_dir):
     )
 
 
-@query()
+@query("SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, count(value) AS sample_count, round(avg(value), 6) AS value_mean FROM events GROUP BY 1, 2")
 def streaming_hourly(spark, sf_dir):
-    """The streaming form of the hourly resampling, run here as a batch."""
+    """The streaming form of the hourly resampling, run here as a batch (a test runs it as a stream)."""
     from pulsegrid.streaming.incremental import hourly
 
-    return hourly(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("value_mean", r(F.col("value_mean")))
+    out = hourly(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return out.select("user_id", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "sample_count", r(F.col("value_mean")).alias("value_mean"))
+
+
+@query(f"""WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS d FROM events), k AS (SELECT *, sum(CASE WHEN d IS NULL OR d >= INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM e)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n_events FROM k GROUP BY user_id, s""")
+def streaming_sessions(spark, sf_dir):
+    """Sessions by Spark's session window, as the streaming query has them."""
+    from pulsegrid.streaming.incremental import activity_sessions
+
+    out = activity_sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "12 hours")
+    return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n_events")
+
+
+@query(f"""WITH {EV}, d AS (SELECT person_id, t // {D} AS d, count(*) AS n, sum(value) AS s FROM ev GROUP BY 1, 2), p AS (SELECT person_id, min(d) AS lo, max(d) AS hi FROM d GROUP BY 1),
+    g AS (SELECT person_id, unnest(range(lo, hi + 1)) AS d FROM p)
+    SELECT g.person_id, g.d AS day_no, coalesce(n, 0) AS sample_count, round(least(coalesce(n, 0) / 3.0, 1), 6) AS coverage_ratio, CASE WHEN coalesce(n, 0) / 3.0 >= 0.8 THEN round(s / n, 6) END AS gated_mean, coalesce(n, 0) / 3.0 >= 0.8 AS feature_valid
+    FROM g LEFT JOIN d ON d.person_id = g.person_id AND d.d = g.d""")
+def coverage_gating(spark, sf_dir):
+    """A feature is null, not 0, where coverage of its day is short; rows survive."""
+    s = series(spark, sf_dir).groupBy("person_id", floor_div(F.col("t"), D).alias("day_no")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"))
+    lim = s.groupBy("person_id").agg(F.min("day_no").alias("lo"), F.max("day_no").alias("hi"))
+    g = lim.select("person_id", F.explode(F.sequence("lo", "hi")).alias("day_no")).join(s, ["person_id", "day_no"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    c = F.col("n") / F.lit(3.0)
+    return g.select("person_id", "day_no", F.col("n").alias("sample_count"), r(F.least(c, F.lit(1.0))).alias("coverage_ratio"), F.when(c >= 0.8, r(F.col("m"))).alias("gated_mean"), (c >= 0.8).alias("feature_valid"))
+
+
+@query(f"""WITH {EV}, x AS (SELECT user_id AS person_id, unnest([0, 1, 2]) AS kind FROM (SELECT DISTINCT user_id FROM events)),
+    c AS (SELECT person_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS kind, count(*) AS n FROM ev GROUP BY 1, 2)
+    SELECT x.person_id, x.kind AS stream_no, coalesce(n, 0) AS n, coalesce(n, 0) = 0 AS missing FROM x LEFT JOIN c ON c.person_id = x.person_id AND c.kind = x.kind""")
+def stream_sample_counts(spark, sf_dir):
+    """Samples of each person and stream, streams without any included."""
+    s = series(spark, sf_dir)
+    kind = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).otherwise(2)
+    n = s.groupBy("person_id", kind.alias("stream_no")).agg(F.count(F.lit(1)).alias("n"))
+    all_ = s.select("person_id").distinct().select("person_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("stream_no"))
+    return all_.join(n, ["person_id", "stream_no"], "left").select("person_id", "stream_no", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) == 0).alias("missing"))
 
 
 _FEATURES = """f AS (SELECT user_id AS person_id, event_type = 'error' AS y, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, hour(ts) AS h FROM events)"""
