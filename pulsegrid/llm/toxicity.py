@@ -246,7 +246,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_colum
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_column: str = "text", score_column: str = "score", segments_column: str | None = "segments") -> DataFrame:
-    """``docs`` with a score of 0 to 1, and the significant segments (start and stop in words); rows stay in place."""
+    """``docs`` with a score of 0 to 1, and the significant segments (start and stop in words); rows stay in place.
+
+    Columns of ``docs`` that bear the names of these are replaced.
+    """
+    docs = docs.drop(score_column, *([segments_column] if segments_column else []))
     spark = docs.sparkSession
     prepare(spark)
     shipped = spark.sparkContext.broadcast(model)  # MAX_TERMS words at most

@@ -142,10 +142,10 @@ def test_simhash(docs, rows):
 
 def test_toxicity(spark, docs, rows):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(len(TEXTS))] + [(None, 1, None), (5, None, None)], "doc_id long, toxic int, text string")
-    out = toxicity.score(docs.drop("score", "segments"), toxicity.fit(docs, labels))
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
     assert out.count() == len(rows) and out.filter("score IS NULL OR score < 0 OR score > 1").isEmpty()
-    assert toxicity.score(docs.drop("score", "segments").limit(0), toxicity.fit(docs, labels.limit(0))).count() == 0
-    none = toxicity.score(docs.drop("score", "segments"), toxicity.fit(docs.limit(0), labels))
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels.limit(0))).count() == 0
+    none = toxicity.score(docs, toxicity.fit(docs.limit(0), labels))
     assert none.filter("score = 0.5").count() == len(rows)
 
 
