@@ -313,9 +313,10 @@ def test_stream_equals_batch(spark, tmp_path):
         assert got.count() == batch.count() and got.exceptAll(batch).isEmpty()
 
 
-def test_parquet_round_trip_and_manifest(spark, quick):
+def test_parquet_round_trip_and_manifest(spark, quick, capsys):
     home, made = quick
     for name, entry in made["tables"].items():
         assert tables.content_hash(tables.read_table(spark, home, name)) == {"rows": entry["rows"], "hash": entry["hash"]}
-    pushed = tables.read_table(spark, home, "latent_timeline").filter("person_id = 'P001' AND seconds_from_start > 5")._jdf.queryExecution().executedPlan().toString()
+    tables.read_table(spark, home, "latent_timeline").filter("person_id = 'P001' AND seconds_from_start > 5").explain("formatted")
+    pushed = capsys.readouterr().out
     assert "PartitionFilters: [isnotnull(person_id" in pushed and "PushedFilters: [IsNotNull(seconds_from_start)" in pushed
