@@ -60,7 +60,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack_along_curve(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packing.pack_along_curve(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 STAGES = [

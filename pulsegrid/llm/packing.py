@@ -101,18 +101,19 @@ def positions(encoded: DataFrame) -> DataFrame:
 
 
 def pack_along_curve(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator_id: int = SEPARATOR_ID, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator_id: int = SEPARATOR_ID, with_ids: bool = True,
+    id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve_key, ids.
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve_key.
 
-    ``ids_crc32`` is taken over little-endian unsigned 32-bit ids; ``ids`` are those bytes.
+    ``ids_crc32`` is taken over little-endian unsigned 32-bit ids; ``with_ids`` adds those bytes as ``ids``.
     """
     encoded = materialise(encode_documents(docs, tokenizer_path, separator_id, id_column, text_column), "encoded")
     placed = materialise(positions(encoded), "positions")
     schema = T.StructType(
         [encoded.schema["doc_id"]]
         + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key")]
-        + [T.StructField("ids", T.BinaryType())]
+        + [T.StructField("ids", T.BinaryType())] * with_ids
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +130,12 @@ def pack_along_curve(
                     piece = wide[at:stop].tobytes()
                     source.append(i)
                     rows.append((at, stop - at, zlib.crc32(piece), n, sequence, offset, key))
-                    blobs.append(piece)
+                    if with_ids:
+                        blobs.append(piece)
                     at = stop
             numbers = np.array(rows, np.int64).reshape(-1, 7)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(source, pa.int64())), *(pa.array(numbers[:, k]) for k in range(7)), pa.array(blobs, pa.binary())], names=schema.names
-            )
+            columns = [b.column("doc_id").take(pa.array(source, pa.int64())), *(pa.array(numbers[:, k]) for k in range(7))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(blobs, pa.binary())] * with_ids, names=schema.names)
 
     moved = encoded.select("row", "doc_id", "key", "n_tokens", "ids").join(placed, "row")
     return moved.select("doc_id", "begin", "key", "n_tokens", "ids").mapInArrow(cut, schema)

@@ -37,7 +37,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_along_curve(documents(spark, sf_dir), tokenizer_path()).drop("ids")
+    return packing.pack_along_curve(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
 
 
 def _spans(spans) :
