@@ -46,6 +46,13 @@ def day_split(day: Column, train_days: int) -> Column:
     return F.when(day < train_days, "known_person_past").otherwise("known_person_future_day")
 
 
+def artifact_stress(labels: DataFrame, keys: list[str], share: float = 0.25) -> DataFrame:
+    """(keys, artifact_share, stress): the persons or days with the most artifact seconds, from the (1 - share) quantile on."""
+    per = labels.groupBy(*keys).agg(F.avg(F.col("artifact_present").cast("double")).alias("artifact_share"))
+    limit = per.agg(F.percentile("artifact_share", F.lit(1 - share)).alias("_limit"))  # one row
+    return per.crossJoin(F.broadcast(limit)).select(*keys, "artifact_share", (F.col("artifact_share") >= F.col("_limit")).alias("stress"))
+
+
 def auc(df: DataFrame, score: str, label: str, groups: list[str] | None = None) -> DataFrame:
     """Rank-sum AUC with ties at half; null scores and one-sided groups give null.
 

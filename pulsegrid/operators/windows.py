@@ -80,3 +80,22 @@ def sessions(df: DataFrame, keys: list[str], t: str, gap: int) -> DataFrame:
     start = F.when(F.coalesce(F.col(t) - F.lag(t).over(w) > gap, F.lit(True)), F.col(t))
     return df.withColumn("session_start", F.last(start, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
+
+
+def exponential_robust(df: DataFrame, keys: list[str], t: str, value: str, half_life: int, length: int, block: int) -> DataFrame:
+    """Exponentially weighted median and MAD of the strictly earlier values within ``length``, as ``ew_median`` and ``ew_mad``.
+
+    Weights halve every ``half_life``.  The window is bounded and collected once, then weighted in the JVM.
+    """
+    pair = F.struct(F.col(value).cast("double").alias("v"), F.col(t).alias("t"))
+    out = trailing(df, keys, t, length, {"_past": lambda w: F.collect_list(F.when(F.col(value).isNotNull(), pair)).over(w)}, block, until=-1)
+
+    def weighted(rows: Column, of) -> Column:
+        w = F.array_sort(F.transform(rows, lambda x: F.struct(of(x).alias("v"), F.pow(F.lit(0.5), (F.col(t) - x["t"]) / F.lit(float(half_life))).alias("w"))))
+        half = F.aggregate(w, F.lit(0.0), lambda a, x: a + x["w"]) / 2
+        start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("v"))
+        step = lambda a, x: F.struct((a["w"] + x["w"]).alias("w"), F.when(a["v"].isNull() & (a["w"] + x["w"] >= half), x["v"]).otherwise(a["v"]).alias("v"))
+        return F.aggregate(w, start, step, lambda a: a["v"])
+
+    out = out.withColumn("ew_median", weighted(F.col("_past"), lambda x: x["v"]))
+    return out.withColumn("ew_mad", weighted(F.col("_past"), lambda x: F.abs(x["v"] - F.col("ew_median")))).drop("_past")

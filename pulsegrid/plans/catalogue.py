@@ -623,3 +623,54 @@ def sanity_models(spark, sf_dir):
     train, test = f.filter(F.xxhash64("user_id") % 3 != 0), f.filter(F.xxhash64("user_id") % 3 == 0)
     rows = [sanity.model_auc(train, test, ["value", "k"], "y", kind).withColumn("model", F.lit(kind)) for kind in ("logistic", "forest")]
     return rows[0].unionByName(rows[1])
+
+
+def golden_timeline(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Native streams of the whole golden run, and its 1 Hz timeline."""
+    from pulsegrid.plans.run import observed_timeline
+
+    c = cfg.builtin("golden")
+    latent = truth.latent_timeline(spark, c, truth.events(spark, c))
+    rows = devices.native(latent, truth.participants(spark, c), devices.artifacts(spark, c), None, c)
+    return rows, observed_timeline(rows, latent)
+
+
+@query()
+def artifact_manifest(spark, sf_dir):
+    return devices.artifacts(spark, cfg.builtin("quick"))
+
+
+@query()
+def timeline_1hz(spark, sf_dir):
+    return golden_timeline(spark)[1].drop(*[f"eeg_{c}" for c in features.CHANNELS])
+
+
+@query()
+def window_features(spark, sf_dir):
+    """All window features of the golden run, over a minute."""
+    one = golden_timeline(spark)[1]
+    return features.window_features(one.drop(*[f"eeg_{c}" for c in features.CHANNELS]), 60)
+
+
+@query()
+def eeg_window_features(spark, sf_dir):
+    return features.eeg_features(golden_timeline(spark)[1], 5)
+
+
+@query()
+def motion_spectra(spark, sf_dir):
+    return features.motion_spectra(golden_timeline(spark)[0], 5)
+
+
+@query()
+def exponential_baseline(spark, sf_dir):
+    """Exponentially weighted median and MAD of the last ten days, the present left out."""
+    out = windows.exponential_robust(series(spark, sf_dir).select("event_id", "person_id", "t", "value"), ["person_id"], "t", "value", 3 * DAY, 10 * DAY, BLOCK)
+    return out.select("event_id", r(F.col("ew_median")).alias("ew_median"), r(F.col("ew_mad")).alias("ew_mad"))
+
+
+@query(f"""WITH d AS (SELECT user_id AS person_id, avg(CASE WHEN value > 75 THEN 1.0 ELSE 0.0 END) AS a FROM events GROUP BY 1), q AS (SELECT quantile_cont(a, 0.75) AS lim FROM d)
+    SELECT person_id, round(a, 6) AS artifact_share, a >= lim AS stress FROM d, q""")
+def artifact_stress_split(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("person_id"), (F.col("value") > 75).alias("artifact_present"))
+    return splits.artifact_stress(e, ["person_id"]).withColumn("artifact_share", r(F.col("artifact_share")))

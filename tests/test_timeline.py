@@ -223,6 +223,27 @@ def test_personal_baseline_ignores_what_is_excluded(spark):
     assert out[out.t == 5000 * SECOND].baseline_sample_count.iloc[0] == 1800
 
 
+def test_exponential_median_against_definition(spark):
+    rng = np.random.default_rng(4)
+    rows = [("p", int(t), float(v)) for t, v in zip(np.unique(rng.integers(0, 500, 60)), rng.normal(size=60), strict=False)]
+    got = windows.exponential_robust(spark.createDataFrame(rows, "p string, t long, v double"), ["p"], "t", "v", 30, 100, 70).toPandas().set_index("t")
+
+    def middle(pairs):
+        total, upto = sum(w for _, w in pairs), 0.0
+        for v, w in sorted(pairs):
+            upto += w
+            if upto >= total / 2:
+                return v
+
+    for _, t, _ in rows:
+        past = [(v, 0.5 ** ((t - u) / 30)) for _, u, v in rows if t - 100 <= u <= t - 1]
+        if not past:
+            assert np.isnan(got.ew_median[t])
+        else:
+            m = middle(past)
+            assert got.ew_median[t] == pytest.approx(m) and got.ew_mad[t] == pytest.approx(middle([(abs(v - m), w) for v, w in past]))
+
+
 def test_spectral_kernels():
     s = np.arange(1024) / 256
     x = 20 * np.sin(2 * np.pi * 10 * s)
