@@ -33,16 +33,21 @@ def trailing(df: DataFrame, keys: list[str], t: str, width: int, aggregates: dic
     return out.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, not wherever it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def mad(values: Column) -> Column:
     """Median absolute deviation of an array; null for an empty one."""
-    middle = median(values)
-    return median(F.transform(values, lambda v: F.abs(v - middle)))
+    pair = F.struct(values.alias("v"), median(values).alias("m"))
+    return _let(pair, lambda p: median(F.transform(p["v"], lambda x: F.abs(x - p["m"]))))
 
 
 def median(values: Column) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    at = lambda k: F.try_element_at(s, k.cast("int"))
-    return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)
+    """Median of an array without nulls; null for an empty one."""
+    at = lambda s, k: F.try_element_at(s, F.floor(k).cast("int"))
+    return _let(F.sort_array(values), lambda s: F.when(F.size(s) > 0, (at(s, (F.size(s) + 1) / 2) + at(s, F.size(s) / 2 + 1)) / 2))
 
 
 def _carry(df: DataFrame, keys: list[str], t: str, columns: list[str], block: int, backward: bool) -> DataFrame:
