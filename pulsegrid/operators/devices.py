@@ -36,6 +36,8 @@ ARTIFACTS = {
 DROPS = {"channel_dropout": "channel", "contact_loss": "block", "gap": "block", "block_drop": "block", "loss": "packet"}
 #: Samples in a packet, mean delay of a packet in ms.
 PACKET, DELAY_MS = 12, 35.0
+#: Fixed value: seconds between two comparisons of a device's clock with the grid.
+SYNC_SEC = 60
 
 
 def clock_models(spark: SparkSession, config: RunConfig) -> DataFrame:
@@ -225,20 +227,44 @@ def samples(rows: DataFrame) -> DataFrame:
     return each.withColumns({"device_time_ns": F.col("device_time_ns") + step, "receive_time_ns": F.col("receive_time_ns") + step, "sample_index": F.col("sample_index") + F.col("k"), "packet_id": floor_div(F.col("sample_index") + F.col("k"), PACKET)}).drop("k", "sample_rate_hz")
 
 
-def align(rows: DataFrame) -> DataFrame:
-    """Estimate grid time from device time by a line through (device, receive) of each device; keep the residual.
+def marks(timeline: DataFrame, config: RunConfig) -> DataFrame:
+    """Rows of ``native`` without samples, one a minute and stream: the moments at which a device's clock is compared to the grid."""
+    streams = [(d, n if n != "acc" or d == "watch" else f"{d}_acc", s.sample_rate_hz) for d, names in config.devices.items() for n, s in names.items() if s.enabled and not n.startswith("on_demand")]
+    at = timeline.filter(F.pmod("truth_time_ns", F.lit(SYNC_SEC * SECOND).cast("long")) == 0).select("run_id", "person_id", F.col("truth_time_ns").alias("second_ns"))
+    table = timeline.sparkSession.createDataFrame(streams, "device_id string, stream_name string, sample_rate_hz int")
+    return at.crossJoin(F.broadcast(table))  # ten streams
 
-    One aggregate for each person, device and stream (combined before the shuffle), joined back.
+
+def clock_fit(timed: DataFrame) -> DataFrame:
+    """(run_id, person_id, device_id, slope, at_sec, late_sec): the line of each device's clock error over its own time."""
+    x, late = _since(F.col("device_time_ns")), (F.col("device_time_ns") - F.col("second_ns")) / F.lit(1e9)
+    return timed.groupBy("run_id", "person_id", "device_id").agg(F.coalesce(F.regr_slope(late, x), F.lit(0.0)).alias("slope"), F.avg(x).alias("at_sec"), F.avg(late).alias("late_sec"))
+
+
+def _since(t: Column) -> Column:
+    return (t - F.lit(1_700_000_000 * SECOND).cast("long")) / F.lit(1e9)
+
+
+def align(rows: DataFrame, fit: DataFrame | None = None) -> DataFrame:
+    """Estimate grid time from device time, less the device's offset and drift as ``fit`` (else: the rows themselves) has them.
+
+    Jitter is no part of the line and stays; ``alignment_residual_sec`` is the error that is left.
     """
-    keys = ["run_id", "person_id", "device_id", "stream_name"]
-    base = F.lit(1_700_000_000 * SECOND).cast("long")
-    x, late = (F.col("device_time_ns") - base) / F.lit(1e9), (F.col("receive_time_ns") - F.col("device_time_ns")) / F.lit(1e9)
-    fit = rows.groupBy(*keys).agg(F.regr_slope(late, x).alias("slope"), F.regr_intercept(late, x).alias("intercept"))
-    out = rows.join(broadcast_if_small(fit, 200_000), keys)
-    expected = F.coalesce(F.col("slope") * x + F.col("intercept"), late)
-    aligned = F.col("receive_time_ns") - F.round(expected * F.lit(1e9)).cast("long")
-    residual = (aligned - F.col("device_time_ns")) / F.lit(1e9)
-    return out.withColumns({"aligned_time_ns": aligned, "alignment_residual_sec": residual}).drop("slope", "intercept")
+    out = rows.join(broadcast_if_small(clock_fit(rows) if fit is None else fit, 200_000), ["run_id", "person_id", "device_id"], "left")
+    late = F.coalesce(F.col("late_sec") + F.col("slope") * (_since(F.col("device_time_ns")) - F.col("at_sec")), F.lit(0.0))
+    aligned = F.col("device_time_ns") - F.round(late * F.lit(1e9)).cast("long")
+    return out.withColumns({"aligned_time_ns": aligned, "alignment_residual_sec": (aligned - F.col("second_ns")) / F.lit(1e9)}).drop("slope", "at_sec", "late_sec")
+
+
+def aligned(rows: DataFrame, timeline: DataFrame, clocks: DataFrame, config: RunConfig) -> DataFrame:
+    """Rows with device, receive and aligned times; clocks are fitted on marks, so no sample is made for it."""
+    start = config.run.start_ns
+    return align(with_clocks(rows, clocks, start), clock_fit(with_clocks(marks(timeline, config), clocks, start)))
+
+
+def on_grid(rows: DataFrame) -> DataFrame:
+    """Aligned rows, each in the grid second nearest to the aligned time of its first sample; the true second is left behind."""
+    return rows.withColumn("second_ns", floor_div(F.col("aligned_time_ns") + F.lit(SECOND // 2).cast("long"), SECOND) * F.lit(SECOND).cast("long"))
 
 
 def global_field_power(channels: list) -> Column:
@@ -264,7 +290,7 @@ def peaks(rows: DataFrame, stream: str, channel: str, threshold: float) -> DataF
 
 
 def one_second_summaries(rows: DataFrame) -> DataFrame:
-    """timeline_1hz columns from native seconds: one pivoting aggregate, never a mean of raw EEG."""
+    """timeline_1hz columns from native seconds (``on_grid`` where clocks run): one pivoting aggregate, never a mean of raw EEG."""
     ch = lambda c: F.try_element_at("channels", F.lit(c))
     valid = lambda a: F.filter(a, lambda v: v.isNotNull() & ~F.isnan(v))
     one = lambda c: F.try_element_at(valid(ch(c)), F.lit(1)).cast("double")

@@ -134,11 +134,12 @@ def clip_manifest(spark, sf_dir):
 
 @query()
 def native_streams(spark, sf_dir):
-    """All streams of the golden run's clips, with clocks and packets."""
+    """All streams of the golden run's clips, with clocks, packets and aligned times."""
     c = cfg.builtin("golden")
     ev = truth.events(spark, c)
-    rows = devices.native(truth.latent_timeline(spark, c, ev), truth.participants(spark, c), devices.artifacts(spark, c), truth.clips(spark, c, ev), c)
-    return devices.with_clocks(rows, devices.clock_models(spark, c), c.run.start_ns).drop("channels")
+    latent = truth.latent_timeline(spark, c, ev)
+    rows = devices.native(latent, truth.participants(spark, c), devices.artifacts(spark, c), truth.clips(spark, c, ev), c)
+    return devices.aligned(rows, latent, devices.clock_models(spark, c), c).drop("channels")
 
 
 # resampling and windows ---------------------------------------------------------------------------------------------
@@ -626,12 +627,13 @@ def sanity_models(spark, sf_dir):
 
 
 def golden_timeline(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Native streams of the whole golden run, and its 1 Hz timeline."""
+    """Native streams of the whole golden run as aligned to the grid, and its 1 Hz timeline."""
     from pulsegrid.plans.run import observed_timeline
 
     c = cfg.builtin("golden")
     latent = truth.latent_timeline(spark, c, truth.events(spark, c))
     rows = devices.native(latent, truth.participants(spark, c), devices.artifacts(spark, c), None, c)
+    rows = devices.on_grid(devices.aligned(rows, latent, devices.clock_models(spark, c), c))
     return rows, observed_timeline(rows, latent)
 
 

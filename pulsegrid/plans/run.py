@@ -36,9 +36,9 @@ def generate(spark: SparkSession, config: RunConfig, root: str, truth_only: bool
         put(truth.clips(spark, config, get("events")), "clip_manifest")
         latent, people, faults = get("latent_timeline"), get("participants"), get("artifacts")
         clipped = devices.native(latent, people, faults, get("clip_manifest"), config)
-        put(devices.with_clocks(clipped, get("clock_models"), config.run.start_ns), "native")
+        put(devices.aligned(clipped, latent, get("clock_models"), config), "native")
         whole = devices.native(latent, people, faults, None, config)
-        put(observed_timeline(whole, latent), "timeline_1hz")
+        put(observed_timeline(devices.on_grid(devices.aligned(whole, latent, get("clock_models"), config)), latent), "timeline_1hz")
         put(labels.label_timeline(grid_of(latent), get("events"), faults), "labels")
         put(splits.by_person(people.select("person_id"), config.splits.seed, config.splits.fractions), "splits")
         put(oracle_features(get("timeline_1hz"), people), "oracle_features")

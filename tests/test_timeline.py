@@ -156,6 +156,34 @@ def test_native_streams_keep_their_contracts(spark):
     assert len(one) == 30 and (one.eeg_tp9_coverage_ratio == 1).all() and one.wrist_vm.between(0.3, 3).all() and one.ecg_rpeak_count.between(0, 4).all() and one.ecg_rpeak_count.sum() > 20
 
 
+def test_alignment_undoes_offset_and_drift(spark):
+    c = cfg.builtin("mvp")
+    start = c.run.start_ns
+    latent = spark.range(0, 432_000, 30).select(F.lit("r").alias("run_id"), F.lit("P001").alias("person_id"), (F.lit(start).cast("long") + F.col("id") * SECOND).alias("truth_time_ns"))
+    clocks = spark.createDataFrame([("r", "P001", d, o, p, j, 7) for d, o, p, j in (("headband", -300.0, 30.0, 4.0), ("strap", 2600.0, -20.0, 6.0), ("watch", 500.0, 40.0, 12.0))], "run_id string, person_id string, device_id string, initial_offset_ms double, drift_ppm double, jitter_ms_std double, seed long")
+    rows = devices.marks(latent.withColumn("truth_time_ns", F.col("truth_time_ns") - F.lit(start % (60 * SECOND)).cast("long")), c)
+    timed = devices.with_clocks(rows, clocks, start)
+    assert timed.filter(F.abs(F.col("device_time_ns") - F.col("second_ns")) > 15 * SECOND).count() > 0
+    for fit in (None, devices.clock_fit(timed)):
+        out = devices.align(timed, fit)
+        assert out.filter(F.abs(F.col("aligned_time_ns") - F.col("second_ns")) > SECOND // 10).isEmpty() and out.filter("alignment_residual_sec <> 0").count() > 0
+    moved = devices.on_grid(devices.align(timed).withColumn("true_ns", F.col("second_ns")))
+    assert moved.count() == rows.count() and moved.filter("second_ns <> true_ns").isEmpty()
+    raw = devices.on_grid(timed.withColumns({"aligned_time_ns": F.col("device_time_ns"), "true_ns": F.col("second_ns")}))  # clocks as they are
+    assert raw.filter("second_ns <> true_ns").count() > raw.count() / 2
+
+
+def test_timeline_is_in_aligned_seconds(spark):
+    c = cfg.builtin("golden")
+    latent = truth.latent_timeline(spark, c, truth.events(spark, c)).filter("seconds_from_start BETWEEN 60 AND 179")
+    clocks = devices.clock_models(spark, c).withColumns({"initial_offset_ms": F.lit(5400.0), "drift_ppm": F.lit(40.0)})
+    rows = devices.native(latent, truth.participants(spark, c), devices.artifacts(spark, c).limit(0), None, c).filter("device_id = 'watch'")
+    plain = devices.one_second_summaries(rows).select("canonical_time_ns", "eda_us", "skin_temp_c", "wrist_vm")
+    timed = devices.aligned(rows, latent, clocks, c)
+    assert timed.filter("device_time_ns - second_ns < 5000000000").isEmpty()
+    assert devices.one_second_summaries(devices.on_grid(timed)).select(plain.columns).exceptAll(plain).isEmpty()
+
+
 # windows, intervals, features
 
 
