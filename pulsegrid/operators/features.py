@@ -175,19 +175,18 @@ def window_features(timeline: DataFrame, window: int, minimum_coverage: float =
     return require_no_truth(wide.select(*KEYS, T, F.lit(window).cast("short").alias("feature_window_sec"), ok.alias("feature_valid"), *gated))
 
 
-def eeg_features(timeline: DataFrame, window: int, rate: int = 256) -> DataFrame:
+def eeg_features(timeline: DataFrame, window: int, rate: int = 256, stride: int | None = None) -> DataFrame:
     """Spectral and time-domain EEG features of each whole window, by Arrow kernels on the window's samples.
 
-    Windows end at multiples of their length, and are labelled with the second on which they end: no sample after it
-    is used.
+    Windows end every ``stride`` seconds (at multiples of their length by default), and are labelled with the second on
+    which they end: no sample after it is used.
     """
-    end = F.col(T) - F.pmod(F.col(T), F.lit(window * SECOND).cast("long")) + F.lit((window - 1) * SECOND).cast("long")
-    grouped = timeline.groupBy(*KEYS, end.alias(T)).agg(*[F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(T, F.col(f"eeg_{c}").alias("x")))), lambda s: s["x"])).alias(c) for c in CHANNELS])
+    grouped = windowed(timeline, {c: F.col(f"eeg_{c}") for c in CHANNELS}, window, stride).withColumns({c: F.flatten(c) for c in CHANNELS})
     summary, entropy, pair = spectral.summary_udf(rate), spectral.entropy_udf(), spectral.pair_udf(rate, 8, 13)
     out = grouped
     for c in CHANNELS:
         clean = F.filter(c, lambda v: v.isNotNull())
-        out = out.withColumn(c, clean).withColumn(f"_s_{c}", summary(clean)).withColumn(f"_e_{c}", entropy(F.slice(clean, 1, 512)))
+        out = out.withColumn(c, clean).withColumn(f"_s_{c}", summary(clean)).withColumn(f"_e_{c}", entropy(clean))
     columns = [*KEYS, T]
     for c in CHANNELS:
         columns += [F.col(f"_s_{c}.{n}").alias(f"eeg_{c}_{n}") for n in spectral.SUMMARY_TYPE.names] + [F.col(f"_e_{c}.{n}").alias(f"eeg_{c}_{n}") for n in ("sample_entropy", "permutation_entropy")]
@@ -241,30 +240,48 @@ def tumbling(t: str, window: int) -> Column:
     return F.col(t) - F.pmod(F.col(t), F.lit(window * SECOND).cast("long")) + F.lit((window - 1) * SECOND).cast("long")
 
 
-def in_order(t: str, x: Column) -> Column:
-    """The values of a group in order of time; a group is one window of one person."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), x.alias("x")))), lambda s: s["x"])
+def windowed(df: DataFrame, values: dict[str, Column], window: int, stride: int | None = None) -> DataFrame:
+    """Arrays of ``values`` (nulls left out) in order of time, over windows that end every ``stride`` seconds.
+
+    Windows that don't overlap are groups; others trail each row in blocks of time, so a row is read 1.1 times on average.
+    """
+    there = {n: F.when(c.isNotNull(), F.struct(F.col(T).alias("t"), c.alias("x"))) for n, c in values.items()}
+    rows = df.select(*KEYS, T, *[c.alias(n) for n, c in there.items()])
+    if stride is None or stride == window:
+        out = rows.groupBy(*KEYS, tumbling(T, window).alias(T)).agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in values])
+    else:
+        past = trailing(rows, KEYS, T, window * SECOND, {f"_{n}": lambda w, n=n: F.collect_list(n).over(w) for n in values})
+        out = past.filter(F.pmod(F.col(T) + F.lit(SECOND).cast("long"), F.lit(stride * SECOND).cast("long")) == 0).select(*KEYS, T, *[F.col(f"_{n}").alias(n) for n in values])
+    return out.withColumns({n: F.transform(n, lambda s: s["x"]) for n in values})
 
 
-def hrv_kernels(timeline: DataFrame, window: int = 300) -> DataFrame:
+def hrv_kernels(timeline: DataFrame, window: int = 300, stride: int | None = None) -> DataFrame:
     """Frequency-domain powers and sample entropy of RR intervals, in windows of at least five minutes."""
     if window < SHORTEST["hrv_frequency"]:
         raise ValueError("frequency-domain features need at least 300 s")
-    rows = timeline.filter(F.col("rr_ms").isNotNull())
-    grouped = rows.groupBy(*KEYS, tumbling(T, window).alias(T)).agg(in_order(T, F.col("rr_ms")).alias("rr"), in_order(T, F.col(T) / F.lit(float(SECOND))).alias("at"))
+    grouped = windowed(timeline.filter(F.col("rr_ms").isNotNull()), {"rr": F.col("rr_ms"), "at": F.col(T) / F.lit(float(SECOND))}, window, stride)
     k = spectral.hrv_udf()("at", "rr")
     out = grouped.select(*KEYS, T, k.alias("k")).select(*KEYS, T, *[F.col(f"k.{n}").alias(n) for n in ("hrv_vlf_power", "hrv_lf_power", "hrv_hf_power", "rr_sample_entropy")])
     return out.withColumns({"hrv_lf_hf_ratio": F.try_divide("hrv_lf_power", "hrv_hf_power"), "hrv_total_power": F.col("hrv_vlf_power") + F.col("hrv_lf_power") + F.col("hrv_hf_power")})
 
 
-def motion_spectra(native: DataFrame, window: int = 5) -> DataFrame:
+def rr_entropy(timeline: DataFrame, window: int = 180, stride: int | None = None) -> DataFrame:
+    """Sample entropy of RR intervals, in windows of at least three minutes with 80 % of their values."""
+    if window < SHORTEST["hrv_nonlinear"]:
+        raise ValueError("nonlinear features need at least 180 s")
+    grouped = windowed(timeline.filter(F.col("rr_ms").isNotNull()), {"rr": F.col("rr_ms")}, window, stride)
+    value = spectral.entropy_udf()(F.when(F.size("rr") >= 0.8 * window, F.col("rr")))
+    return grouped.select(*KEYS, T, value["sample_entropy"].alias("rr_sample_entropy"))
+
+
+def motion_spectra(native: DataFrame, window: int = 5, stride: int | None = None) -> DataFrame:
     """Dominant frequency, spectral entropy and periodicity of each accelerometer, at its native rate."""
     out = None
     for loc, stream, rate in (("wrist", "acc", 25), ("head", "headband_acc", 52), ("chest", "strap_acc", 100)):
         ch = lambda c: F.element_at("channels", F.lit(c))
         vm = F.zip_with(F.zip_with(ch("x"), ch("y"), lambda a, b: a * a + b * b), ch("z"), lambda s, c: F.sqrt(s + c * c).cast("double"))
         rows = native.filter(F.col("stream_name") == stream).select(*KEYS, F.col("second_ns").alias(T), F.filter(vm, lambda v: v.isNotNull()).alias("vm"))
-        x = rows.groupBy(*KEYS, tumbling(T, window).alias(T)).agg(F.flatten(in_order(T, F.col("vm"))).alias("x"))
+        x = windowed(rows, {"x": F.col("vm")}, window, stride).withColumn("x", F.flatten("x"))
         s = x.withColumn("s", spectral.summary_udf(float(rate))("x")).withColumn("p", spectral.periodicity_udf(float(rate))("x"))
         one = s.select(*KEYS, T, F.col("s.dominant_frequency_hz").alias(f"{loc}_dominant_frequency_hz"), F.col("s.spectral_entropy").alias(f"{loc}_spectral_entropy"), F.col("p.autocorr_peak").alias(f"{loc}_autocorr_peak"),
                        (F.greatest(F.col("p.autocorr_peak"), F.lit(0.0)) * (1 - F.col("s.spectral_entropy"))).alias(f"{loc}_periodicity_score"))

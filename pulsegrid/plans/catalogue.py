@@ -656,12 +656,12 @@ def window_features(spark, sf_dir):
 
 @query()
 def eeg_window_features(spark, sf_dir):
-    return features.eeg_features(golden_timeline(spark)[1], 5)
+    return features.eeg_features(golden_timeline(spark)[1], 5, stride=1)
 
 
 @query()
 def motion_spectra(spark, sf_dir):
-    return features.motion_spectra(golden_timeline(spark)[0], 5)
+    return features.motion_spectra(golden_timeline(spark)[0], 5, 1)
 
 
 @query()

@@ -71,10 +71,14 @@ def write_features(spark: SparkSession, config: RunConfig, home: str) -> list[st
     for w in config.features.windows_sec:
         tables.write_table(features.window_features(slim, w, config.features.minimum_coverage), home, f"features_{w}s")
         names.append(f"features_{w}s")
-    tables.write_table(features.eeg_features(timeline, 5), home, "features_eeg_5s")
+    tables.write_table(features.eeg_features(timeline, 5, stride=1), home, "features_eeg_5s")
     if config.run.duration_sec >= 300:
-        tables.write_table(features.hrv_kernels(slim, 300), home, "features_hrv_300s")
+        tables.write_table(features.hrv_kernels(slim, 300, 1), home, "features_hrv_300s")
         names.append("features_hrv_300s")
+    for w in config.features.windows_sec:
+        if features.SHORTEST["hrv_nonlinear"] <= w <= config.run.duration_sec:
+            tables.write_table(features.rr_entropy(slim, w, 1), home, f"features_rr_entropy_{w}s")
+            names.append(f"features_rr_entropy_{w}s")
     eligible = F.col("is_awake") & ~F.col("context_state").isin(*config.features.baseline_excluded_contexts) & (F.coalesce("quality_min", F.lit(1.0)) >= 0.5)
     z = slim.select(*KEYS, T, "hr_bpm", "eda_us", "wrist_enmo", eligible.alias("ok"))
     out = None

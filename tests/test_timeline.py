@@ -319,6 +319,29 @@ def test_hrv_kernels_and_onset_order(spark):
     assert features.event_onset_orders(d, ev, ["a", "b"]).first()["modality_onset_order_code"] == "b>a"
 
 
+def test_kernels_at_every_second(spark):
+    t = grid(spark, 420, {"rr_ms": lambda i: 850 + 40 * np.sin(2 * np.pi * 0.1 * i) + i % 7})
+    each, apart = (features.hrv_kernels(t, 300, stride).toPandas().set_index("canonical_time_ns").sort_index() for stride in (1, None))
+    assert len(each) == 420 and each.hrv_lf_power[410 * SECOND] > 0
+    assert each.loc[299 * SECOND].drop(["run_id", "person_id"]).astype(float).to_numpy() == pytest.approx(apart.loc[299 * SECOND].drop(["run_id", "person_id"]).astype(float).to_numpy())
+    short = features.rr_entropy(t, 180, 1).toPandas().set_index("canonical_time_ns").rr_sample_entropy
+    assert len(short) == 420 and np.isnan(short[100 * SECOND])
+    assert short[250 * SECOND] == pytest.approx(spectral.sample_entropy(np.array([850 + 40 * np.sin(2 * np.pi * 0.1 * i) + i % 7 for i in range(71, 251)])))
+    with pytest.raises(ValueError):
+        features.rr_entropy(t, 60)
+
+
+def test_eeg_entropy_sees_the_whole_window(spark):
+    x = np.concatenate((np.sin(np.arange(768) / 20), np.random.default_rng(2).normal(size=5 * 256)))  # what is at the end counts
+    rows = [("r", "p", i * SECOND, *[x[256 * i : 256 * (i + 1)].tolist()] * 4) for i in range(8)]
+    t = spark.createDataFrame(rows, "run_id string, person_id string, canonical_time_ns long, " + ", ".join(f"eeg_{c} array<double>" for c in features.CHANNELS))
+    got = features.eeg_features(t, 5, stride=1).select("canonical_time_ns", "eeg_tp9_sample_entropy", "eeg_tp9_permutation_entropy", "eeg_tp9_coverage_ratio").toPandas().set_index("canonical_time_ns").sort_index()
+    assert len(got) == 8 and got.eeg_tp9_coverage_ratio[1 * SECOND] == pytest.approx(0.4)
+    for end in (4, 5, 7):
+        part = x[256 * (end - 4) : 256 * (end + 1)]
+        assert got.eeg_tp9_sample_entropy[end * SECOND] == pytest.approx(spectral.sample_entropy(part)) and got.eeg_tp9_permutation_entropy[end * SECOND] == pytest.approx(spectral.permutation_entropy(part))
+
+
 # splits, streaming, round trips
 
 
