@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.windows import back, before_range, in_ranges
+
 
 def largest_remainder(n: int, fractions: dict[str, float]) -> dict[str, int]:
     """Whole counts that sum to ``n``; each part has at least one where there are enough."""
@@ -53,28 +55,16 @@ def artifact_stress(labels: DataFrame, keys: list[str], share: float = 0.25) ->
     return per.crossJoin(F.broadcast(limit)).select(*keys, "artifact_share", (F.col("artifact_share") >= F.col("_limit")).alias("stress"))
 
 
-#: Ranges of scores in which running totals are taken apart.
-RANGES = 32
-
-
 def auc(df: DataFrame, score: str, label: str, groups: list[str] | None = None) -> DataFrame:
     """Rank-sum AUC with ties at half; null scores and one-sided groups give null.
 
-    Scores are counted before they are ordered, and running totals go over distinct scores: by group, or by ranges.
+    Scores are counted before they are ordered, and running totals go over distinct scores by ranges, in each group.
     """
     groups = groups or []
     counted = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*groups, score).agg(F.sum(F.when(F.col(label), 1).otherwise(0)).alias("_pos"), F.sum(F.when(F.col(label), 0).otherwise(1)).alias("_neg"))
-    w = Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, -1) if groups else None
-    if w is None:
-        # ranges between approximate quantiles: a score's range depends on its value alone
-        bounds = sorted(set(counted.approxQuantile(score, [i / RANGES for i in range(1, RANGES)], 0.001)))
-        place = sum(((F.col(score) >= b).cast("int") for b in bounds), F.lit(0))
-        part = counted.withColumn("_part", place)
-        below = Window.partitionBy("_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-        totals = part.groupBy("_part").agg(F.sum("_neg").alias("n"))
-        base = totals.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-        counted = part.withColumn("_local", F.coalesce(F.sum("_neg").over(below), F.lit(0))).join(F.broadcast(base), "_part").withColumn("below", F.col("_local") + F.col("_base"))
-    else:
-        counted = counted.withColumn("below", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    part = in_ranges(counted, groups, score)
+    below = Window.partitionBy(*groups, "_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    local = part.withColumn("_local", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
+    counted = back(local, before_range(part, groups, F.col("_neg")), [*groups, "_part"]).withColumn("below", F.col("_local") + F.col("_base"))
     won = F.sum(F.col("_pos") * (F.col("below") + F.col("_neg") / 2))
     return counted.groupBy(*groups).agg(F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"), F.try_divide(won, F.sum("_pos").cast("double") * F.sum("_neg")).alias("auc"))

@@ -79,6 +79,61 @@ def upcoming(df: DataFrame, keys: list[str], t: str, columns: list[str], block:
     return _carry(df, keys, t, columns, block, False)
 
 
+def lagged(df: DataFrame, keys: list[str], t: str, value: str, name: str, block: int) -> DataFrame:
+    """Add ``name``: ``value`` of the row before, within the keys, in order of time.
+
+    Rows are ordered within blocks of time; a block's first row takes the last one of the nearest block before it.
+    """
+    marked = df.withColumn("_block", floor_div(F.col(t), block))
+    last = marked.groupBy(*keys, "_block").agg(F.max(F.struct(F.col(t).alias("t"), F.col(value).alias("v"))).alias("_last"))
+    before = last.select(*keys, "_block", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")).alias("_before"))  # a row for each block
+    local = Window.partitionBy(*keys, "_block").orderBy(t, value)
+    near = marked.select("*", F.row_number().over(local).alias("_k"), F.lag(value).over(local).alias("_near"))
+    joined = near.join(before, [*keys, "_block"])
+    return joined.select(*df.columns, F.when(F.col("_k") == 1, F.col("_before")["v"]).otherwise(F.col("_near")).alias(name))
+
+
+def back(df: DataFrame, totals: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join totals back on keys that may be null."""
+    right = totals.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(right, same, how).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+#: Ranges of values in which the order of a group is taken apart.
+RANGES = 32
+
+
+def in_ranges(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``_part``: the range of ``value`` between approximate quantiles of its group; it depends on the value alone."""
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("_bounds"))
+    return back(df, bounds, keys).withColumn("_part", F.size(F.filter("_bounds", lambda b: b <= F.col(value)))).drop("_bounds")
+
+
+def before_range(parts: DataFrame, keys: list[str], count: Column) -> DataFrame:
+    """(keys, _part, _base): the total of ``count`` in the ranges before, by a row for each range."""
+    over = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.groupBy(*keys, "_part").agg(F.sum(count).alias("_n")).select(*keys, "_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))
+
+
+def group_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): exact median of the values that are there; a group is ordered in ranges, never held at once."""
+    part = in_ranges(df.filter(F.col(value).isNotNull()), keys, value)
+    rank = back(part.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(value))), before_range(part, keys, F.lit(1)), [*keys, "_part"])
+    sizes = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    at = back(rank, sizes, keys).withColumn("_r", F.col("_r") + F.col("_base"))
+    return at.filter((2 * F.col("_r") >= F.col("_n")) & (2 * F.col("_r") <= F.col("_n") + 2)).groupBy(*keys).agg(F.avg(value).alias(name))
+
+
+def group_mad(df: DataFrame, keys: list[str], value: str, center: str, name: str) -> DataFrame:
+    """(keys, center, name): exact median and median absolute deviation from it."""
+    middle = group_median(df, keys, value, center)
+    gaps = back(df.select(*keys, value), middle, keys).select(*keys, F.abs(F.col(value) - F.col(center)).alias("_gap"))
+    return back(middle, group_median(gaps, keys, "_gap", name), keys)
+
+
 def sessions(df: DataFrame, keys: list[str], t: str, gap: int) -> DataFrame:
     """Gaps and islands: add ``session_start`` of the run in which rows follow each other within ``gap``."""
     w = Window.partitionBy(*keys).orderBy(t)

@@ -313,9 +313,9 @@ _RR = f"""rr AS (SELECT person_id, t, (t - lag(t) OVER (PARTITION BY person_id O
 
 
 def intervals_of(s: DataFrame) -> DataFrame:
-    w = Window.partitionBy("person_id").orderBy("t")
-    rr = s.select("person_id", "t", ((F.col("t") - F.lag("t").over(w)) / F.lit(3600e9)).alias("rr"))
-    return rr.withColumn("d", F.col("rr") - F.lag("rr").over(w))
+    before = windows.lagged(s.select("person_id", "t"), ["person_id"], "t", "t", "_t", BLOCK)
+    rr = before.select("person_id", "t", ((F.col("t") - F.col("_t")) / F.lit(3600e9)).alias("rr"))
+    return windows.lagged(rr, ["person_id"], "t", "rr", "_rr", BLOCK).select("person_id", "t", "rr", (F.col("rr") - F.col("_rr")).alias("d"))
 
 
 @query(f"""WITH {EV}, {_RR} SELECT person_id, round(avg(rr), 6) AS rr_mean, round(stddev_samp(rr), 5) AS sdnn, round(stddev_samp(d), 5) AS sdsd, round(sqrt(avg(d * d)), 5) AS rmssd, round(avg(CASE WHEN abs(d) > 5 THEN 1.0 ELSE 0.0 END) FILTER (d IS NOT NULL), 6) AS pnn5,
@@ -323,8 +323,9 @@ def intervals_of(s: DataFrame) -> DataFrame:
 def rmssd_sdnn_pnn(spark, sf_dir):
     d = intervals_of(series(spark, sf_dir))
     out = d.groupBy("person_id").agg(F.count("d").alias("n"), r(F.avg("rr")).alias("rr_mean"), r(F.stddev_samp("rr"), 5).alias("sdnn"), r(F.stddev_samp("d"), 5).alias("sdsd"), r(F.sqrt(F.avg(F.col("d") * F.col("d"))), 5).alias("rmssd"),
-        r(F.avg((F.abs("d") > 5).cast("double"))).alias("pnn5"), r(F.stddev_samp("rr") / F.avg("rr")).alias("cvnn"), r(F.percentile("rr", F.lit(0.5))).alias("rr_median"), r(windows.mad(F.collect_list("rr"))).alias("rr_mad"))
-    return out.filter("n >= 3").drop("n")
+        r(F.avg((F.abs("d") > 5).cast("double"))).alias("pnn5"), r(F.stddev_samp("rr") / F.avg("rr")).alias("cvnn"))
+    middle = windows.group_mad(d, ["person_id"], "rr", "_m", "_mad").select("person_id", r(F.col("_m")).alias("rr_median"), r(F.col("_mad")).alias("rr_mad"))
+    return out.filter("n >= 3").drop("n").join(middle, "person_id")
 
 
 @query(f"""WITH {EV}, {_RR}, a AS (SELECT person_id, var_samp(d) AS vd, var_samp(rr) AS vr FROM dd GROUP BY 1 HAVING count(d) >= 3)

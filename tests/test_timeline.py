@@ -372,6 +372,29 @@ def test_auc_by_ranges_equals_one_range(spark, monkeypatch):
     assert one == pytest.approx(((a[:, None] > b).sum() + (a[:, None] == b).sum() / 2) / len(a) / len(b))
 
 
+def test_no_group_is_ordered_in_one_partition(spark):
+    from pulsegrid.plans import catalogue
+
+    rng = np.random.default_rng(3)
+    rows = [("hot" if p % 5 else None if p % 2 else "p", int(t), float(v)) for p, t, v in zip(rng.integers(0, 20, 900), rng.integers(0, 2000, 900), rng.integers(0, 90, 900), strict=True)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    p = df.toPandas()
+    got = {r.k: (r.m, r.d) for r in windows.group_mad(df, ["k"], "v", "m", "d").collect()}
+    for key, g in p.groupby("k", dropna=False):
+        key = None if key != key else key
+        assert got[key] == pytest.approx((g.v.median(), (g.v - g.v.median()).abs().median()))
+    hot = df.filter("k = 'hot'").select("k", "t").distinct()
+    for block in (7, 300, 5000):
+        seen = windows.lagged(hot, ["k"], "t", "t", "before", block).toPandas().sort_values("t")
+        assert seen.before.isna().sum() == 1 and (seen.before.to_numpy()[1:] == seen.t.to_numpy()[:-1]).all()
+    plan = catalogue.rmssd_sdnn_pnn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    for a in splits.auc(df.withColumn("y", F.col("t") % 3 == 0), "v", "y", ["k"]).collect():
+        g = p[p.k.isna() if a.k is None else p.k == a.k]
+        pos, neg = g[g.t % 3 == 0].v.values, g[g.t % 3 != 0].v.values
+        assert a.auc == pytest.approx(((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / len(pos) / len(neg))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from pulsegrid.streaming import incremental
 
