@@ -24,7 +24,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return warc.derive_records(warc.responses_of_pages(pages))
+    return warc.derive_records(warc.responses_of_pages(pages), short=True)  # as the SQL has it
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Derived WARC records: linked metadata and plain-text conversions of responses.
 
 Each response gives a ``metadata`` and a ``conversion`` record.  Both refer to it by WARC-Refers-To, repeat its
-target, date and payload digest, and have block digests of their own.  All of it is expressed in DataFrame
-functions; only reading and writing of compressed WARC files uses Python.
+target, date and payload digest, and have block digests of their own.  Character references and links are read in
+Python, as are compressed WARC files; the rest is expressed in DataFrame functions.
 
 Defined cases: null bodies count as empty; null URLs as empty targets; repeated responses give records each; records
 other than responses are passed over; an empty table gives an empty result; other columns are ignored.
@@ -11,11 +11,13 @@ other than responses are passed over; an empty table gives an empty result; othe
 from __future__ import annotations
 
 import gzip
+import html as html5
 import os
 import re
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +27,12 @@ from pulsegrid.llm.common import prepare
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RESPONSE_SCHEMA = "record_id string, target_uri string, date string, http_header string, body string"
-#: Elements whose contents are no text, elements that end a line, and the named characters that are spelt out.
+#: Elements whose contents are no text, elements that end a line, and the named characters that the query's SQL spells out.
 HIDDEN = r"(?is)<!--.*?-->" + "".join(rf"|<{e}\b.*?</{e}\s*>" for e in ("script", "style", "noscript", "template"))
 LINES = r"(?i)</?(p|div|br|hr|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|title|blockquote|pre)\b[^>]*>"
 NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: A link's target in double, single or no quotes; quoted values of other attributes are stepped over.
+LINK = r"""(?i)<a(?=\s)(?:[^>"']|"[^"]*"|'[^']*')*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def sha1_digest(text: Column) -> Column:
@@ -50,29 +54,57 @@ def responses_of_pages(pages: DataFrame, id_column: str = "page_id", url_column:
     )
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: hidden elements out, line breaks at blocks, tags out, common entities spelt out, lines trimmed."""
+def unescape_udf():
+    """Column function: all named and numeric character references of HTML5, and no-break spaces as spaces."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: html5.unescape(v).replace("\xa0", " "), na_action="ignore")
+
+    return run
+
+
+def links_udf():
+    """Column function: decoded targets of a page's links, white space inside them as in URLs left out at the ends."""
+
+    @F.pandas_udf("array<string>")
+    def run(x: pd.Series) -> pd.Series:
+        link = re.compile(LINK)
+        return x.map(lambda v: [re.sub(r"[\r\n\t]+", "", html5.unescape(next((g for g in m.groups() if g is not None), ""))).strip() for m in link.finditer(v)])
+
+    return run
+
+
+def plain_text(html: Column, short: bool = False) -> Column:
+    """Text of a page: hidden elements out, line breaks at blocks, tags out, references decoded, lines trimmed."""
     text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(text, LINES, "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    for name, char in NAMED:
-        text = F.replace(text, F.lit(name), F.lit(char))
+    if short:
+        for name, char in NAMED:
+            text = F.replace(text, F.lit(name), F.lit(char))
+    else:
+        text = unescape_udf()(text)
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
     return F.trim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def derive_records(responses: DataFrame) -> DataFrame:
+def derive_records(responses: DataFrame, short: bool = False) -> DataFrame:
     """A metadata and a conversion record for each response.
 
     record_id, record_type, refers_to, target_uri, date, content_type, content_length, block_digest, payload_digest
-    (of the response's body), source_header (its HTTP header), n_links, block.
+    (of the response's body), source_header (its HTTP header), n_links, block.  With ``short``, what the query's SQL
+    can say: references of ``NAMED`` in the text alone, and links in double quotes.
     """
+    prepare(responses.sparkSession)
     body = F.coalesce("body", F.lit(""))
     title = F.trim(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title", 1))
     links = F.regexp_extract_all(body, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    if not short:
+        title, links = F.trim(F.regexp_replace(unescape_udf()(title), r"\s+", " ")), links_udf()(body)
     base = responses.select(
         "record_id", F.coalesce("target_uri", F.lit("")).alias("target_uri"), "date", F.coalesce("http_header", F.lit("")).alias("source_header"),
-        sha1_digest(body).alias("payload_digest"), title.alias("title"), links.alias("links"), plain_text(body).alias("text"),
+        sha1_digest(body).alias("payload_digest"), title.alias("title"), links.alias("links"), plain_text(body, short).alias("text"),
     )
     meta = F.concat(
         F.lit("title: "), F.col("title"), F.lit("\r\nsource-status: "), F.regexp_extract("source_header", r"^HTTP/[0-9.]+ ([0-9]+)", 1), F.lit("\r\n"),

@@ -276,6 +276,18 @@ def test_warc(spark, tmp_path):
     assert warc.derive_records(warc.responses_of_pages(pages.limit(0))).count() == 0
 
 
+def test_warc_decodes_all_references_and_links(spark):
+    import html
+
+    body = ("<html><title>A &amp;\n B &eacute; &#x2014; &copy</title><p>&copy; 2024 &middot; &#8364; &NotEqualTilde; &amp;lt; &nbsp;x</p>"
+            "<a href=\"/a?x=1&amp;y=2\">1</a><a class='q>' href='/b'>2</a><a id=z href=/c>3</a><a data-href=\"/no\">4</a><A\nHREF = \"/d&#10;e\">5</A><abbr href='/no'>")
+    rows = {r.record_type: r for r in warc.derive_records(warc.responses_of_pages(spark.createDataFrame([(1, "u", body)], "page_id long, url string, html string"))).collect()}
+    text = html.unescape("&copy; 2024 &middot; &#8364; &NotEqualTilde; &amp;lt; ") + "x"
+    assert rows["conversion"].block.split("\n")[2] == text
+    assert rows["metadata"].n_links == 4 and [x[9:] for x in rows["metadata"].block.split("\r\n") if x.startswith("outlink: ")] == ["/a?x=1&y=2", "/b", "/c", "/de"]
+    assert rows["metadata"].block.startswith("title: A & B é — ©\r\n")
+
+
 def test_dedup_stage_keeps_one_of_repeated_rows(spark):
     rows = [(1, "a"), (1, "a"), (2, "b"), (3, "B"), (3, "B"), (4, "c"), (4, "d"), (5, "d"), (None, "e"), (None, "e")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
