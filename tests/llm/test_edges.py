@@ -276,6 +276,34 @@ def test_warc(spark, tmp_path):
     assert warc.derive_records(warc.responses_of_pages(pages.limit(0))).count() == 0
 
 
+def test_warc_keeps_headers_digests_and_bytes(spark, tmp_path, monkeypatch):
+    import base64
+    import gzip
+    import hashlib
+    import json
+
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    page = "<p>caf\u00e9</p>"
+    latin, zipped = page.encode("latin-1"), gzip.compress(page.encode())
+    chunked = b"5\r\n" + zipped[:5] + b"\r\n%x\r\n" % (len(zipped) - 5) + zipped[5:] + b"\r\n0\r\n\r\n"
+    http = [b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n" + latin, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked,
+            b"HTTP/1.1 200 OK\r\n\r\n" + page.encode()]
+    own = [b"", b"", b"WARC-Payload-Digest: sha1:GIVEN\r\nWARC-Block-Digest: sha1:BLOCK\r\n"]
+    members = [b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r%d>\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, o, len(h), h) for i, (h, o) in enumerate(zip(http, own, strict=True))]
+    (tmp_path / "in.warc.gz").write_bytes(b"".join(map(gzip.compress, members)))
+    monkeypatch.setattr(warc, "BATCH_BYTES", 1)
+    read = warc.read_responses(spark, str(tmp_path / "in.warc.gz"))
+    rows = {r.record_id: r for r in read.collect()}
+    assert [rows[f"<r{i}>"].body for i in range(3)] == [page] * 3
+    assert [rows[f"<r{i}>"].source_payload_digest for i in range(3)] == [sha1(latin), sha1(zipped), "sha1:GIVEN"] and rows["<r0>"].source_block_digest == sha1(http[0])
+    derived = warc.derive_records(read)
+    assert {(r.refers_to, r.payload_digest) for r in derived.collect()} == {("<r0>", sha1(latin)), ("<r1>", sha1(zipped)), ("<r2>", "sha1:GIVEN")}
+    files = warc.write_warc(derived, f"file://{tmp_path}/out").collect()
+    text = "".join(gzip.decompress((tmp_path / "out" / f.file.rsplit("/", 1)[1]).read_bytes()).decode() for f in files)
+    assert sum(f.n_records for f in files) == 6 and text.count("WARC-Source-Block-Digest: sha1:BLOCK\r\n") == 2
+    assert [json.loads(x.split(": ", 1)[1]) for x in text.split("\r\n") if x.startswith("WARC-Source-HTTP-Header: ")].count("HTTP/1.1 200 OK\r\n\r\n") == 2
+
+
 def test_warc_decodes_all_references_and_links(spark):
     import html
 
