@@ -88,7 +88,23 @@ def write_features(spark: SparkSession, config: RunConfig, home: str) -> list[st
         out = one if out is None else out.join(one, [*KEYS, T])
     out = out.join(features.deviation(out, ["hr_bpm", "eda_us", "wrist_enmo"]).select(*KEYS, T, "multisensor_deviation_score"), [*KEYS, T])
     tables.write_table(out, home, "features_baseline")
-    return [*names, "features_eeg_5s", "features_baseline"]
+    more = clip_features(tables.read_table(spark, home, "native")) | {"features_temperature": features.latest_temperature(timeline)}
+    far = features.deviation(tables.read_table(spark, home, "features_baseline"), ["hr_bpm", "eda_us", "wrist_enmo"])
+    more["event_onset_orders"] = features.event_onset_orders(far, tables.read_table(spark, home, "events"), ["hr_bpm", "eda_us", "wrist_enmo"])
+    for name, df in more.items():
+        tables.write_table(df, home, name)
+    return [*names, "features_eeg_5s", "features_baseline", *more]
+
+
+def clip_features(native: DataFrame) -> dict[str, DataFrame]:
+    """Features that need native rates, over the seconds that clips hold; a second of several clips is taken from one."""
+    rows = devices.on_grid(native)
+    one = rows.groupBy(*KEYS, "second_ns").agg(F.min("clip_id").alias("clip_id"))
+    rows = rows.join(one, [*KEYS, "second_ns", "clip_id"])
+    return {
+        "features_motion_5s": features.motion_spectra(rows, 5, 1), "features_repetition_5s": features.repetition(features.motion_spectra(rows, 5)),
+        "features_pulse_transit_60s": features.pulse_transit(devices.peaks(rows, "ecg", "ecg", 0.7), devices.peaks(rows, "ppg", "green", 0.8)),
+    }
 
 
 def findings(spark: SparkSession, config: RunConfig, home: str, scope: str = "all") -> DataFrame:

@@ -23,6 +23,7 @@ TABLES = {
     "splits": ("model_ready", [], ["person_id"]),
     "clip_manifest": ("clips", [], ["clip_id"]),
     "oracle_features": ("oracle_features", ["person_id"], ["canonical_time_ns"]),
+    "event_onset_orders": ("oracle_features", ["person_id"], ["event_id"]),
 }
 #: Names that may not reach model inputs.
 FORBIDDEN = ("truth_", "event_intensity_truth")

@@ -307,6 +307,13 @@ def test_kernels_on_native_streams(spark):
     assert eeg.eeg_channel_correlation_mean.between(-1, 1).all() and (one.toPandas().eeg_gfp > 0).all()
 
 
+def test_a_run_calls_every_feature_operator():
+    import inspect
+
+    called = inspect.getsource(run.write_features) + inspect.getsource(run.clip_features)
+    assert all(f"features.{n}(" in called for n in ("hrv_kernels", "rr_entropy", "motion_spectra", "repetition", "pulse_transit", "latest_temperature", "deviation", "event_onset_orders"))
+
+
 def test_hrv_kernels_and_onset_order(spark):
     t = grid(spark, 600, {"rr_ms": lambda i: 850 + 40 * np.sin(2 * np.pi * 0.1 * i)})
     k = features.hrv_kernels(t, 300).toPandas()
