@@ -7,6 +7,7 @@ without a bound in time carry one summary row a block.  Frames never look ahead,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,6 +103,17 @@ def back(df: DataFrame, totals: DataFrame, keys: list[str], how: str = "inner")
     return df.join(right, same, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` read back from the shared folder, where there is one: what is read several times is planned and made once."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return df
+    path = f"{root.rstrip('/')}/windows/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Ranges of values in which the order of a group is taken apart.
 RANGES = 32
 
@@ -120,7 +132,7 @@ def before_range(parts: DataFrame, keys: list[str], count: Column) -> DataFrame:
 
 def group_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """(keys, name): exact median of the values that are there; a group is ordered in ranges, never held at once."""
-    part = in_ranges(df.filter(F.col(value).isNotNull()), keys, value)
+    part = written(in_ranges(written(df.filter(F.col(value).isNotNull())), keys, value))
     rank = back(part.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(value))), before_range(part, keys, F.lit(1)), [*keys, "_part"])
     sizes = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     at = back(rank, sizes, keys).withColumn("_r", F.col("_r") + F.col("_base"))
@@ -129,7 +141,7 @@ def group_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
 
 def group_mad(df: DataFrame, keys: list[str], value: str, center: str, name: str) -> DataFrame:
     """(keys, center, name): exact median and median absolute deviation from it."""
-    middle = group_median(df, keys, value, center)
+    middle = written(group_median(df, keys, value, center))
     gaps = back(df.select(*keys, value), middle, keys).select(*keys, F.abs(F.col(value) - F.col(center)).alias("_gap"))
     return back(middle, group_median(gaps, keys, "_gap", name), keys)
 

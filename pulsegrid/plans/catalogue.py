@@ -321,7 +321,7 @@ def intervals_of(s: DataFrame) -> DataFrame:
 @query(f"""WITH {EV}, {_RR} SELECT person_id, round(avg(rr), 6) AS rr_mean, round(stddev_samp(rr), 5) AS sdnn, round(stddev_samp(d), 5) AS sdsd, round(sqrt(avg(d * d)), 5) AS rmssd, round(avg(CASE WHEN abs(d) > 5 THEN 1.0 ELSE 0.0 END) FILTER (d IS NOT NULL), 6) AS pnn5,
     round(stddev_samp(rr) / avg(rr), 6) AS cvnn, round(median(rr), 6) AS rr_median, round(mad(rr), 6) AS rr_mad FROM dd GROUP BY 1 HAVING count(d) >= 3""")
 def rmssd_sdnn_pnn(spark, sf_dir):
-    d = intervals_of(series(spark, sf_dir))
+    d = windows.written(intervals_of(series(spark, sf_dir)))
     out = d.groupBy("person_id").agg(F.count("d").alias("n"), r(F.avg("rr")).alias("rr_mean"), r(F.stddev_samp("rr"), 5).alias("sdnn"), r(F.stddev_samp("d"), 5).alias("sdsd"), r(F.sqrt(F.avg(F.col("d") * F.col("d"))), 5).alias("rmssd"),
         r(F.avg((F.abs("d") > 5).cast("double"))).alias("pnn5"), r(F.stddev_samp("rr") / F.avg("rr")).alias("cvnn"))
     middle = windows.group_mad(d, ["person_id"], "rr", "_m", "_mad").select("person_id", r(F.col("_m")).alias("rr_median"), r(F.col("_mad")).alias("rr_mad"))
