@@ -1,14 +1,17 @@
 """Toxic passages by maximum-scoring segments.
 
 Words and their first letters (stems, for inflected forms) get log-odds of toxic against clean text under an
-informative Dirichlet prior (their own frequencies in the training texts together); only those whose log-odds are
-clearly off zero keep a score.  A word scores as itself, else as its longest kept stem, else a small loss.  One linear scan over a document finds all its maximal scoring segments.  Their scores are made
-comparable by extreme-value statistics: with rate ``decay`` (lambda) and ``size`` (K) of clean text, a segment of
-score s in n words is expected K n exp(-lambda s) times by chance.  Significant segments are added up, and a
-logistic curve over the sums gives the score.
+informative Dirichlet prior (their own frequencies in the training texts together).  A text counts each word once,
+so a word that one text repeats is no evidence.  Words whose log-odds are clearly off zero keep a score: a word
+scores as itself, else as its longest kept stem, else a small loss.  One linear scan over a document finds all its
+maximal scoring segments.  Their scores are made comparable by extreme-value statistics: with rate ``decay``
+(lambda) and ``size`` (K) of clean text, a segment of score s in n words is expected K n exp(-lambda s) times by
+chance.  Significant segments are added up.  Beside them stands weak evidence, the mean of all words' log-odds,
+each shrunk by its own uncertainty and held in a hashed table of fixed size: it ranks texts without a segment, as
+with few labels most are.  A logistic curve over these gives the score.
 
 The model is fitted on a sample of labelled rows, bounded by ``SAMPLE_ROWS`` and taken by hash of the id; copies of
-one text count once.  All else covers every row.
+one text count once.  Words that keep a score are words of that sample.  All else covers every row.
 
 Defined cases: null text counts as empty and has no segment; without labelled rows of both classes every score is
 the prior (a half where there is none); repeated rows give a row each; an empty table gives an empty result; null
@@ -18,8 +21,9 @@ labels are no labels; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,12 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm.common import ascii_lower, materialise, prepare, text_of
 
-#: Most labelled rows of the fit (12 bytes each when broadcast), and most words that keep a score.
-SAMPLE_ROWS, MAX_TERMS = 60_000, 20_000
+#: Most labelled rows of the fit (12 bytes each when broadcast).
+SAMPLE_ROWS = 60_000
 #: Strength of the prior in words, least |z| of a kept word, loss of a word without score, expected chance segments.
 PRIOR_WORDS, LEAST_Z, LOSS, SIGNIFICANT = 2_000.0, 4.0, 0.05, 0.1
+#: Cells of the table of weak evidence, and the |z| at which log-odds are halved there.
+WEAK_CELLS, WEAK_Z = 1 << 16, 3.0
 #: Letters of a stem, and how many words a worker remembers the scores of.
 STEMS, MEMO_WORDS = (4, 8), 200_000
 NOT_LETTERS = r"[\x00-\x60\x7B-\x7F]+"
@@ -42,12 +48,13 @@ SEGMENTS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Scores of words and of stems (marked by a star), the extreme-value constants of clean text, and the curve."""
+    """Scores of words and of stems (marked by a star), the extreme-value constants of clean text, the curve, weak evidence."""
 
     scores: dict[str, float]
     decay: float
     size: float
     curve: tuple[float, ...]
+    weak: tuple[float, ...] = (0.0,)  # by CRC-32 of a word, modulo the number of cells
 
 
 class WordScores(dict):
@@ -69,6 +76,20 @@ class WordScores(dict):
         return found
 
 
+class WeakScores(dict):
+    """Weak evidence of words in UTF-8; looked up once and remembered within a bound."""
+
+    def __init__(self, cells: tuple[float, ...]) -> None:
+        super().__init__()
+        self.cells = cells
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = out = self.cells[zlib.crc32(word) % len(self.cells)]
+        return out
+
+
 def maximal_segments(places: list[int], scores: list[float], loss: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, stop, score) in linear time.
 
@@ -102,23 +123,22 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_LETTERS).split()
 
 
-def text_segments(text: str, model: ToxicityModel, scores: WordScores) -> tuple[int, list[tuple[int, int, float, float]]]:
-    """Number of words, and the segments with the number expected by chance."""
+def text_segments(text: str, model: ToxicityModel, scores: WordScores, weak: WeakScores) -> tuple[int, list[tuple[int, int, float, float]], float]:
+    """Number of words, the segments with the number expected by chance, and the mean weak evidence."""
     all_words = words(text)
-    hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, all_words)) if s is not None]
     n = len(all_words)
-    if not hits:
-        return n, []
-    segments = maximal_segments([i for i, _ in hits], [s for _, s in hits], LOSS)
-    return n, [(a, b, s, model.size * n * math.exp(-model.decay * s)) for a, b, s in segments]
+    hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, all_words)) if s is not None]
+    mean = sum(map(weak.__getitem__, all_words)) / n if n else 0.0
+    segments = maximal_segments([i for i, _ in hits], [s for _, s in hits], LOSS) if hits else []
+    return n, [(a, b, s, model.size * n * math.exp(-model.decay * s)) for a, b, s in segments], mean
 
 
-def features(n_words: int, segments: list[tuple[int, int, float, float]]) -> list[float]:
-    """What the logistic curve sees: evidence of the best and of all significant segments, and its density in words."""
+def features(n_words: int, segments: list[tuple[int, int, float, float]], weak: float) -> list[float]:
+    """What the logistic curve sees: evidence of the best and of all significant segments, its density, and weak evidence."""
     evidence = sorted((max(0.0, -math.log(max(e, 1e-300) / SIGNIFICANT)) for *_, e in segments), reverse=True)
     kept = [x for x in evidence if x > 0]
     best = kept[0] if kept else 0.0
-    return [1.0, float(best > 0), math.log1p(best), math.log1p(sum(kept)), math.log1p(sum(kept) / max(n_words, 1) * 100)]
+    return [1.0, float(best > 0), math.log1p(best), math.log1p(sum(kept)), math.log1p(sum(kept) / max(n_words, 1) * 100), 10 * weak]
 
 
 def chance(x: list[float], curve: tuple[float, ...]) -> float:
@@ -138,36 +158,53 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return tuple(w)
 
 
-def word_log_odds(texts: DataFrame) -> DataFrame:
-    """(word, toxic, clean, log_odds, z) over rows (text, toxic 0/1), for words and for stems with a star."""
-    tokens = texts.select("toxic", F.explode(F.array_remove(F.split(ascii_lower(F.col("text")), NOT_LETTERS), "")).alias("word"))
-    counts = materialise(
-        tokens.groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c")), "word_counts"
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, t, c, n): toxic and clean texts with each word, and its occurrences in clean ones, over rows (text, toxic 0/1)."""
+    split = F.array_remove(F.split(ascii_lower(F.col("text")), NOT_LETTERS), "")
+    tokens = texts.withColumn("_row", F.monotonically_increasing_id()).select("_row", "toxic", F.explode(split).alias("word"))
+    per_text = tokens.groupBy("_row", "toxic", "word").agg(F.count(F.lit(1)).alias("n"))
+    toxic = F.col("toxic")
+    return per_text.groupBy("word").agg(
+        F.sum(toxic).cast("double").alias("t"), F.sum(1 - toxic).cast("double").alias("c"), F.sum(F.when(toxic == 0, F.col("n")).otherwise(0)).cast("double").alias("n")
     )
-    total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
-    n_t, n_c = total["t"] or 0.0, total["c"] or 0.0
-    longest = F.least(F.length("word") - 1, F.lit(STEMS[1]))
-    cut = counts.filter(longest >= STEMS[0]).select("word", "t", "c", F.explode(F.sequence(F.lit(STEMS[0]), longest)).alias("n"))
-    stems = cut.groupBy(F.concat(F.substring(F.col("word"), F.lit(1), F.col("n")), F.lit("*")).alias("word")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    units = counts.unionByName(stems)
+
+
+def with_odds(units: DataFrame, n_t: float, n_c: float) -> DataFrame:
+    """``units`` (t, c) with log_odds and z under the Dirichlet prior, out of ``n_t`` and ``n_c`` words counted."""
     prior = F.lit(PRIOR_WORDS) * (F.col("t") + F.col("c")) / F.lit(max(n_t + n_c, 1.0))
 
     def log_odds(k: Column, n: float) -> Column:
-        return F.log((k + prior) / (F.lit(n + PRIOR_WORDS) - k - prior))
+        return F.log((k + prior) / F.greatest(F.lit(n + PRIOR_WORDS) - k - prior, F.lit(0.5)))
 
     odds = log_odds(F.col("t"), n_t) - log_odds(F.col("c"), n_c)
     deviation = F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-    return units.select("word", F.col("t").alias("toxic"), F.col("c").alias("clean"), odds.alias("log_odds"), (odds / deviation).alias("z"))
+    return units.withColumns({"log_odds": odds, "z": odds / deviation})
+
+
+def word_log_odds(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, clean, log_odds, z) of words and of stems with a star; and (cell, log_odds, z) of the cells of weak evidence.
+
+    ``clean`` counts occurrences in clean texts.
+    """
+    total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
+    n_t, n_c = total["t"] or 0.0, total["c"] or 0.0
+    longest = F.least(F.length("word") - 1, F.lit(STEMS[1]))
+    cut = counts.filter(longest >= STEMS[0]).select("word", "t", "c", "n", F.explode(F.sequence(F.lit(STEMS[0]), longest)).alias("k"))
+    add = [F.sum(x).alias(x) for x in ("t", "c", "n")]
+    stems = cut.groupBy(F.concat(F.substring(F.col("word"), F.lit(1), F.col("k")), F.lit("*")).alias("word")).agg(*add)
+    units = with_odds(counts.select("word", "t", "c", "n").unionByName(stems), n_t, n_c)
+    cells = counts.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(WEAK_CELLS)).cast("int").alias("cell")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    return units.select("word", F.col("n").alias("clean"), "log_odds", "z"), with_odds(cells, n_t, n_c).select("cell", "log_odds", "z")
 
 
 def clean_shares(clean: dict[str, float], words_in_all: float) -> dict[str, float]:
     """Share of clean words that score as each unit: a stem's words without those of longer units under it."""
     own = dict(clean)
-    for unit in sorted(clean, key=len, reverse=True):
+    for unit in clean:
         text = unit.rstrip("*")
         for n in range(min(STEMS[1], len(text) - 1), STEMS[0] - 1, -1):
             if (stem := f"{text[:n]}*") in own:
-                own[stem] -= own[unit]
+                own[stem] -= clean[unit]
                 break
     return {u: max(c, 0.0) / words_in_all for u, c in own.items()}
 
@@ -208,41 +245,49 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_colum
     """Fit on labelled rows; ``keep`` is a condition on ``label_id`` that rows of the fit must meet."""
     prepare(docs.sparkSession)
     texts = labelled_texts(docs, labels, F.lit(True) if keep is None else keep, id_column, text_column)
-    texts = materialise(texts, "labelled")
-    odds = word_log_odds(texts.filter(~F.col("calibrate"))).filter(F.abs("z") >= LEAST_Z)
-    rows = odds.orderBy(F.desc(F.abs("z")), "word").limit(MAX_TERMS).collect()
+    return fit_texts(materialise(texts, "labelled"))
+
+
+def fit_texts(texts: DataFrame) -> ToxicityModel:
+    """Fit on rows (text, toxic 0/1, calibrate): words are learnt from those that aren't kept for calibration."""
+    counts = materialise(word_counts(texts.filter("NOT calibrate")), "word_counts")
+    units, cells = word_log_odds(counts)
+    rows = units.filter(F.abs("z") >= LEAST_Z).collect()  # words of the bounded sample
     scores = {r["word"]: r["log_odds"] for r in rows}
-    clean_words = texts.filter("NOT calibrate AND toxic = 0").agg(F.sum(F.size(F.split(ascii_lower(F.col("text")), NOT_LETTERS)))).first()[0]
+    weak = [0.0] * WEAK_CELLS
+    for r in cells.collect():  # WEAK_CELLS rows at most
+        weak[r["cell"]] = r["log_odds"] * r["z"] ** 2 / (r["z"] ** 2 + WEAK_Z**2)
+    clean_words = counts.agg(F.sum("n")).first()[0]
     share = clean_shares({r["word"]: r["clean"] for r in rows}, max(clean_words or 1, 1))
     decay = extreme_value_rate(scores, share)
-    raw = ToxicityModel(scores, decay, 1.0, ())
+    raw = ToxicityModel(scores, decay, 1.0, (), tuple(weak))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordScores(raw.scores)
+        known, light = WordScores(raw.scores), WeakScores(raw.weak)
         for b in batches:
-            found = [text_segments(t, raw, known) for t in b.column("text").to_pylist()]
-            top = [max((s for *_, s, _ in seg), default=None) for _, seg in found]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array(top, pa.float64())], names=["toxic", "n", "top"])
+            found = [text_segments(t, raw, known, light) for t in b.column("text").to_pylist()]
+            top = [max((s for *_, s, _ in seg), default=None) for _, seg, _ in found]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([n for n, *_ in found], pa.int64()), pa.array(top, pa.float64())], names=["toxic", "n", "top"])
 
     clean = texts.filter("NOT calibrate AND toxic = 0").select("text", "toxic").mapInArrow(best, "toxic int, n long, top double")
     # the mean of a Gumbel variable is its location plus Euler's constant
     location = clean.filter("top IS NOT NULL AND n > 0").agg(F.avg(F.lit(decay) * F.col("top") - F.log("n"))).first()[0]
     size = math.exp(min(20.0, location - 0.5772156649)) if location is not None else 1.0
-    model = ToxicityModel(scores, decay, size, ())
+    model = ToxicityModel(scores, decay, size, (), tuple(weak))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordScores(model.scores)
+        known, light = WordScores(model.scores), WeakScores(model.weak)
         for b in batches:
-            x = [features(*text_segments(t, model, known)) for t in b.column("text").to_pylist()]
+            x = [features(*text_segments(t, model, known, light)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
     calibration = texts.filter("calibrate").select("text", "toxic").mapInArrow(seen, "toxic int, x array<double>").collect()  # at most SAMPLE_ROWS
     y = np.array([r["toxic"] for r in calibration], float)
     if len(y) and 0 < y.sum() < len(y):
-        return ToxicityModel(scores, decay, size, fit_curve(np.array([r["x"] for r in calibration]), y))
+        return replace(model, curve=fit_curve(np.array([r["x"] for r in calibration]), y))
     prior = texts.agg(F.avg("toxic")).first()[0]
     odds_of_prior = math.log((prior + 1e-3) / (1 - prior + 1e-3)) if prior is not None else 0.0
-    return ToxicityModel(scores, decay, size, (odds_of_prior, 0.0, 0.0, 0.0, 0.0))
+    return replace(model, curve=(odds_of_prior, 0.0, 0.0, 0.0, 0.0, 0.0))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_column: str = "text", score_column: str = "score", segments_column: str | None = "segments") -> DataFrame:
@@ -253,7 +298,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_column: str = "text", scor
     docs = docs.drop(score_column, *([segments_column] if segments_column else []))
     spark = docs.sparkSession
     prepare(spark)
-    shipped = spark.sparkContext.broadcast(model)  # MAX_TERMS words at most
+    shipped = spark.sparkContext.broadcast(model)  # words of the bounded sample
     added = [T.StructField(score_column, T.DoubleType())] + ([T.StructField(segments_column, SEGMENTS)] if segments_column else [])
     schema = T.StructType([*docs.schema.fields, *added])
     at = docs.columns.index(text_column)
@@ -261,12 +306,12 @@ def score(docs: DataFrame, model: ToxicityModel, text_column: str = "text", scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        known = WordScores(m.scores)
+        known, light = WordScores(m.scores), WeakScores(m.weak)
         for b in batches:
-            found = [text_segments(t or "", m, known) for t in b.column(at).to_pylist()]
+            found = [text_segments(t or "", m, known, light) for t in b.column(at).to_pylist()]
             columns = [*b.columns, pa.array([chance(features(*f), m.curve) for f in found], pa.float64())]
             if segments_column:
-                kept = [[dict(zip(("start", "stop", "score", "expected"), s, strict=True)) for s in seg if s[3] <= SIGNIFICANT] for _, seg in found]
+                kept = [[dict(zip(("start", "stop", "score", "expected"), s, strict=True)) for s in seg if s[3] <= SIGNIFICANT] for _, seg, _ in found]
                 columns.append(pa.array(kept, kind))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
