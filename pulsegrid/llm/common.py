@@ -6,12 +6,15 @@ import os
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of text in an Arrow batch; bounds what a Python worker holds at once.
 BATCH_ROWS = 1000
+#: Most bytes of a table that is broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Workers serve task after task: freed arrays go back to the system instead of staying in each worker.
 WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
@@ -32,9 +35,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a local session; a cluster's nodes would each have their own, so
+    there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -52,6 +61,30 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more; those of a store that Arrow can't open stay."""
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        try:
+            where, path = pafs.FileSystem.from_uri(folder)
+            where.delete_dir(path)
+        except (OSError, ValueError):
+            continue
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores after it, such that ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written so that every pass sees the same one; and that column's name."""
+    row = fresh_name(docs, "row_number")
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), label), row
+
+
 def text_of(column: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -64,9 +97,16 @@ def ascii_lower(column: Column) -> Column:
     )
 
 
+def is_small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows, and those at most ``max_bytes`` bytes as JSON."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return seen["n"] <= max_rows and seen["bytes"] <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows; else Spark's shuffled join is used."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Mark ``df`` for broadcast only if it is small in rows and bytes; else Spark's shuffled join is used."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,14 +28,17 @@ def chunks_of(text: Column, smallest: int = MIN_CHUNK, largest: int = MAX_CHUNK,
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def recipes(docs: DataFrame, id_column: str, text_column: str, id_bits: int = 64) -> DataFrame:
+def recipes(docs: DataFrame, id_column: str, text_column: str, id_bits: int = 64, row_column: str | None = None) -> DataFrame:
     """(row, doc_id, text_sha256, recipe): recipe is the ordered list of verified chunk identifiers.
 
-    ``id_bits`` below 64 weakens the identifiers, so that tests meet collisions.
+    ``id_bits`` below 64 weakens the identifiers, so that tests meet collisions.  ``row_column`` numbers the rows;
+    without it they get numbers here.
     """
     norm = ascii_lower(text_of(text_column))
     keep = (1 << id_bits) - 1 if id_bits < 64 else -1
-    cut = docs.select(F.col(id_column).alias("doc_id"), norm.alias("norm")).select(
+    number = F.col(row_column) if row_column else F.monotonically_increasing_id()
+    cut = docs.select(number.alias("row"), F.col(id_column).alias("doc_id"), norm.alias("norm")).select(
+        "row",
         "doc_id",
         F.sha2("norm", 256).alias("text_sha256"),
         F.transform(
@@ -43,7 +46,7 @@ def recipes(docs: DataFrame, id_column: str, text_column: str, id_bits: int = 64
             lambda c: F.struct(F.xxhash64(c).bitwiseAND(F.lit(keep)).alias("id"), F.unhex(F.sha2(c, 256)).alias("digest")),
         ).alias("chunks"),
     )
-    cut = materialise(cut.withColumn("row", F.monotonically_increasing_id()), "recipes")
+    cut = materialise(cut, "recipes")
     store = cut.select(F.explode("chunks").alias("c")).select("c.*").distinct()
     clashing = materialise(
         store.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("digest")).alias("digests")).filter("n > 1"), "clashes"
@@ -62,18 +65,20 @@ def recipes(docs: DataFrame, id_column: str, text_column: str, id_bits: int = 64
     return listed.select("row", "doc_id", "text_sha256", "recipe")
 
 
-def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", id_bits: int = 64) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of ``docs``.
+def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", id_bits: int = 64, row_column: str | None = None) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, row), one row for each row of ``docs``.
+
+    ``row`` is ``row_column`` (a number of its own for each row) where that is given, else a number given here.
 
     Groups are counted before the shuffle, written, and only those of two or more are joined back; that join has
     plain exchanges on both sides, which adaptive execution splits where a group is large.
     """
-    rows = recipes(docs, id_column, text_column, id_bits)
+    rows = recipes(docs, id_column, text_column, id_bits, row_column)
     sizes = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     groups = materialise(sizes.filter("group_size > 1"), "groups")
     joined = rows.join(groups, "recipe", "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("row") == F.col("keep.row"))).alias("kept"), "text_sha256",
+        (alone | (F.col("row") == F.col("keep.row"))).alias("kept"), "text_sha256", "row",
     )

@@ -58,17 +58,18 @@ def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(rows)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text", row_column: str | None = None) -> DataFrame:
+    """(row, doc_id, fp): fp is the fingerprint as a signed 64-bit integer, row ``row_column`` or a number given here."""
     spark = docs.sparkSession
     prepare(spark)
-    light = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
-    schema = light.select("doc_id", F.lit(0).cast("long").alias("fp")).schema
+    row = F.col(row_column) if row_column else F.monotonically_increasing_id()
+    light = docs.select(row.alias("row"), F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
+    schema = light.select("row", "doc_id", F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, width, seed) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(fps.view(np.int64))], names=schema.names)
 
     return light.mapInArrow(run, schema)
 
@@ -244,13 +245,19 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Ite
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = WIDTH, seed: int = SEED, radius: int = RADIUS, tile: int = TILE, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, width: int = WIDTH, seed: int = SEED, radius: int = RADIUS, tile: int = TILE, id_column: str = "doc_id", text_column: str = "text",
+    row_column: str | None = None,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row for each row of ``docs``; component_id is the least id reachable."""
-    rows = materialise(fingerprints(docs, width, seed, id_column, text_column), "fingerprints")
+    """(doc_id, fingerprint, component_id, component, row), one row for each row of ``docs``.
+
+    component_id is the least id reachable (null if all are null); component names the same group by one of its
+    fingerprints, so that groups of null ids stay apart.
+    """
+    rows = materialise(fingerprints(docs, width, seed, id_column, text_column, row_column), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     linked = connected_components(materialise(links(nodes.select("fp"), radius, tile), "links"))
     named = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = materialise(named.join(ids, "component").select("fp", "component_id"), "components")
-    return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_fp = materialise(named.join(ids, "component").select("fp", "component_id", "component"), "components")
+    word = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return rows.join(of_fp, "fp").select("doc_id", word("fp").alias("fingerprint"), "component_id", word("component").alias("component"), "row")

@@ -29,7 +29,8 @@ def exact(rows):
     groups = {}
     for n, (i, t) in enumerate(rows):
         groups.setdefault(lower(t), []).append((i, n))
-    return sorted((i, max(groups[lower(t)])[0], len(groups[lower(t)]), (i, n) == max(groups[lower(t)]), sha(lower(t))) for n, (i, t) in enumerate(rows))
+    best = {t: max(g, key=lambda x: (x[0] is not None, x[0] or 0, x[1])) for t, g in groups.items()}  # null ids come last
+    return sorted(((i, best[lower(t)][0], len(groups[lower(t)]), (i, n) == best[lower(t)], sha(lower(t))) for n, (i, t) in enumerate(rows)), key=repr)
 
 
 def words(text):
@@ -51,8 +52,9 @@ def contamination(rows, items, width=13):
                 if (k := tuple(w[a : a + n])) in windows:
                     hit |= set(range(a, a + n))
                     found |= windows[k]
+        found.discard("None")
         out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found))), len(hit) > 0 and 20 * len(hit) >= len(w)))
-    return sorted(out)
+    return sorted(out, key=repr)
 
 
 def fingerprint(text):
@@ -77,8 +79,9 @@ def simhash(rows, radius=4):
                 label[root(a)] = root(b)
     least = {}
     for k, (i, _) in enumerate(rows):
-        least[root(k)] = min(i, least.get(root(k), i))
-    return sorted((i, f"{fps[k]:016x}", least[root(k)]) for k, (i, _) in enumerate(rows))
+        known = [x for x in (i, least.get(root(k))) if x is not None]
+        least[root(k)] = min(known) if known else None
+    return sorted(((i, f"{fps[k]:016x}", least[root(k)]) for k, (i, _) in enumerate(rows)), key=repr)
 
 
 def secrets(rows):
@@ -97,7 +100,7 @@ def secrets(rows):
         spans.sort()
         n = Counter(s[2] for s in spans)
         out.append((i, n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans))))
-    return sorted(out)
+    return sorted(out, key=repr)
 
 
 def base_scores(rows):
@@ -106,3 +109,111 @@ def base_scores(rows):
     c = Counter(w for i, ws in split.items() if not held[i] for w in ws)
     n, v = sum(c.values()), len(c)
     return {i: (held[i], len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws in split.items()}
+
+
+class ToxicModel:
+    """The toxicity score from its definition, over (text, toxic, calibrate) of the labelled sample."""
+
+    Z, LOSS, PRIOR, CHANCE = 4.0, 0.05, 2000.0, 0.1
+
+    def __init__(self, sample):
+        import numpy as np
+
+        train = [(self.words(t), y) for t, y, c in sample if not c]
+        count = {y: Counter(w for ws, v in train if v == y for w in set(ws)) for y in (0, 1)}
+        seen = Counter(w for ws, y in train if not y for w in ws)
+        n = {y: sum(c.values()) for y, c in count.items()}
+        stem = lambda c: c + Counter()
+        unit = {y: stem(c) for y, c in count.items()}
+        clean = Counter(seen)
+        for w in set(count[0]) | set(count[1]):
+            for k in range(4, min(8, len(w) - 1) + 1):
+                for y in (0, 1):
+                    unit[y][w[:k] + "*"] += count[y][w]
+                clean[w[:k] + "*"] += seen[w]
+
+        def odds(t, c):
+            p = self.PRIOR * (t + c) / max(n[0] + n[1], 1)
+            of = lambda k, m: math.log((k + p) / max(m + self.PRIOR - k - p, 0.5))
+            o = of(t, n[1]) - of(c, n[0])
+            return o, o / math.sqrt(1 / (t + p) + 1 / (c + p))
+
+        every = {u: odds(unit[1][u], unit[0][u]) for u in set(unit[0]) | set(unit[1]) if unit[0][u] + unit[1][u]}
+        self.scores = {u: o for u, (o, z) in every.items() if abs(z) >= self.Z}
+        cells = {y: Counter() for y in (0, 1)}
+        for y in (0, 1):
+            for w, k in count[y].items():
+                cells[y][zlib.crc32(w.encode()) % 65536] += k
+        self.weak = {}
+        for cell in set(cells[0]) | set(cells[1]):
+            o, z = odds(cells[1][cell], cells[0][cell])
+            self.weak[cell] = o * z * z / (z * z + 9)
+        # words of clean text by what they score as
+        share, total = Counter(), max(sum(seen.values()), 1)
+        for w, k in seen.items():
+            if (u := self.unit(w)) is not None:
+                share[u] += k / total
+        self.decay = 1.0
+        if any(self.scores[u] > 0 and s > 0 for u, s in share.items()):
+            rest = max(1e-9, 1 - sum(share.values()))
+            f = lambda x: rest * math.exp(-x * self.LOSS) + sum(s * math.exp(min(600, x * self.scores[u])) for u, s in share.items()) - 1
+            lo, hi = 1e-9, 64.0
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (lo, mid) if f(mid) > 0 else (mid, hi)
+            self.decay = max(hi, 0.05)
+        self.size = 1.0
+        tops = [(max(s for _, _, s in seg), len(ws)) for ws, y in train if not y and (seg := self.segments(ws))]
+        if tops:
+            self.size = math.exp(min(20.0, sum(self.decay * s - math.log(k) for s, k in tops) / len(tops) - 0.5772156649))
+        held = [(self.features(t), y) for t, y, c in sample if c]
+        y = np.array([y for _, y in held], float)
+        if len(y) and 0 < y.sum() < len(y):
+            x, w = np.array([f for f, _ in held]), np.zeros(6)
+            loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.005 * w @ w
+            slope = lambda w: x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 0.01 * w
+            for _ in range(200):  # Newton's method with a halved step where it overshoots
+                p = 1 / (1 + np.exp(-x @ w))
+                step, by = np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.01 * np.eye(6), slope(w)), 1.0
+                while loss(w - by * step) > loss(w) + 1e-12 and by > 1e-6:
+                    by /= 2
+                w = w - by * step
+            self.curve = w
+        else:
+            prior = sum(y for _, y, _ in sample) / len(sample)
+            self.curve = np.array([math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0, 0, 0, 0, 0])
+
+    @staticmethod
+    def words(text):
+        return [w for w in re.split(r"[\x00-\x60\x7B-\x7F]+", lower(text)) if w]
+
+    def unit(self, w):
+        return next((u for u in [w, *(w[:k] + "*" for k in range(min(8, len(w) - 1), 3, -1))] if u in self.scores), None)
+
+    def segments(self, ws):
+        """Maximal scoring segments by their definition: the best one, and those beside it."""
+        s = [self.scores[u] if (u := self.unit(w)) is not None else -self.LOSS for w in ws]
+        out, todo = [], [(0, len(s))]
+        while todo:
+            lo, hi = todo.pop()
+            best, total, start = None, 0.0, lo
+            for i in range(lo, hi):
+                if total <= 0:
+                    total, start = 0.0, i
+                total += s[i]
+                if best is None or total > best[2] + 1e-12:
+                    best = (start, i + 1, total)
+            if best and best[2] > 0:
+                out.append(best)
+                todo += [(lo, best[0]), (best[1], hi)]
+        return out
+
+    def features(self, text):
+        ws = self.words(text)
+        e = [max(0.0, -math.log(max(self.size * len(ws) * math.exp(-self.decay * s), 1e-300) / self.CHANCE)) for _, _, s in self.segments(ws)]
+        best, total = max(e, default=0.0), sum(e)
+        weak = sum(self.weak.get(zlib.crc32(w.encode()) % 65536, 0.0) for w in ws) / len(ws) if ws else 0.0
+        return [1.0, float(best > 0), math.log1p(best), math.log1p(total), math.log1p(total / max(len(ws), 1) * 100), 10 * weak]
+
+    def score(self, text):
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, float(sum(a * b for a, b in zip(self.features(text), self.curve, strict=True)))))))

@@ -25,7 +25,8 @@ def table(spark, rows):
 
 @pytest.fixture(scope="module")
 def rows():
-    return [*enumerate(TEXTS), (3, TEXTS[3]), (1, "")]  # two rows are repeated
+    """Two rows are repeated, four have no id, and two share an id with another text."""
+    return [*enumerate(TEXTS), (3, TEXTS[3]), (1, ""), (None, None), (None, TEXTS[3]), (None, "no id, beta gamma"), (None, "no id, beta gamma"), (5, "alpha beta gamma x"), (5, "of one id")]
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +49,7 @@ def test_token_counts(spark, docs, rows):
     for _ in range(2):  # the second time all come from the cache
         assert got(token_counts.count_tokens(docs, PATH, cache), "doc_id", "n_bytes", "n_tokens", "over_limit") == expected
     stored = spark.createDataFrame(spark.read.parquet(cache).collect())
-    assert stored.count() == stored.select("content_digest").distinct().count() == len({(t or "").strip(" \t\n\r\f\v").replace("\r\n", "\n") for t in TEXTS})
+    assert stored.count() == stored.select("content_digest").distinct().count() == len({(t or "").strip(" \t\n\r\f\v").replace("\r\n", "\n") for _, t in rows})
     more = table(spark, [(100, "Alpha beta gamma delta epsilon"), (101, "new words here")])
     assert got(token_counts.count_tokens(more, PATH, cache), "doc_id", "n_tokens") == [(100, brute.encode([TEXTS[3]])[0].__len__()), (101, 3)]
     assert spark.read.parquet(cache).count() == stored.count() + 1
@@ -128,7 +129,7 @@ def test_secret_scan(spark, docs, rows):
         found = out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(names, 256).alias("sha"))
         assert got(found, *found.columns) == sorted(brute.secrets(rows), key=repr)
     scanned = spark.read.parquet(ledger)
-    assert scanned.count() == len({t or "" for t in TEXTS})
+    assert scanned.count() == len({t or "" for _, t in rows})
     other = (*secret_scan.RULES, ("extra", "Lorem", 0, 1))
     assert secret_scan.scan_versions(docs, ledger, ["doc_id"], "text", other).filter(F.size("spans") > 0).count() == 3
     assert spark.read.parquet(ledger).count() == 2 * scanned.count()
@@ -179,7 +180,8 @@ def test_lm_scoring(spark, docs, rows):
     assert empty.filter("n_known > 0 OR train_tokens > 0").isEmpty() and empty.filter("abs(score) > 1e-9").isEmpty()
 
 
-def test_lm_is_a_distribution_and_equals_the_definition(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_is_a_distribution_and_equals_the_definition(spark, order):
     import collections
     import math
     import random
@@ -187,13 +189,15 @@ def test_lm_is_a_distribution_and_equals_the_definition(spark):
     rnd = random.Random(1)
     texts = [" ".join(rnd.choices("abcdefghij", weights=range(1, 11), k=rnd.randint(0, 12))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    model = lm_scoring.fit(df, shards=4)
-    pairs, tokens = collections.Counter(), collections.Counter()
+    model = lm_scoring.fit(df, shards=4, order=order)
+    tokens, counts = collections.Counter(), collections.Counter()
     for t in texts:
-        w = [*t.split(), "</s>"]
-        tokens.update(w)
-        pairs.update(zip(["<s>", *w], w, strict=False))
-    left = collections.Counter(w for _, w in pairs)
+        w = [*["<s>"] * (order - 1), *t.split(), "</s>"]
+        tokens.update(w[order - 1 :])
+        counts.update(tuple(w[i - order + 1 : i + 1]) for i in range(order - 1, len(w)))
+    levels = [counts]
+    while len(levels) < order:  # numbers of distinct left neighbours
+        levels.insert(0, collections.Counter(g[1:] for g in levels[0]))
 
     def rates(counts):
         n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
@@ -201,26 +205,59 @@ def test_lm_is_a_distribution_and_equals_the_definition(spark):
         raw = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else 0 for k in (1, 2, 3)]
         return [0, *(x if 0 < x <= k else k / 2 for k, x in zip((1, 2, 3), raw, strict=True))]
 
-    d, e, v = rates(pairs), rates(left), len(tokens)
-    take = lambda c, table: table[min(c, 3)]
-
-    def low(w):
-        total = sum(left.values())
-        return (left[w] - take(left[w], e)) / total + sum(take(c, e) for c in left.values()) / total / (v + 1)
+    d, v = [rates(c) for c in levels], len(tokens)
 
     def p(h, w):
-        after = {b: c for (a, b), c in pairs.items() if a == h}
+        """Share of w after h, a context of any length below the order."""
+        k = len(h)
+        after = {g[-1]: c for g, c in levels[k].items() if g[:-1] == h}
+        low = 1 / (v + 1) if not h else p(h[1:], w)
         if not after:
-            return low(w)
-        return (after.get(w, 0) - take(after.get(w, 0), d) + sum(take(c, d) for c in after.values()) * low(w)) / sum(after.values())
+            return low
+        take = lambda c: d[k][min(c, 3)]
+        return (after.get(w, 0) - take(after.get(w, 0)) + sum(map(take, after.values())) * low) / sum(after.values())
 
-    for h in ["<s>", "a", "j", "zz"]:
+    context = lambda w, i: tuple(w[i - order + 1 : i])
+    for h in [("<s>",) * (order - 1), ("a", "j", "i")[: order - 1], ("zz", "j", "zz")[: order - 1], ("j",) * (order - 1)]:
         assert sum(p(h, w) for w in [*tokens, "unseen"]) == pytest.approx(1)
-    probe = [*texts[:10], "zz a zz", ""]
+    probe = [*texts[:10], "zz a zz", "j i zz j i h", ""]
     out = lm_scoring.score(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string"), model, ["doc_id"]).orderBy("doc_id").collect()
     for r, t in zip(out, probe, strict=True):
-        w = [*t.split(), "</s>"]
-        assert r.score == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["<s>", *w], w, strict=False)), rel=1e-9)
+        w = [*["<s>"] * (order - 1), *t.split(), "</s>"]
+        assert r.score == pytest.approx(sum(math.log10(p(context(w, i), w[i])) for i in range(order - 1, len(w))), rel=1e-9)
+
+
+def test_lm_words_of_one_hash_are_told_apart(spark, monkeypatch):
+    """A clash in a task counts the model anew under the next seed; a word that meets a stored hash must meet the second as well."""
+    texts = spark.createDataFrame([(1, "a b c d"), (2, "a c b")], "doc_id long, text string")
+    import numpy as np
+
+    with pytest.raises(lm_scoring.WordClash):  # what a task raises
+        keys, second = np.array([1, 1], np.uint64), np.array([5, 6], np.uint64)
+        lm_scoring.same_words(keys, second)
+    table = lm_scoring.count_words(texts.select("text"), 2, fresh_path(spark, "words"), 1)
+    look = lm_scoring.Lookup(table)
+    assert (look.ids([b"a", b"b", b"zz"]) >= 0).tolist() == [True, True, False]
+    look.memo.clear()
+    for k in look.second:
+        look.second[k] = look.second[k] + np.uint64(1)  # hashes that agree in the first alone are other words
+    assert (look.ids([b"a", b"b"]) < 0).all()
+    tries = []
+    count = lm_scoring.count_words
+
+    def failing(train, shards, folder, seed):
+        tries.append(seed)
+        return count(train, shards, folder, seed) if seed else count(train.mapInPandas(clash, "text string"), shards, folder, seed)
+
+    def clash(frames):
+        from pulsegrid.llm.lm_scoring import WordClash
+
+        for _ in frames:
+            raise WordClash("two words have one hash under seed 0")
+        yield from ()
+
+    monkeypatch.setattr(lm_scoring, "count_words", failing)
+    assert lm_scoring.fit(texts).words.seed == 1 and tries == [0, 1]
 
 
 def test_bfd_packing(spark, docs, rows, tmp_path):
@@ -316,22 +353,122 @@ def test_warc_decodes_all_references_and_links(spark):
     assert rows["metadata"].block.startswith("title: A & B é — ©\r\n")
 
 
-def test_dedup_stage_keeps_one_of_repeated_rows(spark):
-    rows = [(1, "a"), (1, "a"), (2, "b"), (3, "B"), (3, "B"), (4, "c"), (4, "d"), (5, "d"), (None, "e"), (None, "e")]
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    out = corpus_pipeline.drop_copies(spark, docs, "")
-    assert got(out, "doc_id", "text") == sorted([(1, "a"), (3, "B"), (4, "c"), (5, "d"), (None, "e"), (None, "e")], key=repr)
+def test_decontamination_by_row(spark):
+    """Rows of a null id and rows that share an id are judged each by its own text."""
+    docs = spark.createDataFrame([(None, "alpha beta gamma"), (None, "clean text"), (2, "alpha beta gamma delta x"), (2, "x alpha beta gamma")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (None, "delta x")], "item_id long, text string")
+    found = decontamination.contamination(docs, items)
+    assert got(found, "doc_id", "n_hit", "n_items", "contaminated") == sorted([(None, 3, 1, True), (None, 0, 0, False), (2, 5, 1, True), (2, 3, 1, True)], key=repr)
 
 
-def test_pipeline_stages_on_odd_rows(spark, tmp_path):
-    base = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(TEXTS)]
-    docs = spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long")
-    spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(0, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    for n, df in ((len(base), docs), (0, docs.limit(0))):
+STAGE_COLUMNS = ("row", "row_", "row_number", "toxicity_score", "text_sha256", "rejected_id", "component", "kept", "fp", "words", "term", "recipe", "label_id", "score", "_row", "_text")
+
+
+@pytest.fixture(scope="module")
+def stage_input(spark, rows, tmp_path_factory):
+    """A folder with the three tables, and the documents beside columns whose names the stages use themselves."""
+    d = str(tmp_path_factory.mktemp("stages"))
+    more = [(900 + i, f"{w} is a word of its own, number {i}") for i, w in enumerate(("toxicword " * 4, "plainword " * 4) * 20)]
+    base = [(i, t, "en", "s", len(t or ""), *[f"{c}{n}" for c in STAGE_COLUMNS]) for n, (i, t) in enumerate([*rows, *more])]
+    docs = spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in STAGE_COLUMNS))
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma"), (2, None), (None, "no id beta")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(900 + i, 1, 1 - i % 2) for i in range(40)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d, spark.read.parquet(f"{d}/documents.parquet")
+
+
+def kept_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_stage_exact_dedup_against_brute(spark, stage_input):
+    d, docs = stage_input
+    out = corpus_pipeline.drop_copies(spark, docs, d)
+    assert out.columns == docs.columns
+    kept, best = kept_rows(out), {}
+    for r in docs.collect():
+        best.setdefault(brute.lower(r.text), []).append(r)
+    assert len(kept) == len(best) and set(kept) <= set(map(tuple, docs.collect()))
+    for r in out.collect():
+        assert (r.doc_id if r.doc_id is not None else -1) == max(x.doc_id if x.doc_id is not None else -1 for x in best[brute.lower(r.text)])
+
+
+def test_stage_near_dedup_against_brute(spark, stage_input):
+    d, docs = stage_input
+    out = corpus_pipeline.drop_near_copies(spark, docs, d)
+    rows = docs.collect()
+    fps = [brute.fingerprint(r.text) for r in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(a):
+                if (fps[a] ^ fps[b]).bit_count() <= 4:
+                    label[a] = label[b] = min(label[a], label[b])
+    best = {}
+    for r, g in zip(rows, label, strict=True):
+        best.setdefault(g, []).append((r.doc_id is None, r.doc_id or 0))
+    assert out.columns == docs.columns and set(kept_rows(out)) <= set(map(tuple, rows))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted(min(g) for g in best.values())
+
+
+def test_stage_decontamination_against_brute(spark, stage_input):
+    d, docs = stage_input
+    out = corpus_pipeline.drop_benchmark(spark, docs, d)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    expected = [tuple(r) for r in docs.collect() if not brute.contamination([(r.doc_id, r.text)], items)[0][5]]
+    assert out.columns == docs.columns and kept_rows(out) == sorted(expected, key=repr) and 0 < len(expected) < docs.count()
+
+
+def test_stage_toxicity_against_brute(spark, stage_input):
+    d, docs = stage_input
+    out = corpus_pipeline.drop_toxic(spark, docs, d)
+    texts = toxicity.labelled_texts(docs, spark.read.parquet(f"{d}/labels.parquet"), F.lit(True), "doc_id", "text").collect()
+    model = brute.ToxicModel([(r.text, r.toxic, r.calibrate) for r in texts])
+    expected = [tuple(r) for r in docs.collect() if model.score(r.text) < 0.5]
+    assert out.columns == docs.columns and kept_rows(out) == sorted(expected, key=repr) and 0 < len(expected) < docs.count()
+
+
+def test_stage_packing_against_brute(spark, stage_input):
+    d, docs = stage_input
+    out = corpus_pipeline.pack(spark, docs, d).collect()
+    lengths = sorted(len(x) + 1 for x in brute.encode([r.text for r in docs.collect()]))
+    assert sorted(r.doc_tokens for r in out if r.start == 0) == lengths and sum(r.length for r in out) == sum(lengths)
+
+
+def test_pipeline_equals_its_stages(spark, stage_input):
+    d, docs = stage_input
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "benchmark_decontamination", "curve_packing"]
+    for n, df in ((docs.count(), docs), (0, docs.limit(0))):
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            df = stage(spark, df, str(tmp_path))
-            assert df.columns == docs.columns, name
+            before = {tuple(r) for r in df.collect()}
+            df = spark.createDataFrame(stage(spark, df, d).collect(), docs.schema)
+            assert df.columns == docs.columns and {tuple(r) for r in df.collect()} <= before, name
         assert (df.count() > 0) == (n > 0)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+        if n:
+            final = sorted(len(x) + 1 for x in brute.encode([r.text for r in df.collect()]))
+    assert sorted(r.doc_tokens for r in corpus_pipeline.run(spark, d).filter("start = 0").collect()) == final
+
+
+def test_toxicity_scores_equal_their_definition(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    texts = toxicity.labelled_texts(docs, labels, F.lit(True), "doc_id", "text").collect()
+    plain = brute.ToxicModel([(r.text, r.toxic, r.calibrate) for r in texts])
+    model = toxicity.fit(docs, labels)
+    assert model.scores == pytest.approx(plain.scores) and model.decay == pytest.approx(plain.decay, rel=1e-6) and model.size == pytest.approx(plain.size, rel=1e-6)
+    some = docs.limit(60)
+    found = {r.doc_id: r.score for r in toxicity.score(some, model).collect()}
+    assert found == pytest.approx({r.doc_id: plain.score(r.text) for r in some.collect()}, rel=1e-4)
+
+
+def test_toxicity_ranks_with_few_labels(spark):
+    """40 toxic labels to learn from: held-out documents still rank far better than by chance."""
+    import zlib
+
+    from pulsegrid.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    y = [(r.score, toxic[r.doc_id]) for r in queries.op8_toxicity(spark, d).collect() if toxic.get(r.doc_id) is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    ones, zeros = [s for s, t in y if t], [s for s, t in y if not t]
+    assert sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / len(ones) / len(zeros) > 0.75
