@@ -1,8 +1,14 @@
 """The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, benchmark decontamination, packing.
 
 Each stage takes the documents that the one before it kept and returns those it keeps, with all their columns; the
-last returns the packed pieces.  Texts are only filtered: what a stage decides comes back as ids and is joined by a
-checked broadcast, or by Spark's shuffled join beyond its bound.  Labels are taken from the table ``labels``.
+last returns the packed pieces.  A stage numbers its rows, decides by those numbers, and filters by a checked
+broadcast of the rejected ones, or by Spark's shuffled join beyond its bound.  Labels are taken from ``labels``.
+
+Defined cases: every row is judged by its own text, whether its id is null or shared with other rows; of equal texts
+the row with the largest id stays, of a near-duplicate group the one with the smallest (null ids come last, and of
+repeats of one row one stays); null texts count as empty, and copies of each other; extra columns, whatever their
+names, stay as they are; empty tables give empty results; without labels of both classes, or without benchmark
+items, nothing is rejected for them.
 """
 
 from __future__ import annotations
@@ -12,50 +18,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontamination, exact_dedup, packing, simhash, toxicity
-from pulsegrid.llm.common import ascii_lower, broadcast_if_small, materialise, text_of
+from pulsegrid.llm.common import broadcast_if_small, fresh_name, materialise, numbered
 
-#: Ids of rejected documents up to this number (8 MB) are broadcast.
-BROADCAST_IDS = 500_000
+#: Numbers of rejected rows up to this many (8 MB) are broadcast.
+BROADCAST_ROWS = 500_000
 #: A document scoring at least this is rejected.
 TOXIC = 0.5
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``rejected``; rows of a null id stay."""
-    ids = materialise(rejected.select(F.col("doc_id").alias("rejected_id")).distinct(), "rejected")
-    return docs.join(broadcast_if_small(ids, BROADCAST_IDS), docs["doc_id"] == F.col("rejected_id"), "left_anti")
+def _without(docs: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose numbers are in ``rejected`` (row), and without the number."""
+    numbers = materialise(rejected.select(F.col("row").alias(row)), "rejected")
+    return docs.join(broadcast_if_small(numbers, BROADCAST_ROWS), row, "left_anti").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the model is fitted on all labelled documents of this stage."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, score_column="_toxicity", segments_column=None)
-    return scored.filter(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    score = fresh_name(docs, "toxicity_score")
+    return toxicity.score(docs, model, score_column=score, segments_column=None).filter(F.col(score) < TOXIC).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: that with the largest id; of repeats of one row, one."""
-    found = materialise(exact_dedup.exact_duplicates(docs), "duplicates")
-    per_id = found.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    repeated = materialise(per_id.filter("stays AND n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    out = _without(docs, per_id.filter("NOT stays"))
-    if repeated.isEmpty():
-        return out
-    # ids that stand for several rows: decided by id and text
-    texts = out.withColumn("text_sha256", F.sha2(ascii_lower(text_of("text")), 256)).join(repeated, "doc_id", "left_semi")
-    once = texts.dropDuplicates(["doc_id", "text_sha256"]).join(found.filter("kept").select("doc_id", "text_sha256"), ["doc_id", "text_sha256"], "left_semi")
-    return _without(out, repeated).unionByName(once.select(*docs.columns))
+    """One document of each group of equal texts: that with the largest id."""
+    rows, row = numbered(docs, "numbered")
+    found = exact_dedup.exact_duplicates(rows, row_column=row)
+    return _without(rows, row, found.filter("NOT kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id."""
-    return _without(docs, simhash.near_duplicates(docs).filter("doc_id <> component_id"))
+    rows, row = numbered(docs, "numbered")
+    found = materialise(simhash.near_duplicates(rows, row_column=row), "near")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    kept = found.groupBy("component").agg(first).select("first.row")
+    return _without(rows, row, found.select("row").join(kept, "row", "left_anti"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark items don't contaminate."""
+    rows, row = numbered(docs, "numbered")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontamination.contamination(docs, items).filter("contaminated"))
+    return _without(rows, row, decontamination.contamination(rows, items, row_column=row).filter("contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
