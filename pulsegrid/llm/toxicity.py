@@ -161,12 +161,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, t, c, n): toxic and clean texts with each word, and its occurrences in clean ones, over rows (text, toxic 0/1)."""
     split = F.array_remove(F.split(ascii_lower(F.col("text")), NOT_LETTERS), "")
-    tokens = texts.withColumn("_row", F.monotonically_increasing_id()).select("_row", "toxic", F.explode(split).alias("word"))
-    per_text = tokens.groupBy("_row", "toxic", "word").agg(F.count(F.lit(1)).alias("n"))
-    toxic = F.col("toxic")
-    return per_text.groupBy("word").agg(
-        F.sum(toxic).cast("double").alias("t"), F.sum(1 - toxic).cast("double").alias("c"), F.sum(F.when(toxic == 0, F.col("n")).otherwise(0)).cast("double").alias("n")
-    )
+    zero, one, toxic = F.lit(0).cast("long"), F.lit(1).cast("long"), F.col("toxic").cast("long")
+    # each word once a text, and beside that all occurrences in clean texts: both are counted before anything moves
+    once = texts.select(toxic.alias("toxic"), F.explode(F.array_distinct(split)).alias("word")).select("word", F.col("toxic").alias("t"), (one - F.col("toxic")).alias("c"), zero.alias("n"))
+    each = texts.filter("toxic = 0").select(F.explode(split).alias("word")).select("word", zero.alias("t"), zero.alias("c"), one.alias("n"))
+    return once.unionByName(each).groupBy("word").agg(*[F.sum(x).cast("double").alias(x) for x in ("t", "c", "n")])
 
 
 def with_odds(units: DataFrame, n_t: float, n_c: float) -> DataFrame:
