@@ -57,7 +57,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start from files that outlive executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,12 +79,6 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``docs`` with a number for each row, written so that every pass sees the same one; and that column's name."""
-    row = fresh_name(docs, "row_number")
-    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), label), row
-
-
 def text_of(column: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

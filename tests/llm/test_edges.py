@@ -233,14 +233,14 @@ def test_lm_words_of_one_hash_are_told_apart(spark, monkeypatch):
     import numpy as np
 
     with pytest.raises(lm_scoring.WordClash):  # what a task raises
-        keys, second = np.array([1, 1], np.uint64), np.array([5, 6], np.uint64)
+        keys, second = np.array([1, 1], np.uint64), np.array([5, 6], np.uint32)
         lm_scoring.same_words(keys, second)
     table = lm_scoring.count_words(texts.select("text"), 2, fresh_path(spark, "words"), 1)
     look = lm_scoring.Lookup(table)
     assert (look.ids([b"a", b"b", b"zz"]) >= 0).tolist() == [True, True, False]
     look.memo.clear()
     for k in look.second:
-        look.second[k] = look.second[k] + np.uint64(1)  # hashes that agree in the first alone are other words
+        look.second[k] = look.second[k] + np.uint32(1)  # hashes that agree in the first alone are other words
     assert (look.ids([b"a", b"b"]) < 0).all()
     tries = []
     count = lm_scoring.count_words
@@ -361,7 +361,7 @@ def test_decontamination_by_row(spark):
     assert got(found, "doc_id", "n_hit", "n_items", "contaminated") == sorted([(None, 3, 1, True), (None, 0, 0, False), (2, 5, 1, True), (2, 3, 1, True)], key=repr)
 
 
-STAGE_COLUMNS = ("row", "row_", "row_number", "toxicity_score", "text_sha256", "rejected_id", "component", "kept", "fp", "words", "term", "recipe", "label_id", "score", "_row", "_text")
+STAGE_COLUMNS = ("row", "row_", "row_digest", "text_digest", "toxicity_score", "text_sha256", "rejected_id", "component", "kept", "fp", "words", "term", "recipe", "label_id", "score", "_row", "_text")
 
 
 @pytest.fixture(scope="module")
