@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, benchmark decontamination, packing.
 
 Each stage takes the documents that the one before it kept and returns those it keeps, with all their columns; the
-last returns the packed pieces.  A stage numbers its rows, decides by those numbers, and filters by a checked
-broadcast of the rejected ones, or by Spark's shuffled join beyond its bound.  Labels are taken from ``labels``.
+last returns the packed pieces.  A stage names its rows by digests of what it judges (the text, or id and text), so
+texts are neither copied nor moved: it filters by a checked broadcast of the rejected names, or by Spark's shuffled
+join beyond its bound.  Labels are taken from the table ``labels``.
 
 Defined cases: every row is judged by its own text, whether its id is null or shared with other rows; of equal texts
 the row with the largest id stays, of a near-duplicate group the one with the smallest (null ids come last, and of
@@ -18,18 +19,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontamination, exact_dedup, packing, simhash, toxicity
-from pulsegrid.llm.common import broadcast_if_small, fresh_name, materialise, numbered
+from pulsegrid.llm.common import broadcast_if_small, fresh_name, materialise, text_of
 
-#: Numbers of rejected rows up to this many (8 MB) are broadcast.
+#: Names of rejected rows up to this many (32 bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
 #: A document scoring at least this is rejected.
 TOXIC = 0.5
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a digest of each row's id and text, and that column's name; rows of one name are repeats of one row."""
+    row = fresh_name(docs, "row_digest")
+    return docs.withColumn(row, F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text_of("text")), 256))), row
+
+
 def _without(docs: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose numbers are in ``rejected`` (row), and without the number."""
-    numbers = materialise(rejected.select(F.col("row").alias(row)), "rejected")
-    return docs.join(broadcast_if_small(numbers, BROADCAST_ROWS), row, "left_anti").drop(row)
+    """``docs`` without the rows whose names are in ``rejected`` (row)."""
+    names = materialise(rejected.select(F.col("row").alias(row)).distinct(), "rejected")
+    return docs.join(broadcast_if_small(names, BROADCAST_ROWS), row, "left_anti")
+
+
+def _once(docs: DataFrame, row: str, found: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose names are in ``kept`` (row) out of all in ``found`` (row); of repeats of one row, one."""
+    counted = materialise(found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).join(kept.select("row", F.lit(True).alias("stays")).distinct(), "row", "left"), "names")
+    out = _without(docs, row, counted.filter("stays IS NULL"))
+    repeated = materialise(counted.filter("stays AND n > 1").select(F.col("row").alias(row)), "repeated")
+    if repeated.isEmpty():
+        return out.drop(row)
+    few = broadcast_if_small(repeated, BROADCAST_ROWS)
+    return out.join(few, row, "left_anti").unionByName(out.join(few, row, "left_semi").dropDuplicates([row])).drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,25 +59,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: that with the largest id."""
-    rows, row = numbered(docs, "numbered")
-    found = exact_dedup.exact_duplicates(rows, row_column=row)
-    return _without(rows, row, found.filter("NOT kept"))
+    rows, row = _named(docs)
+    found = materialise(exact_dedup.exact_duplicates(rows, row_column=row), "copies")
+    return _once(rows, row, found, found.filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id."""
-    rows, row = numbered(docs, "numbered")
+    rows, row = _named(docs)
     found = materialise(simhash.near_duplicates(rows, row_column=row), "near")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    kept = found.groupBy("component").agg(first).select("first.row")
-    return _without(rows, row, found.select("row").join(kept, "row", "left_anti"))
+    return _once(rows, row, found, found.groupBy("component").agg(first).select("first.row"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items don't contaminate."""
-    rows, row = numbered(docs, "numbered")
+    """Documents that benchmark items don't contaminate; equal texts are judged alike."""
+    text = fresh_name(docs, "text_digest")
+    named = docs.withColumn(text, F.unhex(F.sha2(text_of("text"), 256)))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(rows, row, decontamination.contamination(rows, items, row_column=row).filter("contaminated"))
+    found = decontamination.contamination(named, items, id_column=text).filter("contaminated")
+    return _without(named, text, found.select(F.col("doc_id").alias("row"))).drop(text)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
