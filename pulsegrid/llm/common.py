@@ -53,11 +53,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps start from files that outlive executors."""
+def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later steps start from files that outlive executors.
+
+    Texts are worth zstd; it holds memory outside the heap for each open column, so small tables stay with snappy.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,7 +40,7 @@ def document_words(docs: DataFrame, id_column: str, text_column: str, row_column
     """(row, doc_id, n_words, joined): each row's words, joined by spaces; ``row_column`` numbers rows, else they get numbers here."""
     row = F.col(row_column) if row_column else F.monotonically_increasing_id()
     split = docs.select(row.alias("row"), F.col(id_column).alias("doc_id"), words_of(text_column).alias("words"))
-    return materialise(split.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("joined")), "words")
+    return materialise(split.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("joined")), "words", "zstd")
 
 
 def _split(words: DataFrame) -> DataFrame:
