@@ -31,6 +31,13 @@ def variance(x: Column) -> Column:
     return F.when(n > 0, F.greatest(sums["q"] / n - (sums["s"] / n) * (sums["s"] / n), F.lit(0.0)))
 
 
+def slope(t: Column, x: Column) -> Column:
+    """Least-squares slope of ``x`` over ``t``, arrays of one length."""
+    both = F.aggregate(F.zip_with(t, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    n = F.size(x)
+    return F.try_divide(both / n - mean(t) * mean(x), F.nullif(variance(t), F.lit(0.0)))
+
+
 def rms(x: Column) -> Column:
     return F.sqrt(F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")), F.size(x)))
 

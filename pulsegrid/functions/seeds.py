@@ -63,9 +63,14 @@ def lognormal(seed: Column, name: str, median: float, geometric_std: float) -> C
 
 
 def gamma(seed: Column, name: str, shape: float) -> Column:
-    """Unit-scale gamma for shapes of at least 1, by Marsaglia and Tsang: the first accepted of a series of draws."""
+    """Unit-scale gamma by Marsaglia and Tsang: the first accepted of a series of draws.
+
+    Shapes below 1 are drawn one higher and scaled by a power of another uniform.
+    """
+    if shape <= 0:
+        raise ValueError("shape must be above 0")
     if shape < 1:
-        raise ValueError("shape must be at least 1")
+        return gamma(seed, name, shape + 1) * F.pow(F.lit(1.0) - uniform(seed, f"{name}/less"), F.lit(1 / shape))
     d = shape - 1 / 3
     c = 1 / math.sqrt(9 * d)
 

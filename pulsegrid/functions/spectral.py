@@ -61,6 +61,25 @@ def spectral_summary(x: np.ndarray, rate: float, mains: float = 60.0) -> dict[st
     return out
 
 
+def preprocessed(x: np.ndarray, rate: float, mains: float = 60.0, low: float = 1.0, high: float = 45.0) -> np.ndarray:
+    """Without its mean, mains hum (2 Hz wide) and all that lies outside ``low`` to ``high`` Hz."""
+    if len(x) < 8:
+        return x
+    spectrum, freq = np.fft.rfft(x - x.mean()), np.fft.rfftfreq(len(x), 1 / rate)
+    spectrum[(freq < low) | (freq > high) | (np.abs(freq - mains) <= 1)] = 0
+    return np.fft.irfft(spectrum, len(x))
+
+
+def preprocess_udf(rate: float, mains: float = 60.0):
+    """Column function: an array of samples, preprocessed."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else preprocessed(np.asarray(v, float), rate, mains))
+
+    return run
+
+
 def coherence(x: np.ndarray, y: np.ndarray, rate: float, low: float, high: float) -> float | None:
     """Mean squared coherence over a band, from half-overlapping Hann segments of a second."""
     n = int(rate)
@@ -102,15 +121,25 @@ def phase_locking(x: np.ndarray, y: np.ndarray, rate: float, low: float, high: f
 def sample_entropy(x: np.ndarray, m: int = 2, tolerance: float = 0.2) -> float | None:
     """-ln of the share of m-long matches that go on for one more; null if it can't be formed.
 
-    Rows of comparisons are made one lag at a time, so memory stays linear.
+    Up to 2,048 samples are compared at once (4 MB); beyond, rows of comparisons are made one lag at a time, so
+    memory stays linear.
     """
     n, r = len(x), tolerance * x.std()
     if n < m + 2 or r == 0:
         return None
     short = long = 0
-    near = np.abs(x[:, None] - x[None, :]) <= r if n <= 512 else None
+    if n <= 2048:
+        near = np.abs(np.subtract.outer(x, x)) <= r
+        start = near[: n - m, : n - m].copy()
+        for k in range(1, m):
+            start &= near[k : n - m + k, k : n - m + k]
+        short = (int(start.sum()) - (n - m)) // 2  # each pair once, none with itself
+        start &= near[m:, m:]
+        long = (int(start.sum()) - (n - m)) // 2
+        return float(-np.log(long / short)) if short and long else None
+    short = long = 0
     for lag in range(1, n - m):
-        step = near.diagonal(lag) if near is not None else np.abs(x[lag:] - x[:-lag]) <= r
+        step = np.abs(x[lag:] - x[:-lag]) <= r
         run = np.lib.stride_tricks.sliding_window_view(step, m).all(axis=1)[: n - m - lag]
         short += int(run.sum())
         long += int((run & step[m : m + len(run)]).sum())
@@ -154,13 +183,62 @@ def lomb_powers(times_s: np.ndarray, rr_ms: np.ndarray) -> tuple[float, float, f
 SUMMARY_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in spectral_summary(np.zeros(0), 256.0)])
 
 
+def spectral_summaries(x: np.ndarray, rate: float, mains: float = 60.0) -> dict[str, np.ndarray]:
+    """``spectral_summary`` of each row of a matrix of samples at once; NaN where a value can't be formed."""
+    rows, n = x.shape
+    out = {name: np.full(rows, np.nan) for name in SUMMARY_TYPE.names}
+    size = min(n, max(int(2 * rate), 8))
+    if size < 4:
+        return out
+    taper = np.hanning(size + 1)[:-1]
+    starts = range(0, n - size + 1, max(size // 2, 1))
+    power = np.zeros((rows, size // 2 + 1))
+    for s in starts:
+        part = x[:, s : s + size]
+        power += np.abs(np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * taper, axis=1)) ** 2
+    power /= len(starts) * rate * (taper**2).sum()
+    power[:, 1 : -1 if size % 2 == 0 else None] *= 2
+    freq = np.fft.rfftfreq(size, 1 / rate)
+    used = (freq >= 1) & (freq < min(45, rate / 2))
+    if used.sum() < 2:
+        return out
+    ok = power[:, used].sum(axis=1) > 0
+    power, f = power[ok], freq[used]
+    whole = power[:, freq >= 1].sum(axis=1)
+    bands = {b: power[:, (freq >= lo) & (freq < hi)].sum(axis=1) * (freq[1] - freq[0]) for b, (lo, hi) in BANDS.items()}
+    total = sum(bands.values())
+    ratio = lambda a, b: np.divide(a, b, out=np.full(len(a), np.nan), where=b > 0)
+    p = power[:, used] / power[:, used].sum(axis=1, keepdims=True)
+    upto = np.cumsum(p, axis=1)
+    edge = lambda share: f[np.minimum((upto < share).sum(axis=1), len(f) - 1)]
+    logs = np.log10(np.maximum(power[:, used], 1e-30))
+    u = np.log10(f) - np.log10(f).mean()
+    slope = logs @ u / (u @ u)
+    values = {f"{b}_abs_power": v for b, v in bands.items()} | {f"{b}_relative_power": ratio(v, total) for b, v in bands.items()}
+    values |= {
+        "theta_beta_ratio": ratio(bands["theta"], bands["beta"]), "beta_alpha_ratio": ratio(bands["beta"], bands["alpha"]), "spectral_entropy": -np.where(p > 0, p * np.log(np.maximum(p, 1e-300)), 0).sum(axis=1) / np.log(len(f)),
+        "spectral_edge_95hz": edge(0.95), "median_frequency_hz": edge(0.5), "dominant_frequency_hz": f[p.argmax(axis=1)], "aperiodic_exponent": -slope, "aperiodic_offset": logs.mean(axis=1) - slope * np.log10(f).mean(),
+        "line_noise_ratio": power[:, np.abs(freq - mains) <= 1].sum(axis=1) / whole, "high_freq_artifact_ratio": power[:, freq > 30].sum(axis=1) / whole,
+    }
+    for name, v in values.items():
+        out[name][ok] = v
+    return out
+
+
 def summary_udf(rate: float, mains: float = 60.0):
-    """Column function: spectral summary of an array of samples."""
+    """Column function: spectral summary of an array of samples; arrays of one length are worked on together."""
 
     @F.pandas_udf(SUMMARY_TYPE)
     def run(x: pd.Series) -> pd.DataFrame:
-        empty = np.zeros(0)
-        return pd.DataFrame([spectral_summary(empty if v is None else np.asarray(v, float), rate, mains) for v in x], columns=SUMMARY_TYPE.names).astype(float)
+        values = [np.zeros(0) if v is None else np.asarray(v, float) for v in x]
+        values = [v[np.isfinite(v)] for v in values]
+        sizes = np.array([len(v) for v in values], int)
+        out = {n: np.full(len(values), np.nan) for n in SUMMARY_TYPE.names}
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            for name, column in spectral_summaries(np.stack([values[i] for i in rows]), rate, mains).items():
+                out[name][rows] = column
+        return pd.DataFrame(out, columns=SUMMARY_TYPE.names)
 
     return run
 
@@ -183,17 +261,22 @@ def periodicity_udf(rate: float):
     return run
 
 
-def pair_udf(rate: float, low: float, high: float):
-    """Column function of two signals: coherence and phase locking in a band."""
+PAIR_TYPE = T.StructType([T.StructField(f"{n}_{b}", T.DoubleType()) for b in BANDS for n in ("coherence", "plv")])
+
 
-    @F.pandas_udf("coherence double, plv double")
+def pair_udf(rate: float):
+    """Column function of two signals: coherence and phase locking in each band."""
+
+    @F.pandas_udf(PAIR_TYPE)
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = [
-            (None, None) if a is None or b is None
-            else (coherence(np.asarray(a, float), np.asarray(b, float), rate, low, high), phase_locking(np.asarray(a, float), np.asarray(b, float), rate, low, high))
-            for a, b in zip(x, y, strict=True)
-        ]
-        return pd.DataFrame(rows, columns=["coherence", "plv"]).astype(float)
+        rows = []
+        for a, b in zip(x, y, strict=True):
+            if a is None or b is None:
+                rows.append((None,) * len(PAIR_TYPE.names))
+                continue
+            a, b = np.asarray(a, float), np.asarray(b, float)
+            rows.append([f(a, b, rate, *lim) for lim in BANDS.values() for f in (coherence, phase_locking)])
+        return pd.DataFrame(rows, columns=PAIR_TYPE.names).astype(float)
 
     return run
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import arrays, spectral
 from pulsegrid.functions.timecols import SECOND, floor_div
 from pulsegrid.operators.intervals import during
-from pulsegrid.operators.windows import latest, mad, median, sessions, trailing, upcoming
+from pulsegrid.operators.windows import latest, mad, median, sessions, tasks_of, trailing, upcoming
 from pulsegrid.sources.tables import require_no_truth
 
 KEYS, T = ["run_id", "person_id"], "canonical_time_ns"
@@ -51,7 +51,7 @@ def cardiac(window: int) -> dict[str, Callable]:
     rr, d = F.col("rr_ms"), F.col("_drr")
     out |= {
         "hr_acceleration_bpm_per_sec": lambda w: F.avg("_dhr").over(w), "polar_rr_device_median_ms": lambda w: F.percentile(rr, F.lit(0.5)).over(w),
-        "polar_rr_ecg_median_ms": lambda w: F.percentile(F.try_divide(F.lit(60_000.0), F.nullif(F.col("ecg_rpeak_count"), F.lit(0)) * 60), F.lit(0.5)).over(w),
+        "polar_rr_ecg_median_ms": lambda w: F.percentile("ecg_rr_ms", F.lit(0.5)).over(w),
         "ecg_rpeak_count": lambda w: F.sum("ecg_rpeak_count").over(w), "ecg_rr_valid_ratio": lambda w: F.avg(rr.between(300, 2000).cast("double")).over(w),
         "ecg_rr_missed_peak_suspect_count": lambda w: F.sum((rr > F.lit(1.6) * F.col("_rr_med")).cast("long")).over(w),
         "ecg_rr_extra_peak_suspect_count": lambda w: F.sum((rr < F.lit(0.6) * F.col("_rr_med")).cast("long")).over(w), "ecg_coverage_ratio": lambda w: F.avg("ecg_coverage_ratio").over(w),
@@ -85,7 +85,7 @@ def eda(window: int) -> dict[str, Callable]:
         "eda_scr_amplitude_max_us": lambda w: F.max(F.when(F.col("_scr"), F.col("_scr_amp"))).over(w), "eda_scr_area_us_sec": lambda w: F.sum(F.greatest(phasic, F.lit(0.0))).over(w),
         "eda_flatline_ratio": lambda w: F.avg((F.abs("_deda") < 1e-6).cast("double")).over(w), "eda_spike_ratio": lambda w: F.avg((F.abs("_deda") > 1.0).cast("double")).over(w),
         "eda_coverage_ratio": lambda w: F.count("eda_us").over(w) / F.lit(float(window)), "eda_variability": lambda w: F.stddev_samp("eda_us").over(w),
-        "eda_time_since_last_scr_sec": lambda w: (F.col(T) - F.max(F.when(F.col("_scr"), F.col(T))).over(w)) / F.lit(float(SECOND)),
+        "eda_time_since_last_scr_sec": lambda w: (F.col(T) - F.col("_last_scr")) / F.lit(float(SECOND)),
     }
     spikes, flat, there = out["eda_spike_ratio"], out["eda_flatline_ratio"], out["eda_coverage_ratio"]
     out["eda_quality_score"] = lambda w: there(w) * (1 - spikes(w)) * (1 - flat(w))
@@ -109,6 +109,7 @@ def motion(window: int) -> dict[str, Callable]:
 
 def optical(window: int) -> dict[str, Callable]:
     return {
+        "watch_ppg_pulse_rate_bpm": lambda w: F.lit(60_000.0) / F.percentile("ppg_interval_ms", F.lit(0.5)).over(w), "watch_skin_temp_mean_c": lambda w: F.avg("skin_temp_c").over(w),
         "watch_ppg_green_dc": lambda w: F.avg("ppg_green_dc").over(w), "watch_ppg_green_ac_amplitude": lambda w: F.avg("ppg_green_ac").over(w),
         "watch_ppg_pulse_amplitude_variability": lambda w: F.try_divide(F.stddev_samp("ppg_green_ac").over(w), F.avg("ppg_green_ac").over(w)),
         "watch_ppg_motion_correlation": lambda w: correlation("ppg_green_ac", "wrist_enmo", w), "watch_ppg_saturation_ratio": lambda w: F.avg((F.col("ppg_green_dc") >= 4090).cast("double")).over(w),
@@ -133,7 +134,27 @@ def cross_modal(window: int, lags: tuple[int, ...] = (0, 5, 10, 20)) -> dict[str
     }
 
 
-FAMILIES = {"cardiac": cardiac, "eda": eda, "motion": motion, "optical": optical, "cross_modal": cross_modal}
+def eeg(window: int) -> dict[str, Callable]:
+    """Band powers over whole seconds (Welch's mean of one-second segments), their shares and ratios, entropy, asymmetry, and what is noise."""
+    out: dict[str, Callable] = {}
+    mean = lambda c, n: lambda w: F.avg(f"eeg_{c}_1s_{n}").over(w)
+    for c in CHANNELS:
+        powers = {b: mean(c, f"{b}_abs_power") for b in spectral.BANDS}
+        total = lambda w, p=powers: sum((f(w) for f in p.values()), F.lit(0.0))
+        out |= {f"eeg_{c}_{b}_abs_power": f for b, f in powers.items()} | {f"eeg_{c}_{b}_relative_power": lambda w, f=f, t=total: F.try_divide(f(w), t(w)) for b, f in powers.items()}
+        out |= {
+            f"eeg_{c}_theta_beta_ratio": lambda w, p=powers: F.try_divide(p["theta"](w), p["beta"](w)), f"eeg_{c}_beta_alpha_ratio": lambda w, p=powers: F.try_divide(p["beta"](w), p["alpha"](w)),
+            f"eeg_{c}_spectral_entropy": mean(c, "spectral_entropy"), f"eeg_{c}_line_noise_ratio": mean(c, "line_noise_ratio"), f"eeg_{c}_high_freq_artifact_ratio": mean(c, "high_freq_artifact_ratio"),
+            f"eeg_{c}_rms_uv": lambda w, c=c: F.sqrt(F.avg(F.col(f"eeg_{c}_rms_uv") * F.col(f"eeg_{c}_rms_uv")).over(w)), f"eeg_{c}_coverage_ratio": lambda w, c=c: F.sum(f"eeg_{c}_coverage_ratio").over(w) / F.lit(float(window)),
+        }
+    log = lambda c: lambda w: F.log(F.nullif(F.avg(f"eeg_{c}_1s_alpha_abs_power").over(w), F.lit(0.0)))
+    out["eeg_frontal_alpha_asymmetry_af7_af8"] = lambda w: log("af8")(w) - log("af7")(w)
+    out["eeg_temporal_alpha_asymmetry_tp9_tp10"] = lambda w: log("tp10")(w) - log("tp9")(w)
+    out["eeg_valid_channel_count"] = lambda w: sum(((F.sum(f"eeg_{c}_coverage_ratio").over(w) >= 0.8 * window).cast("int") for c in CHANNELS), F.lit(0))
+    return out
+
+
+FAMILIES = {"cardiac": cardiac, "eda": eda, "motion": motion, "optical": optical, "cross_modal": cross_modal, "eeg": eeg}
 
 
 def _norm(location: str, of) -> Column:
@@ -159,7 +180,8 @@ def prepared(timeline: DataFrame, lags: tuple[int, ...] = (5, 10, 20)) -> DataFr
         *[((F.col(f"{x}_enmo") > 0.1) & (F.coalesce(before(f"{x}_enmo"), F.lit(0.0)) <= 0.1)).cast("long").alias(f"_{x}_burst") for x in ("wrist", "head", "chest")],
         *[(before(c, k) if k else F.col(c)).alias(f"_{c}_lag{k}") for c in ("hr_bpm", "wrist_enmo") for k in (0, *lags)],
     )
-    return out.filter(F.col("_own") == F.col("_block")).drop("_own", "_block").withColumn("_sec", _seconds())
+    own = out.filter(F.col("_own") == F.col("_block")).drop("_own", "_block").withColumn("_sec", _seconds())
+    return latest(own.withColumn("_last_scr", F.when(F.col("_scr"), F.col(T))), KEYS, T, ["_last_scr"], 3600 * SECOND)
 
 
 def window_features(timeline: DataFrame, window: int, minimum_coverage: float = 0.8, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
@@ -175,32 +197,33 @@ def window_features(timeline: DataFrame, window: int, minimum_coverage: float =
     return require_no_truth(wide.select(*KEYS, T, F.lit(window).cast("short").alias("feature_window_sec"), ok.alias("feature_valid"), *gated))
 
 
-def eeg_features(timeline: DataFrame, window: int, rate: int = 256, stride: int | None = None) -> DataFrame:
+def eeg_features(timeline: DataFrame, window: int, rate: int = 256, stride: int | None = None, mains: float = 60.0) -> DataFrame:
     """Spectral and time-domain EEG features of each whole window, by Arrow kernels on the window's samples.
 
     Windows end every ``stride`` seconds (at multiples of their length by default), and are labelled with the second on
     which they end: no sample after it is used.
     """
     grouped = windowed(timeline, {c: F.col(f"eeg_{c}") for c in CHANNELS}, window, stride).withColumns({c: F.flatten(c) for c in CHANNELS})
-    summary, entropy, pair = spectral.summary_udf(rate), spectral.entropy_udf(), spectral.pair_udf(rate, 8, 13)
+    summary, entropy, pair, cleaned = spectral.summary_udf(rate, mains), spectral.entropy_udf(), spectral.pair_udf(rate), spectral.preprocess_udf(rate, mains)
     out = grouped
     for c in CHANNELS:
         clean = F.filter(c, lambda v: v.isNotNull())
-        out = out.withColumn(c, clean).withColumn(f"_s_{c}", summary(clean)).withColumn(f"_e_{c}", entropy(clean))
+        # spectra, coverage and clipping see the samples as they came; what follows the waveform sees them preprocessed
+        out = out.withColumn(c, clean).withColumn(f"_s_{c}", summary(clean)).withColumn(f"_c_{c}", cleaned(clean)).withColumn(f"_e_{c}", entropy(F.col(f"_c_{c}")))
     columns = [*KEYS, T]
     for c in CHANNELS:
         columns += [F.col(f"_s_{c}.{n}").alias(f"eeg_{c}_{n}") for n in spectral.SUMMARY_TYPE.names] + [F.col(f"_e_{c}.{n}").alias(f"eeg_{c}_{n}") for n in ("sample_entropy", "permutation_entropy")]
-        columns += [f(F.col(c)).alias(f"eeg_{c}_{n}") for n, f in (("rms_uv", arrays.rms), ("peak_to_peak_uv", arrays.peak_to_peak), ("line_length", arrays.line_length), ("zero_crossing_rate", arrays.zero_crossing_rate),
+        columns += [f(F.col(f"_c_{c}")).alias(f"eeg_{c}_{n}") for n, f in (("rms_uv", arrays.rms), ("peak_to_peak_uv", arrays.peak_to_peak), ("line_length", arrays.line_length), ("zero_crossing_rate", arrays.zero_crossing_rate),
                     ("hjorth_activity", arrays.variance), ("hjorth_mobility", arrays.hjorth_mobility), ("hjorth_complexity", arrays.hjorth_complexity))]
         columns += [(F.size(c) / F.lit(float(rate * window))).alias(f"eeg_{c}_coverage_ratio"), arrays.share(F.col(c), lambda v: F.abs(v) >= 999).alias(f"eeg_{c}_clipping_ratio"),
                     arrays.share(F.col(c), lambda v: F.abs(v) > 200).alias(f"eeg_{c}_extreme_amplitude_ratio"), arrays.share(arrays.differences(F.col(c)), lambda d: F.abs(d) < 1e-9).alias(f"eeg_{c}_flatline_ratio")]
     log = lambda c: F.log(F.col(f"_s_{c}.alpha_abs_power"))
     columns += [(log("af8") - log("af7")).alias("eeg_frontal_alpha_asymmetry_af7_af8"), (log("tp10") - log("tp9")).alias("eeg_temporal_alpha_asymmetry_tp9_tp10")]
-    corr = lambda a, b: arrays.correlation(F.col(a), F.col(b))
+    corr = lambda a, b: arrays.correlation(F.col(f"_c_{a}"), F.col(f"_c_{b}"))
     pairs = [(a, b) for i, a in enumerate(CHANNELS) for b in CHANNELS[i + 1 :]]
     for a, b in pairs:
-        out = out.withColumn(f"_p_{a}_{b}", pair(a, b))
-        columns += [F.col(f"_p_{a}_{b}.coherence").alias(f"eeg_pair_{a}_{b}_coherence_alpha"), F.col(f"_p_{a}_{b}.plv").alias(f"eeg_pair_{a}_{b}_plv_alpha")]
+        out = out.withColumn(f"_p_{a}_{b}", pair(f"_c_{a}", f"_c_{b}"))
+        columns += [F.col(f"_p_{a}_{b}.{n}").alias(f"eeg_pair_{a}_{b}_{n}") for n in spectral.PAIR_TYPE.names]
     columns += [(sum((F.coalesce(corr(a, b), F.lit(0.0)) for a, b in pairs), F.lit(0.0)) / len(pairs)).alias("eeg_channel_correlation_mean")]
     noise = sum((F.coalesce(F.col(f"_s_{c}.line_noise_ratio"), F.lit(1.0)) + F.coalesce(F.col(f"_s_{c}.high_freq_artifact_ratio"), F.lit(1.0)) for c in CHANNELS), F.lit(0.0)) / len(CHANNELS)
     quality = F.greatest(1 - noise, F.lit(0.0)) * F.least(sum((F.size(c) for c in CHANNELS), F.lit(0)) / F.lit(float(rate * window * len(CHANNELS))), F.lit(1.0))
@@ -209,24 +232,41 @@ def eeg_features(timeline: DataFrame, window: int, rate: int = 256, stride: int
     return require_no_truth(out.select(*columns))
 
 
-def personal_baseline(df: DataFrame, keys: list[str], t: str, value: str, eligible: Column, lookback: int, warmup: int, bucket: int, epsilon: float = 1e-9) -> DataFrame:
-    """Robust z of ``value`` against its eligible past: (x - median) / (1.4826 MAD + epsilon).
+def personal_baseline(df: DataFrame, keys: list[str], t: str, value: str | dict[str, str], eligible: Column, lookback: int, warmup: int, bucket: int, epsilon: float = 1e-9) -> DataFrame:
+    """Robust z of ``value`` against its eligible past: (x - median) / (1.4826 MAD + epsilon), as ``<value>_personal_robust_z``.
 
-    The past is held as one median for each ``bucket`` of time and strictly before the present bucket, so a row costs
+    Several values, each by the name of its z, share one pass; age, count and confidence are those of the first.  The
+    past is held as one median for each ``bucket`` of time and strictly before the present bucket, so a row costs
     lookback / bucket values instead of one for each sample.
     """
+    values = {value: value} if isinstance(value, str) else value
+    first = next(iter(values.values()))
     marked = df.withColumn("_bucket", floor_div(F.col(t), bucket))
-    buckets = marked.groupBy(*keys, "_bucket").agg(F.percentile(F.when(eligible, F.col(value)), F.lit(0.5)).alias("_m"), F.count(F.when(eligible, F.col(value))).alias("_n"))
-    n = lookback // bucket
-    past = trailing(buckets, keys, "_bucket", n, {
-        "_values": lambda w: F.collect_list("_m").over(w), "baseline_sample_count": lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0)), "_first": lambda w: F.min(F.when(F.col("_n") > 0, F.col("_bucket"))).over(w)}, until=-1)
-    stats = past.select(*keys, "_bucket", "_values", "baseline_sample_count", ((F.col("_bucket") - F.col("_first")) * F.lit(bucket / SECOND)).alias("baseline_age_sec"))
-    stats = stats.select("*", median(F.col("_values")).alias("_med"), mad(F.col("_values")).alias("_mad")).drop("_values")
+    ok = {n: F.when(eligible, F.col(c)) for n, c in values.items()}
+    buckets = marked.groupBy(*keys, "_bucket").agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{n}") for n, c in ok.items()], F.count(F.when(eligible, F.col(first))).alias("_n"))
+    gathered = {f"_v_{n}": lambda w, n=n: F.collect_list(f"_m_{n}").over(w) for n in values}
+    gathered |= {"baseline_sample_count": lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0)), "_first": lambda w: F.min(F.when(F.col("_n") > 0, F.col("_bucket"))).over(w)}
+    past = trailing(buckets, keys, "_bucket", lookback // bucket, gathered, until=-1)
+    age = ((F.col("_bucket") - F.col("_first")) * F.lit(bucket / SECOND)).alias("baseline_age_sec")
+    stats = past.select(*keys, "_bucket", "baseline_sample_count", age, *[x for n in values for x in (median(F.col(f"_v_{n}")).alias(f"_med_{n}"), mad(F.col(f"_v_{n}")).alias(f"_mad_{n}"))])
     out = marked.join(stats, [*keys, "_bucket"])
     ready = F.col("baseline_age_sec") * SECOND >= warmup
-    z = F.when(ready, (F.col(value) - F.col("_med")) / (F.lit(1.4826) * F.col("_mad") + F.lit(epsilon)))
+    z = [F.when(ready, (F.col(c) - F.col(f"_med_{n}")) / (F.lit(1.4826) * F.col(f"_mad_{n}") + F.lit(epsilon))).alias(f"{n}_personal_robust_z") for n, c in values.items()]
     confidence = F.least(F.col("baseline_sample_count") * F.lit(1.0) * SECOND / F.lit(float(max(warmup, 1))), F.lit(1.0))
-    return out.select(*df.columns, z.alias(f"{value}_personal_robust_z"), "baseline_age_sec", "baseline_sample_count", confidence.alias("baseline_confidence"))
+    return out.select(*df.columns, *z, "baseline_age_sec", "baseline_sample_count", confidence.alias("baseline_confidence"))
+
+
+#: Personal z features: what each of them looks at.
+Z_FEATURES = {"hr": "hr_bpm", "rmssd": "rmssd_ms", "eda": "eda_us", "eeg_alpha": "eeg_alpha", "eeg_beta_alpha": "eeg_beta_alpha", "wrist_motion": "wrist_enmo"}
+
+
+def z_inputs(timeline: DataFrame, eligible: Column) -> DataFrame:
+    """The columns of ``Z_FEATURES`` for each second, and whether it may enter the baseline (``ok``)."""
+    over = lambda n: sum((F.col(f"eeg_{c}_1s_{n}") for c in CHANNELS), F.lit(0.0)) / len(CHANNELS)
+    d = prepared(timeline)
+    count = F.count("rr_ms")
+    rolled = trailing(d, KEYS, T, 60 * SECOND, {"rmssd_ms": lambda w: F.when(count.over(w) >= 30, F.sqrt(F.avg(F.col("_drr") * F.col("_drr")).over(w)))}, block=1800 * SECOND)
+    return rolled.select(*KEYS, T, "hr_bpm", "rmssd_ms", "eda_us", "wrist_enmo", over("alpha_abs_power").alias("eeg_alpha"), F.try_divide(over("beta_abs_power"), over("alpha_abs_power")).alias("eeg_beta_alpha"), eligible.alias("ok"))
 
 
 def latest_temperature(timeline: DataFrame) -> DataFrame:
@@ -247,10 +287,11 @@ def windowed(df: DataFrame, values: dict[str, Column], window: int, stride: int
     """
     there = {n: F.when(c.isNotNull(), F.struct(F.col(T).alias("t"), c.alias("x"))) for n, c in values.items()}
     rows = df.select(*KEYS, T, *[c.alias(n) for n, c in there.items()])
+    tasks = tasks_of(df.sparkSession)
     if stride is None or stride == window:
-        out = rows.groupBy(*KEYS, tumbling(T, window).alias(T)).agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in values])
+        out = rows.repartition(tasks, *KEYS, tumbling(T, window)).groupBy(*KEYS, tumbling(T, window).alias(T)).agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in values])
     else:
-        past = trailing(rows, KEYS, T, window * SECOND, {f"_{n}": lambda w, n=n: F.collect_list(n).over(w) for n in values})
+        past = trailing(rows, KEYS, T, window * SECOND, {f"_{n}": lambda w, n=n: F.collect_list(n).over(w) for n in values}, tasks=tasks)
         out = past.filter(F.pmod(F.col(T) + F.lit(SECOND).cast("long"), F.lit(stride * SECOND).cast("long")) == 0).select(*KEYS, T, *[F.col(f"_{n}").alias(n) for n in values])
     return out.withColumns({n: F.transform(n, lambda s: s["x"]) for n in values})
 
@@ -311,13 +352,18 @@ def pulse_transit(ecg_peaks: DataFrame, ppg_peaks: DataFrame, window: int = 60,
     return paired.filter(delay <= longest_ms).groupBy(*KEYS, tumbling("t", window).alias(T)).agg(F.percentile(delay, F.lit(0.5)).alias("ppg_ecg_pulse_transit_proxy_ms"), F.count(F.lit(1)).alias("pairs"))
 
 
-def deviation(baselines: DataFrame, names: list[str], threshold: float = 3.0) -> DataFrame:
-    """Mean absolute z over the modalities that have one (a feature, never a label), and which of them are far off."""
+def with_deviation(baselines: DataFrame, names: list[str]) -> DataFrame:
+    """Add ``multisensor_deviation_score``: the mean absolute z over the modalities that have one (a feature, never a label)."""
     z = [F.col(f"{n}_personal_robust_z") for n in names]
     total = sum((F.coalesce(F.abs(c), F.lit(0.0)) for c in z), F.lit(0.0))
     there = sum((c.isNotNull().cast("int") for c in z), F.lit(0))
-    far = {n: F.when(F.abs(c) > threshold, F.col(T)) for n, c in zip(names, z, strict=True)}
-    return baselines.select(*KEYS, T, F.try_divide(total, there).alias("multisensor_deviation_score"), *[c.alias(f"{n}_exceeds") for n, c in far.items()])
+    return baselines.withColumn("multisensor_deviation_score", F.try_divide(total, there))
+
+
+def deviation(baselines: DataFrame, names: list[str], threshold: float = 3.0) -> DataFrame:
+    """The deviation score, and for each modality the time where it is far off."""
+    far = [F.when(F.abs(F.col(f"{n}_personal_robust_z")) > threshold, F.col(T)).alias(f"{n}_exceeds") for n in names]
+    return with_deviation(baselines, names).select(*KEYS, T, "multisensor_deviation_score", *far)
 
 
 def event_onset_orders(deviations: DataFrame, events: DataFrame, names: list[str]) -> DataFrame:
@@ -338,6 +384,16 @@ def nan_at_sink(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"{c}_valid": F.col(c).isNotNull() for c in columns} | {c: F.coalesce(F.col(c).cast("float"), F.lit(float("nan")).cast("float")) for c in columns})
 
 
+#: Kernels beside the window families: modality and least window.
+KERNELS = {"eeg_features": ("eeg", 5), "hrv_kernels": ("cardiac", 300), "rr_entropy": ("cardiac", 180), "motion_spectra": ("motion", 5), "repetition": ("motion", 5), "pulse_transit": ("optical", 60),
+           "latest_temperature": ("optical", 1), "personal_baseline": ("personal", 1), "deviation": ("cross_modal", 1)}
+
+
+def registered(columns: dict[str, list[str]]) -> list[dict]:
+    """Registry entries of the columns of kernel outputs, by the name of the kernel."""
+    return [{"name": c, "modality": KERNELS[k][0], "min_window_sec": KERNELS[k][1], "min_coverage": 0.8, "causal": True, "leakage_risk": "low"} for k, cs in columns.items() for c in cs]
+
+
 def registry() -> list[dict]:
     """Every registered window feature with its family, least window and causality."""
     out = []

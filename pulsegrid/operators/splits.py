@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.windows import back, before_range, in_ranges
+from pulsegrid.sources.tables import broadcast_if_small
 
 
 def largest_remainder(n: int, fractions: dict[str, float]) -> dict[str, int]:
@@ -48,6 +49,23 @@ def day_split(day: Column, train_days: int) -> Column:
     return F.when(day < train_days, "known_person_past").otherwise("known_person_future_day")
 
 
+def cross_day(day: Column, person: Column, folds: int = 2) -> Column:
+    """Fold of a person's day: days take turns, and persons begin with different folds."""
+    return F.pmod(day.cast("long") + F.pmod(F.conv(F.substring(F.sha2(person.cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(folds)), F.lit(folds)).cast("int")
+
+
+def assign(rows: DataFrame, split: DataFrame, key: str = "person_id") -> DataFrame:
+    """Rows with the split of their person; a person without one gets null."""
+    return rows.join(broadcast_if_small(split.select(key, "split"), 1_000_000), key, "left")
+
+
+def evaluations(labels: DataFrame, split: DataFrame, keys: list[str], day: Column, train_days: int) -> DataFrame:
+    """(keys, day_index, split, future_day, cross_day, artifact_share, stress): which part each day of a person plays in each evaluation."""
+    per = artifact_stress(labels.withColumn("day_index", day), [*keys, "day_index"])
+    out = assign(per, split)
+    return out.select(*keys, "day_index", "split", day_split(F.col("day_index"), train_days).alias("future_day"), cross_day(F.col("day_index"), F.col(keys[-1])).alias("cross_day"), "artifact_share", "stress")
+
+
 def artifact_stress(labels: DataFrame, keys: list[str], share: float = 0.25) -> DataFrame:
     """(keys, artifact_share, stress): the persons or days with the most artifact seconds, from the (1 - share) quantile on."""
     per = labels.groupBy(*keys).agg(F.avg(F.col("artifact_present").cast("double")).alias("artifact_share"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import ast
 import inspect
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timecols import SECOND, floor_div
-from pulsegrid.sources.tables import FORBIDDEN
+from pulsegrid.sources.tables import FORBIDDEN, SAFETY
 
 FINDING = "check string, violations long"
 
@@ -25,14 +25,14 @@ def count_where(df: DataFrame, check: str, bad: Column) -> DataFrame:
 def monotone(df: DataFrame, keys: list[str], t: str, step: int = SECOND, block: int = 3600 * SECOND) -> DataFrame:
     """Rows whose predecessor is not exactly one step before, the first row of each key apart.
 
-    Counted without ordering a key as a whole: a row has a predecessor if some row of its block, or the last step of
-    the block before, is one step earlier.
+    Order is taken within blocks of time; between blocks a row for each of them is enough.
     """
-    later = df.select(*keys, (F.col(t) + F.lit(step).cast("long")).alias(t)).withColumn("_n", F.lit(1))
-    both = df.select(*keys, t).withColumn("_n", F.lit(0)).unionByName(later)
-    met = both.groupBy(*keys, t).agg(F.sum(F.when(F.col("_n") == 0, 1).otherwise(0)).alias("own"), F.sum("_n").alias("before"))
-    per = met.groupBy(*keys).agg(F.sum(F.when((F.col("own") > 0) & (F.col("before") == 0), 1).otherwise(0)).alias("starts"), F.sum(F.greatest(F.col("own") - 1, F.lit(0))).alias("repeats"))
-    return _one(per, "time_strictly_monotone_one_second", F.sum(F.col("starts") - 1 + F.col("repeats")))
+    own = df.select(*keys, t, floor_div(F.col(t), block).alias("_block"))
+    gap = F.col(t) - F.lag(t).over(Window.partitionBy(*keys, "_block").orderBy(t))
+    inside = own.select(*keys, "_block", t, gap.alias("_gap"))
+    blocks = inside.groupBy(*keys, "_block").agg(F.sum(F.when(F.col("_gap") != step, 1).otherwise(0)).alias("_bad"), F.min(t).alias("_first"), F.max(t).alias("_last"))
+    edge = F.col("_first") - F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))
+    return _one(blocks.select((F.col("_bad") + F.when(edge != step, 1).otherwise(0)).alias("n")), "time_strictly_monotone_one_second", F.sum("n"))
 
 
 def phase_order(events: DataFrame) -> DataFrame:
@@ -108,16 +108,71 @@ def future_leak(timeline: DataFrame, compute, at_ns: int, keys: list[str], t: st
 
 
 def same_content(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that one run has and the other lacks, with multiplicity."""
-    extra = a.exceptAll(b).select(F.lit(1).alias("x")).unionAll(b.exceptAll(a).select(F.lit(1).alias("x")))
-    return _one(extra, "same_content", F.count(F.lit(1)))
+    """Rows that one run has and the other lacks, with multiplicity: one signed count of each distinct row."""
+    columns = a.columns
+    both = a.select(*columns, F.lit(1).alias("_n")).unionAll(b.select(*columns, F.lit(-1).alias("_n")))
+    return _one(both.groupBy(*columns).agg(F.abs(F.sum("_n")).alias("_n")), "same_content", F.sum("_n"))
+
+
+def comparable(df: DataFrame, keys: list[str]) -> list[str]:
+    """Columns beside the keys whose values can be compared as numbers."""
+    return [n for n, kind in df.dtypes if n not in keys and kind in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+
+
+def no_perfect_feature(aucs: DataFrame, limit: float) -> DataFrame:
+    """Features that tell the label apart without error."""
+    return count_where(aucs, "no_perfect_feature", F.greatest(F.col("auc"), 1 - F.col("auc")) >= limit)
+
+
+def hard_negatives_overlap(latent: DataFrame, factors: tuple[str, ...]) -> DataFrame:
+    """1 where seconds of hard negatives lie apart from those of targets in every factor: the ranges between the 5th and the 95th percentile."""
+    kind = F.when(F.col("active_target_event_id").isNotNull(), "target").when(F.size("active_hard_negative_event_ids") > 0, "hard")
+    both = latent.withColumn("_kind", kind).filter(F.col("_kind").isNotNull())
+    of = lambda k, f, p: F.percentile(F.when(F.col("_kind") == k, F.col(f)), F.lit(p))
+    apart = [F.coalesce((of("target", f, 0.05) > of("hard", f, 0.95)) | (of("hard", f, 0.05) > of("target", f, 0.95)), F.lit(False)) for f in factors]
+    every = apart[0]
+    for a in apart[1:]:
+        every = every & a
+    return _one(both, "hard_negatives_overlap", every.cast("int"))
+
+
+def key_does_not_decide(aucs: DataFrame, key: str, limit: float = 0.95) -> DataFrame:
+    """1 where a key alone (person, hour of day) tells the label apart."""
+    return count_where(aucs, f"{key}_does_not_decide", F.col("auc") >= limit)
+
+
+#: Words that no name of an event, archetype or column may hold: the data are synthetic and say nothing clinical.
+CLINICAL = ("autis", "seizure", "diagnos", "disorder", "disease", "patient", "syndrome")
+
+
+def literal(spark: SparkSession, check: str, violations: int) -> DataFrame:
+    return spark.range(1).select(F.lit(check).alias("check"), F.lit(violations).cast("long").alias("violations"))
+
+
+def safety(spark: SparkSession, manifest: dict, names: list[str]) -> DataFrame:
+    """Safety flags that are not set, and names that hold a clinical word."""
+    flags = sum(manifest.get(f) is not True for f in SAFETY)
+    return literal(spark, "safety_flags_and_neutral_names", flags + sum(any(w in n.lower() for w in CLINICAL) for n in names))
+
+
+def unregistered(spark: SparkSession, columns: list[str], registered: list[str]) -> DataFrame:
+    """Feature columns that no registry entry describes."""
+    return literal(spark, "features_registered", len(set(columns) - set(registered)))
 
 
 def label_module_imports(module) -> list[str]:
-    """Feature modules that a label module imports; there may be none."""
-    tree = ast.parse(inspect.getsource(module))
-    names = [a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names] + [n.module or "" for n in ast.walk(tree) if isinstance(n, ast.ImportFrom)]
-    return [n for n in names if ".features" in n]
+    """Feature modules that a label module imports, in whichever form; there may be none."""
+    return forbidden_imports(inspect.getsource(module))
+
+
+def forbidden_imports(source: str) -> list[str]:
+    names = []
+    for node in ast.walk(ast.parse(source)):
+        if isinstance(node, ast.Import):
+            names += [a.name for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            names += [f"{node.module or ''}.{a.name}" for a in node.names]
+    return [n for n in names if "features" in n.split(".")]
 
 
 def all_passed(findings: DataFrame) -> list[dict]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timecols import floor_div
@@ -18,17 +18,25 @@ from pulsegrid.functions.timecols import floor_div
 Aggregate = Callable[[object], Column]
 
 
-def trailing(df: DataFrame, keys: list[str], t: str, width: int, aggregates: dict[str, Aggregate], block: int | None = None, until: int = 0) -> DataFrame:
+def tasks_of(spark: SparkSession) -> int:
+    """Tasks for rows that are light to move and heavy to work on: adaptive execution, which goes by bytes, would put them into few."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def trailing(df: DataFrame, keys: list[str], t: str, width: int, aggregates: dict[str, Aggregate], block: int | None = None, until: int = 0, tasks: int | None = None) -> DataFrame:
     """Add ``aggregates`` over the rows of the same keys with time in ``[t - width + 1 + until, t + until]``.
 
     ``until`` is 0 or less (-1 leaves the present out).  Each aggregate takes the window and returns a column.
-    ``block`` defaults to eight widths, so that a row is read 1.1 times on average.
+    ``block`` defaults to eight widths, so that a row is read 1.1 times on average.  With ``tasks`` the blocks are
+    dealt to so many tasks whatever their size.
     """
     if until > 0:
         raise ValueError("a feature window must not look ahead")
     block = block or 8 * width
     own, reach = floor_div(F.col(t), block), floor_div(F.col(t) + F.lit(width - 1 - until), block)
     spread = df.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, reach)))
+    if tasks:
+        spread = spread.repartition(tasks, *keys, "_block")
     frame = Window.partitionBy(*keys, "_block").orderBy(t).rangeBetween(until - width + 1, until)
     out = spread.select("*", *[make(frame).alias(name) for name, make in aggregates.items()])
     return out.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")

@@ -6,13 +6,15 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays, curves, seeds, spectral
 from pulsegrid.functions.timecols import DAY, HOUR, SECOND, floor_div, ns_of_ntz
-from pulsegrid.operators import devices, features, intervals, labels, splits, truth, validation, windows
+from pulsegrid.operators import devices, features, intervals, labels, sanity, splits, truth, validation, windows
+from pulsegrid.plans import run
 from pulsegrid.sources import config as cfg
 
 SEED = 20260725
@@ -98,48 +100,329 @@ def phase_curves(spark, sf_dir):
         r(curves.biexponential_decay(x), 9).alias("decay"), r(curves.slow_decay(x), 9).alias("slow"))
 
 
-@query()
+def _seed(*parts: str) -> str:
+    """60-bit seed of a path of SQL expressions."""
+    return HEX15.format(" || '/' || ".join(parts))
+
+
+def _u(seed: str, name: str) -> str:
+    return U.format(f"{seed} || '/' || {name}")
+
+
+def _z(seed: str, name: str) -> str:
+    return f"(sqrt(-2.0 * ln(1.0 - {_u(seed, f'{name} || chr(97)')})) * cos(6.283185307179586 * {_u(seed, f'{name} || chr(98)')}))"
+
+
+def _truncated(seed: str, name: str, d) -> str:
+    draws = f"list_transform(range(0, {seeds.TRIES}), lambda k: {float(d.mean)} + {float(d.std)} * {_z(seed, f"'{name}/' || k")})"
+    return f"coalesce(list_filter({draws}, lambda x: x BETWEEN {float(d.min)} AND {float(d.max)})[1], {min(max(float(d.mean), d.min), d.max)})"
+
+
+def _lognormal(seed: str, name: str, d) -> str:
+    return f"({float(d.median)} * exp({math.log(d.geometric_std)!r} * {_z(seed, f"'{name}'")}))"
+
+
+def _gamma(seed: str, name: str, shape: float) -> str:
+    """The first accepted of a series of draws."""
+    d = shape - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    draws = f"list_transform(range(0, {seeds.TRIES}), lambda k: {{'z': {_z(seed, f"'{name}/' || k")}, 'u': {_u(seed, f"'{name}/' || k || 'u'")}}})"
+    v = f"pow(1.0 + {c!r} * x.z, 3.0)"
+    ok = f"{v} > 0 AND ln(1.0 - x.u) < 0.5 * x.z * x.z + {d!r} - {d!r} * {v} + {d!r} * ln(greatest({v}, 1e-300))"
+    return f"coalesce(list_filter(list_transform({draws}, lambda x: CASE WHEN {ok} THEN {d!r} * {v} END), lambda y: y IS NOT NULL)[1], {d!r})"
+
+
+def _beta(seed: str, name: str, d) -> str:
+    x, y = _gamma(seed, f"{name}/x", d.alpha), _gamma(seed, f"{name}/y", d.beta)
+    return f"({x} / ({x} + {y}))"
+
+
+def _categorical(seed: str, name: str, weights: dict[str, float]) -> str:
+    total, upto, out = sum(weights.values()), 0.0, "CASE"
+    for key, w in weights.items():
+        upto += w / total
+        out += f" WHEN {_u(seed, name)} < {upto!r} THEN '{key}'"
+    return f"{out} ELSE '{list(weights)[-1]}' END"
+
+
+def _discrete(seed: str, name: str, low, high) -> str:
+    return f"CAST({int(low)} + floor({_u(seed, name)} * {int(high) - int(low) + 1}) AS BIGINT)"
+
+
+def _float(x: str, digits: int = 5) -> str:
+    return f"round(CAST(CAST({x} AS FLOAT) AS DOUBLE), {digits})"
+
+
+def _people(c: cfg.RunConfig) -> str:
+    """CTEs of persons and days with their seeds."""
+    n_days = truth.day_count(c)
+    return f"""pp AS (SELECT 'P' || lpad(CAST(p AS VARCHAR), 3, '0') AS person_id FROM (SELECT unnest(range(1, {c.run.participant_count + 1})) AS p)),
+    pe AS (SELECT person_id, {_seed(f"'{c.run.seed}/person'", "person_id")} AS seed FROM pp),
+    da AS (SELECT person_id, CAST(d AS BIGINT) AS day_index, {_seed(f"'{c.run.seed}/person'", "person_id", "'day'", "d")} AS seed, {c.run.start_ns} + d * {DAY} AS midnight FROM pp, (SELECT unnest(range(0, {n_days})) AS d))"""
+
+
+MVP, QUICK = cfg.builtin("mvp"), cfg.builtin("quick")
+
+
+def _participants_sql(c: cfg.RunConfig) -> str:
+    p = c.population
+    low = [[1.0, 0.0], [-0.5, math.sqrt(1 - 0.25)]]  # the Cholesky factor's first rows
+    z0, z1 = _z("seed", "'base0'"), _z("seed", "'base1'")
+    hr = f"least(greatest({p.resting_hr_bpm.mean} + {p.resting_hr_bpm.std} * ({low[0][0]} * {z0} + {p.research_prior_strength} * 0.5), {p.resting_hr_bpm.min}), {p.resting_hr_bpm.max})"
+    rmssd = f"{p.rmssd_ms.median} * exp({math.log(p.rmssd_ms.geometric_std)!r} * ({low[1][0]} * {z0} + {low[1][1]!r} * {z1} - {p.research_prior_strength} * 0.5))"
+    columns = {
+        "age_years": _truncated("seed", "age", p.age_years), "resting_hr_bpm_truth": hr, "rmssd_ms_truth": rmssd, "eeg_aperiodic_exponent_truth": _truncated("seed", "aperiodic", p.eeg_aperiodic_exponent),
+        "eeg_relative_alpha_truth": _beta("seed", "alpha", p.eeg_relative_alpha), "eeg_relative_gamma_truth": _beta("seed", "gamma", p.eeg_relative_gamma), "eda_tonic_level_us_truth": _lognormal("seed", "tonic", p.eda_tonic_level_us),
+        "recovery_capacity_truth": _beta("seed", "recovery", p.recovery_capacity), "opposite_response_tendency_truth": f"{_u('seed', chr(39) + 'opposite' + chr(39))} * 2 * {p.opposite_direction_probability}",
+        "no_response_tendency_truth": f"{_u('seed', chr(39) + 'none' + chr(39))} * 2 * {p.no_response_probability}",
+        "circadian_amplitude_truth": f"1 + ({_u('seed', chr(39) + 'circadian' + chr(39))} * 2 - 1) * {c.context.circadian.amplitude_variation}",
+    }
+    sex = f"CASE WHEN {_u('seed', chr(39) + 'sex' + chr(39))} < {p.female_probability} THEN 'female' ELSE 'male' END"
+    return f"""SELECT '{cfg.run_id(c)}' AS run_id, person_id, {sex} AS biological_sex, {_categorical('seed', "'archetype'", p.response_archetypes)} AS response_archetype,
+      {", ".join(f"{_float(x, 3)} AS {n}" for n, x in columns.items())}, seed FROM pe"""
+
+
+def rounded_floats(df: DataFrame, digits: int = 5) -> DataFrame:
+    """Float columns as doubles, rounded for comparison."""
+    return df.withColumns({n: r(F.col(n).cast("double"), digits) for n, kind in df.dtypes if kind in ("float", "double")})
+
+
+@query(f"WITH {_people(MVP)} {_participants_sql(MVP)}")
 def participants(spark, sf_dir):
-    return truth.participants(spark, cfg.builtin("mvp"))
+    return rounded_floats(truth.participants(spark, MVP), 3)
 
 
-@query()
-def daily_context(spark, sf_dir):
-    return truth.daily_context(spark, cfg.builtin("mvp"))
+def _daily_sql(c: cfg.RunConfig) -> str:
+    sleep = c.context.sleep
+    start = f"midnight + CAST(floor(({_truncated('seed', 'bed', sleep.bedtime_local_hour)} - {c.run.local_utc_offset_hours}) * 3600) AS BIGINT) * {SECOND}"
+    drifts = ", ".join(f"{_float(_z('seed', chr(39) + n + chr(39)) + ' * 0.1')} AS {c_}" for n, c_ in (("fatigue", "fatigue_drift_truth"), ("activity", "activity_drift_truth"), ("baseline", "baseline_drift_truth"), ("tolerance", "sensor_tolerance_truth")))
+    return f"""dc AS (SELECT '{cfg.run_id(c)}' AS run_id, person_id, day_index, CAST(DATE '1970-01-01' + CAST(midnight // {DAY} AS INTEGER) AS DATE) AS date_utc, {start} AS sleep_start_time_ns,
+      CAST(floor({_truncated('seed', 'sleep', sleep.duration_hours)} * 3600) AS BIGINT) AS sleep_duration_sec, {drifts}, seed, midnight FROM da)"""
 
 
-@query()
+@query(f"""WITH {_people(MVP)}, {_daily_sql(MVP)} SELECT run_id, person_id, day_index, CAST(date_utc AS VARCHAR) AS date_utc, sleep_start_time_ns, sleep_start_time_ns + sleep_duration_sec * {SECOND} AS sleep_end_time_ns, sleep_duration_sec,
+    fatigue_drift_truth, activity_drift_truth, baseline_drift_truth, sensor_tolerance_truth, seed FROM dc""")
+def daily_context(spark, sf_dir):
+    return rounded_floats(truth.daily_context(spark, MVP)).withColumn("date_utc", F.col("date_utc").cast("string"))
+
+
+def _contexts_sql(c: cfg.RunConfig) -> str:
+    local, x = f"(midnight - {c.run.local_utc_offset_hours * HOUR})", c.context
+    kinds = {"light_activity": 0.35, "moderate_activity": 0.2, "focused_task": 0.25, "sedentary_activity": 0.15, "transition": 0.05}
+    begin = f"{local} + {_discrete('seed', chr(39) + 'begin' + chr(39) + ' || k', 7 * 3600, 21 * 3600)} * {SECOND}"
+    at = f"{local} + (h * 3600 + {_discrete('seed', chr(39) + 'meal' + chr(39) + ' || h', -1800, 1800)}) * {SECOND}"
+    return f"""bo AS (SELECT *, unnest(range(1, 1 + {_discrete('seed', chr(39) + 'bouts' + chr(39), x.ordinary_activity.daily_bouts.min, x.ordinary_activity.daily_bouts.max)})) AS k FROM dc),
+    ci AS (SELECT person_id, 'sleep' AS context, 0 AS priority, sleep_start_time_ns AS start_ns, sleep_start_time_ns + sleep_duration_sec * {SECOND} AS end_ns FROM dc
+      UNION ALL SELECT person_id, 'sleep', 0, sleep_start_time_ns - {DAY}, sleep_start_time_ns + sleep_duration_sec * {SECOND} - {DAY} FROM dc WHERE day_index = 0
+      UNION ALL SELECT person_id, 'meal_context', 1, {at}, {at} + {1500 * SECOND} FROM (SELECT *, unnest([8, 13, 19]) AS h FROM dc)
+      UNION ALL SELECT person_id, {_categorical('seed', chr(39) + 'kind' + chr(39) + ' || k', kinds)}, 2, {begin}, {begin} + {_discrete('seed', chr(39) + 'for' + chr(39) + ' || k', 300, 3600)} * {SECOND} FROM bo)"""
+
+
+@query(f"WITH {_people(MVP)}, {_daily_sql(MVP)}, {_contexts_sql(MVP)} SELECT person_id, context, priority, start_ns, end_ns FROM ci")
+def context_intervals(spark, sf_dir):
+    """Sleep, meals and bouts of activity of every person and day."""
+    return truth.context_intervals(spark, MVP).drop("run_id")
+
+
+def _events_sql(c: cfg.RunConfig) -> str:
+    e, longest = c.events, int(sum(p.max for p in c.events.phases_sec.values()))
+    q = lambda n: f"'{n}'"
+    durations = ", ".join(f"{_discrete('seed', q(p), x.min, x.max)} AS d_{p}" for p, x in e.phases_sec.items())
+    per_day = _discrete("seed", q("targets"), e.target_events_per_day.min, e.target_events_per_day.max)
+    archetype = _categorical("seed", q("archetype"), c.population.response_archetypes)
+    return f"""sl AS (SELECT person_id, day_index, seed, midnight AS beg, least(86400, {c.run.duration_sec} - day_index * 86400) AS seconds FROM da),
+    sn AS (SELECT *, least({per_day}, CAST(floor(seconds / {longest + e.minimum_gap_sec}) AS BIGINT)) AS n FROM sl),
+    sk AS (SELECT *, unnest(range(1, n + 1)) AS k FROM sn WHERE n > 0),
+    st AS (SELECT person_id, beg, seconds, n, k, seed AS day_seed, unnest([true, false]) AS is_target FROM sk),
+    sd AS (SELECT *, {_seed('day_seed', "CASE WHEN is_target THEN 'target' ELSE 'hard' END", 'k')} AS seed FROM st),
+    sp AS (SELECT *, CAST(floor(seconds / n) AS BIGINT) AS stratum, CASE WHEN is_target THEN '{truth.TARGET}' ELSE {_categorical('seed', q('type'), e.hard_negatives)} END AS event_type FROM sd
+           WHERE is_target OR {_u('seed', q('ratio'))} < {e.hard_negative_ratio}),
+    sf AS (SELECT *, beg + ((k - 1) * stratum + CAST(floor({_u('seed', q('place'))} * (greatest(stratum - {longest + e.minimum_gap_sec}, 0) + 1)) AS BIGINT)) * {SECOND} AS s0, {durations},
+           event_type = 'sensor_artifact_episode' AS only_artifact, event_type = 'recovery_without_peak' AS no_onset, NOT is_target AND event_type IN ('recovery_without_peak', 'quiet_cognitive_load') AS no_peak,
+           is_target AND {_u('seed', q('precursor'))} < {c.pattern.exceptions.no_precursor_probability} AS no_pre FROM sp),
+    sb AS (SELECT *, s0 + CASE WHEN no_pre THEN 0 ELSE d_pre_early END * {SECOND} AS b1, s0 + CASE WHEN no_pre THEN 0 ELSE d_pre_early + d_pre_late END * {SECOND} AS b2 FROM sf),
+    sc AS (SELECT *, b2 + CASE WHEN no_onset THEN 0 ELSE d_onset END * {SECOND} AS b3, b2 + (CASE WHEN no_onset THEN 0 ELSE d_onset END + CASE WHEN no_peak THEN 0 ELSE d_peak END) * {SECOND} AS b4 FROM sb),
+    ar AS (SELECT person_id, {archetype} AS own FROM pe),
+    te AS (SELECT '{cfg.run_id(c)}' AS run_id, sc.person_id, 'ev_' || lpad(printf('%x', seed), 15, '0') AS event_id, event_type, is_target, CASE WHEN NOT is_target THEN event_type END AS hard_negative_kind, s0 AS start_time_ns,
+           CASE WHEN NOT (only_artifact OR no_pre) THEN b1 END AS pre_late_start_time_ns, CASE WHEN NOT (only_artifact OR no_onset) THEN b2 END AS onset_time_ns,
+           CASE WHEN NOT (only_artifact OR no_peak) THEN b3 END AS peak_start_time_ns, CASE WHEN NOT (only_artifact OR no_peak) THEN b4 END AS peak_end_time_ns,
+           CASE WHEN NOT only_artifact THEN b4 + d_recovery_early * {SECOND} END AS recovery_early_end_time_ns, CASE WHEN NOT only_artifact THEN b4 + (d_recovery_early + d_recovery_late) * {SECOND} END AS recovery_late_end_time_ns,
+           CASE WHEN only_artifact THEN s0 + (d_pre_early + d_onset) * {SECOND} ELSE b4 + (d_recovery_early + d_recovery_late + d_post) * {SECOND} END AS end_time_ns,
+           CAST({_beta('seed', 'intensity', e.intensity)} AS FLOAT) AS intensity_truth, only_artifact AS is_artifact_only_schedule, seed,
+           CASE WHEN {_u('seed', q('vary'))} < 0.2 THEN {archetype} ELSE own END AS archetype,
+           coalesce(CASE WHEN NOT (only_artifact OR no_peak) THEN b4 END, CASE WHEN no_onset THEN s0 + (d_pre_early + d_pre_late) * {SECOND} ELSE b2 + d_onset * {SECOND} END) AS recovery_ns
+           FROM sc JOIN ar ON ar.person_id = sc.person_id)"""
+
+
+@query(f"WITH {_people(MVP)}, {_events_sql(MVP)} SELECT * REPLACE (round(CAST(intensity_truth AS DOUBLE), 5) AS intensity_truth) EXCLUDE (recovery_ns) FROM te".replace("* REPLACE (round(CAST(intensity_truth AS DOUBLE), 5) AS intensity_truth) EXCLUDE (recovery_ns)", "* EXCLUDE (recovery_ns) REPLACE (round(CAST(intensity_truth AS DOUBLE), 5) AS intensity_truth)"))
 def truth_events(spark, sf_dir):
-    return truth.events(spark, cfg.builtin("mvp"))
+    return rounded_floats(truth.events(spark, MVP))
+
+
+def _effects_sql(c: cfg.RunConfig) -> str:
+    p, q = c.pattern, lambda n: f"'{n}'"
+    usual = c.population.opposite_direction_probability
+    pairs = "[" + ", ".join(f"'{x}'" for x in truth.PAIRS) + "]"
+    gains = []
+    for k, (m, (factor, most)) in enumerate(truth.MODALITIES.items()):
+        effect, lag, strength = p.latent_effects[factor], p.lag_sec[m], p.response_strength[m]
+        by = lambda nth: "CASE archetype " + " ".join(f"WHEN '{a}' THEN {of[m][nth]}" for a, of in truth.ARCHETYPES.items()) + " END"  # noqa: B023, E731
+        sign = f"CASE {_categorical('seed', q(f'direction/{factor}'), dict(effect.direction_probabilities))} WHEN 'increase' THEN 1.0 WHEN 'decrease' THEN -1.0 ELSE 0.0 END * CASE WHEN turned THEN -1.0 ELSE 1.0 END"
+        size = f"(0.4 + 1.2 * {_beta('seed', f'magnitude/{factor}', effect.magnitude)})"
+        answer = f"(0.3 + 0.7 * ({float(strength.min)} + {_u('seed', q(f'strength/{m}'))} * {float(strength.max - strength.min)}))"
+        quiet = f"(silent OR coalesce(missing = {k}, false) OR (archetype = 'partial_response' AND NOT list_contains(string_split(pair, ' '), '{m}')))"
+        target = f"CASE WHEN {quiet} THEN 0.0 ELSE {most} * intensity * {sign} * {size} * {answer} * {by(1)} END"
+        hard = "CASE event_type " + " ".join(f"WHEN '{kind}' THEN {'CASE WHEN alone = ' + q(m) + ' THEN ' + str(of[m]) + ' ELSE 0.0 END' if kind == 'recovery_without_peak' else of[m]}" for kind, of in truth.HARD_EFFECTS.items()) + " ELSE 0.0 END"
+        gains.append(f"round(CASE WHEN is_target THEN {target} ELSE {hard} * (0.5 + 0.5 * intensity) END, 6) AS gain_{m}")
+        gains.append(f"CASE WHEN is_target THEN CAST(round(({float(lag.min)} + ({by(0)} + {_u('seed', q(f'lag/{m}'))}) / 3 * {float(lag.max - lag.min)}) * 1000) AS BIGINT) * 1000000 ELSE 0 END AS lag_{m}_ns")
+    tendency = f"SELECT person_id AS tp, CAST(CAST({_u('seed', q('opposite'))} * 2 * {usual} AS FLOAT) AS DOUBLE) AS opposite, CAST(CAST({_u('seed', q('none'))} * 2 * {c.population.no_response_probability} AS FLOAT) AS DOUBLE) AS silence FROM pe"
+    return f"""ef0 AS (SELECT te.*, CAST(intensity_truth AS DOUBLE) AS intensity, {_u('seed', q('opposite'))} < {p.exceptions.opposite_response_probability} * (opposite / {usual}) AS turned, {_u('seed', q('none'))} < silence AS silent,
+           CASE WHEN {_u('seed', q('missing'))} < {p.exceptions.missing_modality_probability} THEN {_discrete('seed', q('which'), 0, 3)} END AS missing, {pairs}[{_discrete('seed', q('pair'), 0, 5)} + 1] AS pair,
+           CASE WHEN {_u('seed', q('alone'))} < 0.5 THEN 'eeg' ELSE 'eda' END AS alone FROM te JOIN ({tendency}) ON tp = te.person_id WHERE NOT is_artifact_only_schedule),
+    ef AS (SELECT *, {", ".join(gains)} FROM ef0)"""
+
+
+_EFFECT_COLUMNS = [f"{n}_{m}{x}" for m in truth.MODALITIES for n, x in (("gain", ""), ("lag", "_ns"))]
+
+
+@query(f"WITH {_people(MVP)}, {_events_sql(MVP)}, {_effects_sql(MVP)} SELECT event_id, recovery_ns, {', '.join(_EFFECT_COLUMNS)} FROM ef")
+def event_effects(spark, sf_dir):
+    """Gains and lags of every event: directions, archetypes, tendencies, exceptions and hard negatives."""
+    ev = windows.written(truth.events(spark, MVP))
+    return rounded_floats(truth.event_effects(ev, truth.participants(spark, MVP), MVP).select("event_id", "recovery_ns", *_EFFECT_COLUMNS), 6)
+
+
+def _response_sql(t: str) -> str:
+    early = "coalesce(pre_late_start_time_ns, CASE WHEN is_target THEN start_time_ns ELSE onset_time_ns END)"
+    late, onset_end = "coalesce(onset_time_ns, recovery_ns)", "coalesce(peak_start_time_ns, recovery_ns)"
+    share = lambda a, b: f"(({t} - {a})::DOUBLE / ({b} - {a})::DOUBLE)"
+    e, l, o, p = share("start_time_ns", early), share(early, late), share(late, onset_end), share(onset_end, "recovery_ns")
+    rec, tail = share("recovery_ns", "recovery_early_end_time_ns"), share("recovery_early_end_time_ns", "recovery_late_end_time_ns")
+    before, top = "CASE WHEN pre_late_start_time_ns IS NULL THEN 0.0 ELSE 0.4 END", "CASE WHEN onset_time_ns IS NULL THEN 0.4 ELSE 1.0 END"
+    return f"""CASE WHEN {t} < start_time_ns THEN 0.0 WHEN {t} < {early} THEN 0.2 * {e} * {e} * (3.0 - 2.0 * {e}) WHEN {t} < {late} THEN 0.2 + 0.2 * (exp(3.0 * {l}) - 1) / (exp(3.0) - 1)
+      WHEN {t} < {onset_end} THEN {before} + (1.0 - {before}) / (1.0 + exp(-10.0 * ({o} - 0.5))) WHEN {t} < recovery_ns THEN 0.95 + 0.05 * cos(6.283185307179586 * {p})
+      WHEN {t} < recovery_early_end_time_ns THEN {top} * (0.7 * exp(-4.0 * {rec}) + 0.3 * exp(-1.0 * {rec})) WHEN {t} < recovery_late_end_time_ns THEN {top} * 0.12 * exp(-2.0 * {tail}) ELSE 0.0 END"""
+
+
+def _states_sql(c: cfg.RunConfig) -> str:
+    """Seconds of a run with context, target, phase and drives, by plain interval joins."""
+    drives = ", ".join(f"sum(CAST(round(gain_{m} * ({_response_sql(f'(t - lag_{m}_ns)')}) * 1000000) AS BIGINT)) / 1e6 AS drive_{m}" for m in truth.MODALITIES)
+    phase = """CASE WHEN t < coalesce(pre_late_start_time_ns, onset_time_ns) THEN 'pre_early' WHEN t < onset_time_ns THEN 'pre_late' WHEN t < peak_start_time_ns THEN 'onset' WHEN t < peak_end_time_ns THEN 'peak'
+      WHEN t < recovery_early_end_time_ns THEN 'recovery_early' WHEN t < recovery_late_end_time_ns THEN 'recovery_late' ELSE 'post' END"""
+    return f"""gr AS (SELECT person_id, {c.run.start_ns} + s * {SECOND} AS t FROM pp, (SELECT unnest(range(0, {c.run.duration_sec})) AS s)),
+    gc AS (SELECT gr.person_id, t, arg_min(context, priority * 100 + CASE context {' '.join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(sorted(truth.CONTEXTS)))} END) AS context FROM gr JOIN ci ON gr.person_id = ci.person_id AND t >= start_ns AND t < end_ns GROUP BY 1, 2),
+    gt AS (SELECT gr.person_id, t, event_id AS target_id, {phase} AS target_phase FROM gr JOIN te ON gr.person_id = te.person_id AND is_target AND t >= start_time_ns AND t < end_time_ns),
+    gd AS (SELECT gr.person_id, t, {drives} FROM gr JOIN ef ON gr.person_id = ef.person_id AND t >= start_time_ns - {60 * SECOND} AND t < recovery_late_end_time_ns + {61 * SECOND} GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_people(QUICK)}, {_daily_sql(QUICK)}, {_contexts_sql(QUICK)}, {_events_sql(QUICK)}, {_effects_sql(QUICK)}, {_states_sql(QUICK)}
+    SELECT gr.person_id, gr.t AS truth_time_ns, coalesce(context, 'wake_rest') AS context_state, target_id, target_phase, {', '.join(f'coalesce(drive_{m}, 0.0) AS drive_{m}' for m in truth.MODALITIES)}
+    FROM gr LEFT JOIN gc ON gc.person_id = gr.person_id AND gc.t = gr.t LEFT JOIN gt ON gt.person_id = gr.person_id AND gt.t = gr.t LEFT JOIN gd ON gd.person_id = gr.person_id AND gd.t = gr.t""")
+def timeline_states(spark, sf_dir):
+    """Each second's context, active target and phase, and what events add to each modality: the timeline less its noise."""
+    out = truth.states(spark, QUICK, windows.written(truth.events(spark, QUICK)))
+    return out.drop("run_id")
 
 
 @query()
 def latent_timeline(spark, sf_dir):
-    c = cfg.builtin("quick")
-    return truth.latent_timeline(spark, c, truth.events(spark, c))
+    return truth.latent_timeline(spark, QUICK, truth.events(spark, QUICK))
+
+
+def _artifacts_sql(c: cfg.RunConfig) -> str:
+    kinds = ", ".join(f"('{s}', '{k}', {r_}, {lo}, {hi})" for s, k, r_, lo, hi in devices.artifact_kinds(c))
+    families = ", ".join(f"('{d}', '{f}')" for d, fs in devices.DEVICE_FAMILIES.items() for f in fs)
+    block, q = c.artifacts.block_dropouts_per_day, lambda n: f"'{n}'"
+    end = c.run.start_ns + c.run.duration_sec * SECOND
+    return f"""ak AS (SELECT * FROM (VALUES {kinds}) AS v(stream_name, artifact_type, rate, low, high)), fa AS (SELECT * FROM (VALUES {families}) AS v(device, stream_name)),
+    au AS (SELECT pe.person_id, pe.seed, slot, ak.*, 'artifact/' || stream_name || '/' || artifact_type || '/' || slot AS nm FROM pe, (SELECT unnest(range(0, {-(-c.run.duration_sec // 60)})) AS slot), ak),
+    ah AS (SELECT *, {_seed('seed', 'nm', "'is'")} AS aseed FROM au WHERE {_u('seed', 'nm')} < least(rate * 60 / 3600, 0.95)),
+    ab AS (SELECT *, {c.run.start_ns} + (slot * 60 + CAST(floor({_u('aseed', q('at'))} * 60) AS BIGINT)) * {SECOND} AS s FROM ah),
+    bd AS (SELECT person_id, d, device, {_seed('seed', q('dropout'), 'device', 'd')} AS dseed FROM pe, (SELECT unnest(range(0, {truth.day_count(c)})) AS d), (SELECT DISTINCT device FROM fa)),
+    bk AS (SELECT *, {_seed('dseed', 'k')} AS aseed FROM (SELECT *, unnest(range(1, 1 + {_discrete('dseed', q('n'), block.min, block.max)})) AS k FROM bd)),
+    bs AS (SELECT *, {c.run.start_ns} + d * {DAY} + {_discrete('aseed', q('at'), 0, 86399)} * {SECOND} AS s FROM bk),
+    am0 AS (SELECT person_id, aseed AS seed, stream_name, CASE WHEN artifact_type IN ('channel_dropout', 'electrode_pop', 'impedance_drift') THEN ['tp9', 'af7', 'af8', 'tp10'][CAST(floor({_u('aseed', q('channel'))} * 4) AS BIGINT) + 1] END AS channel,
+            artifact_type, s AS start_time_ns, s + CAST(low + floor({_u('aseed', q('for'))} * (high - low + 1)) AS BIGINT) * {SECOND} AS end_time_ns, CAST(0.2 + 0.8 * {_u('aseed', q('severity'))} AS FLOAT) AS severity FROM ab
+      UNION ALL SELECT person_id, aseed, stream_name, NULL, 'block_dropout', s, s + {_discrete('aseed', q('for'), 30, 300)} * {SECOND}, 1.0 FROM bs JOIN fa ON fa.device = bs.device WHERE s < {end}),
+    am AS (SELECT '{cfg.run_id(c)}' AS run_id, person_id, 'ar_' || lpad(printf('%x', seed), 15, '0') || '_' || stream_name AS artifact_id, CASE stream_name WHEN 'eeg' THEN 'headband' WHEN 'ecg' THEN 'strap' ELSE 'watch' END AS device_id,
+            stream_name, channel, artifact_type, start_time_ns, end_time_ns, severity, seed FROM am0)"""
+
+
+@query(f"WITH {_people(QUICK)}, {_artifacts_sql(QUICK)} SELECT * REPLACE (round(CAST(severity AS DOUBLE), 5) AS severity) FROM am")
+def artifact_manifest(spark, sf_dir):
+    return rounded_floats(devices.artifacts(spark, QUICK))
+
+
+_MARKS = {"to_onset": "onset_time_ns", "to_peak": "peak_start_time_ns"}
+
+
+@query(f"""WITH {_people(QUICK)}, {_events_sql(QUICK)}, {_artifacts_sql(QUICK)}, gr AS (SELECT person_id, {QUICK.run.start_ns} + s * {SECOND} AS t FROM pp, (SELECT unnest(range(0, {QUICK.run.duration_sec})) AS s)),
+    tg AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY start_time_ns, event_id) AS k FROM te WHERE is_target),
+    ge AS (SELECT gr.person_id, t, tg.* EXCLUDE (person_id), {"CASE WHEN t < coalesce(pre_late_start_time_ns, onset_time_ns) THEN 1 WHEN t < onset_time_ns THEN 2 WHEN t < peak_start_time_ns THEN 3 WHEN t < peak_end_time_ns THEN 4 WHEN t < recovery_early_end_time_ns THEN 5 WHEN t < recovery_late_end_time_ns THEN 6 ELSE 7 END"} AS code
+           FROM gr JOIN tg ON gr.person_id = tg.person_id AND t >= start_time_ns AND t < end_time_ns),
+    gn AS (SELECT gr.person_id, t, min(onset_time_ns) AS nxt FROM gr JOIN tg ON gr.person_id = tg.person_id AND onset_time_ns > t GROUP BY 1, 2),
+    ga AS (SELECT gr.person_id, t, max(struct_pack(v := CAST(round(CAST(severity AS DOUBLE) * 1000000) AS BIGINT), k := artifact_type)) AS worst, bool_or(stream_name = 'eeg' AND severity >= 0.5) AS eeg,
+           bool_or(stream_name = 'ecg' AND severity >= 0.5) AS ecg, bool_or(stream_name = 'eda' AND severity >= 0.5) AS eda FROM gr JOIN am ON gr.person_id = am.person_id AND t >= start_time_ns AND t < end_time_ns GROUP BY 1, 2)
+    SELECT gr.person_id, gr.t AS canonical_time_ns, event_id, event_type, coalesce(code, 0) AS event_phase_code, event_id IS NOT NULL AS event_binary, CAST(k AS BIGINT) AS event_instance_index,
+      CASE WHEN gr.t < onset_time_ns THEN (onset_time_ns - gr.t) / 1e9 END AS time_to_onset_sec, CASE WHEN gr.t >= onset_time_ns THEN (gr.t - onset_time_ns) / 1e9 END AS time_since_onset_sec,
+      CASE WHEN gr.t < peak_start_time_ns THEN (peak_start_time_ns - gr.t) / 1e9 END AS time_to_peak_sec, CASE WHEN gr.t < end_time_ns THEN (end_time_ns - gr.t) / 1e9 END AS time_to_event_end_sec,
+      CASE WHEN intensity_truth < 1 / 3.0 THEN 'low' WHEN intensity_truth < 2 / 3.0 THEN 'medium' WHEN intensity_truth IS NOT NULL THEN 'high' END AS event_intensity_class,
+      (nxt - gr.t) / 1e9 AS next_target_onset_sec, {", ".join(f"coalesce(nxt - gr.t <= {h * SECOND}, false) AS will_target_start_within_{h}s" for h in labels.HORIZONS)},
+      worst.k AS artifact_type_primary, coalesce(worst.v >= 700000, false) AS artifact_dominant, worst IS NOT NULL AS artifact_present, NOT coalesce(eeg, false) AS valid_for_eeg_model, NOT coalesce(ecg, false) AS valid_for_cardiac_model,
+      NOT coalesce(eda, false) AS valid_for_eda_model, NOT (coalesce(eeg, false) OR coalesce(ecg, false) OR coalesce(eda, false)) AS valid_for_multimodal_model,
+      CAST(coalesce(eeg, false) AS BIGINT) + CAST(coalesce(ecg, false) AS BIGINT) + CAST(coalesce(eda, false) AS BIGINT) AS missing_modality_count
+    FROM gr LEFT JOIN ge ON ge.person_id = gr.person_id AND ge.t = gr.t LEFT JOIN gn ON gn.person_id = gr.person_id AND gn.t = gr.t LEFT JOIN ga ON ga.person_id = gr.person_id AND ga.t = gr.t""")
+def truth_labels(spark, sf_dir):
+    grid = truth.canonical_grid(spark, QUICK).select("run_id", "person_id", F.col("truth_time_ns").alias("canonical_time_ns"))
+    out = labels.label_timeline(grid, windows.written(truth.events(spark, QUICK)), windows.written(devices.artifacts(spark, QUICK)))
+    return out.drop("run_id", "event_phase", "label_source", "label_confidence", "event_intensity_truth", "time_since_peak_sec").withColumns({c: F.col(c).cast("long") for c in ("event_instance_index", "missing_modality_count")})
 
 
-@query()
-def truth_labels(spark, sf_dir):
-    c = cfg.builtin("quick")
-    grid = truth.canonical_grid(spark, c).select("run_id", "person_id", F.col("truth_time_ns").alias("canonical_time_ns"))
-    return labels.label_timeline(grid, truth.events(spark, c), devices.artifacts(spark, c))
+_CLIP = MVP.events.clip_pre_sec + MVP.events.clip_post_sec
 
 
-@query()
+@query(f"""WITH {_people(MVP)}, {_events_sql(MVP)}, md AS (SELECT *, coalesce(onset_time_ns, start_time_ns) - {MVP.events.clip_pre_sec * SECOND} AS like_ns FROM te),
+    sl2 AS (SELECT person_id, slot, {MVP.run.start_ns} + slot * {_CLIP * SECOND} AS a FROM pp, (SELECT unnest(range(0, {MVP.run.duration_sec // _CLIP})) AS slot)),
+    fr AS (SELECT * FROM sl2 WHERE NOT EXISTS (SELECT 1 FROM te WHERE te.person_id = sl2.person_id AND a < end_time_ns AND a + {_CLIP * SECOND} > start_time_ns)),
+    wa AS (SELECT person_id, event_id, like_ns, row_number() OVER (PARTITION BY person_id ORDER BY seed, event_id) AS turn FROM md WHERE is_target QUALIFY turn <= {MVP.events.matched_baseline_clips_per_day * truth.day_count(MVP)}),
+    pa AS (SELECT wa.*, slot, a, ((a - like_ns) % {DAY} + {DAY}) % {DAY} AS x, CAST((a - {MVP.run.start_ns}) // {DAY} = CAST(floor((like_ns - {MVP.run.start_ns}) / {DAY}.0) AS BIGINT) AS INTEGER) AS same_day FROM wa JOIN fr ON fr.person_id = wa.person_id),
+    p1 AS (SELECT *, least(x, {DAY} - x) AS apart FROM pa QUALIFY row_number() OVER (PARTITION BY person_id, event_id ORDER BY least(x, {DAY} - x), same_day, slot) = 1),
+    p2 AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY person_id, slot ORDER BY apart, turn) = 1),
+    al AS (SELECT person_id, 'clip_' || event_id AS clip_id, 'event' AS clip_kind, event_id AS matched_event_id, like_ns AS a FROM md UNION ALL SELECT person_id, 'clip_baseline_' || person_id || '_' || slot, 'baseline', event_id, a FROM p2)
+    SELECT person_id, clip_id, clip_kind, matched_event_id, greatest(a, {MVP.run.start_ns}) AS start_ns, least(a + {_CLIP * SECOND}, {MVP.run.start_ns + MVP.run.duration_sec * SECOND}) AS end_ns,
+      a < {MVP.run.start_ns} OR a + {_CLIP * SECOND} > {MVP.run.start_ns + MVP.run.duration_sec * SECOND} AS truncated FROM al""")
 def clip_manifest(spark, sf_dir):
-    c = cfg.builtin("mvp")
-    return truth.clips(spark, c, truth.events(spark, c))
+    return truth.clips(spark, MVP, windows.written(truth.events(spark, MVP))).drop("run_id")
+
+
+def golden_truth(spark: SparkSession):
+    """Configuration, events, latent timeline, people, days and artifacts of the golden run."""
+    c = cfg.builtin("golden")
+    ev = windows.written(truth.events(spark, c))
+    latent, people, days = windows.written(truth.latent_timeline(spark, c, ev)), windows.written(truth.participants(spark, c)), truth.daily_context(spark, c)
+    return c, ev, latent, people, days, windows.written(devices.artifacts(spark, c, latent, ev, days))
 
 
 @query()
 def native_streams(spark, sf_dir):
-    """All streams of the golden run's clips, with clocks, packets and aligned times."""
-    c = cfg.builtin("golden")
-    ev = truth.events(spark, c)
-    latent = truth.latent_timeline(spark, c, ev)
-    rows = devices.native(latent, truth.participants(spark, c), devices.artifacts(spark, c), truth.clips(spark, c, ev), c)
-    return devices.aligned(rows, latent, devices.clock_models(spark, c), c).drop("channels")
+    """All streams of the golden run's clips, with clocks, packets and aligned times; samples as a digest."""
+    c, ev, latent, people, days, faults = golden_truth(spark)
+    rows = devices.native(latent, people, faults, truth.clips(spark, c, ev), c, days)
+    out = devices.aligned(rows, latent, devices.clock_models(spark, c), c)
+    return out.withColumn("samples_sha256", F.sha2(F.to_json("channels"), 256)).drop("channels")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS only_in_clips, CAST(0 AS BIGINT) AS differing WHERE false UNION ALL SELECT 0, 0")
+def clip_is_slice(spark, sf_dir):
+    """Seconds of clips that the whole recording lacks or has otherwise, for chunks of two lengths."""
+    c, ev, latent, people, days, faults = golden_truth(spark)
+    key = ["run_id", "person_id", "device_id", "stream_name", "second_ns"]
+    digest = lambda df: df.select(*key, F.sha2(F.concat_ws("|", F.to_json("channels"), F.col("quality_native").cast("string"), "missing_kind"), 256).alias("d"))
+    short = c.model_copy(update={"run": c.run.model_copy(update={"chunk_duration_sec": 97})})
+    whole = digest(devices.native(latent, people, faults, None, short, days)).withColumnRenamed("d", "w")
+    clip = digest(devices.native(latent, people, faults, truth.clips(spark, c, ev), c, days)).distinct()
+    met = clip.join(whole, key, "left")
+    return met.agg(F.sum(F.col("w").isNull().cast("long")).alias("only_in_clips"), F.sum((F.col("w") != F.col("d")).cast("long")).alias("differing"))
 
 
 # resampling and windows ---------------------------------------------------------------------------------------------
@@ -249,25 +532,25 @@ def nearest_following_pair(spark, sf_dir):
 
 # intervals and labels -----------------------------------------------------------------------------------------------
 
-_SPANS = f"""sp AS (SELECT person_id, event_id AS target_id, t - {6 * H} AS a, t - {H} AS pre_late, t AS onset, t + {H} AS peak, t + {3 * H} AS peak_end, t + {6 * H} AS rec, t + {12 * H} AS b FROM ev WHERE event_type = 'error')"""
+_SPANS = f"""sp AS (SELECT person_id, event_id AS target_id, t - {6 * H} AS a, t - {H} AS pre_late, t AS onset, t + {H} AS peak, t + {3 * H} AS peak_end, t + {6 * H} AS rec, t + {10 * H} AS late, t + {12 * H} AS b FROM ev WHERE event_type = 'error')"""
 
 
 def spans(s: DataFrame) -> DataFrame:
-    t = F.col("t")
-    at = lambda h: t + F.lit(int(h * H)).cast("long")
-    return s.filter("event_type = 'error'").select("person_id", F.col("event_id").alias("target_id"), at(-6).alias("a"), at(-1).alias("pre_late"), t.alias("onset"), at(1).alias("peak"), at(3).alias("peak_end"), at(6).alias("rec"), at(12).alias("b"))
+    """Intervals around the targets of a series, with the boundaries of their phases."""
+    at = lambda h: F.col("t") + F.lit(int(h * H)).cast("long")
+    marks = {"a": -6, "start_time_ns": -6, "pre_late_start_time_ns": -1, "onset_time_ns": 0, "peak_start_time_ns": 1, "peak_end_time_ns": 3, "recovery_early_end_time_ns": 6, "recovery_late_end_time_ns": 10, "end_time_ns": 12, "b": 12}
+    return s.filter("event_type = 'error'").select("person_id", F.col("event_id").alias("target_id"), *[at(h).alias(n) for n, h in marks.items()])
 
 
 @query(f"""WITH {EV}, {_SPANS} SELECT ev.event_id, target_id,
-      CASE WHEN target_id IS NULL THEN 'baseline' WHEN t < pre_late THEN 'pre_early' WHEN t < onset THEN 'pre_late' WHEN t < peak THEN 'onset' WHEN t < peak_end THEN 'peak' WHEN t < rec THEN 'recovery_early' ELSE 'recovery_late' END AS event_phase,
-      CASE WHEN target_id IS NULL THEN 0 WHEN t < pre_late THEN 1 WHEN t < onset THEN 2 WHEN t < peak THEN 3 WHEN t < peak_end THEN 4 WHEN t < rec THEN 5 ELSE 6 END AS phase_code
+      CASE WHEN target_id IS NULL THEN 'baseline' WHEN t < pre_late THEN 'pre_early' WHEN t < onset THEN 'pre_late' WHEN t < peak THEN 'onset' WHEN t < peak_end THEN 'peak' WHEN t < rec THEN 'recovery_early' WHEN t < late THEN 'recovery_late' ELSE 'post' END AS event_phase,
+      CASE WHEN target_id IS NULL THEN 0 WHEN t < pre_late THEN 1 WHEN t < onset THEN 2 WHEN t < peak THEN 3 WHEN t < peak_end THEN 4 WHEN t < rec THEN 5 WHEN t < late THEN 6 ELSE 7 END AS phase_code
     FROM ev LEFT JOIN sp ON ev.person_id = sp.person_id AND t >= a AND t < b""")
 def phase_label_interval_join(spark, sf_dir):
     s = series(spark, sf_dir)
-    j = intervals.during(s.select("event_id", "person_id", "t"), spans(s), ["person_id"], "t", "a", "b", DAY)
-    t = F.col("t")
-    phase = F.when(F.col("target_id").isNull(), "baseline").when(t < F.col("pre_late"), "pre_early").when(t < F.col("onset"), "pre_late").when(t < F.col("peak"), "onset").when(t < F.col("peak_end"), "peak").when(t < F.col("rec"), "recovery_early").otherwise("recovery_late")
-    return j.select("event_id", "target_id", phase.alias("event_phase"), labels.phase_code(phase).alias("phase_code"))
+    j = intervals.during(s.select(F.col("event_id").alias("row_id"), "person_id", "t"), spans(s), ["person_id"], "t", "a", "b", DAY).withColumn("event_id", F.col("target_id"))
+    phase = labels.phase_at(F.col("t"))
+    return j.select(F.col("row_id").alias("event_id"), "target_id", phase.alias("event_phase"), labels.phase_code(phase).alias("phase_code"))
 
 
 @query(f"""WITH {EV}, {_SPANS}, h AS (SELECT ev.event_id, string_agg(CAST(target_id AS VARCHAR), ',' ORDER BY CAST(target_id AS VARCHAR)) AS l, count(*) AS n FROM ev JOIN sp ON ev.person_id = sp.person_id AND t >= a AND t < b GROUP BY 1)
@@ -292,12 +575,10 @@ def matched_baseline_anti_join(spark, sf_dir):
 
 
 @query(f"""WITH {EV} SELECT event_id, row_number() OVER (PARTITION BY person_id ORDER BY t, event_id) AS event_instance_index,
-    CASE WHEN value < 33.3 THEN 'low' WHEN value < 66.6 THEN 'medium' ELSE 'high' END AS intensity_class FROM ev WHERE event_type = 'error'""")
+    CASE WHEN value / 100 < 1 / 3.0 THEN 'low' WHEN value / 100 < 2 / 3.0 THEN 'medium' WHEN value IS NOT NULL THEN 'high' END AS intensity_class FROM ev WHERE event_type = 'error'""")
 def instance_index_intensity(spark, sf_dir):
-    s = series(spark, sf_dir).filter("event_type = 'error'")
-    w = Window.partitionBy("person_id").orderBy("t", "event_id")
-    v = F.col("value")
-    return s.select("event_id", F.row_number().over(w).cast("long").alias("event_instance_index"), F.when(v < 33.3, "low").when(v < 66.6, "medium").otherwise("high").alias("intensity_class"))
+    s = series(spark, sf_dir).filter("event_type = 'error'").select(F.lit("r").alias("run_id"), "person_id", "event_id", F.col("t").alias("start_time_ns"), "value")
+    return s.select("event_id", labels.instance_index().cast("long").alias("event_instance_index"), labels.intensity_class(F.col("value") / 100).alias("intensity_class"))
 
 
 @query(f"""WITH {EV}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY person_id ORDER BY t) AS d FROM ev), m AS (SELECT *, sum(CASE WHEN d IS NULL OR d > {12 * H} THEN 1 ELSE 0 END) OVER (PARTITION BY person_id ORDER BY t) AS k FROM g)
@@ -419,6 +700,177 @@ def spectral_features(spark, sf_dir):
     return e.withColumn("s", s).withColumn("e", spectral.entropy_udf()(F.col(_X))).select("vec_id", "s.*", "e.*")
 
 
+# features over a timeline that stands in for one ------------------------------------------------------------------------
+
+#: Users dealt to sixteen persons; a person's events, in order, are one second each.
+TL = """tl0 AS (SELECT 'p' || (user_id % 16) AS person_id, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS s, event_type, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events),
+    tl AS (SELECT *, CASE WHEN event_type <> 'signup' THEN 60 + value * 0.4 END AS hr, CASE WHEN event_type <> 'signup' THEN 60000 / (60 + value * 0.4) END AS rr, 60 + k * 0.4 AS whr, 60000 / (60 + k * 0.4) AS ibi, 1 + value / 20 AS eda,
+      sqrt(value / 100 * value / 100 + k / 100 * k / 100 + 0.25) AS vm, greatest(sqrt(value / 100 * value / 100 + k / 100 * k / 100 + 0.25) - 1, 0) AS enmo, abs(value - k) / 10 AS jerk, value / 100 + k / 100 + 0.5 AS sma,
+      CASE WHEN event_type = 'view' THEN value END AS skin, CASE WHEN event_type = 'click' THEN k END AS ambient FROM tl0)"""
+_PR = """pr AS (SELECT *, rr - lag(rr) OVER o AS drr, hr - lag(hr) OVER o AS dhr, eda - lag(eda) OVER o AS deda, median(rr) OVER h AS rr_med, eda - median(eda) OVER h AS phasic, lag(eda) OVER o AS e1, lag(eda, 2) OVER o AS e2,
+      lag(eda) OVER o - min(eda) OVER l AS amp, CASE WHEN enmo > 0.1 AND coalesce(lag(enmo) OVER o, 0) <= 0.1 THEN 1 ELSE 0 END AS burst, lag(hr, 5) OVER o AS hr5, lag(hr, 10) OVER o AS hr10, lag(hr, 20) OVER o AS hr20,
+      acos(least(greatest((value / 100 * lag(value) OVER o / 100 + k / 100 * lag(k) OVER o / 100 + 0.25) / (vm * lag(vm) OVER o), -1), 1)) AS turn FROM tl
+    WINDOW o AS (PARTITION BY person_id ORDER BY s), h AS (PARTITION BY person_id ORDER BY s RANGE BETWEEN 29 PRECEDING AND CURRENT ROW), l AS (PARTITION BY person_id ORDER BY s RANGE BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+    ps AS (SELECT *, e1 > e2 AND e1 >= eda AND amp > 0.03 AS scr FROM pr)"""
+
+
+def stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a 1 Hz timeline: every event is a second of some person."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    person = F.concat(F.lit("p"), F.pmod("user_id", F.lit(16)).cast("string"))
+    k, v = F.get_json_object("props", "$.k").cast("double"), F.col("value")
+    second = F.row_number().over(Window.partitionBy(F.pmod("user_id", F.lit(16))).orderBy("ts", "event_id")).cast("long")
+    base = e.select(F.lit("r").alias("run_id"), person.alias("person_id"), (second * F.lit(SECOND).cast("long")).alias("canonical_time_ns"), "event_type", "value", k.alias("k"))
+    x, y = v / 100, F.col("k") / 100
+    vm = F.sqrt(x * v / 100 + y * F.col("k") / 100 + 0.25)
+    hr = F.when(F.col("event_type") != "signup", 60 + v * 0.4)
+    given = {
+        "hr_bpm": hr, "rr_ms": F.lit(60000) / hr, "watch_hr_bpm": 60 + F.col("k") * 0.4, "watch_ibi_ms": F.lit(60000) / (60 + F.col("k") * 0.4), "eda_us": 1 + v / 20, "wrist_x": x, "wrist_y": y, "wrist_z": F.lit(0.5), "wrist_vm": vm,
+        "wrist_enmo": F.greatest(vm - 1, F.lit(0.0)), "wrist_jerk": F.abs(v - F.col("k")) / 10, "wrist_sma": x + y + 0.5, "wrist_coverage_ratio": F.lit(1.0), "skin_temp_c": F.when(F.col("event_type") == "view", v),
+        "ambient_temp_c": F.when(F.col("event_type") == "click", F.col("k")),
+    }
+    missing = ["ecg_rpeak_count", "ecg_coverage_ratio", "ecg_rr_ms", "ppg_interval_ms", "ppg_green_dc", "ppg_green_ac", "ppg_ir_ac", "ppg_red_ac", "quality_min", "ecg_rpeak_confidence", "ecg_mean_uv", "ecg_rms_uv", "ecg_line_length", "eeg_gfp"]
+    missing += [f"{l}_{n}" for l in ("head", "chest") for n in ("x", "y", "z", "vm", "enmo", "jerk", "sma", "coverage_ratio")] + [f"eeg_{c}_rms_uv" for c in features.CHANNELS]
+    return base.withColumns(given | {n: F.lit(None).cast("double") for n in missing})
+
+
+def windowed_features(spark, sf_dir, family: str, names: list[str], window: int = 60, digits: int = 6) -> DataFrame:
+    """Shipped window features of one family over the stand-in timeline."""
+    out = features.window_features(stand_in(spark, sf_dir), window, families=(family,))
+    second = floor_div(F.col("canonical_time_ns"), SECOND).alias("s")
+    return out.select("person_id", second, "feature_valid", *[r(F.col(n).cast("double") + 1e-9, digits).alias(n) for n in names])  # off ties, that the order of sums would decide
+
+
+def _window_sql(columns: dict[str, str], window: int = 60, digits: int = 6) -> str:
+    """The same from SQL expressions, in which W stands for the window."""
+    w = f"OVER (PARTITION BY person_id ORDER BY s RANGE BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+    made = ", ".join(f"{re.sub(r'\bW\b', w, x)} AS {n}" for n, x in columns.items())
+    gated = ", ".join(f"CASE WHEN rows_there >= {0.8 * window} THEN round(CAST({n} AS DOUBLE) + 1e-9, {digits}) END AS {n}" for n in columns)
+    return f"WITH {TL}, {_PR}, wf AS (SELECT person_id, s, count(*) {w} AS rows_there, {made} FROM ps) SELECT person_id, s, rows_there >= {0.8 * window} AS feature_valid, {gated} FROM wf"
+
+
+_ENOUGH = "CASE WHEN count(rr) W >= 30 THEN {0} END"
+_CARDIAC = {
+    "hr_mean_bpm": "avg(hr) W", "hr_median_bpm": "median(hr) W", "hr_min_bpm": "min(hr) W", "hr_max_bpm": "max(hr) W", "hr_std_bpm": "stddev_samp(hr) W", "hr_slope_bpm_per_min": "CASE WHEN count(hr) W >= 2 THEN regr_slope(hr, s::DOUBLE) W * 60 END",
+    "hr_acceleration_bpm_per_sec": "avg(dhr) W", "polar_rr_device_median_ms": "median(rr) W", "ecg_rr_valid_ratio": "avg(CASE WHEN rr IS NOT NULL THEN CAST(rr BETWEEN 300 AND 2000 AS DOUBLE) END) W",
+    "ecg_rr_missed_peak_suspect_count": "sum(CASE WHEN rr > 1.6 * rr_med THEN 1 WHEN rr IS NOT NULL THEN 0 END) W", "ecg_rr_extra_peak_suspect_count": "sum(CASE WHEN rr < 0.6 * rr_med THEN 1 WHEN rr IS NOT NULL THEN 0 END) W",
+    **{n: _ENOUGH.format(x) for n, x in {"rr_mean_ms": "avg(rr) W", "rr_median_ms": "median(rr) W", "rr_mad_ms": "mad(rr) W", "sdnn_ms": "stddev_samp(rr) W", "rmssd_ms": "sqrt(avg(drr * drr) W)", "sdsd_ms": "stddev_samp(drr) W",
+        "pnn20": "avg(CASE WHEN drr IS NOT NULL THEN CAST(abs(drr) > 20 AS DOUBLE) END) W", "pnn50": "avg(CASE WHEN drr IS NOT NULL THEN CAST(abs(drr) > 50 AS DOUBLE) END) W", "cvnn": "stddev_samp(rr) W / avg(rr) W"}.items()},
+}
+_EDA = {
+    "eda_mean_us": "avg(eda) W", "eda_median_us": "median(eda) W", "eda_min_us": "min(eda) W", "eda_max_us": "max(eda) W", "eda_std_us": "stddev_samp(eda) W", "eda_slope_us_per_min": "CASE WHEN count(eda) W >= 2 THEN regr_slope(eda, s::DOUBLE) W * 60 END",
+    "eda_tonic_level_us": "median(eda) W", "eda_phasic_level_us": "eda - median(eda) W", "eda_scr_count": "sum(CAST(scr AS BIGINT)) W", "eda_scr_amplitude_mean_us": "avg(CASE WHEN scr THEN amp END) W", "eda_scr_amplitude_max_us": "max(CASE WHEN scr THEN amp END) W",
+    "eda_scr_area_us_sec": "sum(greatest(phasic, 0)) W", "eda_flatline_ratio": "avg(CAST(abs(deda) < 1e-6 AS DOUBLE)) W", "eda_spike_ratio": "avg(CAST(abs(deda) > 1.0 AS DOUBLE)) W", "eda_coverage_ratio": "count(eda) W / 60.0",
+    "eda_quality_score": "count(eda) W / 60.0 * (1 - avg(CAST(abs(deda) > 1.0 AS DOUBLE)) W) * (1 - avg(CAST(abs(deda) < 1e-6 AS DOUBLE)) W)",
+    "eda_time_since_last_scr_sec": "s - max(CASE WHEN scr THEN s END) OVER (PARTITION BY person_id ORDER BY s)",
+}
+_MOTION = {
+    "wrist_acc_vm_mean_g": "avg(vm) W", "wrist_acc_vm_std_g": "stddev_samp(vm) W", "wrist_enmo_mean_g": "avg(enmo) W", "wrist_sma_g": "avg(sma) W", "wrist_jerk_mean_g_per_sec": "avg(jerk) W", "wrist_jerk_p95_g_per_sec": "quantile_cont(jerk, 0.95) W",
+    "wrist_stillness_ratio": "avg(CAST(abs(vm - 1) < 0.05 AS DOUBLE)) W", "wrist_activity_burst_count": "sum(burst) W", "wrist_orientation_change_rate": "avg(turn) W", "wrist_coverage_ratio": "count(*) W / 60.0", "wrist_quality_score": "least(count(*) W / 60.0, 1)",
+}
+
+
+def _corr(a: str, b: str) -> str:
+    x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+    return f"covar_pop({x}, {y}) W / nullif(stddev_pop({x}) W * stddev_pop({y}) W, 0)"
+
+
+_CROSS = {
+    "watch_hr_vs_polar_hr_abs_diff_bpm": "abs(whr - hr)", "watch_ibi_vs_polar_rr_abs_diff_ms": "abs(ibi - rr)", "hr_motion_conditioned_residual": "hr - (regr_intercept(hr, enmo) W + regr_slope(hr, enmo) W * enmo)",
+    "eda_motion_conditioned_residual": "eda - (regr_intercept(eda, enmo) W + regr_slope(eda, enmo) W * enmo)", "eda_hr_lag_corr_max": f"greatest({', '.join(_corr('eda', h) for h in ('hr', 'hr5', 'hr10', 'hr20'))})",
+    "cross_modal_synchrony_score": f"({_corr('hr', 'eda')} + {_corr('hr', 'enmo')} + {_corr('eda', 'enmo')}) / 3", "multisensor_valid_axis_count": "CAST(count(hr) W >= 48 AS INTEGER) + CAST(count(eda) W >= 48 AS INTEGER) + CAST(count(vm) W >= 48 AS INTEGER)",
+    "cross_device_disagreement_score": "(avg(abs(whr - hr) / 10) W + avg(abs(ibi - rr) / 100) W) / 2",
+}
+
+
+@query(_window_sql(_CARDIAC))
+def cardiac_window_features(spark, sf_dir):
+    return windowed_features(spark, sf_dir, "cardiac", list(_CARDIAC))
+
+
+_POINCARE = {"poincare_sd1_ms": "sqrt(var_samp(drr) W / 2)", "poincare_sd2_ms": "sqrt(greatest(2 * var_samp(rr) W - var_samp(drr) W / 2, 0))"}
+
+
+@query(_window_sql({n: _ENOUGH.format(x) for n, x in _POINCARE.items()}, 180, 3))
+def poincare_window_features(spark, sf_dir):
+    return windowed_features(spark, sf_dir, "cardiac", list(_POINCARE), 180, 3)
+
+
+@query(_window_sql(_EDA))
+def eda_window_features(spark, sf_dir):
+    return windowed_features(spark, sf_dir, "eda", list(_EDA))
+
+
+@query(_window_sql(_MOTION))
+def motion_window_features(spark, sf_dir):
+    return windowed_features(spark, sf_dir, "motion", list(_MOTION))
+
+
+@query(_window_sql(_CROSS, digits=5))
+def cross_modal_window_features(spark, sf_dir):
+    return windowed_features(spark, sf_dir, "cross_modal", list(_CROSS), digits=5)
+
+
+@query(f"""WITH {TL} SELECT person_id, s, last_value(skin IGNORE NULLS) OVER w AS watch_skin_temp_c, last_value(ambient IGNORE NULLS) OVER w AS watch_ambient_temp_c,
+    round(last_value(skin IGNORE NULLS) OVER w - last_value(ambient IGNORE NULLS) OVER w, 6) AS watch_skin_ambient_gap_c FROM tl WINDOW w AS (PARTITION BY person_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def latest_temperature(spark, sf_dir):
+    """Temperatures as last known at each second."""
+    out = features.latest_temperature(stand_in(spark, sf_dir))
+    return out.select("person_id", floor_div(F.col("canonical_time_ns"), SECOND).alias("s"), "watch_skin_temp_c", "watch_ambient_temp_c", r(F.col("watch_skin_ambient_gap_c")).alias("watch_skin_ambient_gap_c"))
+
+
+_WB = "OVER (PARTITION BY person_id ORDER BY b RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+_ZS = (("hr", "hr"), ("eda", "eda"), ("wrist_motion", "enmo"))
+
+
+@query(f"""WITH {TL}, ok AS (SELECT *, s // 60 AS b, event_type <> 'error' AS fit FROM tl), bu AS (SELECT person_id, b, count(hr) FILTER (fit) AS n, {", ".join(f"median({c}) FILTER (fit) AS m_{n}" for n, c in _ZS)} FROM ok GROUP BY 1, 2),
+    pa AS (SELECT person_id, b, coalesce(sum(n) {_WB}, 0) AS n, (b - min(CASE WHEN n > 0 THEN b END) {_WB}) * 60.0 AS age, {", ".join(f"median(m_{n}) {_WB} AS c_{n}, mad(m_{n}) {_WB} AS d_{n}" for n, _ in _ZS)} FROM bu)
+    SELECT ok.person_id, s, CAST(pa.n AS BIGINT) AS baseline_sample_count, age AS baseline_age_sec, round(least(pa.n / 60.0, 1), 6) AS baseline_confidence,
+      {", ".join(f"CASE WHEN age >= 60 THEN round(({c} - c_{n}) / (1.4826 * d_{n} + 1e-3), 4) END AS {n}_personal_robust_z" for n, c in _ZS)} FROM ok JOIN pa ON pa.person_id = ok.person_id AND pa.b = ok.b""")
+def personal_z_features(spark, sf_dir):
+    """Several personal z features in one pass, targets left out of the baseline."""
+    values = {"hr": "hr_bpm", "eda": "eda_us", "wrist_motion": "wrist_enmo"}
+    out = features.personal_baseline(stand_in(spark, sf_dir), features.KEYS, features.T, values, F.col("event_type") != "error", 600 * SECOND, 60 * SECOND, 60 * SECOND, 1e-3)
+    return out.select("person_id", floor_div(F.col(features.T), SECOND).alias("s"), "baseline_sample_count", "baseline_age_sec", r(F.col("baseline_confidence")).alias("baseline_confidence"), *[r(F.col(f"{n}_personal_robust_z"), 4).alias(f"{n}_personal_robust_z") for n in values])
+
+
+_HJ = "list_transform(range(1, len({0})), lambda i: {0}[i + 1] - {0}[i])"
+_VAR = "(list_sum(list_transform({0}, lambda v: v * v)) / len({0}) - pow(list_sum({0}) / len({0}), 2))"
+
+
+@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), f AS (SELECT *, {_HJ.format('x')} AS d FROM e), g AS (SELECT *, {_HJ.format('d')} AS q FROM f)
+    SELECT vec_id, round({_VAR.format('x')}, 5) AS activity, round(sqrt({_VAR.format('d')} / {_VAR.format('x')}), 5) AS mobility, round(sqrt({_VAR.format('q')} / {_VAR.format('d')}) / sqrt({_VAR.format('d')} / {_VAR.format('x')}), 5) AS complexity FROM g""")
+def hjorth_parameters(spark, sf_dir):
+    x = F.col(_X)
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select("vec_id", r(arrays.variance(x), 5).alias("activity"), r(arrays.hjorth_mobility(x), 5).alias("mobility"), r(arrays.hjorth_complexity(x), 5).alias("complexity"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), r AS (SELECT *, 0.2 * list_stddev_pop(x) AS tol FROM e),
+    i AS (SELECT *, unnest(range(1, len(x) - 1)) AS a FROM r), p AS (SELECT i.vec_id, a, b, abs(x[a + 2] - x[b + 2]) <= tol AS more FROM (SELECT *, unnest(range(a + 1, len(x) - 1)) AS b FROM i) AS i WHERE abs(x[a] - x[b]) <= tol AND abs(x[a + 1] - x[b + 1]) <= tol),
+    s AS (SELECT vec_id, -ln(count(*) FILTER (more)::DOUBLE / count(*)) AS se FROM p GROUP BY 1 HAVING count(*) FILTER (more) > 0),
+    t AS (SELECT vec_id, CASE WHEN x[a] <= x[a + 1] THEN 'a' ELSE 'b' END || CASE WHEN x[a] <= x[a + 2] THEN 'a' ELSE 'c' END || CASE WHEN x[a + 1] <= x[a + 2] THEN 'b' ELSE 'c' END AS pattern FROM i),
+    c AS (SELECT vec_id, pattern, count(*)::DOUBLE AS n FROM t GROUP BY 1, 2), q AS (SELECT vec_id, -sum(n / whole * ln(n / whole)) / ln(6) AS pe FROM (SELECT *, sum(n) OVER (PARTITION BY vec_id) AS whole FROM c) GROUP BY 1)
+    SELECT e.vec_id, round(se, 6) AS sample_entropy, round(pe, 6) AS permutation_entropy FROM e LEFT JOIN s ON s.vec_id = e.vec_id LEFT JOIN q ON q.vec_id = e.vec_id""")
+def entropy_features(spark, sf_dir):
+    """Sample and permutation entropy of one array of samples."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("k", spectral.entropy_udf()(F.col(_X)))
+    return e.select("vec_id", r(F.nanvl("k.sample_entropy", F.lit(None).cast("double"))).alias("sample_entropy"), r(F.col("k.permutation_entropy")).alias("permutation_entropy"))
+
+
+@query("""SELECT CAST(f AS BIGINT) AS hz, f::DOUBLE AS dominant_frequency_hz, f::DOUBLE AS median_frequency_hz, CASE WHEN f < 4 THEN 'delta' WHEN f < 8 THEN 'theta' WHEN f < 13 THEN 'alpha' WHEN f < 30 THEN 'beta' ELSE 'gamma' END AS band,
+    200 AS band_power, 0 AS line_noise_percent FROM (SELECT unnest([2, 3, 5, 6, 7, 9, 10, 11, 12, 15, 20, 25, 28, 33, 38, 42]) AS f)""")
+def spectral_closed_form(spark, sf_dir):
+    """Sinusoids of amplitude 20: their frequency, their band, and the power A^2 / 2 in it."""
+    hz = spark.createDataFrame([(f,) for f in (2, 3, 5, 6, 7, 9, 10, 11, 12, 15, 20, 25, 28, 33, 38, 42)], "hz long")
+    wave = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lit(20.0) * F.sin(F.lit(2 * math.pi / 256) * F.col("hz") * i))
+    k = hz.withColumn("k", spectral.summary_udf(256.0)(wave))
+    power = {b: F.col(f"k.{b}_abs_power") for b in spectral.BANDS}
+    best = F.greatest(*power.values())
+    band = F.coalesce(*[F.when(p == best, F.lit(b)) for b, p in power.items()])
+    return k.select("hz", "k.dominant_frequency_hz", "k.median_frequency_hz", band.alias("band"), F.round(best).cast("int").alias("band_power"), F.round(100 * F.col("k.line_noise_ratio")).cast("int").alias("line_noise_percent"))
+
+
 # splits, validation, sinks ------------------------------------------------------------------------------------------
 
 
@@ -460,14 +912,49 @@ def auc_by_person(spark, sf_dir):
     return splits.auc(s, "value", "y", ["person_id"]).withColumn("auc", r(F.col("auc")))
 
 
-@query(f"""SELECT 'time_strictly_monotone_one_second' AS "check", CAST(0 AS BIGINT) AS violations""")
+@query(f"""WITH {TL}, g AS (SELECT person_id, s, lag(s) OVER (PARTITION BY person_id ORDER BY s) AS before FROM tl WHERE k <> 13)
+    SELECT 'time_strictly_monotone_one_second' AS "check", CAST(count(*) FILTER (before IS NOT NULL AND s - before <> 1) AS BIGINT) AS violations FROM g""")
 def monotonic_check(spark, sf_dir):
-    return validation.monotone(canonical_grid(spark, sf_dir), ["person_id"], "canonical_time_ns")
+    """Seconds of a timeline from which some are missing."""
+    return validation.monotone(stand_in(spark, sf_dir).filter("k <> 13"), ["run_id", "person_id"], "canonical_time_ns", block=100 * SECOND)
 
 
-@query("SELECT 'phase_order' AS \"check\", CAST(0 AS BIGINT) AS violations")
+@query(f"WITH {_people(MVP)}, {_events_sql(MVP)} SELECT 'phase_order' AS \"check\", CAST(count(*) AS BIGINT) AS violations FROM te WHERE intensity_truth > 0.6 AND onset_time_ns IS NOT NULL")
 def phase_order_check(spark, sf_dir):
-    return validation.phase_order(truth.events(spark, cfg.builtin("mvp")))
+    """Events of which the intense ones have their onset after their end."""
+    late = F.when((F.col("intensity_truth") > 0.6) & F.col("onset_time_ns").isNotNull(), F.col("end_time_ns") + 1).otherwise(F.col("onset_time_ns"))
+    return validation.phase_order(truth.events(spark, MVP).withColumn("onset_time_ns", late))
+
+
+@query(f"""WITH {_people(MVP)}, {_events_sql(MVP)}, g AS (SELECT lead(start_time_ns) OVER (PARTITION BY person_id ORDER BY start_time_ns) - end_time_ns AS gap FROM te WHERE is_target)
+    SELECT 'target_gap' AS "check", CAST(count(*) FILTER (gap < {20_000 * SECOND}) AS BIGINT) AS violations FROM g""")
+def target_gap_check(spark, sf_dir):
+    """Targets that follow each other within 20,000 s, far more than the least gap."""
+    return validation.target_gap(truth.events(spark, MVP), 20_000)
+
+
+@query(f"""WITH {{EV}} SELECT 'event_id_unique' AS "check", CAST(count(*) FILTER (value > 90) AS BIGINT) AS violations FROM ev""".replace("{EV}", EV))
+def event_id_check(spark, sf_dir):
+    """A table in which some events stand twice."""
+    s = series(spark, sf_dir).select("event_id", "value")
+    return validation.event_ids(s.unionAll(s.filter("value > 90")))
+
+
+@query("SELECT 'features_recompute' AS \"check\", CAST(count(*) FILTER (value > 90 OR event_type = 'signup') AS BIGINT) AS violations FROM events")
+def recompute_check(spark, sf_dir):
+    """Stored values of which some differ and some are missing from the recomputed ones."""
+    s = series(spark, sf_dir).select("event_id", "value", "event_type")
+    again = s.withColumn("value", F.when((F.col("value") > 90) & (F.col("event_type") != "signup"), F.col("value") + 0.01).otherwise(F.col("value"))).filter("event_type <> 'signup'")
+    return validation.recomputed(s, again, ["event_id"], ["value"])
+
+
+@query(f"""WITH p AS (SELECT DISTINCT user_id AS person_id FROM events), k AS (SELECT person_id, row_number() OVER (ORDER BY sha256('{SEED}/split/' || person_id), person_id) AS rn, count(*) OVER () AS n FROM p)
+    SELECT 'split_overlap' AS "check", CAST(count(*) FILTER (person_id % 10 = 0 AND rn <= ceil(n * 0.5)) AS BIGINT) AS violations FROM k""")
+def split_leak_check(spark, sf_dir):
+    """Splits into which every tenth person was put a second time."""
+    people = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("person_id")).distinct()
+    halves = splits.by_person(people, SEED, {"train": 0.5, "test": 0.5})
+    return validation.split_overlap(halves.unionByName(halves.filter("person_id % 10 = 0").withColumn("split", F.lit("test"))))
 
 
 @query(f"""WITH {EV} SELECT count(*) AS n_rows, bit_xor({HEX15.format("event_id || '|' || person_id || '|' || t || '|' || event_type")}) AS content_hash FROM ev""")
@@ -629,30 +1116,23 @@ def sanity_models(spark, sf_dir):
 
 def golden_timeline(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Native streams of the whole golden run as aligned to the grid, and its 1 Hz timeline."""
-    from pulsegrid.plans.run import observed_timeline
-
-    c = cfg.builtin("golden")
-    latent = truth.latent_timeline(spark, c, truth.events(spark, c))
-    rows = devices.native(latent, truth.participants(spark, c), devices.artifacts(spark, c), None, c)
-    rows = devices.on_grid(devices.aligned(rows, latent, devices.clock_models(spark, c), c))
-    return rows, observed_timeline(rows, latent)
-
-
-@query()
-def artifact_manifest(spark, sf_dir):
-    return devices.artifacts(spark, cfg.builtin("quick"))
+    c, _, latent, people, days, faults = golden_truth(spark)
+    rows = devices.native(latent, people, faults, None, c, days)
+    rows = windows.written(devices.on_grid(devices.aligned(rows, latent, devices.clock_models(spark, c), c)))
+    return rows, windows.written(run.observed_timeline(rows, latent, c))
 
 
 @query()
 def timeline_1hz(spark, sf_dir):
-    return golden_timeline(spark)[1].drop(*[f"eeg_{c}" for c in features.CHANNELS])
+    """The 1 Hz timeline of the golden run; raw EEG as digests."""
+    one = golden_timeline(spark)[1]
+    return one.withColumns({f"eeg_{c}": F.sha2(F.to_json(f"eeg_{c}"), 256) for c in features.CHANNELS})
 
 
 @query()
 def window_features(spark, sf_dir):
     """All window features of the golden run, over a minute."""
-    one = golden_timeline(spark)[1]
-    return features.window_features(one.drop(*[f"eeg_{c}" for c in features.CHANNELS]), 60)
+    return features.window_features(run.slim(golden_timeline(spark)[1]), 60)
 
 
 @query()
@@ -665,7 +1145,14 @@ def motion_spectra(spark, sf_dir):
     return features.motion_spectra(golden_timeline(spark)[0], 5, 1)
 
 
-@query()
+def _weighted_median(rows: str, v: str) -> str:
+    """Per event: the least value up to which at least half of the weight lies."""
+    return f"""SELECT id, min({v}) AS m FROM (SELECT id, {v}, sum(w) OVER (PARTITION BY id ORDER BY {v}, w) AS upto, sum(w) OVER (PARTITION BY id) AS whole FROM {rows}) WHERE upto >= whole / 2 GROUP BY id"""
+
+
+@query(f"""WITH {EV}, p AS (SELECT a.event_id AS id, b.value::DOUBLE AS v, pow(0.5, (a.t - b.t) / {float(3 * DAY)}) AS w FROM ev a JOIN ev b ON a.person_id = b.person_id AND b.t < a.t AND b.t >= a.t - {10 * DAY} WHERE b.value IS NOT NULL),
+    m AS ({_weighted_median('p', 'v')}), q AS (SELECT p.id, abs(v - m) AS g, w FROM p JOIN m ON m.id = p.id), d AS (SELECT id, m AS mad FROM ({_weighted_median('q', 'g')}))
+    SELECT event_id, round(m.m, 6) AS ew_median, round(mad, 6) AS ew_mad FROM ev LEFT JOIN m ON m.id = event_id LEFT JOIN d ON d.id = event_id""")
 def exponential_baseline(spark, sf_dir):
     """Exponentially weighted median and MAD of the last ten days, the present left out."""
     out = windows.exponential_robust(series(spark, sf_dir).select("event_id", "person_id", "t", "value"), ["person_id"], "t", "value", 3 * DAY, 10 * DAY, BLOCK)
@@ -677,3 +1164,34 @@ def exponential_baseline(spark, sf_dir):
 def artifact_stress_split(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("person_id"), (F.col("value") > 75).alias("artifact_present"))
     return splits.artifact_stress(e, ["person_id"]).withColumn("artifact_share", r(F.col("artifact_share")))
+
+
+_PERSON_SPLIT = f"""ks AS (SELECT person_id, row_number() OVER (ORDER BY sha256('{MVP.splits.seed}/split/' || person_id), person_id) AS rn FROM pp), sx AS (SELECT person_id, CASE WHEN rn <= 8 THEN 'train' WHEN rn <= 10 THEN 'validation' ELSE 'test' END AS split FROM ks)"""
+
+
+@query(f"""WITH {_people(MVP)}, {_events_sql(MVP)}, {_PERSON_SPLIT} SELECT split, te.person_id, event_type, count(*) AS n, round(avg(CAST(intensity_truth AS DOUBLE)), 5) AS intensity_mean FROM te JOIN sx ON sx.person_id = te.person_id GROUP BY ROLLUP (split, te.person_id, event_type)""")
+def run_counts(spark, sf_dir):
+    """Events by split, person and type, with totals at each level."""
+    split = splits.by_person(truth.persons(spark, MVP).select("person_id"), MVP.splits.seed, MVP.splits.fractions)
+    return run.counts(windows.written(truth.events(spark, MVP)), split).withColumn("intensity_mean", r(F.col("intensity_mean"), 5))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 5) AS value_std FROM events GROUP BY 1")
+def run_statistics(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return run.statistics(e, ("value",), ["event_type"]).withColumns({"value_mean": r(F.col("value_mean")), "value_std": r(F.col("value_std"), 5)})
+
+
+@query(f"""WITH {EV} SELECT event_id, CAST((t // {DAY} + CAST(('0x' || substr(sha256(CAST(person_id AS VARCHAR)), 1, 8)) AS BIGINT) % 2) % 2 AS INTEGER) AS fold FROM ev""")
+def cross_day_fold(spark, sf_dir):
+    s = series(spark, sf_dir)
+    return s.select("event_id", splits.cross_day(floor_div(F.col("t"), DAY), F.col("person_id")).alias("fold"))
+
+
+@query("""WITH f AS (SELECT user_id AS k, event_type = 'error' AS y FROM events), s AS (SELECT y, avg(CAST(y AS DOUBLE)) OVER (PARTITION BY k) AS p, count(*) OVER (PARTITION BY k) AS n FROM f),
+    q AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM s WHERE n > 1)
+    SELECT CAST(count(*) FILTER (y) AS BIGINT) AS positives, CAST(count(*) FILTER (NOT y) AS BIGINT) AS negatives, round((sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 5) AS auc FROM q""")
+def key_auc(spark, sf_dir):
+    """How well the person alone tells targets apart."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", (F.col("event_type") == "error").alias("y"))
+    return sanity.key_auc(e, "user_id", "y").withColumn("auc", r(F.col("auc"), 5))

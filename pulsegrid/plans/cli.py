@@ -30,7 +30,8 @@ def main(args: list[str] | None = None, spark=None) -> int:
         return 0
     try:
         name = a.config or "quick"
-        config = cfg.load(name) if name.endswith((".yaml", ".yml")) else cfg.builtin(name)
+        source = name if name.endswith((".yaml", ".yml")) else cfg.profile_path(name)
+        config = cfg.load(source)
         if a.command == "inspect-config":
             print(cfg.resolved(config))
             return 0
@@ -40,10 +41,10 @@ def main(args: list[str] | None = None, spark=None) -> int:
         home = f"{a.output.rstrip('/')}/{cfg.run_id(config)}"
         spark = spark or session()
         if a.command == "generate":
-            run.generate(spark, config, a.output, a.truth_only)
+            run.generate(spark, config, a.output, a.truth_only, source)
             found = run.validate(spark, config, home, "truth" if a.truth_only else "all")
         elif a.command == "features":
-            run.write_features(spark, config, home)
+            run.write_features(spark, config, home, a.overwrite)
             return 0
         else:
             found = run.validate(spark, config, home, a.scope)

@@ -41,8 +41,8 @@ class LogNormal(Strict):
 
 
 class Beta(Strict):
-    alpha: float = Field(ge=1)
-    beta: float = Field(ge=1)
+    alpha: float = Field(gt=0)
+    beta: float = Field(gt=0)
 
 
 def _probabilities(weights: dict[str, float]) -> dict[str, float]:
@@ -105,6 +105,76 @@ class Population(Strict):
     _weights = field_validator("response_archetypes")(_probabilities)
 
 
+class Circadian(Strict):
+    enabled: bool = True
+    amplitude_variation: float = Field(default=0.25, ge=0, le=1)
+
+
+class Sleep(Strict):
+    enabled: bool = True
+    bedtime_local_hour: TruncatedNormal
+    duration_hours: TruncatedNormal
+
+
+class Activity(Strict):
+    daily_bouts: Range
+
+
+class Meals(Strict):
+    enabled: bool = True
+    daily_count: int = Field(default=3, ge=0, le=6)
+
+
+class Context(Strict):
+    circadian: Circadian
+    sleep: Sleep
+    ordinary_activity: Activity
+    meals: Meals
+
+
+class Effect(Strict):
+    """How an event moves a latent factor: in which direction, and how far."""
+
+    direction_probabilities: dict[Literal["increase", "decrease", "unchanged"], float]
+    magnitude: Beta
+
+    _weights = field_validator("direction_probabilities")(_probabilities)
+
+
+class Exceptions(Strict):
+    no_precursor_probability: float = Field(ge=0, le=1)
+    opposite_response_probability: float = Field(ge=0, le=1)
+    missing_modality_probability: float = Field(ge=0, le=1)
+
+
+class Pattern(Strict):
+    """How a target shows: effects on latent factors, lags and strengths of the modalities, and exceptions."""
+
+    latent_effects: dict[Literal["autonomic_arousal", "motor_activation", "cognitive_load"], Effect]
+    lag_sec: dict[Literal["eeg", "cardiac", "eda", "motor"], Range]
+    response_strength: dict[Literal["eeg", "cardiac", "eda", "motor"], Range]
+    exceptions: Exceptions
+
+    @model_validator(mode="after")
+    def _complete(self):
+        if len(self.latent_effects) < 3 or len(self.lag_sec) < 4 or len(self.response_strength) < 4:
+            raise ValueError("a pattern names all three factors and all four modalities")
+        if any(r.min < 0 or r.max > 1 for r in self.response_strength.values()):
+            raise ValueError("strengths lie within 0 and 1")
+        return self
+
+
+class Artifacts(Strict):
+    """Chances of artifacts; ``rates_per_hour`` by stream and kind replaces the usual rates."""
+
+    enabled: bool = True
+    random_missing_probability_per_hour: float = Field(ge=0, le=1)
+    block_dropouts_per_day: Range
+    line_noise_hz: Literal[50, 60] = 60
+    motion_coupling: float = Field(default=2.0, ge=0)
+    rates_per_hour: dict[str, dict[str, float]] = {}
+
+
 class Events(Strict):
     target_events_per_day: Range
     minimum_gap_sec: int = Field(ge=0)
@@ -112,11 +182,9 @@ class Events(Strict):
     clip_post_sec: int = Field(ge=0)
     phases_sec: dict[str, Range]
     intensity: Beta
-    modality_delays_sec: dict[str, Range]
     hard_negative_ratio: float = Field(ge=0)
     hard_negatives: dict[str, float]
     matched_baseline_clips_per_day: int = Field(ge=0)
-    no_precursor_probability: float = Field(ge=0, le=1)
 
     _weights = field_validator("hard_negatives")(_probabilities)
 
@@ -149,7 +217,10 @@ class RunConfig(Strict):
     devices: dict[str, dict[str, Stream]]
     capabilities: tuple[str, ...] = ()
     population: Population
+    context: Context
     events: Events
+    pattern: Pattern
+    artifacts: Artifacts
     clocks: dict[str, Clock]
     features: Features
     splits: Splits
@@ -215,6 +286,15 @@ def read_yaml(path: str, seen: tuple[str, ...] = ()) -> dict:
     return merged(read_yaml(os.path.join(os.path.dirname(path), parent), (*seen, path)), own) if parent else own
 
 
+def source_files(path: str) -> dict[str, str]:
+    """The text of a YAML file and of those that it extends, by their paths."""
+    path = os.path.abspath(path)
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    parent = (yaml.safe_load(text) or {}).get("extends")
+    return {path: text} | (source_files(os.path.join(os.path.dirname(path), parent)) if parent else {})
+
+
 def parse(raw: dict) -> RunConfig:
     try:
         return RunConfig.model_validate(raw)
@@ -226,9 +306,13 @@ def load(path: str) -> RunConfig:
     return parse(read_yaml(path))
 
 
+def profile_path(profile: str) -> str:
+    """The file of a profile that comes with the package: golden, quick, mvp, full_raw."""
+    return os.path.join(os.path.dirname(os.path.dirname(__file__)), "profiles", f"{profile}.yaml")
+
+
 def builtin(profile: str) -> RunConfig:
-    """One of the profiles that come with the package: golden, quick, mvp, full_raw."""
-    return load(os.path.join(os.path.dirname(os.path.dirname(__file__)), "profiles", f"{profile}.yaml"))
+    return load(profile_path(profile))
 
 
 def resolved(config: RunConfig) -> str:

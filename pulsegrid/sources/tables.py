@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import os
 from importlib import metadata
 
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.timecols import date_of_ns
+
 #: Table, layer, partition columns and sort order of what a run writes.
 TABLES = {
     "participants": ("truth", [], ["person_id"]),
@@ -19,12 +25,15 @@ TABLES = {
     "clock_models": ("truth", [], ["person_id", "device_id"]),
     "native": ("observed", ["person_id", "device_id", "stream_name", "clip_id"], ["second_ns"]),
     "timeline_1hz": ("model_ready", ["person_id", "date_utc"], ["canonical_time_ns"]),
-    "labels": ("model_ready", ["person_id"], ["canonical_time_ns"]),
+    "labels": ("model_ready", ["person_id", "date_utc"], ["canonical_time_ns"]),
     "splits": ("model_ready", [], ["person_id"]),
+    "evaluations": ("model_ready", [], ["person_id", "day_index"]),
     "clip_manifest": ("clips", [], ["clip_id"]),
-    "oracle_features": ("oracle_features", ["person_id"], ["canonical_time_ns"]),
-    "event_onset_orders": ("oracle_features", ["person_id"], ["event_id"]),
+    "oracle_features": ("oracle_features", ["person_id", "date_utc"], ["canonical_time_ns"]),
+    "event_onset_orders": ("oracle_features", [], ["person_id", "event_id"]),
 }
+#: What holds for tables that are not listed: those of features.
+FEATURES = ("model_ready", ["person_id", "date_utc"], ["canonical_time_ns"])
 #: Names that may not reach model inputs.
 FORBIDDEN = ("truth_", "event_intensity_truth")
 SAFETY = {"synthetic": True, "non_diagnostic": True, "not_for_clinical_use": True}
@@ -36,7 +45,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def table_path(root: str, name: str) -> str:
-    layer = TABLES[name][0] if name in TABLES else "model_ready"
+    layer = TABLES.get(name, FEATURES)[0]
     return f"{root.rstrip('/')}/{layer}/{name}"
 
 
@@ -49,8 +58,10 @@ def require_no_truth(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, root: str, name: str, columns: list[str] | None = None) -> str:
-    """Write in declared order, zstd, one group of files for each partition value, only its partitions replaced."""
-    layer, parts, order = TABLES.get(name, ("model_ready", ["person_id"], ["canonical_time_ns"]))
+    """Write in declared order, zstd, one group of files for each person and day, only its partitions replaced."""
+    layer, parts, order = TABLES.get(name, FEATURES)
+    if "date_utc" in parts and "date_utc" not in df.columns:
+        df = df.withColumn("date_utc", date_of_ns(F.col(order[0])))
     if layer == "model_ready" and name != "labels":
         require_no_truth(df)
     out = df.select(*columns) if columns else df
@@ -69,6 +80,17 @@ def read_table(spark: SparkSession, root: str, name: str, schema=None) -> DataFr
     return reader.parquet(table_path(root, name))
 
 
+def exists(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether a table is there; asked of Spark's own reader, so any store will do."""
+    try:
+        read_table(spark, root, name)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return False
+    return True
+
+
 def content_hash(df: DataFrame, columns: list[str] | None = None) -> dict[str, int | str]:
     """Order-free hash of a table's rows: count, and the xor of the rows' SHA-256 (its first 60 bits) and of XXH64."""
     names = sorted(columns or df.columns)
@@ -78,10 +100,26 @@ def content_hash(df: DataFrame, columns: list[str] | None = None) -> dict[str, i
     return {"rows": r["n"], "hash": f"{r['a'] or 0:015x}{(r['b'] or 0) & 0xFFFFFFFFFFFFFFFF:016x}"}
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def write_text(path: str, text: str) -> None:
+    """A small file in any store that Arrow opens."""
+    where, name = _store(path)
+    where.create_dir(os.path.dirname(name), recursive=True)
+    with where.open_output_stream(name, compression=None) as out:
+        out.write(text.encode())
+
+
+def read_text(path: str) -> str:
+    where, name = _store(path)
+    with where.open_input_stream(name, compression=None) as source:
+        return source.read().decode()
+
+
 def write_json(path: str, value: dict) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, sort_keys=True, indent=1)
+    write_text(path, json.dumps(value, sort_keys=True, indent=1))
 
 
 def manifest(config_json: str, run: str, seed: int, tables: dict[str, dict]) -> dict:
@@ -100,3 +138,17 @@ def dependency_rows() -> list[dict[str, str]]:
         m = d.metadata
         out.append({"name": m["Name"] or "", "version": d.version or "", "licence": (m.get("License-Expression") or m.get("License") or "").splitlines()[0] if (m.get("License-Expression") or m.get("License")) else ""})
     return sorted({r["name"]: r for r in out}.values(), key=lambda r: r["name"].lower())
+
+
+def licence_csv(rows: list[dict[str, str]]) -> str:
+    out = io.StringIO()
+    w = csv.DictWriter(out, ["name", "version", "licence"])
+    w.writeheader()
+    w.writerows(rows)
+    return out.getvalue()
+
+
+def bill_of_materials(rows: list[dict[str, str]]) -> dict:
+    """The installed packages as a CycloneDX document."""
+    parts = [{"type": "library", "name": r["name"], "version": r["version"], "purl": f"pkg:pypi/{r['name'].lower()}@{r['version']}", "licenses": [{"license": {"name": r["licence"]}}] if r["licence"] else []} for r in rows]
+    return {"bomFormat": "CycloneDX", "specVersion": "1.5", "version": 1, "components": parts}

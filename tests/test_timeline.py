@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import seeds, spectral
 from pulsegrid.functions.timecols import SECOND
-from pulsegrid.operators import devices, features, intervals, labels, splits, truth, validation, windows
+from pulsegrid.operators import devices, features, intervals, labels, sanity, splits, truth, validation, windows
 from pulsegrid.plans import cli, run
 from pulsegrid.sources import config as cfg
 from pulsegrid.sources import tables
@@ -34,6 +34,8 @@ BAD = {
     "hard negatives": lambda r: r["events"]["hard_negatives"].update(quiet_cognitive_load=0.0), "splits": lambda r: r["splits"]["fractions"].update(test=0.5), "not UTC": lambda r: r["run"].update(start_time_utc="2026-01-01T00:00:00+09:00"),
     "strap range": lambda r: r["devices"]["strap"]["acc"].update(range_abs=16), "strap rate": lambda r: r["devices"]["strap"]["acc"].update(sample_rate_hz=99), "capability": lambda r: r["devices"]["headband"]["ppg"].update(enabled=True),
     "on demand": lambda r: r["devices"]["watch"].update(on_demand_ecg={"sample_rate_hz": 500, "channels": ["ecg"], "unit": "uV"}),
+    "direction": lambda r: r["pattern"]["latent_effects"]["cognitive_load"]["direction_probabilities"].update(increase=0.9), "strength": lambda r: r["pattern"]["response_strength"]["eeg"].update(max=1.5),
+    "missing modality": lambda r: r["pattern"]["lag_sec"].pop("eda"), "mains": lambda r: r["artifacts"].update(line_noise_hz=55), "meals": lambda r: r["context"]["meals"].update(daily_count=-1),
     "two on demand": lambda r: r["devices"]["watch"].update(on_demand_ecg={"sample_rate_hz": 500, "channels": ["ecg"], "unit": "uV", "on_demand": "calibration_only"}, on_demand_ppg={"sample_rate_hz": 100, "channels": ["green"], "unit": "au", "on_demand": "calibration_only"}),
 }
 
@@ -130,6 +132,8 @@ def test_labels_match_events(spark, quick):
             got = [bool(at(s)[f"will_target_start_within_{h}s"]) for s in (1, 0, -1, -(h - 1), -h, -(h + 1))]
             assert got == [False, False, True, True, True, False]
     assert not validation.label_module_imports(labels)
+    for text in ("from pulsegrid.operators import features", "import pulsegrid.operators.features", "from pulsegrid.operators.features import eda"):
+        assert validation.forbidden_imports(text)
 
 
 def test_artifacts_and_clocks(spark):
@@ -184,6 +188,166 @@ def test_timeline_is_in_aligned_seconds(spark):
     assert devices.one_second_summaries(devices.on_grid(timed)).select(plain.columns).exceptAll(plain).isEmpty()
 
 
+# what events, tendencies and artifacts cause
+
+
+@pytest.fixture(scope="module")
+def effects(spark):
+    c = cfg.builtin("mvp")
+    big = c.model_copy(update={"run": c.run.model_copy(update={"participant_count": 60})})
+    ev = windows.written(truth.events(spark, big))
+    return truth.event_effects(ev, truth.participants(spark, big), big).join(ev.select("event_id", F.col("event_type").alias("t")), "event_id").toPandas()
+
+
+def test_hard_negatives_move_what_their_kind_moves(effects):
+    for kind, of in truth.HARD_EFFECTS.items():
+        rows = effects[effects.event_type == kind]
+        if kind == "sensor_artifact_episode":
+            assert rows.empty  # no latent effect at all
+            continue
+        for m, gain in of.items():
+            if kind == "recovery_without_peak":
+                assert set(np.sign(rows[f"gain_{m}"])) == ({0.0, 1.0} if gain else {0.0})
+            else:
+                assert (np.sign(rows[f"gain_{m}"]) == np.sign(gain)).all() and rows[f"gain_{m}"].abs().max() <= abs(gain) + 1e-9
+    quiet = effects[effects.event_type == "recovery_without_peak"]
+    assert ((quiet.gain_eeg > 0) ^ (quiet.gain_eda > 0)).all() and quiet.onset_time_ns.isna().all() and quiet.peak_end_time_ns.isna().all()
+
+
+def test_archetypes_order_and_scale_modalities(effects):
+    t = effects[effects.is_target]
+    lag = t.groupby("archetype")[[f"lag_{m}_ns" for m in truth.MODALITIES]].mean() / 1e9
+    assert lag.lag_eeg_ns["eeg_first"] < lag.lag_cardiac_ns["eeg_first"] < lag.lag_motor_ns["eeg_first"] and lag.lag_cardiac_ns["autonomic_first"] < lag.lag_eeg_ns["autonomic_first"] < lag.lag_motor_ns["autonomic_first"]
+    assert lag.lag_motor_ns["motor_first"] < lag.lag_cardiac_ns["motor_first"] < lag.lag_eeg_ns["motor_first"]
+    size = t.groupby("archetype")[[f"gain_{m}" for m in truth.MODALITIES]].agg(lambda x: x.abs().mean())
+    assert size.gain_motor["quiet_internal"] < 0.3 * size.gain_motor["eeg_first"] and size.gain_cardiac["motor_dominant"] < 0.6 * size.gain_cardiac["eeg_first"]
+    partial = t[t.archetype == "partial_response"]
+    assert ((partial[[f"gain_{m}" for m in truth.MODALITIES]] != 0).sum(axis=1) <= 2).all()
+    assert all(t[f"lag_{m}_ns"].between(r.min * 1e9, r.max * 1e9).all() for m, r in QUICK.pattern.lag_sec.items())
+
+
+def test_directions_and_exceptions_follow_their_probabilities(effects):
+    t = effects[effects.is_target & ~effects.archetype.isin(["partial_response"])]
+    moved = t[t.gain_cardiac != 0]
+    assert 0.75 < (moved.gain_cardiac > 0).mean() < 0.97  # 0.80 of 0.85, a tenth turned round
+    assert 0.1 < (t.gain_cardiac == 0).mean() < 0.45  # unchanged, silent or missing
+    cardiac_only = ((t.gain_cardiac == 0) & (t.gain_eda != 0)).mean()  # one factor, so only a missing modality parts them
+    assert 0.01 < cardiac_only < 0.1
+    assert 0.04 < t.pre_late_start_time_ns.isna().mean() < 0.18
+
+
+def test_timeline_shows_what_events_do(spark):
+    ev = windows.written(truth.events(spark, QUICK))
+    loud = windows.written(truth.states(spark, QUICK, ev))
+    assert loud.count() == 64_800 and loud.filter("drive_motor > 0.2 AND target_id IS NULL").count() > 0  # an ordinary activity
+    still = truth.states(spark, QUICK, ev.limit(0)).filter("drive_eeg <> 0 OR drive_cardiac <> 0 OR drive_eda <> 0 OR drive_motor <> 0 OR target_id IS NOT NULL")
+    assert still.isEmpty()
+
+
+def test_no_factor_tells_targets_apart_and_drifts_move_levels(spark, quick):
+    latent = tables.read_table(spark, quick[0], "latent_timeline")
+    aucs = sanity.feature_aucs(latent.withColumn("y", F.col("active_target_event_id").isNotNull()), [*truth.FACTORS, "eda_drive"], "y").toPandas()
+    assert np.maximum(aucs.auc, 1 - aucs.auc).max() < 0.9
+    c = cfg.builtin("mvp")
+    c = c.model_copy(update={"run": c.run.model_copy(update={"participant_count": 12, "duration_sec": 86_400})})
+    days = truth.daily_context(spark, c).select("person_id", "activity_drift_truth").toPandas().set_index("person_id").activity_drift_truth
+    level = truth.latent_timeline(spark, c, truth.events(spark, c).limit(0)).filter("context_state = 'wake_rest'").groupBy("person_id").agg(F.avg("motor_activation").alias("m")).toPandas().set_index("person_id").m
+    assert np.corrcoef(days[level.index], level)[0, 1] > 0.8
+
+
+def test_timeline_compiles_without_falling_back(spark):
+    """Generated code that outgrows a method fails here instead of being interpreted."""
+    ev = windows.written(truth.events(spark, QUICK))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        truth.latent_timeline(spark, QUICK, ev).write.format("noop").mode("overwrite").save()
+        grid = truth.canonical_grid(spark, QUICK).select("run_id", "person_id", F.col("truth_time_ns").alias("canonical_time_ns"))
+        labels.label_timeline(grid, ev, devices.artifacts(spark, QUICK)).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def seconds(n=4, **changes):
+    columns = {"truth_time_ns": (1_767_225_600 + np.arange(n)) * SECOND, "seed": np.full(n, 77), "beat_micro": np.cumsum([0] + [1_200_000] * (n - 1)), "rate_micro": np.full(n, 1_200_000)}
+    level = {"autonomic_arousal": 0.3, "motor_activation": 0.3, "cognitive_load": 0.3, "eda_drive": 0.3, "eeg_aperiodic_exponent_truth": 1.5, "eeg_relative_alpha_truth": 0.3, "eeg_relative_gamma_truth": 0.1,
+             "eda_tonic_level_us_truth": 3.0, "sensor_tolerance_truth": 0.0, "rr_ms": 833.0}
+    return devices.Seconds(columns | {k: np.full(n, float(v)) for k, v in (level | changes).items()})
+
+
+STREAM_OF = {"eeg": ("headband", "eeg", 256), "ecg": ("strap", "ecg", 130), "ppg": ("watch", "ppg", 25), "eda": ("watch", "eda", 1), "acc": ("watch", "acc", 25)}
+
+
+def made(stream, kind=None, severity=0.9, channel=None, n=4):
+    fault = [] if kind is None else [{"stream_name": stream, "artifact_type": kind, "channel": channel, "severity": severity}]
+    channels, x, gone, quality, missing = devices.make_stream(seconds(n), *STREAM_OF[stream], [[], fault, fault, []], 60)
+    return channels, np.where(gone, np.nan, x), quality, missing
+
+
+@pytest.mark.parametrize("stream,kind", [(s, k) for s, rows in devices.ARTIFACTS.items() for k, *_ in rows] + [("eeg", "random_missing"), ("ecg", "block_dropout")])
+def test_each_artifact_acts_in_its_own_way(stream, kind):
+    channel = "af7" if kind in ("channel_dropout", "electrode_pop", "impedance_drift") else None
+    channels, plain, *_ = made(stream)
+    severity = 0.5 if kind == "loss" else 0.9
+    _, x, quality, missing = made(stream, kind, severity, channel)
+    assert np.array_equal(plain[[0, 3]], x[[0, 3]]) and (quality[[0, 3]] == 1).all() and quality[1] == pytest.approx(1 - severity)  # other seconds are as they were
+    a, b = plain[1:3], x[1:3]
+    d = np.nan_to_num(b - a)
+    ch = {c: i for i, c in enumerate(channels)}
+    if kind in devices.DROPS:
+        share = np.isnan(b).mean(axis=(0, 2))
+        assert missing[1] == devices.DROPS[kind]
+        if kind == "channel_dropout":
+            assert share[ch["af7"]] == 1 and share.sum() == 1
+        else:
+            assert (share == 1).all() if devices.DROPS[kind] == "block" else ((0 < share) & (share < 1)).all()
+        return
+    assert missing[1] is None and np.isfinite(b).all()
+    spread = np.abs(d).max(axis=(0, 2))
+    expected = {
+        "blink": lambda: spread[ch["af7"]] > 3 * spread[ch["tp9"]], "jaw_emg": lambda: spread[ch["tp9"]] > 1.5 * spread[ch["af7"]] and np.abs(np.diff(d[0, 0])).mean() > 20,
+        "head_motion": lambda: np.allclose(d[:, 0], d[:, 1], atol=1.1), "electrode_pop": lambda: spread[ch["af7"]] > 100 and spread.sum() == spread[ch["af7"]], "impedance_drift": lambda: spread[ch["af7"]] > 10 and spread.sum() == spread[ch["af7"]],
+        "common_mode": lambda: np.allclose(d[:, 0], d[:, 3], atol=1.1) and spread[0] > 50, "mains": lambda: abs(np.fft.rfftfreq(256, 1 / 256)[np.abs(np.fft.rfft(d[0, 0])).argmax()] - 60) < 1,
+        "clipping": lambda: (np.abs(b) >= (999 if stream == "eeg" else 7.9)).any(), "flatline": lambda: np.ptp(b, axis=2).max() == 0, "baseline_wander": lambda: spread[0] > 30, "motion": lambda: np.abs(d).mean() > 40,
+        "missed_peak": lambda: b.max() < 500 < a.max(), "extra_peak": lambda: (np.abs(d) > 500).any(axis=2).all() and d.max() > 500, "ectopic_like": lambda: d.min() < -500 and d.max() > 500,
+        "motion_coupling": lambda: np.allclose(d[:, 0], d[:, 1], atol=1.1) and spread[0] > 10, "amplitude_modulation": lambda: np.ptp(b, axis=2).max() < 0.6 * np.ptp(a, axis=2).max(), "ambient_leak": lambda: d.mean() > 300,
+        "saturation": lambda: (b == 4096).all(), "drift": lambda: spread[0] >= 0, "sparse_scr": lambda: (d >= 0).all(), "motion_spike": lambda: spread[0] > 0.1, "dry_skin": lambda: (b < 0.5 * a).all(),
+        "quantisation": lambda: np.allclose(b * 10, np.round(b * 10), atol=0.15), "bias": lambda: np.allclose(d, d[:, :, :1], atol=0.001) and spread[0] > 0.02, "scale": lambda: np.allclose(b, a * 1.135, atol=0.001),
+        "rotation": lambda: np.allclose((b**2).sum(axis=1), (a**2).sum(axis=1), atol=0.01) and spread[0] > 0.01, "gravity_leak": lambda: spread[2] > 0.2 and spread[0] == 0, "jitter": lambda: 0 < spread[0] < np.ptp(a[:, 0]),
+    }[kind]
+    assert expected()
+
+
+def test_beat_artifacts_reach_the_interval_streams():
+    at = lambda kind: devices.make_stream(seconds(2), "strap", "hr_rr", 1, [[], [{"stream_name": "ecg", "artifact_type": kind, "channel": None, "severity": 0.5}]], 60)[1][:, 1, 0]
+    assert at("missed_peak")[1] == pytest.approx(2 * 833, abs=5) and at("extra_peak")[1] == pytest.approx(833 / 2, abs=5) and at("missed_peak")[0] == pytest.approx(833, abs=5)
+
+
+def test_packets_have_delays_of_their_own(spark):
+    c = cfg.builtin("golden")
+    latent = truth.latent_timeline(spark, c, truth.events(spark, c)).filter("seconds_from_start < 40")
+    rows = devices.native(latent, truth.participants(spark, c), devices.artifacts(spark, c).limit(0), None, c)
+    each = devices.samples(devices.with_clocks(rows, devices.clock_models(spark, c), c.run.start_ns)).filter("stream_name = 'eeg' AND channel = 'tp9'").toPandas().sort_values("sample_index")
+    assert len(each) == 40 * 256 and (each.receive_time_ns > each.device_time_ns).all()
+    per = each.groupby("packet_id").agg(n=("sample_index", "size"), at=("receive_time_ns", "median"), spread=("receive_time_ns", lambda x: x.max() - x.min()), last=("device_time_ns", "max"))
+    late = (per["at"] - per["last"]) / 1e6
+    assert per.n.max() == devices.PACKET and late.nunique() > 500 and 20 < late.median() < 60 and (np.diff(per["at"]) < 0).any()  # some are overtaken
+    assert per.spread.median() < 60e6
+
+
+def test_clip_is_a_slice_and_beats_are_where_the_ecg_has_them(spark):
+    from pulsegrid.plans import catalogue
+
+    c, ev, latent, people, days, faults = catalogue.golden_truth(spark)
+    got = catalogue.clip_is_slice(spark, "").first()
+    assert (got["only_in_clips"], got["differing"]) == (0, 0)
+    rows = devices.native(latent, people, faults.limit(0), None, c, days)
+    beats = devices.heart(latent, people).filter("rr_ms IS NOT NULL").select("truth_time_ns", "rr_ms").toPandas()
+    assert len(beats) > 590 and beats.rr_ms.between(300, 1500).all() and beats.rr_ms.std() > 5
+    found = devices.intervals_by_second(devices.peaks(rows, "ecg", "ecg", 0.7), "ecg_rr_ms").toPandas().set_index("canonical_time_ns").ecg_rr_ms
+    both = beats.set_index("truth_time_ns").rr_ms.reindex(found.index).dropna()
+    assert len(both) > 500 and (found[both.index] - both).abs().median() < 12  # a sample of the ECG is 7.7 ms
+
+
 # windows, intervals, features
 
 
@@ -221,6 +385,8 @@ def test_interval_join_equals_definition(spark, spans, bucket):
 def grid(spark, n, values):
     base = {c: None for c in ("hr_bpm", "rr_ms", "eda_us", "ecg_rpeak_count", "ecg_coverage_ratio", "watch_hr_bpm", "watch_ibi_ms", "ppg_green_dc", "ppg_green_ac", "skin_temp_c", "quality_min", "eeg_tp9_rms_uv", "eeg_af7_rms_uv", "eeg_af8_rms_uv", "eeg_tp10_rms_uv")}
     base |= {f"{x}_{k}": None for x in ("wrist", "head", "chest") for k in ("vm", "enmo", "jerk", "sma", "coverage_ratio", "x", "y", "z")}
+    base |= dict.fromkeys(("ecg_rr_ms", "ppg_interval_ms", "ambient_temp_c", *[f"eeg_{c}_coverage_ratio" for c in features.CHANNELS]))
+    base |= dict.fromkeys(f"eeg_{c}_1s_{n}" for c in features.CHANNELS for n in (*[f"{b}_abs_power" for b in spectral.BANDS], "spectral_entropy", "line_noise_ratio", "high_freq_artifact_ratio"))
     base |= dict.fromkeys(("ecg_rpeak_confidence", "ecg_mean_uv", "ecg_rms_uv", "ecg_line_length", "ppg_ir_ac", "ppg_red_ac", "eeg_gfp"))
     columns = sorted(base)
     rows = [("r", "P001", i * SECOND, *[float(values[c](i)) if c in values else None for c in columns]) for i in range(n)]
@@ -301,7 +467,7 @@ def test_kernels_on_native_streams(spark):
     assert (again.repetition_duration_sec >= 0).all() and again.wrist_repetition_score.notna().all()
     transit = features.pulse_transit(devices.peaks(rows, "ecg", "ecg", 0.7), devices.peaks(rows, "ppg", "green", 0.8)).toPandas()
     assert transit.pairs.sum() > 100 and transit.ppg_ecg_pulse_transit_proxy_ms.between(50, 600).all()
-    one = run.observed_timeline(rows, latent)
+    one = run.observed_timeline(rows, latent, c)
     eeg = features.eeg_features(one, 5).toPandas()
     assert len(eeg) == 24 and (eeg.eeg_valid_channel_count == 4).all() and eeg.eeg_tp9_alpha_relative_power.between(0, 1).all() and eeg.eeg_quality_score.between(0, 1).all()
     assert eeg.eeg_channel_correlation_mean.between(-1, 1).all() and (one.toPandas().eeg_gfp > 0).all()
@@ -310,7 +476,7 @@ def test_kernels_on_native_streams(spark):
 def test_a_run_calls_every_feature_operator():
     import inspect
 
-    called = inspect.getsource(run.write_features) + inspect.getsource(run.clip_features)
+    called = "".join(map(inspect.getsource, (run.feature_tables, run.write_features, run.clip_features, run.baseline_features)))
     assert all(f"features.{n}(" in called for n in ("hrv_kernels", "rr_entropy", "motion_spectra", "repetition", "pulse_transit", "latest_temperature", "deviation", "event_onset_orders"))
 
 
@@ -345,7 +511,7 @@ def test_eeg_entropy_sees_the_whole_window(spark):
     got = features.eeg_features(t, 5, stride=1).select("canonical_time_ns", "eeg_tp9_sample_entropy", "eeg_tp9_permutation_entropy", "eeg_tp9_coverage_ratio").toPandas().set_index("canonical_time_ns").sort_index()
     assert len(got) == 8 and got.eeg_tp9_coverage_ratio[1 * SECOND] == pytest.approx(0.4)
     for end in (4, 5, 7):
-        part = x[256 * (end - 4) : 256 * (end + 1)]
+        part = spectral.preprocessed(x[256 * (end - 4) : 256 * (end + 1)], 256)
         assert got.eeg_tp9_sample_entropy[end * SECOND] == pytest.approx(spectral.sample_entropy(part)) and got.eeg_tp9_permutation_entropy[end * SECOND] == pytest.approx(spectral.permutation_entropy(part))
 
 
@@ -422,3 +588,28 @@ def test_parquet_round_trip_and_manifest(spark, quick, capsys):
     tables.read_table(spark, home, "latent_timeline").filter("person_id = 'P001' AND seconds_from_start > 5").explain("formatted")
     pushed = capsys.readouterr().out
     assert "PartitionFilters: [isnotnull(person_id" in pushed and "PushedFilters: [IsNotNull(seconds_from_start)" in pushed
+
+
+def test_golden_run_end_to_end(spark, tmp_path, capsys):
+    """Generate, validate and read back a whole run: every table, report and provenance file."""
+    import json
+    import os
+
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    assert cli.main(["generate", "--config", "golden", "--output", str(tmp_path)], spark) == 0
+    c = cfg.builtin("golden")
+    home = f"{tmp_path}/{cfg.run_id(c)}"
+    report = json.load(open(f"{home}/reports/validation.json"))
+    assert all(f["passed"] for f in report["findings"]) and {"no_perfect_feature", "hard_negatives_overlap", "safety_flags_and_neutral_names", "features_registered", "person_id_does_not_decide"} <= {f["check"] for f in report["findings"]}
+    files = set(os.listdir(f"{home}/provenance")) | set(os.listdir(f"{home}/provenance/source_config"))
+    assert {"manifest.json", "licences.csv", "sbom.json", "resolved_config.json", "0_golden.yaml", "1_mvp.yaml"} <= files
+    assert json.load(open(f"{home}/provenance/sbom.json"))["bomFormat"] == "CycloneDX"
+    z = tables.read_table(spark, home, "features_baseline")
+    assert {f"{n}_personal_robust_z" for n in features.Z_FEATURES} < set(z.columns) and z.count() == 600
+    for w in c.features.windows_sec:
+        f = tables.read_table(spark, home, f"features_{w}s")
+        assert f.count() == 600 and {"eeg_af7_alpha_relative_power", "watch_ppg_pulse_rate_bpm", "polar_rr_ecg_median_ms"} < set(f.columns)
+    before = os.path.getmtime(f"{home}/model_ready/features_5s")
+    assert cli.main(["features", "--config", "golden", "--output", str(tmp_path)], spark) == 0  # nothing is missing, so nothing is written
+    assert os.path.getmtime(f"{home}/model_ready/features_5s") == before
+    assert tables.read_table(spark, home, "evaluations").count() == 1
