@@ -5,7 +5,9 @@ target, date and payload digest, and have block digests of their own.  Character
 Python, as are compressed WARC files; the rest is expressed in DataFrame functions.
 
 Defined cases: null bodies count as empty; null URLs as empty targets; repeated responses give records each; records
-other than responses are passed over; an empty table gives an empty result; other columns are ignored.
+other than responses are passed over; an empty table gives an empty result; other columns are ignored.  A record that
+is cut off, has no usable length, or lies behind a broken gzip member is no response: ``read_responses`` gives a row
+that says so in ``damage``, by which such records are counted, and ``derive_records`` passes over it.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import prepare
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-RESPONSE_SCHEMA = "record_id string, target_uri string, date string, http_header string, body string, source_payload_digest string, source_block_digest string"
+RESPONSE_SCHEMA = "record_id string, target_uri string, date string, http_header string, body string, source_payload_digest string, source_block_digest string, damage string"
 #: Bytes of bodies that a batch of read responses holds, beside its last one.
 BATCH_BYTES = 8 << 20
 #: Elements whose contents are no text, elements that end a line, and the named characters that the query's SQL spells out.
@@ -45,8 +47,8 @@ LINK = r"""(?i)<a(?=\s)(?:[^>"']|"[^"]*"|'[^']*')*?\shref\s*=\s*(?:"([^"]*)"|'([
 
 def sha1_digest(text: Column) -> Column:
     """``sha1:`` and the base-32 digest of the UTF-8 bytes."""
-    five = lambda i, k: F.conv(F.substring(F.sha1(text), F.lit(5 * i + 1), F.lit(5)), 16, 10).cast("int").bitwiseAND(F.lit(31 << k))
-    letters = [F.substring(F.lit(BASE32), F.shiftright(five(i, k), k) + 1, F.lit(1)) for i in range(8) for k in (15, 10, 5, 0)]
+    ten = [F.conv(F.substring(F.sha1(text), 10 * i + 1, 10), 16, 10).cast("long") for i in range(4)]  # 40 bits, eight letters each
+    letters = [F.substring(F.lit(BASE32), (F.shiftrightunsigned(v, k).bitwiseAND(F.lit(31).cast("long")) + 1).cast("int"), F.lit(1)) for v in ten for k in range(35, -1, -5)]
     return F.concat(F.lit("sha1:"), *letters)
 
 
@@ -106,6 +108,8 @@ def derive_records(responses: DataFrame, short: bool = False) -> DataFrame:
     can say: references of ``NAMED`` in the text alone, and links in double quotes.
     """
     prepare(responses.sparkSession)
+    if "damage" in responses.columns:
+        responses = responses.filter(F.col("damage").isNull())
     body = F.coalesce("body", F.lit(""))
     title = F.trim(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title", 1))
     links = F.regexp_extract_all(body, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
@@ -167,23 +171,38 @@ def write_warc(records: DataFrame, path: str) -> DataFrame:
     return records.select(*names, *sources).mapInArrow(run, "file string, n_records long")
 
 
-def records_of(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each response of a WARC file, plain or gzipped; one record is held at a time."""
+def records_of(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes | None, str | None]]:
+    """Header fields, block and damage of each response of a WARC file, plain or gzipped; one record is held at a time.
+
+    A damaged record has no block.  After one of no usable length, reading goes on at the next record's first line;
+    what follows a cut or a broken gzip member is lost, and one entry stands for it.
+    """
     source = io.BufferedReader(stream, 1 << 16)
     data = gzip.GzipFile(fileobj=source) if source.peek(2)[:2] == b"\x1f\x8b" else source
-    while line := data.readline():
-        if not line.startswith(b"WARC/1."):
-            continue
-        raw = []
-        while (line := data.readline()) and line not in (b"\r\n", b"\n"):
-            raw.append(line)
-        head = {k.lower(): v for k, v in re.findall(r"(?m)^([^:\r\n]+):[ \t]*([^\r\n]*)", b"".join(raw).decode("utf-8", "replace"))}
-        left = int(head.get("content-length", 0))
-        if head.get("warc-type") == "response":
-            yield head, data.read(left)
-        else:
-            while left and (part := data.read(min(left, 1 << 20))):
-                left -= len(part)
+    head: dict[str, str] = {}
+    try:
+        while line := data.readline():
+            if not line.startswith(b"WARC/1."):
+                continue
+            raw = []
+            while (line := data.readline()) and line not in (b"\r\n", b"\n"):
+                raw.append(line)
+            head = {k.lower(): v for k, v in re.findall(r"(?m)^([^:\r\n]+):[ \t]*([^\r\n]*)", b"".join(raw).decode("utf-8", "replace"))}
+            length = head.get("content-length", "").strip()
+            if not re.fullmatch(r"[0-9]{1,15}", length):
+                yield head, None, "no usable length"
+                continue
+            left = int(length)
+            if head.get("warc-type") == "response":
+                block = data.read(left)
+                yield (head, block, None) if len(block) == left else (head, None, "cut off")
+            else:
+                while left and (part := data.read(min(left, 1 << 20))):
+                    left -= len(part)
+                if left:
+                    yield head, None, "cut off"
+    except (EOFError, OSError, zlib.error) as e:
+        yield head, None, f"broken compression: {type(e).__name__}"
 
 
 def unchunked(body: bytes) -> bytes:
@@ -229,8 +248,10 @@ def decoded(content: bytes, content_type: str) -> str:
         return content.decode("utf-8", "replace")
 
 
-def response_row(head: dict[str, str], block: bytes) -> tuple[str | None, ...]:
+def response_row(head: dict[str, str], block: bytes | None, damage: str | None) -> tuple[str | None, ...]:
     """A row of ``RESPONSE_SCHEMA``: the source's digests where it has them, else those of its bytes."""
+    if block is None:
+        return (head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), None, None, None, None, damage)
     http, _, body = block.partition(b"\r\n\r\n")
     try:
         header = http.decode("utf-8")
@@ -240,7 +261,7 @@ def response_row(head: dict[str, str], block: bytes) -> tuple[str | None, ...]:
     payload = unchunked(body) if "chunked" in fields.get("transfer-encoding", "").lower() else body
     sha1 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
     text = decoded(inflated(payload, fields.get("content-encoding", "")), fields.get("content-type", ""))
-    return (head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), header + "\r\n\r\n", text, head.get("warc-payload-digest") or sha1(payload), head.get("warc-block-digest") or sha1(block))
+    return (head.get("warc-record-id"), head.get("warc-target-uri"), head.get("warc-date"), header + "\r\n\r\n", text, head.get("warc-payload-digest") or sha1(payload), head.get("warc-block-digest") or sha1(block), None)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -264,9 +285,9 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                     stream = io.BytesIO(source)
                 rows, held = [], 0
                 with stream:
-                    for head, block in records_of(stream):
-                        rows.append(response_row(head, block))
-                        held += len(rows[-1][4])
+                    for head, block, damage in records_of(stream):
+                        rows.append(response_row(head, block, damage))
+                        held += len(rows[-1][4] or "")
                         if held >= BATCH_BYTES:
                             yield batch(rows)
                             rows, held = [], 0

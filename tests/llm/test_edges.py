@@ -341,6 +341,26 @@ def test_warc_keeps_headers_digests_and_bytes(spark, tmp_path, monkeypatch):
     assert [json.loads(x.split(": ", 1)[1]) for x in text.split("\r\n") if x.startswith("WARC-Source-HTTP-Header: ")].count("HTTP/1.1 200 OK\r\n\r\n") == 2
 
 
+def test_warc_counts_damaged_records(spark, tmp_path):
+    import gzip
+
+    def member(i, length=None, body=b"HTTP/1.1 200 OK\r\n\r\n<p>Hi</p>"):
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %s\r\n\r\n%s\r\n\r\n" % (i, length or str(len(body)).encode(), body)
+
+    whole = member(1) + member(2, b"many") + member(3) + member(4, b"-5") + member(5)
+    (tmp_path / "a.warc").write_bytes(whole + member(6, b"5000"))  # the last one is cut off
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(member(7)) + gzip.compress(member(8) * 50)[:-30])
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(member(9)) + b"\x1f\x8b\x08\x00garbage")
+    (tmp_path / "d.warc").write_bytes(b"")
+    rows = warc.read_responses(spark, str(tmp_path)).collect()
+    good = {r.record_id for r in rows if r.damage is None}
+    assert {"<r1>", "<r3>", "<r5>", "<r7>", "<r9>"} <= good and not good & {"<r2>", "<r4>", "<r6>"}
+    damaged = sorted((r.record_id, r.damage.split(":")[0]) for r in rows if r.damage)
+    assert {("<r2>", "no usable length"), ("<r4>", "no usable length"), ("<r6>", "cut off")} <= set(damaged) and [d for _, d in damaged].count("broken compression") == 2
+    derived = warc.derive_records(warc.read_responses(spark, str(tmp_path))).collect()
+    assert len(derived) == 2 * sum(r.damage is None for r in rows)
+
+
 def test_warc_decodes_all_references_and_links(spark):
     import html
 
