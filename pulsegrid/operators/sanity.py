@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,7 +18,13 @@ TOO_GOOD, NO_SIGNAL = 0.999, 0.52
 
 
 def model_auc(train: DataFrame, test: DataFrame, features: list[str], label: str, kind: str = "logistic", seed: int = 1) -> DataFrame:
-    """(positives, negatives, auc) of a model fitted on ``train`` and scored on ``test``; missing values become medians."""
+    """(positives, negatives, auc) of a model fitted on ``train`` and scored on ``test``; missing values become medians.
+
+    ``kind`` is logistic, forest, or isolation, which never sees labels: it scores how far a row of ``test`` stands apart.
+    """
+    if kind == "isolation":
+        apart = isolation_scores(test, features, seed=seed)
+        return auc(apart.select(F.round("isolation_score", 6).alias("p"), F.col(label).cast("boolean").alias("y")), "p", "y")
     filled = [f"{f}_filled" for f in features]
     fill = Imputer(inputCols=features, outputCols=filled, strategy="median").fit(train)
     join = VectorAssembler(inputCols=filled, outputCol="features")
@@ -27,6 +35,70 @@ def model_auc(train: DataFrame, test: DataFrame, features: list[str], label: str
     return auc(p, "p", "y")
 
 
+#: Trees of an isolation forest, and rows that each of them is grown on.
+TREES, TREE_ROWS = 100, 256
+
+
+def grow_tree(x: np.ndarray, rng: np.random.Generator, most: int) -> list[tuple[int, float, int, int, float]]:
+    """Nodes (feature, cut, left, right, path length): random cuts until rows are alone or the tree is ``most`` deep.
+
+    A leaf has feature -1, and the mean path that its rows would still take.
+    """
+    nodes: list[tuple[int, float, int, int, float]] = []
+
+    def grow(rows: np.ndarray, depth: int) -> int:
+        at = len(nodes)
+        nodes.append((-1, 0.0, -1, -1, depth + mean_path(len(rows))))
+        spread = np.ptp(rows, axis=0) if len(rows) else np.zeros(x.shape[1])
+        if depth < most and len(rows) > 1 and spread.any():
+            f = int(rng.choice(np.flatnonzero(spread)))
+            cut = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
+            left, right = grow(rows[rows[:, f] <= cut], depth + 1), grow(rows[rows[:, f] > cut], depth + 1)
+            nodes[at] = (f, cut, left, right, 0.0)
+        return at
+
+    grow(x, 0)
+    return nodes
+
+
+def mean_path(n: int) -> float:
+    """Mean length of an unsuccessful search among ``n`` keys."""
+    return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+
+def isolation_scores(df: DataFrame, features: list[str], column: str = "isolation_score", seed: int = 1) -> DataFrame:
+    """``df`` with an isolation-forest score of 0 to 1, higher for rows that few random cuts set apart.
+
+    Trees are grown on a hashed sample of at most TREES x TREE_ROWS rows; every row is scored.  Missing values count
+    as the sample's median.
+    """
+    light = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    rows = light.orderBy(F.xxhash64(F.lit(seed), *features)).limit(TREES * TREE_ROWS).toPandas().to_numpy(float)  # bounded
+    middle = np.array([np.nanmedian(c) if np.isfinite(c).any() else 0.0 for c in rows.T]) if len(rows) else np.zeros(len(features))
+    rows = np.where(np.isfinite(rows), rows, middle)
+    rng = np.random.default_rng(seed)
+    size = min(TREE_ROWS, max(len(rows), 1))
+    most = int(np.ceil(np.log2(max(size, 2))))
+    forest = [np.array(grow_tree(rows[rng.choice(len(rows), size, replace=False)], rng, most)) for _ in range(TREES)] if len(rows) else []
+    whole = mean_path(size) or 1.0
+
+    @F.pandas_udf("double")
+    def score(*columns: pd.Series) -> pd.Series:
+        x = np.stack([c.to_numpy(float) for c in columns], axis=1)
+        x = np.where(np.isfinite(x), x, middle)
+        length = np.zeros(len(x))
+        for tree in forest:
+            at = np.zeros(len(x), int)
+            while (inner := np.flatnonzero(tree[at, 0] >= 0)).size:
+                node = tree[at[inner]]
+                left = x[inner, node[:, 0].astype(int)] <= node[:, 1]
+                at[inner] = np.where(left, node[:, 2], node[:, 3]).astype(int)
+            length += tree[at, 4]
+        return pd.Series(2.0 ** -(length / max(len(forest), 1) / whole))
+
+    return df.withColumn(column, score(*[F.col(f).cast("double") for f in features]))
+
+
 def feature_aucs(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, positives, negatives, auc): no single feature may tell the label apart without error."""
     long = df.select(F.col(label).cast("boolean").alias("y"), *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["y"], features, "feature", "value")

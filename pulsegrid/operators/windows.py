@@ -7,6 +7,8 @@ without a bound in time carry one summary row a block.  Frames never look ahead,
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -78,6 +80,25 @@ def _carry(df: DataFrame, keys: list[str], t: str, columns: list[str], block: in
     return out.drop("_block").select(*df.columns)
 
 
+def nearest(df: DataFrame, keys: list[str], t: str, back: list[str], ahead: list[str], block: int) -> DataFrame:
+    """Both lookups in one pass: ``back`` columns take their last value at or before the row, ``ahead`` columns their first strictly after it."""
+    local = Window.partitionBy(*keys, "_block").orderBy(t)
+    over = Window.partitionBy(*keys).orderBy("_block")  # a row for each block
+    marked = df.withColumn("_block", floor_div(F.col(t), block))
+    there = lambda c: F.when(F.col(c).isNotNull(), F.col(t))
+    blocks = marked.groupBy(*keys, "_block").agg(*[F.max_by(F.col(c), there(c)).alias(f"_{c}") for c in back], *[F.min_by(F.col(c), there(c)).alias(f"_{c}") for c in ahead])
+    carried = blocks.select(
+        *keys, "_block", *[F.last(f"_{c}", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_{c}") for c in back],
+        *[F.first(f"_{c}", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias(f"_{c}") for c in ahead],
+    )
+    near = marked.select(
+        "*", *[F.last(c, ignorenulls=True).over(local.rangeBetween(Window.unboundedPreceding, 0)).alias(f"_near_{c}") for c in back],
+        *[F.first(c, ignorenulls=True).over(local.rangeBetween(1, Window.unboundedFollowing)).alias(f"_near_{c}") for c in ahead],
+    )
+    found = {c: F.coalesce(f"_near_{c}", f"_{c}") for c in [*back, *ahead]}
+    return near.join(carried, [*keys, "_block"]).select(*[found[c].alias(c) if c in found else F.col(c) for c in df.columns])
+
+
 def latest(df: DataFrame, keys: list[str], t: str, columns: list[str], block: int) -> DataFrame:
     """Backward as-of: fill each column with its last value at or before the row."""
     return _carry(df, keys, t, columns, block, True)
@@ -112,11 +133,16 @@ def back(df: DataFrame, totals: DataFrame, keys: list[str], how: str = "inner")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` read back from the shared folder, where there is one: what is read several times is planned and made once."""
+    """``df`` read back from the shared folder: what is read several times is planned and made once.
+
+    Where ``spark.checkpoint.dir`` is unset, a local session takes a temporary folder; on a cluster ``df`` stays as it is.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return df
+        if not spark.sparkContext.master.startswith("local"):
+            return df
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
     path = f"{root.rstrip('/')}/windows/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1023,14 +1023,11 @@ def hourly_timeline(spark, sf_dir):
     x = (F.col("hour_ns") - F.lit(1_704_067_200 * SECOND).cast("long")) / F.lit(3600e9)
     rolled = windows.trailing(j, ["person_id"], "hour_ns", 24 * H, {"tm": lambda w: F.avg("m").over(w), "tn": lambda w: F.count("m").over(w), "ts": lambda w: F.regr_slope(F.col("m"), x).over(w)})
     # an hour's own onsets are past at its end; the forecast looks at the hours after it
-    back = windows.latest(rolled, ["person_id"], "hour_ns", ["last_on"], BLOCK)
-    marks = h.filter(F.col("first_on").isNotNull()).select("person_id", (F.col("hour_ns") - 1).alias("hour_ns"), F.col("first_on").alias("nxt"), F.lit(True).alias("mark"))
-    rows = grid.select("person_id", "hour_ns", F.lit(None).cast("long").alias("nxt"), F.lit(False).alias("mark")).unionByName(marks)
-    nxt = windows.upcoming(rows, ["person_id"], "hour_ns", ["nxt"], BLOCK).filter("NOT mark").drop("mark")
+    found = windows.nearest(rolled, ["person_id"], "hour_ns", ["last_on"], ["first_on"], BLOCK)
     end = F.col("hour_ns") + F.lit(H).cast("long")
-    return back.join(nxt, ["person_id", "hour_ns"]).select(
+    return found.select(
         "person_id", "hour_ns", r(F.col("m")).alias("value_mean"), F.col("n").alias("sample_count"), r(F.least(F.col("n"), F.lit(1)) * 1.0).alias("coverage_ratio"), r(F.col("tm")).alias("trailing_mean"),
-        F.when(F.col("tn") > 1, r(F.col("ts"), 7)).alias("trailing_slope"), r((end - F.col("last_on")) / F.lit(1e9)).alias("since_onset_sec"), F.coalesce(F.col("nxt") - end <= 24 * H - 1, F.lit(False)).alias("onset_within_24h"),
+        F.when(F.col("tn") > 1, r(F.col("ts"), 7)).alias("trailing_slope"), r((end - F.col("last_on")) / F.lit(1e9)).alias("since_onset_sec"), F.coalesce(F.col("first_on") - end <= 24 * H - 1, F.lit(False)).alias("onset_within_24h"),
     )
 
 
@@ -1087,8 +1084,6 @@ _FEATURES = """f AS (SELECT user_id AS person_id, event_type = 'error' AS y, val
     SELECT feature, positives, negatives, round((s - positives * (positives + 1) / 2.0) / (positives * negatives), 6) AS auc FROM a""")
 def single_feature_auc(spark, sf_dir):
     """No single feature, person or time of day may tell targets apart."""
-    from pulsegrid.operators import sanity
-
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     f = e.select((F.col("event_type") == "error").alias("y"), "value", F.get_json_object("props", "$.k").cast("double").alias("k"), F.hour("ts").cast("double").alias("h"))
     return sanity.feature_aucs(f, ["value", "k", "h"], "y").withColumn("auc", r(F.col("auc")))
@@ -1096,22 +1091,18 @@ def single_feature_auc(spark, sf_dir):
 
 @query("SELECT user_id AS person_id, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS share FROM events GROUP BY 1")
 def label_share_by_person(spark, sf_dir):
-    from pulsegrid.operators import sanity
-
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("person_id"), (F.col("event_type") == "error").alias("y"))
     return sanity.key_entropy(e, "person_id", "y").withColumn("share", r(F.col("share")))
 
 
 @query()
 def sanity_models(spark, sf_dir):
-    """AUC of a logistic and a forest model on held-out persons; near one half, as the label is random here."""
-    from pulsegrid.operators import sanity
-
+    """AUC of a logistic, a forest and an isolation model on held-out persons; near one half, as the label is random here."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     f = e.select("user_id", (F.col("event_type") == "error").alias("y"), "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
     train, test = f.filter(F.xxhash64("user_id") % 3 != 0), f.filter(F.xxhash64("user_id") % 3 == 0)
-    rows = [sanity.model_auc(train, test, ["value", "k"], "y", kind).withColumn("model", F.lit(kind)) for kind in ("logistic", "forest")]
-    return rows[0].unionByName(rows[1])
+    rows = [sanity.model_auc(train, test, ["value", "k"], "y", kind).withColumn("model", F.lit(kind)) for kind in ("logistic", "forest", "isolation")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def golden_timeline(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

@@ -36,10 +36,14 @@ def generate(spark: SparkSession, config: RunConfig, root: str, truth_only: bool
     if not truth_only:
         put(truth.clips(spark, config, get("events")), "clip_manifest")
         latent, people, faults, days = get("latent_timeline"), get("participants"), get("artifacts"), get("daily_context")
-        clipped = devices.native(latent, people, faults, get("clip_manifest"), config, days)
-        put(devices.aligned(clipped, latent, get("clock_models"), config).drop("packet_seed"), "native")
-        whole = devices.native(latent, people, faults, None, config, days)
-        put(observed_timeline(devices.on_grid(devices.aligned(whole, latent, get("clock_models"), config)), latent, config), "timeline_1hz")
+        whole = devices.aligned(devices.native(latent, people, faults, None, config, days), latent, get("clock_models"), config)
+        if config.native_storage == "all":  # the whole recording is kept, and read again
+            put(whole.drop("packet_seed"), "native")
+            whole = get("native")
+        else:
+            clipped = devices.native(latent, people, faults, get("clip_manifest"), config, days)
+            put(devices.aligned(clipped, latent, get("clock_models"), config).drop("packet_seed"), "native")
+        put(observed_timeline(devices.on_grid(whole), latent, config), "timeline_1hz")
         put(labels.label_timeline(grid_of(latent), get("events"), faults), "labels")
         put(splits.by_person(people.select("person_id"), config.splits.seed, config.splits.fractions), "splits")
         day = floor_div(F.col(T) - F.lit(config.run.start_ns).cast("long"), DAY)

@@ -224,6 +224,7 @@ class RunConfig(Strict):
     clocks: dict[str, Clock]
     features: Features
     splits: Splits
+    native_storage: Literal["clips", "all"] = "clips"
     size_guard_gb: float = Field(default=20, gt=0)
 
     @model_validator(mode="after")
@@ -342,6 +343,8 @@ def estimate(config: RunConfig) -> dict[str, float]:
     clips = most * (1 + config.events.hard_negative_ratio) + config.events.matched_baseline_clips_per_day * days * persons
     clip_seconds = clips * (config.events.clip_pre_sec + config.events.clip_post_sec)
     rows = persons * seconds
+    if config.native_storage == "all":
+        clip_seconds = rows
     return {
         "canonical_rows": rows, "target_events_min": int(config.events.target_events_per_day.min) * days * persons, "target_events_max": most,
         "clip_seconds": clip_seconds, "native_samples": clip_seconds * samples, "size_gb": round((rows * 1200 + clip_seconds * samples * 6) / 1e9, 3),

@@ -370,6 +370,9 @@ def test_trailing_is_causal_and_equals_plain_windows(spark):
     for block in (50, 900, 10_000):
         assert windows.latest(marked, ["p"], "t", ["x"], block).select("p", "t", "x").exceptAll(back).isEmpty()
         assert windows.upcoming(marked, ["p"], "t", ["x"], block).select("p", "t", "x").exceptAll(ahead).isEmpty()
+        both = windows.nearest(marked.withColumn("y", F.col("x")), ["p"], "t", ["x"], ["y"], block)
+        strict = marked.select("p", "t", F.first("x", ignorenulls=True).over(Window.partitionBy("p").orderBy("t").rangeBetween(1, Window.unboundedFollowing)).alias("y"))
+        assert both.select("p", "t", "x").exceptAll(back).isEmpty() and both.select("p", "t", "y").exceptAll(strict).isEmpty()
 
 
 @settings(max_examples=8, deadline=None)
@@ -530,6 +533,26 @@ def test_split_counts_add_up(n):
     assert sum(c.values()) == n and (n < 3 or min(c.values()) >= 1)
 
 
+def test_isolation_forest_finds_what_stands_apart(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate((rng.normal(size=(2000, 3)), rng.normal(size=(20, 3)) + 7))
+    df = spark.createDataFrame([(*map(float, r), i >= 2000) for i, r in enumerate(x)] + [(None, 0.0, 0.0, False)], "a double, b double, c double, far boolean")
+    got = sanity.isolation_scores(df, ["a", "b", "c"]).toPandas()
+    assert len(got) == 2021 and got.isolation_score.between(0, 1).all() and got[got.far].isolation_score.min() > got[~got.far].isolation_score.quantile(0.99)
+    assert sanity.model_auc(df, df, ["a", "b", "c"], "far", "isolation").first()["auc"] > 0.999
+    again = sanity.isolation_scores(df.repartition(5), ["a", "b", "c"]).toPandas()
+    assert again.isolation_score.sum() == pytest.approx(got.isolation_score.sum())
+    assert sanity.isolation_scores(df.limit(0), ["a"]).count() == 0
+
+
+def test_whole_recording_can_be_stored(spark, tmp_path, monkeypatch):
+    c = cfg.builtin("golden").model_copy(update={"native_storage": "all"})
+    assert cfg.builtin("full_raw").native_storage == "all" and cfg.estimate(c)["clip_seconds"] == 600
+    monkeypatch.setattr(run, "write_features", lambda *a, **k: [])
+    made = run.generate(spark, c, str(tmp_path))
+    assert made["tables"]["native"]["rows"] == 6000 and made["tables"]["timeline_1hz"]["rows"] == 600
+
+
 def test_split_is_by_person_and_stable(spark):
     people = spark.range(100).select(F.concat(F.lit("P"), F.col("id")).alias("person_id"))
     a = splits.by_person(people, 1, QUICK.splits.fractions)
