@@ -692,12 +692,25 @@ def waveform_features(spark, sf_dir):
     return e.select("vec_id", r(arrays.rms(x), 5).alias("rms_uv"), r(arrays.peak_to_peak(x), 5).alias("peak_to_peak_uv"), r(arrays.line_length(x), 4).alias("line_length"), r(arrays.zero_crossing_rate(x)).alias("zero_crossing_rate"), r(arrays.variance(x), 5).alias("hjorth_activity"))
 
 
-@query()
+_BAND_OF = " ".join(f"WHEN k < {hi} THEN '{b}'" for b, (_, hi) in spectral.BANDS.items())
+_BAND_COLUMNS = ", ".join(f"sum(CASE WHEN band = '{b}' THEN p ELSE 0 END) AS {b}" for b in spectral.BANDS)
+
+
+@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), m AS (SELECT vec_id, x, list_sum(x) / len(x) AS mu FROM e),
+    i AS (SELECT vec_id, i, (x[i + 1] - mu) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) AS y FROM m, (SELECT unnest(range(0, 64)) AS i)),
+    f AS (SELECT vec_id, k, (pow(sum(y * cos(2 * pi() * k * i / 64)), 2) + pow(sum(y * sin(2 * pi() * k * i / 64)), 2)) / (64 * 24.0) * CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END AS p FROM i, (SELECT unnest(range(1, 33)) AS k) GROUP BY 1, 2),
+    g AS (SELECT *, CASE {_BAND_OF} END AS band, k < 32 AS used FROM f), b AS (SELECT vec_id, {_BAND_COLUMNS}, sum(p) AS whole, sum(p) FILTER (used) AS u, sum(p) FILTER (k > 30) AS fast FROM g GROUP BY 1),
+    q AS (SELECT g.vec_id, k, p, p / u AS s, sum(p / u) OVER (PARTITION BY g.vec_id ORDER BY k) AS upto FROM g JOIN b ON b.vec_id = g.vec_id WHERE used),
+    h AS (SELECT vec_id, -sum(s * ln(s)) / ln(31) AS entropy, min(k) FILTER (upto >= 0.95) AS edge, min(k) FILTER (upto >= 0.5) AS middle, arg_max(k, p) AS top, regr_slope(log10(p), log10(k)) AS slope, regr_intercept(log10(p), log10(k)) AS base FROM q GROUP BY 1)
+    SELECT b.vec_id, {", ".join(f"round({x} + 1e-9, 5) AS {x}_abs_power, round({x} / whole + 1e-9, 5) AS {x}_relative_power" for x in spectral.BANDS)}, round(theta / beta + 1e-9, 5) AS theta_beta_ratio, round(beta / alpha + 1e-9, 5) AS beta_alpha_ratio,
+      round(entropy + 1e-9, 5) AS spectral_entropy, edge::DOUBLE AS spectral_edge_95hz, middle::DOUBLE AS median_frequency_hz, top::DOUBLE AS dominant_frequency_hz, round(-slope + 1e-9, 5) AS aperiodic_exponent, round(base + 1e-9, 5) AS aperiodic_offset,
+      0.0 AS line_noise_ratio, round(fast / whole + 1e-9, 5) AS high_freq_artifact_ratio FROM b JOIN h ON h.vec_id = b.vec_id""")
 def spectral_features(spark, sf_dir):
-    """Band powers, entropy and edges by the Arrow kernels."""
+    """Band powers, ratios, entropy, edges and aperiodic fit by the Arrow kernel, against a discrete Fourier transform in SQL."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    s = spectral.summary_udf(64.0)(F.col(_X))
-    return e.withColumn("s", s).withColumn("e", spectral.entropy_udf()(F.col(_X))).select("vec_id", "s.*", "e.*")
+    s = e.withColumn("s", spectral.summary_udf(64.0)(F.col(_X)))
+    plain = ("spectral_edge_95hz", "median_frequency_hz", "dominant_frequency_hz", "line_noise_ratio")
+    return s.select("vec_id", *[F.col(f"s.{n}") if n in plain else r(F.col(f"s.{n}") + 1e-9, 5).alias(n) for n in spectral.SUMMARY_TYPE.names])
 
 
 # features over a timeline that stands in for one ------------------------------------------------------------------------
@@ -706,7 +719,8 @@ def spectral_features(spark, sf_dir):
 TL = """tl0 AS (SELECT 'p' || (user_id % 16) AS person_id, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS s, event_type, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events),
     tl AS (SELECT *, CASE WHEN event_type <> 'signup' THEN 60 + value * 0.4 END AS hr, CASE WHEN event_type <> 'signup' THEN 60000 / (60 + value * 0.4) END AS rr, 60 + k * 0.4 AS whr, 60000 / (60 + k * 0.4) AS ibi, 1 + value / 20 AS eda,
       sqrt(value / 100 * value / 100 + k / 100 * k / 100 + 0.25) AS vm, greatest(sqrt(value / 100 * value / 100 + k / 100 * k / 100 + 0.25) - 1, 0) AS enmo, abs(value - k) / 10 AS jerk, value / 100 + k / 100 + 0.5 AS sma,
-      CASE WHEN event_type = 'view' THEN value END AS skin, CASE WHEN event_type = 'click' THEN k END AS ambient FROM tl0)"""
+      CASE WHEN event_type = 'view' THEN value END AS skin, CASE WHEN event_type = 'click' THEN k END AS ambient, value * 50 AS dc, k + 1 AS ac, CASE WHEN event_type <> 'view' THEN 600 + value END AS pulse,
+      CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.25 END AS cover, """ + ", ".join(f"1 + value * {b + 1} / 100 + k * {j + 1} / 50 AS {c}_{band}" for j, c in enumerate(features.CHANNELS) for b, band in enumerate(spectral.BANDS)) + " FROM tl0)"
 _PR = """pr AS (SELECT *, rr - lag(rr) OVER o AS drr, hr - lag(hr) OVER o AS dhr, eda - lag(eda) OVER o AS deda, median(rr) OVER h AS rr_med, eda - median(eda) OVER h AS phasic, lag(eda) OVER o AS e1, lag(eda, 2) OVER o AS e2,
       lag(eda) OVER o - min(eda) OVER l AS amp, CASE WHEN enmo > 0.1 AND coalesce(lag(enmo) OVER o, 0) <= 0.1 THEN 1 ELSE 0 END AS burst, lag(hr, 5) OVER o AS hr5, lag(hr, 10) OVER o AS hr10, lag(hr, 20) OVER o AS hr20,
       acos(least(greatest((value / 100 * lag(value) OVER o / 100 + k / 100 * lag(k) OVER o / 100 + 0.25) / (vm * lag(vm) OVER o), -1), 1)) AS turn FROM tl
@@ -729,8 +743,12 @@ def stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
         "wrist_enmo": F.greatest(vm - 1, F.lit(0.0)), "wrist_jerk": F.abs(v - F.col("k")) / 10, "wrist_sma": x + y + 0.5, "wrist_coverage_ratio": F.lit(1.0), "skin_temp_c": F.when(F.col("event_type") == "view", v),
         "ambient_temp_c": F.when(F.col("event_type") == "click", F.col("k")),
     }
-    missing = ["ecg_rpeak_count", "ecg_coverage_ratio", "ecg_rr_ms", "ppg_interval_ms", "ppg_green_dc", "ppg_green_ac", "ppg_ir_ac", "ppg_red_ac", "quality_min", "ecg_rpeak_confidence", "ecg_mean_uv", "ecg_rms_uv", "ecg_line_length", "eeg_gfp"]
-    missing += [f"{l}_{n}" for l in ("head", "chest") for n in ("x", "y", "z", "vm", "enmo", "jerk", "sma", "coverage_ratio")] + [f"eeg_{c}_rms_uv" for c in features.CHANNELS]
+    given |= {"ppg_green_dc": v * 50, **{f"ppg_{c}_ac": F.col("k") + 1 for c in ("green", "ir", "red")}, "ppg_interval_ms": F.when(F.col("event_type") != "view", 600 + v)}
+    for j, c in enumerate(features.CHANNELS):
+        given |= {f"eeg_{c}_1s_{band}_abs_power": 1 + v * (b + 1) / 100 + F.col("k") * (j + 1) / 50 for b, band in enumerate(spectral.BANDS)}
+        given |= {f"eeg_{c}_1s_{n}": F.col("k") / 100 for n in ("spectral_entropy", "line_noise_ratio", "high_freq_artifact_ratio")} | {f"eeg_{c}_rms_uv": v, f"eeg_{c}_coverage_ratio": F.when(F.col("event_type") != "error", 1.0).otherwise(0.25)}
+    missing = ["ecg_rpeak_count", "ecg_coverage_ratio", "ecg_rr_ms", "quality_min", "ecg_rpeak_confidence", "ecg_mean_uv", "ecg_rms_uv", "ecg_line_length", "eeg_gfp"]
+    missing += [f"{l}_{n}" for l in ("head", "chest") for n in ("x", "y", "z", "vm", "enmo", "jerk", "sma", "coverage_ratio")]
     return base.withColumns(given | {n: F.lit(None).cast("double") for n in missing})
 
 
@@ -778,7 +796,7 @@ def _corr(a: str, b: str) -> str:
 _CROSS = {
     "watch_hr_vs_polar_hr_abs_diff_bpm": "abs(whr - hr)", "watch_ibi_vs_polar_rr_abs_diff_ms": "abs(ibi - rr)", "hr_motion_conditioned_residual": "hr - (regr_intercept(hr, enmo) W + regr_slope(hr, enmo) W * enmo)",
     "eda_motion_conditioned_residual": "eda - (regr_intercept(eda, enmo) W + regr_slope(eda, enmo) W * enmo)", "eda_hr_lag_corr_max": f"greatest({', '.join(_corr('eda', h) for h in ('hr', 'hr5', 'hr10', 'hr20'))})",
-    "cross_modal_synchrony_score": f"({_corr('hr', 'eda')} + {_corr('hr', 'enmo')} + {_corr('eda', 'enmo')}) / 3", "multisensor_valid_axis_count": "CAST(count(hr) W >= 48 AS INTEGER) + CAST(count(eda) W >= 48 AS INTEGER) + CAST(count(vm) W >= 48 AS INTEGER)",
+    "cross_modal_synchrony_score": f"({_corr('hr', 'eda')} + {_corr('hr', 'enmo')} + {_corr('eda', 'enmo')}) / 3", "multisensor_valid_axis_count": "CAST(count(hr) W >= 48 AS INTEGER) + CAST(count(eda) W >= 48 AS INTEGER) + CAST(count(vm) W >= 48 AS INTEGER) + CAST(count(*) W >= 48 AS INTEGER)",
     "cross_device_disagreement_score": "(avg(abs(whr - hr) / 10) W + avg(abs(ibi - rr) / 100) W) / 2",
 }
 
@@ -811,6 +829,35 @@ def cross_modal_window_features(spark, sf_dir):
     return windowed_features(spark, sf_dir, "cross_modal", list(_CROSS), digits=5)
 
 
+def _eeg_sql(c: str) -> dict[str, str]:
+    total = " + ".join(f"avg({c}_{b}) W" for b in spectral.BANDS)
+    return {
+        f"eeg_{c}_alpha_abs_power": f"avg({c}_alpha) W", f"eeg_{c}_gamma_relative_power": f"avg({c}_gamma) W / ({total})", f"eeg_{c}_theta_beta_ratio": f"avg({c}_theta) W / avg({c}_beta) W",
+        f"eeg_{c}_beta_alpha_ratio": f"avg({c}_beta) W / avg({c}_alpha) W", f"eeg_{c}_spectral_entropy": "avg(k / 100) W", f"eeg_{c}_line_noise_ratio": "avg(k / 100) W", f"eeg_{c}_rms_uv": "sqrt(avg(value * value) W)", f"eeg_{c}_coverage_ratio": "sum(cover) W / 60.0",
+    }
+
+
+_EEG = {n: x for c in features.CHANNELS for n, x in _eeg_sql(c).items()} | {
+    "eeg_frontal_alpha_asymmetry_af7_af8": "ln(avg(af8_alpha) W) - ln(avg(af7_alpha) W)", "eeg_temporal_alpha_asymmetry_tp9_tp10": "ln(avg(tp10_alpha) W) - ln(avg(tp9_alpha) W)",
+    "eeg_valid_channel_count": "4 * CAST(sum(cover) W >= 48 AS INTEGER)",
+}
+_OPTICAL = {
+    "watch_ppg_green_dc": "avg(dc) W", "watch_ppg_green_ac_amplitude": "avg(ac) W", "watch_ppg_ir_ac_amplitude": "avg(ac) W", "watch_ppg_pulse_amplitude_variability": "stddev_samp(ac) W / avg(ac) W", "watch_ppg_pulse_rate_bpm": "60000.0 / median(pulse) W",
+    "watch_ppg_saturation_ratio": "avg(CAST(dc >= 4090 AS DOUBLE)) W", "watch_ppg_quality_score": "count(ac) W / 60.0 * (1 - avg(CAST(dc >= 4090 AS DOUBLE)) W)", "watch_skin_temp_mean_c": "avg(skin) W",
+    "watch_skin_temp_slope_c_per_min": "CASE WHEN count(skin) W >= 2 THEN regr_slope(skin, s::DOUBLE) W * 60 END", "watch_temp_coverage_ratio": "count(skin) W / 60.0",
+}
+
+
+@query(_window_sql(_EEG))
+def eeg_window_spectra(spark, sf_dir):
+    return windowed_features(spark, sf_dir, "eeg", list(_EEG))
+
+
+@query(_window_sql(_OPTICAL))
+def optical_window_features(spark, sf_dir):
+    return windowed_features(spark, sf_dir, "optical", list(_OPTICAL))
+
+
 @query(f"""WITH {TL} SELECT person_id, s, last_value(skin IGNORE NULLS) OVER w AS watch_skin_temp_c, last_value(ambient IGNORE NULLS) OVER w AS watch_ambient_temp_c,
     round(last_value(skin IGNORE NULLS) OVER w - last_value(ambient IGNORE NULLS) OVER w, 6) AS watch_skin_ambient_gap_c FROM tl WINDOW w AS (PARTITION BY person_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def latest_temperature(spark, sf_dir):
@@ -820,18 +867,44 @@ def latest_temperature(spark, sf_dir):
 
 
 _WB = "OVER (PARTITION BY person_id ORDER BY b RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+_zs = lambda n, c: f"({c} - c_{n}) / (1.4826 * d_{n} + 1e-3)"
 _ZS = (("hr", "hr"), ("eda", "eda"), ("wrist_motion", "enmo"))
 
 
 @query(f"""WITH {TL}, ok AS (SELECT *, s // 60 AS b, event_type <> 'error' AS fit FROM tl), bu AS (SELECT person_id, b, count(hr) FILTER (fit) AS n, {", ".join(f"median({c}) FILTER (fit) AS m_{n}" for n, c in _ZS)} FROM ok GROUP BY 1, 2),
     pa AS (SELECT person_id, b, coalesce(sum(n) {_WB}, 0) AS n, (b - min(CASE WHEN n > 0 THEN b END) {_WB}) * 60.0 AS age, {", ".join(f"median(m_{n}) {_WB} AS c_{n}, mad(m_{n}) {_WB} AS d_{n}" for n, _ in _ZS)} FROM bu)
     SELECT ok.person_id, s, CAST(pa.n AS BIGINT) AS baseline_sample_count, age AS baseline_age_sec, round(least(pa.n / 60.0, 1), 6) AS baseline_confidence,
-      {", ".join(f"CASE WHEN age >= 60 THEN round(({c} - c_{n}) / (1.4826 * d_{n} + 1e-3), 4) END AS {n}_personal_robust_z" for n, c in _ZS)} FROM ok JOIN pa ON pa.person_id = ok.person_id AND pa.b = ok.b""")
+      {", ".join(f"CASE WHEN age >= 60 THEN round({_zs(n, c)}, 4) END AS {n}_personal_robust_z" for n, c in _ZS)},
+      CASE WHEN age >= 60 THEN round(({" + ".join(f"coalesce(abs({_zs(n, c)}), 0)" for n, c in _ZS)}) / nullif({" + ".join(f"CAST({_zs(n, c)} IS NOT NULL AS INTEGER)" for n, c in _ZS)}, 0) + 1e-9, 4) END AS multisensor_deviation_score
+      FROM ok JOIN pa ON pa.person_id = ok.person_id AND pa.b = ok.b""")
 def personal_z_features(spark, sf_dir):
     """Several personal z features in one pass, targets left out of the baseline."""
     values = {"hr": "hr_bpm", "eda": "eda_us", "wrist_motion": "wrist_enmo"}
     out = features.personal_baseline(stand_in(spark, sf_dir), features.KEYS, features.T, values, F.col("event_type") != "error", 600 * SECOND, 60 * SECOND, 60 * SECOND, 1e-3)
-    return out.select("person_id", floor_div(F.col(features.T), SECOND).alias("s"), "baseline_sample_count", "baseline_age_sec", r(F.col("baseline_confidence")).alias("baseline_confidence"), *[r(F.col(f"{n}_personal_robust_z"), 4).alias(f"{n}_personal_robust_z") for n in values])
+    out = features.with_deviation(out, list(values)).withColumn("multisensor_deviation_score", r(F.col("multisensor_deviation_score") + 1e-9, 4))
+    return out.select("multisensor_deviation_score", "person_id", floor_div(F.col(features.T), SECOND).alias("s"), "baseline_sample_count", "baseline_age_sec", r(F.col("baseline_confidence")).alias("baseline_confidence"), *[r(F.col(f"{n}_personal_robust_z"), 4).alias(f"{n}_personal_robust_z") for n in values])
+
+
+@query(f"""WITH {TL}, w AS (SELECT person_id, s // 300 AS w, s, rr FROM tl WHERE rr IS NOT NULL), g AS (SELECT person_id, w, count(*) AS n, avg(rr) AS mu, max(s) - min(s) AS span FROM w GROUP BY 1, 2),
+    f AS (SELECT *, 0.003 + j / span::DOUBLE AS hz FROM (SELECT *, unnest(range(0, CAST(ceil((0.4 - 0.003) / (1 / span::DOUBLE)) AS BIGINT))) AS j FROM g WHERE n >= 30 AND span >= 240)),
+    p AS (SELECT f.person_id, f.w, hz, (pow(sum((rr - mu) * cos(2 * pi() * hz * s)), 2) + pow(sum((rr - mu) * sin(2 * pi() * hz * s)), 2)) * 2 / pow(any_value(n), 2) AS power FROM f JOIN w ON w.person_id = f.person_id AND w.w = f.w GROUP BY 1, 2, 3),
+    b AS (SELECT person_id, w, sum(power) FILTER (hz >= 0.003 AND hz < 0.04) AS vlf, sum(power) FILTER (hz >= 0.04 AND hz < 0.15) AS lf, sum(power) FILTER (hz >= 0.15 AND hz < 0.4) AS hf FROM p GROUP BY 1, 2)
+    SELECT g.person_id, g.w * 300 + 299 AS s, round(vlf, 3) AS hrv_vlf_power, round(lf, 3) AS hrv_lf_power, round(hf, 3) AS hrv_hf_power, round(lf / hf, 5) AS hrv_lf_hf_ratio, round(vlf + lf + hf, 3) AS hrv_total_power
+    FROM g LEFT JOIN b ON b.person_id = g.person_id AND b.w = g.w""")
+def hrv_frequency_powers(spark, sf_dir):
+    """Powers of unevenly spaced intervals in windows of five minutes."""
+    k = features.hrv_kernels(stand_in(spark, sf_dir), 300)
+    digits = {"hrv_vlf_power": 3, "hrv_lf_power": 3, "hrv_hf_power": 3, "hrv_lf_hf_ratio": 5, "hrv_total_power": 3}
+    return k.select("person_id", floor_div(F.col(features.T), SECOND).alias("s"), *[r(F.nanvl(n, F.lit(None).cast("double")), d).alias(n) for n, d in digits.items()])
+
+
+@query(f"""WITH {EV}, sc AS (SELECT person_id, event_type, t // 1000000 AS t FROM ev), n AS (SELECT a.person_id, a.t, b.t AS bt FROM sc a ASOF LEFT JOIN (SELECT person_id, t FROM sc WHERE event_type = 'view') b ON a.person_id = b.person_id AND a.t <= b.t WHERE a.event_type = 'click')
+    SELECT person_id, (t // 60000000000) * 60000000000 + 59000000000 AS canonical_time_ns, round(median((bt - t) / 1e6), 6) AS ppg_ecg_pulse_transit_proxy_ms, count(*) AS pairs FROM n WHERE (bt - t) / 1e6 <= 600.0 GROUP BY 1, 2""")
+def pulse_transit_windows(spark, sf_dir):
+    """Median delay from beats (clicks) to the pulses that follow (views), a millionth of the time of the events."""
+    s = series(spark, sf_dir).select(F.lit("r").alias("run_id"), "person_id", floor_div(F.col("t"), 1_000_000).alias("t"), "event_type")
+    out = features.pulse_transit(s.filter("event_type = 'click'"), s.filter("event_type = 'view'"))
+    return out.select("person_id", "canonical_time_ns", r(F.col("ppg_ecg_pulse_transit_proxy_ms")).alias("ppg_ecg_pulse_transit_proxy_ms"), "pairs")
 
 
 _HJ = "list_transform(range(1, len({0})), lambda i: {0}[i + 1] - {0}[i])"
