@@ -18,12 +18,12 @@ def rows(spark):
 
 
 def got(df, *columns):
-    return sorted(tuple(r) for r in df.select(*columns).collect())
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
 
 def test_token_counts(spark, rows):
     ids = brute.encode([t for _, t in rows])
-    expected = sorted((i, len((t or "").encode()), len(x), len(x) > 2048) for (i, t), x in zip(rows, ids, strict=True))
+    expected = sorted(((i, len((t or "").encode()), len(x), len(x) > 2048) for (i, t), x in zip(rows, ids, strict=True)), key=repr)
     assert got(queries.op1_token_counts(spark, DIR), "doc_id", "n_bytes", "n_tokens", "over_limit") == expected
 
 
