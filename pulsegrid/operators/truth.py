@@ -310,9 +310,9 @@ def _state(grid: DataFrame, contexts: DataFrame, targets: DataFrame, drives: Dat
     )
 
 
-def states(spark: SparkSession, config: RunConfig, schedule: DataFrame) -> DataFrame:
+def states(spark: SparkSession, config: RunConfig, schedule: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """(run_id, person_id, truth_time_ns, context_state, target_id, target_phase, drive_eeg, ...): the timeline less levels and noise."""
-    effects = written(event_effects(schedule, participants(spark, config), config))
+    effects = written(event_effects(schedule, participants(spark, config) if people is None else people, config))
     grid = canonical_grid(spark, config).select("run_id", "person_id", "truth_time_ns")
     return _state(grid, context_intervals(spark, config), schedule.filter("is_target"), event_drives(effects))
 
@@ -337,7 +337,7 @@ def latent_timeline(spark: SparkSession, config: RunConfig, schedule: DataFrame)
     """
     people, days = participants(spark, config), daily_context(spark, config)
     schedule, people, days = written(schedule), written(people), written(days)  # each is read several times
-    state = states(spark, config, schedule)
+    state = states(spark, config, schedule, people)
     start = F.lit(config.run.start_ns).cast("long")
     t = F.col("truth_time_ns")
     state = state.withColumns({"day_index": floor_div(t - start, DAY).cast("byte"), "seconds_from_start": floor_div(t - start, SECOND)})
