@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsegrid.llm import bfd_packing, decontamination, exact_dedup, lm_scoring, packing, secret_scan, simhash, token_counts, toxicity, warc
+from pulsegrid.llm import bfd_packing, decontamination, exact_dedup, lm_scoring, merkle, packing, secret_scan, simhash, token_counts, toxicity, url_filters, warc, whitening
 from pulsegrid.llm.common import documents, fresh_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,7 +74,22 @@ def op10_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfd_packing.pack_best_fit(documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc_derivatives, op3_exact_dedup, op4_decontamination, op5_curve_packing, op6_secret_scan, op7_simhash, op8_toxicity, op9_lm_scoring, op10_bfd_packing)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    tampered = merkle.lowered_text(F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    return merkle.manifest(docs, tampered=tampered).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc_derivatives, op3_exact_dedup, op4_decontamination, op5_curve_packing, op6_secret_scan, op7_simhash, op8_toxicity, op9_lm_scoring, op10_bfd_packing, op11_whitening, op12_url_filter, op13_merkle_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 #: Lower-casing of A-Z only; DuckDB's lower() is wider.
