@@ -34,7 +34,7 @@ from pulsegrid.llm.common import ascii_lower, broadcast_if_small, discard, mater
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-4, 1.0
 #: Steps that one Spark job makes.
-STEPS = 8
+STEPS = 4
 #: Hosts up to this number are broadcast to the pages, if they are also small in bytes.
 BROADCAST_HOSTS = 200_000
 
@@ -101,15 +101,18 @@ def host_edges(links: DataFrame, hosts: DataFrame, parents: bool = True) -> Data
 def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust): PageRank shares from ``seeds`` (host, trusted, blocked: weights) over ``edges``.
 
-    The series of the remaining mass is summed: ``steps`` of a round are one job, and only two sums a round reach the
-    driver.  Each share is below its limit by at most ``tolerance`` of all mass.
+    The series of the remaining mass is summed.  Every host has an arc to itself that keeps what has arrived, so a step
+    is one join and one aggregate over a plan that grows by a line; some steps are one job, and only two sums of each
+    job reach the driver.  Each share is below its limit by at most ``tolerance`` of all mass.
     """
     edges = materialise(edges, "edges")
     out = materialise(edges.groupBy("src").agg(F.sum("weight").alias("n")), "degrees")
     back = materialise(edges.groupBy("dst").agg(F.sum("weight").alias("n")), "degrees")
-    forward = edges.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.lit(damping) * F.col("weight") / F.col("n")).alias("f"), F.lit(0.0).alias("b"))
-    reverse = edges.join(back, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("f"), (F.lit(damping) * F.col("weight") / F.col("n")).alias("b"))
-    arcs = materialise(forward.unionByName(reverse).groupBy("host", "to").agg(F.sum("f").alias("f"), F.sum("b").alias("b")), "arcs")
+    forward = edges.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.lit(damping) * F.col("weight") / F.col("n")).alias("f"), F.lit(0.0).alias("b"), F.lit(0.0).alias("kept"))
+    reverse = edges.join(back, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("f"), (F.lit(damping) * F.col("weight") / F.col("n")).alias("b"), F.lit(0.0).alias("kept"))
+    every = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("host")).distinct()
+    own = every.select("host", F.col("host").alias("to"), F.lit(0.0).alias("f"), F.lit(0.0).alias("b"), F.lit(1.0).alias("kept"))
+    arcs = materialise(forward.unionByName(reverse).unionByName(own).groupBy("host", "to").agg(*[F.sum(c).alias(c) for c in ("f", "b", "kept")]), "arcs")
     totals = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("d")).first()
     share = lambda c, total: (F.col(c) / F.lit(float(total)) if total else F.lit(0.0)).alias(c)
     start = seeds.select("host", share("trusted", totals["t"]), share("blocked", totals["d"])).filter("trusted > 0 OR blocked > 0")
@@ -120,13 +123,14 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tol
         left = state.agg(*sums).first()
         if max(left[0] or 0.0, left[1] or 0.0) <= tolerance:
             break
-        moving, arrived = state.select("host", "t", "d"), state.select("host", F.lit(0.0).alias("t"), F.lit(0.0).alias("d"), "trust", "distrust")
-        for step in range(STEPS):
-            sent = moving.join(arcs, "host").select(F.col("to").alias("host"), (F.col("t") * F.col("f")).alias("t"), (F.col("d") * F.col("b")).alias("d"))
-            moving = sent.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")).filter("t > 0 OR d > 0")
-            last = step == STEPS - 1
-            arrived = arrived.unionByName(moving.select("host", *((F.col(c) if last else F.lit(0.0)).alias(c) for c in ("t", "d")), F.col("t").alias("trust"), F.col("d").alias("distrust")))
-        new = materialise(arrived.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("t", "d", "trust", "distrust")]), "mass")
+        new = state
+        for _ in range(STEPS):
+            sent = new.join(arcs, "host").select(
+                F.col("to").alias("host"), (F.col("t") * F.col("f")).alias("t"), (F.col("d") * F.col("b")).alias("d"),
+                (F.col("trust") * F.col("kept") + F.col("t") * F.col("f")).alias("trust"), (F.col("distrust") * F.col("kept") + F.col("d") * F.col("b")).alias("distrust"),
+            )
+            new = sent.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("t", "d", "trust", "distrust")])
+        new = materialise(new, "mass")
         discard(state)
         state = new
     for table in (edges, out, back, arcs):
