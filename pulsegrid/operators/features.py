@@ -6,195 +6,210 @@ the required share of the window's seconds is there; the sink turns null into Na
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays, spectral
 from pulsegrid.functions.timecols import SECOND, floor_div
 from pulsegrid.operators.intervals import during
-from pulsegrid.operators.windows import latest, mad, median, sessions, tasks_of, trailing, upcoming
+from pulsegrid.operators.sliding import Frame, Frames
+from pulsegrid.operators.windows import latest, sessions, tasks_of, trailing, upcoming
 from pulsegrid.sources.tables import require_no_truth
 
 KEYS, T = ["run_id", "person_id"], "canonical_time_ns"
 #: Least windows in seconds of heart-rate variability, by family.
 SHORTEST = {"hrv_time": 30, "hrv_nonlinear": 180, "hrv_frequency": 300}
 CHANNELS = ("tp9", "af7", "af8", "tp10")
+LOCATIONS = ("wrist", "head", "chest")
+#: Seconds by which one signal may follow another.
+LAGS = (0, 5, 10, 20)
 
 
-def _seconds() -> Column:
-    return (F.col(T) / F.lit(float(SECOND))).cast("double")
-
-
-def slope_per_minute(x: str, frame) -> Column:
+def slope_per_minute(w: Frame, x: str) -> Column:
     """Least-squares slope; null with fewer than two values."""
-    return F.when(F.count(x).over(frame) >= 2, F.regr_slope(F.col(x), F.col("_sec")).over(frame) * 60)
+    return w.slope(x) * F.lit(60.0 * SECOND)
 
 
-def correlation(x: str, y: str, frame) -> Column:
-    """Pearson correlation over rows that have both; null where either doesn't vary."""
-    a, b = F.when(F.col(y).isNotNull(), F.col(x)).cast("double"), F.when(F.col(x).isNotNull(), F.col(y)).cast("double")
-    return F.try_divide(F.covar_pop(a, b).over(frame), F.nullif(F.stddev_pop(a).over(frame) * F.stddev_pop(b).over(frame), F.lit(0.0)))
+def whole(c: Column) -> Column:
+    """A count, as a whole number."""
+    return F.round(c).cast("long")
 
 
-def basic(x: str, name: str, unit: str) -> dict[str, Callable]:
-    c = F.col(x)
+def basic(w: Frame, x: str, name: str, unit: str) -> dict[str, Column]:
     return {
-        f"{name}_mean_{unit}": lambda w: F.avg(c).over(w), f"{name}_median_{unit}": lambda w: F.percentile(c, F.lit(0.5)).over(w), f"{name}_min_{unit}": lambda w: F.min(c).over(w),
-        f"{name}_max_{unit}": lambda w: F.max(c).over(w), f"{name}_std_{unit}": lambda w: F.stddev_samp(c).over(w), f"{name}_slope_{unit}_per_min": lambda w: slope_per_minute(x, w),
-    }
+        f"{name}_mean_{unit}": w.avg(x), f"{name}_median_{unit}": w.median(x), f"{name}_min_{unit}": w.min(x), f"{name}_max_{unit}": w.max(x), f"{name}_std_{unit}": w.stddev_samp(x),
+        f"{name}_slope_{unit}_per_min": slope_per_minute(w, x),
+    }
 
 
-def cardiac(window: int) -> dict[str, Callable]:
-    out = basic("hr_bpm", "hr", "bpm")
+def cardiac(w: Frame, window: int) -> dict[str, Column]:
     rr, d = F.col("rr_ms"), F.col("_drr")
-    out |= {
-        "hr_acceleration_bpm_per_sec": lambda w: F.avg("_dhr").over(w), "polar_rr_device_median_ms": lambda w: F.percentile(rr, F.lit(0.5)).over(w),
-        "polar_rr_ecg_median_ms": lambda w: F.percentile("ecg_rr_ms", F.lit(0.5)).over(w),
-        "ecg_rpeak_count": lambda w: F.sum("ecg_rpeak_count").over(w), "ecg_rr_valid_ratio": lambda w: F.avg(rr.between(300, 2000).cast("double")).over(w),
-        "ecg_rr_missed_peak_suspect_count": lambda w: F.sum((rr > F.lit(1.6) * F.col("_rr_med")).cast("long")).over(w),
-        "ecg_rr_extra_peak_suspect_count": lambda w: F.sum((rr < F.lit(0.6) * F.col("_rr_med")).cast("long")).over(w), "ecg_coverage_ratio": lambda w: F.avg("ecg_coverage_ratio").over(w),
-        "ecg_rpeak_confidence_mean": lambda w: F.avg("ecg_rpeak_confidence").over(w), "ecg_baseline_wander_score": lambda w: F.try_divide(F.stddev_samp("ecg_mean_uv").over(w), F.nullif(F.avg("ecg_rms_uv").over(w), F.lit(0.0))),
-        "ecg_motion_artifact_score": lambda w: F.abs(correlation("ecg_line_length", "chest_enmo", w)),
-        "ecg_quality_score": lambda w: F.avg("ecg_coverage_ratio").over(w) * F.avg(rr.between(300, 2000).cast("double")).over(w) * F.avg("ecg_rpeak_confidence").over(w),
-    }
-    out["polar_rr_source_disagreement_ms"] = lambda w, a=out["polar_rr_device_median_ms"], b=out["polar_rr_ecg_median_ms"]: F.abs(a(w) - b(w))
+    plausible = w.avg(rr.between(300, 2000).cast("double"))
+    device, ecg = w.median(rr), w.median("ecg_rr_ms")
+    out = basic(w, "hr_bpm", "hr", "bpm") | {
+        "hr_acceleration_bpm_per_sec": w.avg("_dhr"), "polar_rr_device_median_ms": device, "polar_rr_ecg_median_ms": ecg, "polar_rr_source_disagreement_ms": F.abs(device - ecg),
+        "ecg_rpeak_count": whole(w.sum("ecg_rpeak_count")), "ecg_rr_valid_ratio": plausible,
+        "ecg_rr_missed_peak_suspect_count": whole(w.sum((rr > F.lit(1.6) * F.col("_rr_med")).cast("double"))),
+        "ecg_rr_extra_peak_suspect_count": whole(w.sum((rr < F.lit(0.6) * F.col("_rr_med")).cast("double"))),
+        "ecg_coverage_ratio": w.avg("ecg_coverage_ratio"), "ecg_rpeak_confidence_mean": w.avg("ecg_rpeak_confidence"),
+        "ecg_baseline_wander_score": F.try_divide(w.stddev_samp("ecg_mean_uv"), F.nullif(w.avg("ecg_rms_uv"), F.lit(0.0))),
+        "ecg_motion_artifact_score": F.abs(w.corr("ecg_line_length", "chest_enmo")),
+        "ecg_quality_score": w.avg("ecg_coverage_ratio") * plausible * w.avg("ecg_rpeak_confidence"),
+    }
     if window >= SHORTEST["hrv_time"]:
-        enough = lambda w, v: F.when(F.count(rr).over(w) >= 30, v)
-        sd, msd = (lambda w: F.stddev_samp(rr).over(w)), (lambda w: F.var_samp(d).over(w))
+        enough = lambda v: F.when(w.count(rr) >= 30, v)
         out |= {
-            "rr_mean_ms": lambda w: enough(w, F.avg(rr).over(w)), "rr_median_ms": lambda w: enough(w, F.percentile(rr, F.lit(0.5)).over(w)), "rr_mad_ms": lambda w: enough(w, mad(F.collect_list(rr).over(w))),
-            "sdnn_ms": lambda w: enough(w, sd(w)), "rmssd_ms": lambda w: enough(w, F.sqrt(F.avg(d * d).over(w))), "sdsd_ms": lambda w: enough(w, F.stddev_samp(d).over(w)),
-            "pnn20": lambda w: enough(w, F.avg((F.abs(d) > 20).cast("double")).over(w)), "pnn50": lambda w: enough(w, F.avg((F.abs(d) > 50).cast("double")).over(w)),
-            "cvnn": lambda w: enough(w, F.try_divide(sd(w), F.avg(rr).over(w))),
-        }
+            "rr_mean_ms": enough(w.avg(rr)), "rr_median_ms": enough(device), "rr_mad_ms": enough(w.mad(rr)), "sdnn_ms": enough(w.stddev_samp(rr)), "rmssd_ms": enough(F.sqrt(w.avg(d * d))),
+            "sdsd_ms": enough(w.stddev_samp(d)), "pnn20": enough(w.avg((F.abs(d) > 20).cast("double"))), "pnn50": enough(w.avg((F.abs(d) > 50).cast("double"))),
+            "cvnn": enough(F.try_divide(w.stddev_samp(rr), w.avg(rr))),
+        }
         if window >= SHORTEST["hrv_nonlinear"]:
-            sd1 = lambda w: F.sqrt(msd(w) / 2)
-            sd2 = lambda w: F.sqrt(F.greatest(2 * F.var_samp(rr).over(w) - msd(w) / 2, F.lit(0.0)))
-            out |= {"poincare_sd1_ms": lambda w: enough(w, sd1(w)), "poincare_sd2_ms": lambda w: enough(w, sd2(w)), "poincare_sd1_sd2_ratio": lambda w: enough(w, F.try_divide(sd1(w), sd2(w)))}
+            sd1 = F.sqrt(w.var_samp(d) / 2)
+            sd2 = F.sqrt(F.greatest(2 * w.var_samp(rr) - w.var_samp(d) / 2, F.lit(0.0)))
+            out |= {"poincare_sd1_ms": enough(sd1), "poincare_sd2_ms": enough(sd2), "poincare_sd1_sd2_ratio": enough(F.try_divide(sd1, sd2))}
     return out
 
 
-def eda(window: int) -> dict[str, Callable]:
-    out = basic("eda_us", "eda", "us")
-    phasic = F.col("_phasic")
-    out |= {
-        "eda_tonic_level_us": lambda w: F.percentile("eda_us", F.lit(0.5)).over(w), "eda_phasic_level_us": lambda w: F.col("eda_us") - F.percentile("eda_us", F.lit(0.5)).over(w),
-        "eda_scr_count": lambda w: F.sum(F.col("_scr").cast("long")).over(w), "eda_scr_amplitude_mean_us": lambda w: F.avg(F.when(F.col("_scr"), F.col("_scr_amp"))).over(w),
-        "eda_scr_amplitude_max_us": lambda w: F.max(F.when(F.col("_scr"), F.col("_scr_amp"))).over(w), "eda_scr_area_us_sec": lambda w: F.sum(F.greatest(phasic, F.lit(0.0))).over(w),
-        "eda_flatline_ratio": lambda w: F.avg((F.abs("_deda") < 1e-6).cast("double")).over(w), "eda_spike_ratio": lambda w: F.avg((F.abs("_deda") > 1.0).cast("double")).over(w),
-        "eda_coverage_ratio": lambda w: F.count("eda_us").over(w) / F.lit(float(window)), "eda_variability": lambda w: F.stddev_samp("eda_us").over(w),
-        "eda_time_since_last_scr_sec": lambda w: (F.col(T) - F.col("_last_scr")) / F.lit(float(SECOND)),
-    }
-    spikes, flat, there = out["eda_spike_ratio"], out["eda_flatline_ratio"], out["eda_coverage_ratio"]
-    out["eda_quality_score"] = lambda w: there(w) * (1 - spikes(w)) * (1 - flat(w))
-    return out
+def eda(w: Frame, window: int) -> dict[str, Column]:
+    x, scr = F.col("eda_us"), F.col("_scr")
+    tonic = w.median(x)
+    flat, spikes, there = w.avg((F.abs("_deda") < 1e-6).cast("double")), w.avg((F.abs("_deda") > 1.0).cast("double")), w.count(x) / F.lit(float(window))
+    height = F.when(scr, F.col("_scr_amp"))
+    return basic(w, "eda_us", "eda", "us") | {
+        "eda_tonic_level_us": tonic, "eda_phasic_level_us": w.row(x) - tonic, "eda_scr_count": whole(w.sum(scr.cast("double"))), "eda_scr_amplitude_mean_us": w.avg(height),
+        "eda_scr_amplitude_max_us": w.max(height), "eda_scr_area_us_sec": w.sum(F.greatest(F.col("_phasic"), F.lit(0.0))), "eda_flatline_ratio": flat, "eda_spike_ratio": spikes,
+        "eda_coverage_ratio": there, "eda_variability": w.stddev_samp(x), "eda_time_since_last_scr_sec": (F.col(T) - w.row("_last_scr")) / F.lit(float(SECOND)),
+        "eda_quality_score": there * (1 - spikes) * (1 - flat),
+    }
 
 
-def motion(window: int) -> dict[str, Callable]:
-    out: dict[str, Callable] = {}
-    for loc in ("wrist", "head", "chest"):
-        vm, jerk = F.col(f"{loc}_vm"), F.col(f"{loc}_jerk")
+def motion(w: Frame, window: int) -> dict[str, Column]:
+    out: dict[str, Column] = {}
+    for loc in LOCATIONS:
+        vm, there = F.col(f"{loc}_vm"), w.sum(f"{loc}_coverage_ratio") / F.lit(float(window))
         out |= {
-            f"{loc}_acc_vm_mean_g": lambda w, vm=vm: F.avg(vm).over(w), f"{loc}_acc_vm_std_g": lambda w, vm=vm: F.stddev_samp(vm).over(w), f"{loc}_enmo_mean_g": lambda w, loc=loc: F.avg(f"{loc}_enmo").over(w),
-            f"{loc}_sma_g": lambda w, loc=loc: F.avg(f"{loc}_sma").over(w), f"{loc}_jerk_mean_g_per_sec": lambda w, j=jerk: F.avg(j).over(w), f"{loc}_jerk_p95_g_per_sec": lambda w, j=jerk: F.percentile(j, F.lit(0.95)).over(w),
-            f"{loc}_stillness_ratio": lambda w, vm=vm: F.avg((F.abs(vm - 1) < 0.05).cast("double")).over(w), f"{loc}_activity_burst_count": lambda w, loc=loc: F.sum(f"_{loc}_burst").over(w),
-            f"{loc}_coverage_ratio": lambda w, loc=loc: F.sum(f"{loc}_coverage_ratio").over(w) / F.lit(float(window)),
-            f"{loc}_orientation_change_rate": lambda w, loc=loc: F.avg(f"_{loc}_turn").over(w),
-            f"{loc}_quality_score": lambda w, loc=loc: F.least(F.sum(f"{loc}_coverage_ratio").over(w) / F.lit(float(window)), F.lit(1.0)),
-        }
+            f"{loc}_acc_vm_mean_g": w.avg(vm), f"{loc}_acc_vm_std_g": w.stddev_samp(vm), f"{loc}_enmo_mean_g": w.avg(f"{loc}_enmo"), f"{loc}_sma_g": w.avg(f"{loc}_sma"),
+            f"{loc}_jerk_mean_g_per_sec": w.avg(f"{loc}_jerk"), f"{loc}_jerk_p95_g_per_sec": w.percentile(f"{loc}_jerk", 0.95), f"{loc}_stillness_ratio": w.avg((F.abs(vm - 1) < 0.05).cast("double")),
+            f"{loc}_activity_burst_count": whole(w.sum(f"_{loc}_burst")), f"{loc}_coverage_ratio": there, f"{loc}_orientation_change_rate": w.avg(f"_{loc}_turn"),
+            f"{loc}_quality_score": F.least(there, F.lit(1.0)),
+        }
     return out
 
 
-def optical(window: int) -> dict[str, Callable]:
+def optical(w: Frame, window: int) -> dict[str, Column]:
+    ac, full = w.avg("ppg_green_ac"), w.avg((F.col("ppg_green_dc") >= 4090).cast("double"))
     return {
-        "watch_ppg_pulse_rate_bpm": lambda w: F.lit(60_000.0) / F.percentile("ppg_interval_ms", F.lit(0.5)).over(w), "watch_skin_temp_mean_c": lambda w: F.avg("skin_temp_c").over(w),
-        "watch_ppg_green_dc": lambda w: F.avg("ppg_green_dc").over(w), "watch_ppg_green_ac_amplitude": lambda w: F.avg("ppg_green_ac").over(w),
-        "watch_ppg_pulse_amplitude_variability": lambda w: F.try_divide(F.stddev_samp("ppg_green_ac").over(w), F.avg("ppg_green_ac").over(w)),
-        "watch_ppg_motion_correlation": lambda w: correlation("ppg_green_ac", "wrist_enmo", w), "watch_ppg_saturation_ratio": lambda w: F.avg((F.col("ppg_green_dc") >= 4090).cast("double")).over(w),
-        "watch_skin_temp_slope_c_per_min": lambda w: slope_per_minute("skin_temp_c", w), "watch_temp_coverage_ratio": lambda w: F.count("skin_temp_c").over(w) / F.lit(float(window)),
-        "watch_ppg_ir_ac_amplitude": lambda w: F.avg("ppg_ir_ac").over(w), "watch_ppg_red_ac_amplitude": lambda w: F.avg("ppg_red_ac").over(w),
-        "watch_ppg_quality_score": lambda w: F.count("ppg_green_ac").over(w) / F.lit(float(window)) * (1 - F.avg((F.col("ppg_green_dc") >= 4090).cast("double")).over(w)),
-    }
-
-
-def cross_modal(window: int, lags: tuple[int, ...] = (0, 5, 10, 20)) -> dict[str, Callable]:
-    residual = lambda x, m: lambda w: F.col(x) - (F.regr_intercept(F.col(x), F.col(m)).over(w) + F.regr_slope(F.col(x), F.col(m)).over(w) * F.col(m))
-    best = lambda x, y: lambda w: F.greatest(*[correlation(x, f"_{y}_lag{k}", w) for k in lags])
+        "watch_ppg_pulse_rate_bpm": F.lit(60_000.0) / w.median("ppg_interval_ms"), "watch_skin_temp_mean_c": w.avg("skin_temp_c"), "watch_ppg_green_dc": w.avg("ppg_green_dc"), "watch_ppg_green_ac_amplitude": ac,
+        "watch_ppg_pulse_amplitude_variability": F.try_divide(w.stddev_samp("ppg_green_ac"), ac), "watch_ppg_motion_correlation": w.corr("ppg_green_ac", "wrist_enmo"), "watch_ppg_saturation_ratio": full,
+        "watch_skin_temp_slope_c_per_min": slope_per_minute(w, "skin_temp_c"), "watch_temp_coverage_ratio": w.count("skin_temp_c") / F.lit(float(window)), "watch_ppg_ir_ac_amplitude": w.avg("ppg_ir_ac"),
+        "watch_ppg_red_ac_amplitude": w.avg("ppg_red_ac"), "watch_ppg_quality_score": w.count("ppg_green_ac") / F.lit(float(window)) * (1 - full),
+    }
+
+
+def cross_modal(w: Frame, window: int, lags: tuple[int, ...] = LAGS) -> dict[str, Column]:
+    residual = lambda x, m: w.row(x) - (w.regr_intercept(x, m) + w.regr_slope(x, m) * w.row(m))
+    best = lambda x, y: F.greatest(*[w.corr(x, f"_{y}_lag{k}") for k in lags])
+    hr_gap, rr_gap = F.abs(F.col("watch_hr_bpm") - F.col("hr_bpm")), F.abs(F.col("watch_ibi_ms") - F.col("rr_ms"))
     return {
-        "watch_hr_vs_polar_hr_abs_diff_bpm": lambda w: F.abs(F.col("watch_hr_bpm") - F.col("hr_bpm")), "watch_ibi_vs_polar_rr_abs_diff_ms": lambda w: F.abs(F.col("watch_ibi_ms") - F.col("rr_ms")),
-        "hr_motion_conditioned_residual": residual("hr_bpm", "wrist_enmo"), "eda_motion_conditioned_residual": residual("eda_us", "wrist_enmo"), "eda_hr_lag_corr_max": best("eda_us", "hr_bpm"),
-        "eda_motion_lag_corr_max": best("eda_us", "wrist_enmo"), "eeg_motion_lag_corr_max": best("_eeg_rms", "wrist_enmo"),
-        "cross_modal_synchrony_score": lambda w: (correlation("hr_bpm", "eda_us", w) + correlation("hr_bpm", "wrist_enmo", w) + correlation("eda_us", "wrist_enmo", w)) / 3,
-        "multisensor_valid_axis_count": lambda w: sum(((F.count(c).over(w) >= 0.8 * window).cast("int") for c in ("hr_bpm", "eda_us", "wrist_vm", "_eeg_rms")), F.lit(0)),
-        "cross_device_disagreement_score": lambda w: (F.avg(F.abs(F.col("watch_hr_bpm") - F.col("hr_bpm")) / 10).over(w) + F.avg(F.abs(F.col("watch_ibi_ms") - F.col("rr_ms")) / 100).over(w)) / 2,
-        "eeg_global_field_power": lambda w: F.avg("eeg_gfp").over(w), "eeg_motion_correlation": lambda w: correlation("_eeg_rms", "head_vm", w),
-        "multisensor_quality_min": lambda w: F.min("quality_min").over(w), "multisensor_quality_mean": lambda w: F.avg("quality_min").over(w),
-    }
-
-
-def eeg(window: int) -> dict[str, Callable]:
+        "watch_hr_vs_polar_hr_abs_diff_bpm": w.row(hr_gap), "watch_ibi_vs_polar_rr_abs_diff_ms": w.row(rr_gap), "hr_motion_conditioned_residual": residual("hr_bpm", "wrist_enmo"),
+        "eda_motion_conditioned_residual": residual("eda_us", "wrist_enmo"), "eda_hr_lag_corr_max": best("eda_us", "hr_bpm"), "eda_motion_lag_corr_max": best("eda_us", "wrist_enmo"),
+        "eeg_motion_lag_corr_max": best("_eeg_rms", "wrist_enmo"), "cross_modal_synchrony_score": (w.corr("hr_bpm", "eda_us") + w.corr("hr_bpm", "wrist_enmo") + w.corr("eda_us", "wrist_enmo")) / 3,
+        "multisensor_valid_axis_count": sum(((w.count(c) >= 0.8 * window).cast("int") for c in ("hr_bpm", "eda_us", "wrist_vm", "_eeg_rms")), F.lit(0)),
+        "cross_device_disagreement_score": (w.avg(hr_gap / 10) + w.avg(rr_gap / 100)) / 2, "eeg_global_field_power": w.avg("eeg_gfp"), "eeg_motion_correlation": w.corr("_eeg_rms", "head_vm"),
+        "multisensor_quality_min": w.min("quality_min"), "multisensor_quality_mean": w.avg("quality_min"),
+    }
+
+
+def eeg(w: Frame, window: int) -> dict[str, Column]:
     """Band powers over whole seconds (Welch's mean of one-second segments), their shares and ratios, entropy, asymmetry, and what is noise."""
-    out: dict[str, Callable] = {}
-    mean = lambda c, n: lambda w: F.avg(f"eeg_{c}_1s_{n}").over(w)
+    out: dict[str, Column] = {}
     for c in CHANNELS:
-        powers = {b: mean(c, f"{b}_abs_power") for b in spectral.BANDS}
-        total = lambda w, p=powers: sum((f(w) for f in p.values()), F.lit(0.0))
-        out |= {f"eeg_{c}_{b}_abs_power": f for b, f in powers.items()} | {f"eeg_{c}_{b}_relative_power": lambda w, f=f, t=total: F.try_divide(f(w), t(w)) for b, f in powers.items()}
-        out |= {
-            f"eeg_{c}_theta_beta_ratio": lambda w, p=powers: F.try_divide(p["theta"](w), p["beta"](w)), f"eeg_{c}_beta_alpha_ratio": lambda w, p=powers: F.try_divide(p["beta"](w), p["alpha"](w)),
-            f"eeg_{c}_spectral_entropy": mean(c, "spectral_entropy"), f"eeg_{c}_line_noise_ratio": mean(c, "line_noise_ratio"), f"eeg_{c}_high_freq_artifact_ratio": mean(c, "high_freq_artifact_ratio"),
-            f"eeg_{c}_rms_uv": lambda w, c=c: F.sqrt(F.avg(F.col(f"eeg_{c}_rms_uv") * F.col(f"eeg_{c}_rms_uv")).over(w)), f"eeg_{c}_coverage_ratio": lambda w, c=c: F.sum(f"eeg_{c}_coverage_ratio").over(w) / F.lit(float(window)),
-        }
-    log = lambda c: lambda w: F.log(F.nullif(F.avg(f"eeg_{c}_1s_alpha_abs_power").over(w), F.lit(0.0)))
-    out["eeg_frontal_alpha_asymmetry_af7_af8"] = lambda w: log("af8")(w) - log("af7")(w)
-    out["eeg_temporal_alpha_asymmetry_tp9_tp10"] = lambda w: log("tp10")(w) - log("tp9")(w)
-    out["eeg_valid_channel_count"] = lambda w: sum(((F.sum(f"eeg_{c}_coverage_ratio").over(w) >= 0.8 * window).cast("int") for c in CHANNELS), F.lit(0))
+        powers = {b: w.avg(f"eeg_{c}_1s_{b}_abs_power") for b in spectral.BANDS}
+        total = sum(powers.values(), F.lit(0.0))
+        out |= {f"eeg_{c}_{b}_abs_power": p for b, p in powers.items()} | {f"eeg_{c}_{b}_relative_power": F.try_divide(p, total) for b, p in powers.items()}
+        out |= {f"eeg_{c}_theta_beta_ratio": F.try_divide(powers["theta"], powers["beta"]), f"eeg_{c}_beta_alpha_ratio": F.try_divide(powers["beta"], powers["alpha"])}
+        out |= {f"eeg_{c}_{n}": w.avg(f"eeg_{c}_1s_{n}") for n in ("spectral_entropy", "line_noise_ratio", "high_freq_artifact_ratio")}
+        out |= {f"eeg_{c}_rms_uv": F.sqrt(w.avg(F.col(f"eeg_{c}_rms_uv") * F.col(f"eeg_{c}_rms_uv"))), f"eeg_{c}_coverage_ratio": w.sum(f"eeg_{c}_coverage_ratio") / F.lit(float(window))}
+    log = lambda c: F.log(F.nullif(w.avg(f"eeg_{c}_1s_alpha_abs_power"), F.lit(0.0)))
+    out["eeg_frontal_alpha_asymmetry_af7_af8"] = log("af8") - log("af7")
+    out["eeg_temporal_alpha_asymmetry_tp9_tp10"] = log("tp10") - log("tp9")
+    out["eeg_valid_channel_count"] = sum(((w.sum(f"eeg_{c}_coverage_ratio") >= 0.8 * window).cast("int") for c in CHANNELS), F.lit(0))
     return out
 
 
 FAMILIES = {"cardiac": cardiac, "eda": eda, "motion": motion, "optical": optical, "cross_modal": cross_modal, "eeg": eeg}
+#: Timeline columns that each family reads.
+NEEDS = {
+    "cardiac": ("hr_bpm", "rr_ms", "ecg_rr_ms", "ecg_rpeak_count", "ecg_coverage_ratio", "ecg_rpeak_confidence", "ecg_mean_uv", "ecg_rms_uv", "ecg_line_length", "chest_enmo"),
+    "eda": ("eda_us",), "motion": tuple(f"{loc}_{n}" for loc in LOCATIONS for n in ("vm", "enmo", "jerk", "sma", "coverage_ratio")),
+    "optical": ("ppg_interval_ms", "skin_temp_c", "ppg_green_dc", "ppg_green_ac", "ppg_ir_ac", "ppg_red_ac", "wrist_enmo"),
+    "cross_modal": ("hr_bpm", "rr_ms", "watch_hr_bpm", "watch_ibi_ms", "eda_us", "wrist_enmo", "wrist_vm", "head_vm", "eeg_gfp", "quality_min"),
+    "eeg": tuple(f"eeg_{c}_{n}" for c in CHANNELS for n in ("rms_uv", "coverage_ratio", *(f"1s_{b}_abs_power" for b in spectral.BANDS), "1s_spectral_entropy", "1s_line_noise_ratio", "1s_high_freq_artifact_ratio")),
+}
 
 
 def _norm(location: str, of) -> Column:
     return F.sqrt(sum((of(f"{location}_{a}") * of(f"{location}_{a}") for a in "xyz"), F.lit(0.0)))
 
 
-def prepared(timeline: DataFrame, lags: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """The timeline with differences and lagged columns, by one pass of short windows."""
-    block = floor_div(F.col(T), 3600 * SECOND)
-    # rows of a block and the half minute before it, so that lags cross its edge
-    reach = 30 * SECOND
-    spread = timeline.withColumn("_own", block).withColumn("_block", F.explode(F.sequence(block, floor_div(F.col(T) + F.lit(reach).cast("long"), 3600 * SECOND))))
-    w = Window.partitionBy(*KEYS, "_block").orderBy(T)
-    before = lambda c, k=1: F.max(F.col(c)).over(w.rangeBetween(-k * SECOND, -k * SECOND))
-    short = w.rangeBetween(-29 * SECOND, 0)
-    out = spread.withColumn("_eeg_rms", (sum((F.col(f"eeg_{c}_rms_uv") for c in CHANNELS), F.lit(0.0))) / 4)
-    out = out.select(
-        "*", (F.col("rr_ms") - before("rr_ms")).alias("_drr"), (F.col("hr_bpm") - before("hr_bpm")).alias("_dhr"), (F.col("eda_us") - before("eda_us")).alias("_deda"),
-        F.percentile("rr_ms", F.lit(0.5)).over(short).alias("_rr_med"), (F.col("eda_us") - F.percentile("eda_us", F.lit(0.5)).over(short)).alias("_phasic"),
-        ((before("eda_us") > before("eda_us", 2)) & (before("eda_us") >= F.col("eda_us")) & (before("eda_us") - F.min("eda_us").over(w.rangeBetween(-8 * SECOND, -SECOND)) > 0.03)).alias("_scr"),
-        (before("eda_us") - F.min("eda_us").over(w.rangeBetween(-8 * SECOND, -SECOND))).alias("_scr_amp"),
-        *[F.acos(F.least(F.greatest(F.try_divide(sum((F.col(f"{x}_{a}") * before(f"{x}_{a}") for a in "xyz"), F.lit(0.0)), F.nullif(_norm(x, F.col) * _norm(x, before), F.lit(0.0))), F.lit(-1.0)), F.lit(1.0))).alias(f"_{x}_turn") for x in ("wrist", "head", "chest")],
-        *[((F.col(f"{x}_enmo") > 0.1) & (F.coalesce(before(f"{x}_enmo"), F.lit(0.0)) <= 0.1)).cast("long").alias(f"_{x}_burst") for x in ("wrist", "head", "chest")],
-        *[(before(c, k) if k else F.col(c)).alias(f"_{c}_lag{k}") for c in ("hr_bpm", "wrist_enmo") for k in (0, *lags)],
-    )
-    own = out.filter(F.col("_own") == F.col("_block")).drop("_own", "_block").withColumn("_sec", _seconds())
-    return latest(own.withColumn("_last_scr", F.when(F.col("_scr"), F.col(T))), KEYS, T, ["_last_scr"], 3600 * SECOND)
+def prepared(timeline: DataFrame, families: tuple[str, ...] = tuple(FAMILIES), lags: tuple[int, ...] = LAGS) -> DataFrame:
+    """The columns that families read, with differences, lags and short medians: one pass of short trailing windows."""
+    frames = Frames(KEYS, T)
+    here, short, rising = frames.frame(1), frames.frame(29 * SECOND + 1), frames.frame(7 * SECOND + 1, -SECOND)
+    before, row = (lambda c, k=1: here.at(c, k * SECOND)), frames.row
+    made: dict[str, Column] = {c: row(c) for f in families for c in NEEDS[f]}
+    change = lambda c: row(c) - before(c)
+    if "cardiac" in families:
+        made |= {"_drr": change("rr_ms"), "_dhr": change("hr_bpm"), "_rr_med": short.median("rr_ms")}
+    if "eda" in families:
+        last, rise = before("eda_us"), before("eda_us") - rising.min("eda_us")
+        made |= {"_deda": change("eda_us"), "_phasic": row("eda_us") - short.median("eda_us"), "_scr_amp": rise, "_scr": (last > before("eda_us", 2)) & (last >= row("eda_us")) & (rise > 0.03)}
+    if "motion" in families:
+        for x in LOCATIONS:
+            product = sum((row(f"{x}_{a}") * before(f"{x}_{a}") for a in "xyz"), F.lit(0.0))
+            cosine = F.try_divide(product, F.nullif(_norm(x, row) * _norm(x, before), F.lit(0.0)))
+            made[f"_{x}_turn"] = F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
+            made[f"_{x}_burst"] = ((row(f"{x}_enmo") > 0.1) & (F.coalesce(before(f"{x}_enmo"), F.lit(0.0)) <= 0.1)).cast("double")
+    if "cross_modal" in families:
+        made["_eeg_rms"] = row(sum((F.col(f"eeg_{c}_rms_uv") for c in CHANNELS), F.lit(0.0)) / 4)
+        made |= {f"_{c}_lag{k}": before(c, k) if k else row(c) for c in ("hr_bpm", "wrist_enmo") for k in lags}
+    out = frames.answer(timeline, 3600 * SECOND).select(*KEYS, T, *[c.alias(n) for n, c in made.items()])
+    if "eda" in families:
+        out = latest(out.withColumn("_last_scr", F.when(F.col("_scr"), F.col(T))), KEYS, T, ["_last_scr"], 3600 * SECOND)
+    return out
+
+
+def window_tables(timeline: DataFrame, windows: tuple[int, ...], minimum_coverage: float = 0.8, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
+    """Features of all windows from one pass: key, ``feature_window_sec``, ``feature_valid`` and features.
+
+    A row for each second and window.  Features are null where coverage is short, or the window too short for them.
+    """
+    frames, by_window = Frames(KEYS, T), {}
+    for window in windows:
+        w = frames.frame(window * SECOND)
+        features: dict[str, Column] = {}
+        for f in families:
+            features |= FAMILIES[f](w, window)
+        ok = w.rows() >= minimum_coverage * window
+        by_window[window] = {"feature_window_sec": F.lit(window).cast("short"), "feature_valid": ok} | {n: F.when(ok, c) for n, c in features.items()}
+    answered = frames.answer(prepared(timeline, families), max(8 * max(windows), 1800) * SECOND)
+    if len(windows) == 1:
+        return require_no_truth(answered.select(*KEYS, T, *[c.alias(n) for n, c in by_window[windows[0]].items()]))
+    names = list(dict.fromkeys(n for made in by_window.values() for n in made))
+    kinds = {f.name: f.dataType for made in by_window.values() for f in answered.select(*[c.alias(n) for n, c in made.items()]).schema.fields}
+    rows = [F.struct(*[made.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names]) for made in by_window.values()]
+    return require_no_truth(answered.select(*KEYS, T, F.inline(F.array(*rows))))
 
 
 def window_features(timeline: DataFrame, window: int, minimum_coverage: float = 0.8, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
     """features_{window}s: key, features and ``feature_valid``; null where coverage is short."""
-    makers: dict[str, Callable] = {}
-    for f in families:
-        makers |= FAMILIES[f](window)
-    covered = {"_rows": lambda w: F.count(F.lit(1)).over(w)}
-    named = {f"_f_{n}": make for n, make in makers.items()}  # some features bear the name of their source column
-    wide = trailing(prepared(timeline), KEYS, T, window * SECOND, named | covered, block=max(8 * window, 1800) * SECOND)
-    ok = F.col("_rows") >= minimum_coverage * window
-    gated = [F.when(ok, F.col(f"_f_{n}")).alias(n) for n in makers]
-    return require_no_truth(wide.select(*KEYS, T, F.lit(window).cast("short").alias("feature_window_sec"), ok.alias("feature_valid"), *gated))
+    return window_tables(timeline, (window,), minimum_coverage, families)
+
+
+def names_of(window: int, families: tuple[str, ...] = tuple(FAMILIES)) -> list[str]:
+    """Features of one window, in order."""
+    w = Frames(KEYS, T).frame(window * SECOND)
+    return [n for f in families for n in FAMILIES[f](w, window)]
 
 
 def eeg_features(timeline: DataFrame, window: int, rate: int = 256, stride: int | None = None, mains: float = 60.0) -> DataFrame:
@@ -244,11 +259,12 @@ def personal_baseline(df: DataFrame, keys: list[str], t: str, value: str | dict[
     marked = df.withColumn("_bucket", floor_div(F.col(t), bucket))
     ok = {n: F.when(eligible, F.col(c)) for n, c in values.items()}
     buckets = marked.groupBy(*keys, "_bucket").agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{n}") for n, c in ok.items()], F.count(F.when(eligible, F.col(first))).alias("_n"))
-    gathered = {f"_v_{n}": lambda w, n=n: F.collect_list(f"_m_{n}").over(w) for n in values}
-    gathered |= {"baseline_sample_count": lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0)), "_first": lambda w: F.min(F.when(F.col("_n") > 0, F.col("_bucket"))).over(w)}
-    past = trailing(buckets, keys, "_bucket", lookback // bucket, gathered, until=-1)
-    age = ((F.col("_bucket") - F.col("_first")) * F.lit(bucket / SECOND)).alias("baseline_age_sec")
-    stats = past.select(*keys, "_bucket", "baseline_sample_count", age, *[x for n in values for x in (median(F.col(f"_v_{n}")).alias(f"_med_{n}"), mad(F.col(f"_v_{n}")).alias(f"_mad_{n}"))])
+    frames = Frames(keys, "_bucket")
+    past = frames.frame(lookback // bucket, -1)
+    began = past.min(F.when(F.col("_n") > 0, F.col("_bucket")))
+    stats = {f"_med_{n}": past.median(f"_m_{n}") for n in values} | {f"_mad_{n}": past.mad(f"_m_{n}") for n in values}
+    stats |= {"baseline_sample_count": F.coalesce(whole(past.sum("_n")), F.lit(0).cast("long")), "baseline_age_sec": (F.col("_bucket") - began) * F.lit(bucket / SECOND)}
+    stats = frames.answer(buckets).select(*keys, "_bucket", *[c.alias(n) for n, c in stats.items()])
     out = marked.join(stats, [*keys, "_bucket"])
     ready = F.col("baseline_age_sec") * SECOND >= warmup
     z = [F.when(ready, (F.col(c) - F.col(f"_med_{n}")) / (F.lit(1.4826) * F.col(f"_mad_{n}") + F.lit(epsilon))).alias(f"{n}_personal_robust_z") for n, c in values.items()]
@@ -263,10 +279,15 @@ Z_FEATURES = {"hr": "hr_bpm", "rmssd": "rmssd_ms", "eda": "eda_us", "eeg_alpha":
 def z_inputs(timeline: DataFrame, eligible: Column) -> DataFrame:
     """The columns of ``Z_FEATURES`` for each second, and whether it may enter the baseline (``ok``)."""
     over = lambda n: sum((F.col(f"eeg_{c}_1s_{n}") for c in CHANNELS), F.lit(0.0)) / len(CHANNELS)
-    d = prepared(timeline)
-    count = F.count("rr_ms")
-    rolled = trailing(d, KEYS, T, 60 * SECOND, {"rmssd_ms": lambda w: F.when(count.over(w) >= 30, F.sqrt(F.avg(F.col("_drr") * F.col("_drr")).over(w)))}, block=1800 * SECOND)
-    return rolled.select(*KEYS, T, "hr_bpm", "rmssd_ms", "eda_us", "wrist_enmo", over("alpha_abs_power").alias("eeg_alpha"), F.try_divide(over("beta_abs_power"), over("alpha_abs_power")).alias("eeg_beta_alpha"), eligible.alias("ok"))
+    given = {"hr_bpm": F.col("hr_bpm"), "rr_ms": F.col("rr_ms"), "eda_us": F.col("eda_us"), "wrist_enmo": F.col("wrist_enmo"), "eeg_alpha": over("alpha_abs_power"),
+             "eeg_beta_alpha": F.try_divide(over("beta_abs_power"), over("alpha_abs_power")), "ok": eligible}
+    before = Frames(KEYS, T)
+    made = {n: before.row(c) for n, c in given.items()} | {"_drr": before.row("rr_ms") - before.frame(1).at("rr_ms", SECOND)}
+    changes = before.answer(timeline, 3600 * SECOND).select(*KEYS, T, *[c.alias(n) for n, c in made.items()])
+    frames = Frames(KEYS, T)
+    w, d = frames.frame(60 * SECOND), F.col("_drr")
+    kept = {n: frames.row(n) for n in given if n != "rr_ms"} | {"rmssd_ms": F.when(w.count("rr_ms") >= 30, F.sqrt(w.avg(d * d)))}
+    return frames.answer(changes, 1800 * SECOND).select(*KEYS, T, *[c.alias(n) for n, c in kept.items()])
 
 
 def latest_temperature(timeline: DataFrame) -> DataFrame:
@@ -397,10 +418,10 @@ def registered(columns: dict[str, list[str]]) -> list[dict]:
 def registry() -> list[dict]:
     """Every registered window feature with its family, least window and causality."""
     out = []
-    for family, make in FAMILIES.items():
+    for family in FAMILIES:
         seen: dict[str, int] = {}
         for window in (5, 30, 180, 300):
-            for name in make(window):
+            for name in names_of(window, (family,)):
                 seen.setdefault(name, window)
         out += [{"name": n, "modality": family, "min_window_sec": w, "min_coverage": 0.8, "causal": True, "leakage_risk": "low"} for n, w in seen.items()]
     return out

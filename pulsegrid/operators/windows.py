@@ -150,6 +150,8 @@ def written(df: DataFrame) -> DataFrame:
 
 #: Ranges of values in which the order of a group is taken apart.
 RANGES = 32
+#: Largest group whose distinct values one task holds as they are.
+HELD_VALUES = 100_000
 
 
 def in_ranges(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -165,12 +167,26 @@ def before_range(parts: DataFrame, keys: list[str], count: Column) -> DataFrame:
 
 
 def group_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """(keys, name): exact median of the values that are there; a group is ordered in ranges, never held at once."""
-    part = written(in_ranges(written(df.filter(F.col(value).isNotNull())), keys, value))
-    rank = back(part.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(value))), before_range(part, keys, F.lit(1)), [*keys, "_part"])
-    sizes = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    at = back(rank, sizes, keys).withColumn("_r", F.col("_r") + F.col("_base"))
-    return at.filter((2 * F.col("_r") >= F.col("_n")) & (2 * F.col("_r") <= F.col("_n") + 2)).groupBy(*keys).agg(F.avg(value).alias(name))
+    """(keys, name): exact median of the values that are there.
+
+    Rows are counted by value first, so repeated values cost one row.  Where each group has few rows Spark's exact
+    percentile holds them; else values are counted in ranges between approximate quantiles, and only the range that
+    holds the middle is ordered.
+    """
+    there = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    largest = there.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if (largest or 0) <= HELD_VALUES:
+        return there.groupBy(*keys).agg(F.percentile("_v", F.lit(0.5)).alias(name))
+    counted = written(there.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    placed = in_ranges(back(counted, counted.groupBy(*keys).agg(F.sum("_n").alias("_all")), keys), keys, "_v")
+    over = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sizes = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"), F.max("_all").alias("_total")).select(*keys, "_part", "_in", "_total", F.coalesce(F.sum("_in").over(over), F.lit(0)).alias("_base"))
+    holds = sizes.filter("2 * _base <= _total AND 2 * (_base + _in) >= _total").drop("_in")  # the middle one, or both that meet there
+    upto = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    last = back(placed.drop("_all"), holds, [*keys, "_part"]).withColumn("_r", F.sum("_n").over(upto) + F.col("_base"))
+    # ranks (_r - _n, _r] have this value: it is the lower or upper middle, or both
+    low, high = F.expr("_r - _n < (_total + 1) div 2 AND (_total + 1) div 2 <= _r"), F.expr("_r - _n < _total div 2 + 1 AND _total div 2 + 1 <= _r")
+    return last.groupBy(*keys).agg(((F.max(F.when(low, F.col("_v"))) + F.max(F.when(high, F.col("_v")))) / 2).alias(name))
 
 
 def group_mad(df: DataFrame, keys: list[str], value: str, center: str, name: str) -> DataFrame:

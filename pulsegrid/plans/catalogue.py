@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import arrays, curves, seeds, spectral
 from pulsegrid.functions.timecols import DAY, HOUR, SECOND, floor_div, ns_of_ntz
 from pulsegrid.operators import devices, features, intervals, labels, sanity, splits, truth, validation, windows
+from pulsegrid.operators.sliding import Frames
 from pulsegrid.plans import run
 from pulsegrid.sources import config as cfg
 
@@ -461,9 +462,10 @@ def rolling_slope(spark, sf_dir):
 
 @query(f"""WITH {EV} SELECT event_id, round(median(value) {W72}, 6) AS med, round(mad(value) {W72}, 6) AS mad, round(quantile_cont(value, 0.95) {W72}, 6) AS p95 FROM ev""")
 def rolling_median_mad(spark, sf_dir):
-    v = F.col("value")
-    out = windows.trailing(series(spark, sf_dir), ["person_id"], "t", 72 * H, {"med": lambda w: F.percentile(v, F.lit(0.5)).over(w), "mad": lambda w: windows.mad(F.collect_list(v).over(w)), "p95": lambda w: F.percentile(v, F.lit(0.95)).over(w)})
-    return out.select("event_id", *[r(F.col(c)).alias(c) for c in ("med", "mad", "p95")])
+    frames = Frames(["person_id"], "t")
+    w = frames.frame(72 * H)
+    row, asked = frames.row("event_id"), {"med": w.median("value"), "mad": w.mad("value"), "p95": w.percentile("value", 0.95)}
+    return frames.answer(series(spark, sf_dir), BLOCK).select(row.alias("event_id"), *[r(c).alias(n) for n, c in asked.items()])
 
 
 _PAST = f"OVER (PARTITION BY person_id ORDER BY t RANGE BETWEEN {10 * 24 * H} PRECEDING AND 1 PRECEDING)"
