@@ -484,38 +484,73 @@ def samples(rows: DataFrame) -> DataFrame:
 
 
 def marks(timeline: DataFrame, config: RunConfig) -> DataFrame:
-    """Rows of ``native`` without samples, one a minute and stream: the moments at which a device's clock is compared to the grid."""
-    streams = [(d, called, rate) for d, _, called, rate in streams_of(config)]
-    at = timeline.filter(F.pmod("truth_time_ns", F.lit(SYNC_SEC * SECOND).cast("long")) == 0).select("run_id", "person_id", F.col("truth_time_ns").alias("second_ns"))
-    table = timeline.sparkSession.createDataFrame(streams, "device_id string, stream_name string, sample_rate_hz int")
-    return at.crossJoin(F.broadcast(table))  # ten streams
+    """Rows of ``native`` without samples, one a minute and device: the moments at which a device sends its own time."""
+    first = {d: (called, rate) for d, _, called, rate in reversed(streams_of(config))}
+    begun = F.pmod("truth_time_ns", F.lit(SYNC_SEC * SECOND).cast("long")) == 0
+    at = timeline.filter(begun | (F.col("truth_time_ns") == F.lit(config.run.start_ns).cast("long"))).select("run_id", "person_id", F.col("truth_time_ns").alias("second_ns"))
+    table = timeline.sparkSession.createDataFrame([(d, *x) for d, x in first.items()], "device_id string, stream_name string, sample_rate_hz int")
+    return at.crossJoin(F.broadcast(table))  # three devices
 
 
-def clock_fit(timed: DataFrame) -> DataFrame:
-    """(run_id, person_id, device_id, slope, at_sec, late_sec): the line of each device's clock error over its own time."""
-    x, late = _since(F.col("device_time_ns")), (F.col("device_time_ns") - F.col("second_ns")) / F.lit(1e9)
-    return timed.groupBy("run_id", "person_id", "device_id").agg(F.coalesce(F.regr_slope(late, x), F.lit(0.0)).alias("slope"), F.avg(x).alias("at_sec"), F.avg(late).alias("late_sec"))
+def heard(timed: DataFrame) -> DataFrame:
+    """(keys, device_time_ns, host_time_ns): marks as the collector hears them, stamped by its own clock after a delay of their own."""
+    late = F.lit(DELAY_MS) * -F.log(F.lit(1.0) - seeds.fast_uniform(F.xxhash64("packet_seed", F.lit("mark")), F.col("packet_id")))
+    held = F.when(seeds.fast_uniform(F.xxhash64("packet_seed", F.lit("mark held")), F.col("packet_id")) < HELD_SHARE, F.lit(HELD_MS)).otherwise(F.lit(0.0))
+    return timed.select("run_id", "person_id", "device_id", "device_time_ns", (F.col("second_ns") + F.round((late + held) * 1e6).cast("long")).alias("host_time_ns"))
 
 
-def _since(t: Column) -> Column:
-    return (t - F.lit(1_700_000_000 * SECOND).cast("long")) / F.lit(1e9)
+#: Marks from which on the drift is estimated too; before, the offset alone.
+LEAST_MARKS = 10
 
 
-def align(rows: DataFrame, fit: DataFrame | None = None) -> DataFrame:
-    """Estimate grid time from device time, less the device's offset and drift as ``fit`` (else: the rows themselves) has them.
+def clock_track(marks: DataFrame) -> DataFrame:
+    """What is known of each device's clock in each minute of its own time, from marks of earlier minutes alone.
 
-    Jitter is no part of the line and stays; ``alignment_residual_sec`` is the error that is left.
+    (run_id, person_id, device_id, first_ns, step, slope, at_sec, late_sec): minutes are counted from the device's first
+    mark, and minute 0 knows that mark alone.  The line of the clock's error (device less host time, and the usual delay) over
+    device time is a regression whose moments are running sums: a row a minute and device, so an estimate never
+    changes when more is recorded.  Minutes without marks keep the last estimate.
     """
-    out = rows.join(broadcast_if_small(clock_fit(rows) if fit is None else fit, 200_000), ["run_id", "person_id", "device_id"], "left")
-    late = F.coalesce(F.col("late_sec") + F.col("slope") * (_since(F.col("device_time_ns")) - F.col("at_sec")), F.lit(0.0))
+    keys = ["run_id", "person_id", "device_id"]
+    first = marks.groupBy(*keys).agg(F.min("device_time_ns").alias("first_ns"), F.min_by("host_time_ns", "device_time_ns").alias("heard_ns"))
+    usual = F.lit((DELAY_MS + HELD_SHARE * HELD_MS) / 1e3)
+    own = marks.join(broadcast_if_small(first, 200_000), keys)
+    x = (F.col("device_time_ns") - F.col("first_ns")) / F.lit(1e9)
+    y = (F.col("device_time_ns") - F.col("host_time_ns")) / F.lit(1e9) + usual
+    minute = floor_div(F.col("device_time_ns") - F.col("first_ns"), SYNC_SEC * SECOND)
+    sums = {"n": F.lit(1), "sx": x, "sy": y, "sxx": x * x, "sxy": x * y}
+    by_minute = own.groupBy(*keys, "first_ns", minute.alias("minute")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    past = Window.partitionBy(*keys).orderBy("minute")  # a row a minute
+    known = by_minute.select(*keys, "first_ns", "minute", *[F.sum(n).over(past.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in sums], F.lead("minute").over(past).alias("next"))
+    spread = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    slope = F.when((F.col("n") >= LEAST_MARKS) & (spread > 0), (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / spread).otherwise(F.lit(0.0))
+    until = F.coalesce("next", F.col("minute") + 2)
+    later = known.select(*keys, "first_ns", F.explode(F.sequence(F.col("minute") + 1, until)).alias("step"), slope.alias("slope"), (F.col("sx") / F.col("n")).alias("at_sec"), (F.col("sy") / F.col("n")).alias("late_sec"))
+    begin = first.select(*keys, "first_ns", F.lit(0).cast("long").alias("step"), F.lit(0.0).alias("slope"), F.lit(0.0).alias("at_sec"), ((F.col("first_ns") - F.col("heard_ns")) / F.lit(1e9) + usual).alias("late_sec"))
+    return begin.unionByName(later)
+
+
+def align(rows: DataFrame, track: DataFrame) -> DataFrame:
+    """Estimate grid time from device time, less what ``track`` knows of the device's clock by then.
+
+    Jitter is no part of the line and stays; ``alignment_residual_sec`` is the error that is left, which only the
+    simulation can tell.
+    """
+    keys = ["run_id", "person_id", "device_id"]
+    first = track.groupBy(*keys).agg(F.min("first_ns").alias("first_ns"))
+    begun = rows.join(broadcast_if_small(first, 200_000), keys, "left")
+    begun = begun.withColumn("step", F.greatest(floor_div(F.col("device_time_ns") - F.col("first_ns"), SYNC_SEC * SECOND), F.lit(0).cast("long")))
+    out = begun.join(broadcast_if_small(track.drop("first_ns"), 200_000), [*keys, "step"], "left")
+    x = (F.col("device_time_ns") - F.col("first_ns")) / F.lit(1e9)
+    late = F.coalesce(F.col("late_sec") + F.col("slope") * (x - F.col("at_sec")), F.lit(0.0))
     aligned = F.col("device_time_ns") - F.round(late * F.lit(1e9)).cast("long")
-    return out.withColumns({"aligned_time_ns": aligned, "alignment_residual_sec": (aligned - F.col("second_ns")) / F.lit(1e9)}).drop("slope", "at_sec", "late_sec")
+    return out.withColumns({"aligned_time_ns": aligned, "alignment_residual_sec": (aligned - F.col("second_ns")) / F.lit(1e9)}).drop("slope", "at_sec", "late_sec", "first_ns", "step")
 
 
 def aligned(rows: DataFrame, timeline: DataFrame, clocks: DataFrame, config: RunConfig) -> DataFrame:
-    """Rows with device, receive and aligned times; clocks are fitted on marks, so no sample is made for it."""
+    """Rows with device, receive and aligned times; clocks are followed by their marks, so no sample is made for it."""
     start = config.run.start_ns
-    return align(with_clocks(rows, clocks, start), clock_fit(with_clocks(marks(timeline, config), clocks, start)))
+    return align(with_clocks(rows, clocks, start), clock_track(heard(with_clocks(marks(timeline, config), clocks, start))))
 
 
 def on_grid(rows: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ time are all in each other's windows; windows may reach back over gaps and never
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,10 @@ from pulsegrid.functions.timecols import floor_div
 from pulsegrid.operators.windows import tasks_of
 
 
+#: Rows, about, whose blocks are answered together; a block is never cut.
+ROWS_AT_ONCE = 4096
+
+
 class Frames:
     """Questions about trailing windows of one table, each asked once however often it is needed."""
 
@@ -64,15 +70,25 @@ class Frames:
         own = floor_div(F.col(self.t), block)
         light = df.select(*self.keys, self.t, *[c.alias(n) for n, c in self.rows.values()], *[c.cast("double").alias(n) for n, c in self.inputs.values()], own.alias("_own"))
         spread = light.withColumn("_block", F.explode(F.sequence("_own", floor_div(F.col(self.t) + F.lit(reach).cast("long"), block))))
-        spread = spread.repartition(tasks_of(df.sparkSession), *self.keys, "_block")
+        dealt = spread.repartition(tasks_of(df.sparkSession), *self.keys, "_block").sortWithinPartitions(*self.keys, "_block", self.t)
         kept = [*self.keys, self.t, *[n for n, _ in self.rows.values()]]
         fields = [f"`{n}` {light.schema[n].dataType.simpleString()}" for n in kept] + [f"{n} double" for n in self.asked.values()]
-        asked, t = dict(self.asked), self.t
+        asked, keys, t = dict(self.asked), list(self.keys), self.t
 
-        def of_block(table: pa.Table) -> pa.Table:
-            return _answered(table, asked, kept, t)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for b in batches:
+                held.append(b)
+                if sum(x.num_rows for x in held) >= ROWS_AT_ONCE:
+                    table = pa.Table.from_batches(held)
+                    whole = int(_starts(table, keys)[-1])  # the last block may go on
+                    if whole:
+                        yield from _answered(table.slice(0, whole), asked, keys, kept, t, reach)
+                    held = table.slice(whole).to_batches()
+            if held:
+                yield from _answered(pa.Table.from_batches(held), asked, keys, kept, t, reach)
 
-        return spread.groupBy(*self.keys, "_block").applyInArrow(of_block, ", ".join(fields))
+        return dealt.mapInArrow(run, ", ".join(fields))
 
 
 class Frame:
@@ -281,25 +297,44 @@ class _Block:
         return self.once(("ranks", name), make)
 
 
-def _answered(table: pa.Table, asked: dict[tuple, str], kept: list[str], t: str) -> pa.Table:
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where each block of a series begins; rows are in order."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in (*keys, "_block"):
+        code = table.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _answered(table: pa.Table, asked: dict[tuple, str], keys: list[str], kept: list[str], t: str, reach: int) -> Iterator[pa.RecordBatch]:
+    """Answers of whole blocks, many at a time: their times are set so far apart that no window reaches another block."""
+    starts = _starts(table, keys)
     times = table.column(t).to_numpy()
-    order = np.argsort(times, kind="stable")
-    times = times[order]
-    here = (table.column("_own").to_numpy() == table.column("_block").to_numpy())[order]
-    names = {n for question in asked for n in question[3:] if isinstance(n, str) and n.startswith("_in")}
-    columns = {n: table.column(n).to_numpy().astype(np.float64)[order] for n in names}
-    first = times[0] if len(times) else 0
-    block = _Block(columns | {t: (times - first).astype(np.float64)})
+    sizes = np.diff(np.append(starts, len(times)))
+    since = times - np.repeat(times[starts], sizes)
+    apart = int(since.max(initial=0)) + reach + 2
+    most = max((1 << 61) // apart, 1)  # blocks whose times fit 64 bits
+    for k in range(0, len(starts), most):
+        low, high = int(starts[k]), int(starts[k + most]) if k + most < len(starts) else len(times)
+        placed = since[low:high] + np.repeat(np.arange(len(sizes[k : k + most]), dtype=np.int64), sizes[k : k + most]) * apart
+        yield from _of_blocks(table.slice(low, high - low), asked, kept, t, placed, since[low:high]).to_batches()
+
+
+def _of_blocks(table: pa.Table, asked: dict[tuple, str], kept: list[str], t: str, times: np.ndarray, since: np.ndarray) -> pa.Table:
+    here = table.column("_own").to_numpy() == table.column("_block").to_numpy()
+    names = {n for question in asked for n in question[3:] if isinstance(n, str) and n != t}
+    columns = {n: table.column(n).to_numpy().astype(np.float64) for n in names}
+    block = _Block(columns | {t: since.astype(np.float64)})
     now = times[here]
-    windows = {}
+    windows, out = {}, {}
     for _, width, until, *_ in asked:
         if (width, until) not in windows:
             windows[width, until] = np.searchsorted(times, now + until - width + 1, "left"), np.searchsorted(times, now + until, "right")
-    out = {}
     with np.errstate(all="ignore"):
         for (kind, width, until, *what), name in asked.items():
             out[name] = _one_answer(block, kind, *windows[width, until], *what)
-    own = table.select(kept).take(pa.array(order[here]))
+    own = table.select(kept).filter(pa.array(here))
     return pa.table([*own.columns, *[pa.array(v, pa.float64(), mask=~np.isfinite(v)) for v in out.values()]], names=[*kept, *out])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timecols import DAY, HOUR, SECOND, floor_div
-from pulsegrid.operators import devices, features, labels, sanity, splits, truth, validation
+from pulsegrid.operators import devices, features, labels, sanity, splits, truth, validation, windows
 from pulsegrid.sources import tables
 from pulsegrid.sources.config import RunConfig, config_hash, estimate, guard, resolved, run_id, source_files
 
@@ -110,7 +110,8 @@ def feature_tables(spark: SparkSession, config: RunConfig, home: str) -> dict[st
     """Every feature table of a run, over its stored timeline and clips."""
     timeline = tables.read_table(spark, home, "timeline_1hz")
     light, f = slim(timeline), config.features
-    out = {f"features_{w}s": features.window_features(light, w, f.minimum_coverage) for w in f.windows_sec}
+    every = windows.written(features.window_tables(light, tuple(f.windows_sec), f.minimum_coverage), "feature_window_sec") if len(f.windows_sec) > 1 else features.window_features(light, f.windows_sec[0], f.minimum_coverage)
+    out = {f"features_{w}s": every.filter(F.col("feature_window_sec") == w).select(*KEYS, T, "feature_window_sec", "feature_valid", *features.names_of(w)) for w in f.windows_sec}
     out["features_eeg_5s"] = features.eeg_features(timeline, 5, stride=1, mains=config.artifacts.line_noise_hz)
     if config.run.duration_sec >= features.SHORTEST["hrv_frequency"]:
         out["features_hrv_300s"] = features.hrv_kernels(light, 300, 1)

@@ -154,8 +154,8 @@ def test_native_streams_keep_their_contracts(spark):
     timed = devices.with_clocks(rows, devices.clock_models(spark, c), c.run.start_ns)
     each = devices.samples(timed)
     assert each.filter("stream_name = 'eeg'").count() == 30 * 256 * 4 and timed.filter("receive_time_ns < device_time_ns").isEmpty()
-    fit = devices.align(timed).filter("abs(alignment_residual_sec) > 1")
-    assert fit.isEmpty()
+    fit = devices.aligned(rows, latent.withColumn("truth_time_ns", F.col("truth_time_ns") - F.lit(100 * SECOND).cast("long")), devices.clock_models(spark, c), c)
+    assert fit.count() == rows.count() and fit.filter("abs(alignment_residual_sec) > 1").isEmpty()
     one = devices.one_second_summaries(rows).toPandas()
     assert len(one) == 30 and (one.eeg_tp9_coverage_ratio == 1).all() and one.wrist_vm.between(0.3, 3).all() and one.ecg_rpeak_count.between(0, 4).all() and one.ecg_rpeak_count.sum() > 20
 
@@ -165,18 +165,37 @@ def test_alignment_undoes_offset_and_drift(spark):
     start = c.run.start_ns
     latent = spark.range(0, 432_000, 30).select(F.lit("r").alias("run_id"), F.lit("P001").alias("person_id"), (F.lit(start).cast("long") + F.col("id") * SECOND).alias("truth_time_ns"))
     clocks = spark.createDataFrame([("r", "P001", d, o, p, j, 7) for d, o, p, j in (("headband", -300.0, 30.0, 4.0), ("strap", 2600.0, -20.0, 6.0), ("watch", 500.0, 40.0, 12.0))], "run_id string, person_id string, device_id string, initial_offset_ms double, drift_ppm double, jitter_ms_std double, seed long")
-    rows = devices.marks(latent.withColumn("truth_time_ns", F.col("truth_time_ns") - F.lit(start % (60 * SECOND)).cast("long")), c)
-    timed = devices.with_clocks(rows, clocks, start)
+    rows = devices.marks(latent, c)
+    timed = windows.written(devices.with_clocks(rows, clocks, start))
+    track = windows.written(devices.clock_track(devices.heard(timed)))
     assert timed.filter(F.abs(F.col("device_time_ns") - F.col("second_ns")) > 15 * SECOND).count() > 0
-    for fit in (None, devices.clock_fit(timed)):
-        out = devices.align(timed, fit)
-        assert out.filter(F.abs(F.col("aligned_time_ns") - F.col("second_ns")) > SECOND // 10).isEmpty() and out.filter("alignment_residual_sec <> 0").count() > 0
-    moved = devices.on_grid(devices.align(timed).withColumn("true_ns", F.col("second_ns")))
-    assert moved.count() == rows.count() and moved.filter("second_ns <> true_ns").isEmpty()
+    out = windows.written(devices.align(timed, track))
+    late = F.col("second_ns") - F.lit(start).cast("long") > 600 * SECOND
+    assert out.count() == rows.count() and out.filter(late & (F.abs(F.col("alignment_residual_sec")) > 0.1)).isEmpty() and out.filter("abs(alignment_residual_sec) > 0.5").isEmpty()
+    settled = out.filter(F.col("second_ns") - F.lit(start).cast("long") > 86_400 * SECOND).agg(F.max(F.abs("alignment_residual_sec"))).first()[0]
+    assert 0 < settled < 0.06
+    moved = devices.on_grid(out.withColumn("true_ns", F.col("second_ns")))
+    assert moved.filter("second_ns <> true_ns").isEmpty()
     raw = devices.on_grid(timed.withColumns({"aligned_time_ns": F.col("device_time_ns"), "true_ns": F.col("second_ns")}))  # clocks as they are
     assert raw.filter("second_ns <> true_ns").count() > raw.count() / 2
 
 
+def test_alignment_does_not_look_ahead(spark):
+    """Cutting the recording anywhere leaves every earlier aligned time as it is, and gaps keep the last estimate."""
+    c = cfg.builtin("mvp")
+    start = c.run.start_ns
+    clocks = spark.createDataFrame([("r", "P001", d, o, p, j, 7) for d, o, p, j in (("headband", -300.0, 30.0, 4.0), ("watch", 500.0, 40.0, 12.0))], "run_id string, person_id string, device_id string, initial_offset_ms double, drift_ppm double, jitter_ms_std double, seed long")
+    seconds = spark.range(0, 7200, 7).filter("id < 2000 OR id > 4000").select(F.lit("r").alias("run_id"), F.lit("P001").alias("person_id"), (F.lit(start).cast("long") + F.col("id") * SECOND).alias("second_ns"))
+    rows = devices.with_clocks(seconds.crossJoin(spark.createDataFrame([("headband", "eeg", 256), ("watch", "eda", 1)], "device_id string, stream_name string, sample_rate_hz int")), clocks, start)
+    marks = devices.with_clocks(devices.marks(spark.range(0, 7200).filter("id < 2000 OR id > 4000").select(F.lit("r").alias("run_id"), F.lit("P001").alias("person_id"), (F.lit(start).cast("long") + F.col("id") * SECOND).alias("truth_time_ns")), c), clocks, start)
+    whole = windows.written(devices.align(rows, devices.clock_track(devices.heard(marks))))
+    assert whole.count() == rows.count() and whole.filter("abs(alignment_residual_sec) > 0.5").isEmpty()
+    for cut in (30, 1803, 3600, 5000):
+        before = F.col("second_ns") < F.lit(start + cut * SECOND).cast("long")
+        part = devices.align(rows.filter(before), devices.clock_track(devices.heard(marks.filter(before))))
+        assert part.exceptAll(whole.filter(before)).isEmpty() and part.count() > 0
+
+
 def test_timeline_is_in_aligned_seconds(spark):
     c = cfg.builtin("golden")
     latent = truth.latent_timeline(spark, c, truth.events(spark, c)).filter("seconds_from_start BETWEEN 60 AND 179")
