@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import curves, seeds
 from pulsegrid.functions.timecols import DAY, HOUR, SECOND, date_of_ns, floor_div, timestamp_of_ns
 from pulsegrid.operators.labels import TARGET_COLUMNS, active_lists, by_second, instance_index, phase_at
+from pulsegrid.operators.matching import deferred_acceptance
 from pulsegrid.operators.windows import written
 from pulsegrid.sources.config import RunConfig, run_id
 from pulsegrid.sources.tables import broadcast_if_small
@@ -382,8 +383,9 @@ def latent_timeline(spark: SparkSession, config: RunConfig, schedule: DataFrame)
 def clips(spark: SparkSession, config: RunConfig, schedule: DataFrame) -> DataFrame:
     """Native-rate clips: around onsets, and baseline clips free of events at the time of day of targets.
 
-    A baseline clip is a free stretch of another day, else of the same one, whose start is nearest in time of day to
-    that of a target; which targets are matched goes by their hash.
+    A person gets as many baseline clips as the configuration asks for, as long as free stretches are left.  Targets are
+    matched in the order of their hash, and again from the first where there are fewer than clips; each is given a free
+    stretch near in time of day, of another day before the same one, so that no two would rather have each other's.
     """
     e, s = config.events, F.lit(SECOND).cast("long")
     low, high = F.lit(config.run.start_ns).cast("long"), F.lit(config.run.start_ns + config.run.duration_sec * SECOND).cast("long")
@@ -392,21 +394,19 @@ def clips(spark: SparkSession, config: RunConfig, schedule: DataFrame) -> DataFr
     around = schedule.select(*keys, F.concat(F.lit("clip_"), "event_id").alias("clip_id"), F.lit("event").alias("clip_kind"), F.col("event_id").alias("matched_event_id"),
                              (middle - F.lit(e.clip_pre_sec).cast("long") * s).alias("start_ns"), (middle + F.lit(e.clip_post_sec).cast("long") * s).alias("end_ns"))
     length = e.clip_pre_sec + e.clip_post_sec
-    slots = max(config.run.duration_sec // length, 1)
-    tries = persons(spark, config).select(*keys, F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    tries = tries.withColumn("start_ns", low + F.col("slot").cast("long") * F.lit(length).cast("long") * s).withColumn("end_ns", F.col("start_ns") + F.lit(length).cast("long") * s)
-    ev = schedule.select(F.col("person_id").alias("p"), "start_time_ns", "end_time_ns")
-    free = tries.join(ev, (F.col("person_id") == F.col("p")) & (F.col("start_ns") < F.col("end_time_ns")) & (F.col("end_ns") > F.col("start_time_ns")), "left_anti")
-    by_hash = Window.partitionBy(*keys).orderBy("seed", "event_id")
-    wanted = schedule.filter("is_target").withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= e.matched_baseline_clips_per_day * day_count(config))
-    wanted = wanted.select(*keys, F.col("event_id").alias("matched_event_id"), F.col("n").alias("turn"), (middle - F.lit(e.clip_pre_sec).cast("long") * s).alias("like_ns"))
-    day = F.lit(DAY).cast("long")
-    apart = F.pmod(F.col("start_ns") - F.col("like_ns"), day)
-    pairs = wanted.join(free, keys).withColumns({"apart": F.least(apart, day - apart), "same_day": (floor_div(F.col("start_ns") - low, DAY) == floor_div(F.col("like_ns") - low, DAY)).cast("int")})
-    near = Window.partitionBy(*keys, "matched_event_id").orderBy("apart", "same_day", "slot")
-    first = pairs.withColumn("k", F.row_number().over(near)).filter("k = 1")
-    once = Window.partitionBy(*keys, "slot").orderBy("apart", "turn")  # a stretch serves one target
-    chosen = first.withColumn("m", F.row_number().over(once)).filter("m = 1")
-    baseline = chosen.select(*keys, F.concat_ws("_", F.lit("clip_baseline"), "person_id", "slot").alias("clip_id"), F.lit("baseline").alias("clip_kind"), "matched_event_id", "start_ns", "end_ns")
+    slots, span = max(config.run.duration_sec // length, 1), F.lit(length).cast("long") * s
+    tries = persons(spark, config).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
+    ev = schedule.filter("end_time_ns > start_time_ns")
+    touched = F.sequence(F.floor((F.col("start_time_ns") - low) / span), F.floor((F.col("end_time_ns") - low - 1) / span))
+    free = tries.join(ev.select(*keys, F.explode(touched).alias("slot")).distinct(), [*keys, "slot"], "left_anti").withColumn("start", low + F.col("slot") * span)
+    by_hash = Window.partitionBy(*keys).orderBy("seed", "event_id")  # a person's targets
+    targets = schedule.filter("is_target").select(*keys, "event_id", F.row_number().over(by_hash).alias("n"), (middle - F.lit(e.clip_pre_sec).cast("long") * s).alias("like"))
+    asked = e.matched_baseline_clips_per_day * day_count(config)
+    counted = targets.groupBy(*keys).agg(F.max("n").alias("of"))
+    turns = counted.select(*keys, "of", F.explode(F.sequence(F.lit(1), F.lit(max(asked, 1)))).alias("turn")).filter(F.col("turn") <= asked)
+    wanted = turns.withColumn("n", F.pmod(F.col("turn") - 1, F.col("of")) + 1).join(targets, [*keys, "n"]).select(*keys, "turn", "like", "event_id")
+    chosen = deferred_acceptance(wanted, free, keys, DAY, config.run.start_ns).join(wanted.select(*keys, "turn", F.col("event_id").alias("matched_event_id")), [*keys, "turn"])
+    name = F.concat_ws("_", F.lit("clip_baseline"), "person_id", "slot")
+    baseline = chosen.select(*keys, name.alias("clip_id"), F.lit("baseline").alias("clip_kind"), "matched_event_id", F.col("start").alias("start_ns"), (F.col("start") + span).alias("end_ns"))
     both = around.unionByName(baseline)
     return both.select(*keys, "clip_id", "clip_kind", "matched_event_id", F.greatest("start_ns", low).alias("start_ns"), F.least("end_ns", high).alias("end_ns"), ((F.col("start_ns") < low) | (F.col("end_ns") > high)).alias("truncated"))

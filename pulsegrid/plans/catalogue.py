@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays, curves, seeds, spectral
 from pulsegrid.functions.timecols import DAY, HOUR, SECOND, floor_div, ns_of_ntz
-from pulsegrid.operators import devices, features, intervals, labels, sanity, splits, truth, validation, windows
+from pulsegrid.operators import devices, features, intervals, labels, matching, sanity, splits, truth, validation, windows
 from pulsegrid.operators.sliding import Frames
 from pulsegrid.plans import run
 from pulsegrid.sources import config as cfg
+from pulsegrid.sources import tables
 
 SEED = 20260725
 START = 1_767_225_600 * SECOND
@@ -382,13 +383,20 @@ def truth_labels(spark, sf_dir):
 _CLIP = MVP.events.clip_pre_sec + MVP.events.clip_post_sec
 
 
-@query(f"""WITH {_people(MVP)}, {_events_sql(MVP)}, md AS (SELECT *, coalesce(onset_time_ns, start_time_ns) - {MVP.events.clip_pre_sec * SECOND} AS like_ns FROM te),
+#: The nearest pair of all first, then the nearest of those that are left, and so on: the same matching by another way.
+_GREEDY = """g AS (SELECT DISTINCT person_id, CAST([] AS BIGINT[]) AS turns, CAST([] AS BIGINT[]) AS slots FROM pa
+      UNION ALL SELECT person_id, list_append(turns, pick.turn), list_append(slots, pick.slot) FROM (SELECT g.person_id, any_value(turns) AS turns, any_value(slots) AS slots,
+        min({{'apart': least(x, {DAY} - x), 'same_day': same_day, 'slot': slot, 'turn': turn}}) AS pick FROM g JOIN pa ON g.person_id = pa.person_id WHERE NOT list_contains(turns, turn) AND NOT list_contains(slots, slot) GROUP BY g.person_id)),
+    picked AS (SELECT person_id, turns[-1] AS turn, slots[-1] AS slot FROM g WHERE len(turns) > 0)"""
+
+
+@query(f"""WITH RECURSIVE {_people(MVP)}, {_events_sql(MVP)}, md AS (SELECT *, coalesce(onset_time_ns, start_time_ns) - {MVP.events.clip_pre_sec * SECOND} AS like_ns FROM te),
     sl2 AS (SELECT person_id, slot, {MVP.run.start_ns} + slot * {_CLIP * SECOND} AS a FROM pp, (SELECT unnest(range(0, {MVP.run.duration_sec // _CLIP})) AS slot)),
     fr AS (SELECT * FROM sl2 WHERE NOT EXISTS (SELECT 1 FROM te WHERE te.person_id = sl2.person_id AND a < end_time_ns AND a + {_CLIP * SECOND} > start_time_ns)),
-    wa AS (SELECT person_id, event_id, like_ns, row_number() OVER (PARTITION BY person_id ORDER BY seed, event_id) AS turn FROM md WHERE is_target QUALIFY turn <= {MVP.events.matched_baseline_clips_per_day * truth.day_count(MVP)}),
-    pa AS (SELECT wa.*, slot, a, ((a - like_ns) % {DAY} + {DAY}) % {DAY} AS x, CAST((a - {MVP.run.start_ns}) // {DAY} = CAST(floor((like_ns - {MVP.run.start_ns}) / {DAY}.0) AS BIGINT) AS INTEGER) AS same_day FROM wa JOIN fr ON fr.person_id = wa.person_id),
-    p1 AS (SELECT *, least(x, {DAY} - x) AS apart FROM pa QUALIFY row_number() OVER (PARTITION BY person_id, event_id ORDER BY least(x, {DAY} - x), same_day, slot) = 1),
-    p2 AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY person_id, slot ORDER BY apart, turn) = 1),
+    ta AS (SELECT person_id, event_id, like_ns, row_number() OVER (PARTITION BY person_id ORDER BY seed, event_id) AS n FROM md WHERE is_target),
+    wa AS (SELECT ta.*, turn FROM ta JOIN (SELECT person_id, max(n) AS top FROM ta GROUP BY 1) USING (person_id), (SELECT unnest(range(1, {MVP.events.matched_baseline_clips_per_day * truth.day_count(MVP) + 1})) AS turn) WHERE n = (turn - 1) % top + 1),
+    pa AS (SELECT wa.person_id, turn, event_id, slot, a, ((a - like_ns) % {DAY} + {DAY}) % {DAY} AS x, CAST((a - {MVP.run.start_ns}) // {DAY} = CAST(floor((like_ns - {MVP.run.start_ns}) / {DAY}.0) AS BIGINT) AS INTEGER) AS same_day FROM wa JOIN fr ON fr.person_id = wa.person_id),
+    {_GREEDY.format(DAY=DAY)}, p2 AS (SELECT pa.* FROM pa JOIN picked USING (person_id, turn, slot)),
     al AS (SELECT person_id, 'clip_' || event_id AS clip_id, 'event' AS clip_kind, event_id AS matched_event_id, like_ns AS a FROM md UNION ALL SELECT person_id, 'clip_baseline_' || person_id || '_' || slot, 'baseline', event_id, a FROM p2)
     SELECT person_id, clip_id, clip_kind, matched_event_id, greatest(a, {MVP.run.start_ns}) AS start_ns, least(a + {_CLIP * SECOND}, {MVP.run.start_ns + MVP.run.duration_sec * SECOND}) AS end_ns,
       a < {MVP.run.start_ns} OR a + {_CLIP * SECOND} > {MVP.run.start_ns + MVP.run.duration_sec * SECOND} AS truncated FROM al""")
@@ -396,6 +404,27 @@ def clip_manifest(spark, sf_dir):
     return truth.clips(spark, MVP, windows.written(truth.events(spark, MVP))).drop("run_id")
 
 
+#: Hours of a stretch, and stretches, of the series.
+_STRETCH, _STRETCHES = 4, 180
+
+
+@query(f"""WITH RECURSIVE {EV}, wa AS (SELECT person_id, t AS like_ns, row_number() OVER (PARTITION BY person_id ORDER BY t, event_id) AS turn FROM ev WHERE event_type = 'error'),
+    used AS (SELECT DISTINCT person_id, (t - 1704067200000000000) // {_STRETCH * H} AS slot FROM ev),
+    fr AS (SELECT person_id, slot, 1704067200000000000 + slot * {_STRETCH * H} AS a FROM (SELECT DISTINCT person_id FROM ev), (SELECT unnest(range(0, {_STRETCHES})) AS slot) WHERE (person_id, slot) NOT IN (SELECT (person_id, slot) FROM used)),
+    pa AS (SELECT wa.person_id, turn, slot, a, ((a - like_ns) % {D} + {D}) % {D} AS x, CAST((a - 1704067200000000000) // {D} = (like_ns - 1704067200000000000) // {D} AS INTEGER) AS same_day FROM wa JOIN fr ON fr.person_id = wa.person_id),
+    {_GREEDY.format(DAY=D)} SELECT pa.person_id, pa.turn, pa.slot, least(x, {D} - x) AS apart FROM pa JOIN picked USING (person_id, turn, slot)""")
+def matched_stretches(spark, sf_dir):
+    """Every error of a user is matched with a stretch without events near it in time of day, while any is left."""
+    s = series(spark, sf_dir)
+    order = Window.partitionBy("person_id").orderBy("t", "event_id")  # a user's errors
+    wanted = s.filter("event_type = 'error'").select("person_id", F.row_number().over(order).alias("turn"), F.col("t").alias("like"))
+    zero, span = F.lit(1_704_067_200 * SECOND).cast("long"), F.lit(_STRETCH * H).cast("long")
+    used = s.select("person_id", floor_div(F.col("t") - zero, _STRETCH * H).alias("slot")).distinct()
+    slots = s.select("person_id").distinct().select("person_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_STRETCHES - 1).cast("long"))).alias("slot"))
+    free = slots.join(used, ["person_id", "slot"], "left_anti").withColumn("start", zero + F.col("slot") * span)
+    return matching.deferred_acceptance(wanted, free, ["person_id"], DAY, 1_704_067_200 * SECOND).select("person_id", "turn", "slot", "apart")
+
+
 def golden_truth(spark: SparkSession):
     """Configuration, events, latent timeline, people, days and artifacts of the golden run."""
     c = cfg.builtin("golden")
@@ -959,11 +988,6 @@ def person_split(spark, sf_dir):
     return splits.by_person(people, SEED, {"train": 0.67, "validation": 0.17, "test": 0.16})
 
 
-@query("SELECT 'split_overlap' AS \"check\", CAST(0 AS BIGINT) AS violations")
-def split_leak_check(spark, sf_dir):
-    return validation.split_overlap(person_split(spark, sf_dir))
-
-
 @query(f"""WITH {EV} SELECT CASE WHEN t - 1704067200000000000 < {21 * D} THEN 'known_person_past' ELSE 'known_person_future_day' END AS split, count(*) AS n, count(DISTINCT person_id) AS persons FROM ev GROUP BY 1""")
 def future_day_split(spark, sf_dir):
     day = floor_div(F.col("t") - F.lit(1_704_067_200 * SECOND).cast("long"), D)
@@ -1040,6 +1064,14 @@ def logical_hash(spark, sf_dir):
     return series(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("content_hash"))
 
 
+@query("""SELECT user_id AS person_id, count(*) AS rows_a, count(*) AS rows_b FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error' AND value > 90) > 0""")
+def differing_partitions(spark, sf_dir):
+    """Persons whose rows differ between two runs, told by hashes of their rows; one run has a few changed values."""
+    s = series(spark, sf_dir).select("event_id", "person_id", "value", "event_type")
+    other = s.withColumn("value", F.when((F.col("event_type") == "error") & (F.col("value") > 90), F.col("value") + 1).otherwise(F.col("value")))
+    return tables.differing_partitions(s, other, ["person_id"])
+
+
 @query(f"""SELECT 'same_content' AS "check", CAST(2 * count(*) FILTER (event_type = 'error' AND value > 90) AS BIGINT) AS violations FROM events""")
 def run_difference(spark, sf_dir):
     """Rows in which two runs differ; one run has a few changed values."""

@@ -39,9 +39,15 @@ FORBIDDEN = ("truth_", "event_intensity_truth")
 SAFETY = {"synthetic": True, "non_diagnostic": True, "not_for_clinical_use": True}
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark for broadcast only a side of at most ``max_rows`` rows; beyond that Spark's shuffled join is used."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Most bytes of a side that is broadcast, as JSON.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark for broadcast only a side small in rows and bytes; beyond that Spark's shuffled join is used."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if seen["n"] <= max_rows and seen["bytes"] <= max_bytes else df
 
 
 def table_path(root: str, name: str) -> str:
@@ -91,13 +97,42 @@ def exists(spark: SparkSession, root: str, name: str) -> bool:
     return True
 
 
-def content_hash(df: DataFrame, columns: list[str] | None = None) -> dict[str, int | str]:
-    """Order-free hash of a table's rows: count, and the xor of the rows' SHA-256 (its first 60 bits) and of XXH64."""
+def partition_hashes(df: DataFrame, parts: list[str], columns: list[str] | None = None) -> DataFrame:
+    """(parts, rows, hash): for each partition the sum of its rows' SHA-256, cut to 128 bits, modulo 2^128, in hex.
+
+    A sum, unlike an exclusive or, counts repeated rows: it depends on the multiset of rows alone, and neither on their
+    order nor on tasks.  Four sums of 32-bit words meet within map tasks first, so a hot partition sends a row a task.
+    """
     names = sorted(columns or df.columns)
-    row = F.to_json(F.struct(*[F.col(c) for c in names]), {"ignoreNullFields": "false"})
-    first = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("long")
-    r = df.select(first.alias("a"), F.xxhash64(row).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).first()
-    return {"rows": r["n"], "hash": f"{r['a'] or 0:015x}{(r['b'] or 0) & 0xFFFFFFFFFFFFFFFF:016x}"}
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"})
+    hexed = df.select(*parts, F.sha2(row, 256).alias("_h"))
+    words = [F.conv(F.substring("_h", 1 + 8 * k, 8), 16, 10).cast("long").alias(f"_w{k}") for k in range(4)]
+    sums = hexed.select(*parts, *words).groupBy(*parts).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.col(f"_w{k}").cast("decimal(20,0)")).alias(f"_w{k}") for k in range(4)])
+    # from the lowest word up: 32 bits stay, the rest is carried
+    low, out, carry = F.lit(1 << 32).cast("decimal(12,0)"), [], F.lit(0).cast("decimal(30,0)")
+    for k in reversed(range(4)):
+        whole = F.coalesce(F.col(f"_w{k}"), F.lit(0)).cast("decimal(30,0)") + carry
+        out.insert(0, F.lpad(F.lower(F.hex(F.pmod(whole, low).cast("long"))), 8, "0"))
+        carry = ((whole - F.pmod(whole, low)) / low).cast("decimal(30,0)")
+    return sums.select(*parts, "rows", F.concat(*out).alias("hash"))
+
+
+def content_hash(df: DataFrame, columns: list[str] | None = None) -> dict[str, int | str]:
+    """Count and hash of a table's rows, as ``partition_hashes`` has them for the whole table."""
+    r = partition_hashes(df, [], columns).first()
+    return {"rows": r["rows"], "hash": r["hash"]}
+
+
+def differing_partitions(a: DataFrame, b: DataFrame, parts: list[str]) -> DataFrame:
+    """(parts, rows_a, rows_b): partitions whose multisets of rows differ between two tables; 0 rows where one lacks it."""
+    one, two = partition_hashes(a, parts, a.columns), partition_hashes(b, parts, a.columns)
+    same = F.lit(True)
+    for p in parts:
+        same &= F.col(f"a.{p}").eqNullSafe(F.col(f"b.{p}"))
+    both = one.alias("a").join(two.alias("b"), same, "full_outer")
+    count = lambda side: F.coalesce(F.col(f"{side}.rows"), F.lit(0).cast("long"))
+    apart = ~F.col("a.hash").eqNullSafe(F.col("b.hash")) | (count("a") != count("b"))
+    return both.filter(apart).select(*[F.coalesce(F.col(f"a.{p}"), F.col(f"b.{p}")).alias(p) for p in parts], count("a").alias("rows_a"), count("b").alias("rows_b"))
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
