@@ -61,25 +61,6 @@ def spectral_summary(x: np.ndarray, rate: float, mains: float = 60.0) -> dict[st
     return out
 
 
-def preprocessed(x: np.ndarray, rate: float, mains: float = 60.0, low: float = 1.0, high: float = 45.0) -> np.ndarray:
-    """Without its mean, mains hum (2 Hz wide) and all that lies outside ``low`` to ``high`` Hz."""
-    if len(x) < 8:
-        return x
-    spectrum, freq = np.fft.rfft(x - x.mean()), np.fft.rfftfreq(len(x), 1 / rate)
-    spectrum[(freq < low) | (freq > high) | (np.abs(freq - mains) <= 1)] = 0
-    return np.fft.irfft(spectrum, len(x))
-
-
-def preprocess_udf(rate: float, mains: float = 60.0):
-    """Column function: an array of samples, preprocessed."""
-
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else preprocessed(np.asarray(v, float), rate, mains))
-
-    return run
-
-
 def coherence(x: np.ndarray, y: np.ndarray, rate: float, low: float, high: float) -> float | None:
     """Mean squared coherence over a band, from half-overlapping Hann segments of a second."""
     n = int(rate)
@@ -261,26 +242,6 @@ def periodicity_udf(rate: float):
     return run
 
 
-PAIR_TYPE = T.StructType([T.StructField(f"{n}_{b}", T.DoubleType()) for b in BANDS for n in ("coherence", "plv")])
-
-
-def pair_udf(rate: float):
-    """Column function of two signals: coherence and phase locking in each band."""
-
-    @F.pandas_udf(PAIR_TYPE)
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b in zip(x, y, strict=True):
-            if a is None or b is None:
-                rows.append((None,) * len(PAIR_TYPE.names))
-                continue
-            a, b = np.asarray(a, float), np.asarray(b, float)
-            rows.append([f(a, b, rate, *lim) for lim in BANDS.values() for f in (coherence, phase_locking)])
-        return pd.DataFrame(rows, columns=PAIR_TYPE.names).astype(float)
-
-    return run
-
-
 def hrv_udf():
     """Column function of times (s) and RR intervals (ms): VLF, LF and HF power, and sample entropy."""
 

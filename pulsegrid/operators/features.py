@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays, spectral
 from pulsegrid.functions.timecols import SECOND, floor_div
+from pulsegrid.operators import eeg as eeg_kernels
 from pulsegrid.operators.intervals import during
 from pulsegrid.operators.sliding import Frame, Frames
 from pulsegrid.operators.windows import latest, sessions, tasks_of, trailing, upcoming
@@ -213,38 +214,35 @@ def names_of(window: int, families: tuple[str, ...] = tuple(FAMILIES)) -> list[s
 
 
 def eeg_features(timeline: DataFrame, window: int, rate: int = 256, stride: int | None = None, mains: float = 60.0) -> DataFrame:
-    """Spectral and time-domain EEG features of each whole window, by Arrow kernels on the window's samples.
+    """Spectral and time-domain EEG features of each whole window, and of pairs of channels.
 
     Windows end every ``stride`` seconds (at multiples of their length by default), and are labelled with the second on
-    which they end: no sample after it is used.
+    which they end: no sample after it is used.  Noise shares, coverage, clipping and spectra see the samples as they
+    came; what follows the waveform, and entropies and pairs, see them as the causal filters leave them.
     """
-    grouped = windowed(timeline, {c: F.col(f"eeg_{c}") for c in CHANNELS}, window, stride).withColumns({c: F.flatten(c) for c in CHANNELS})
-    summary, entropy, pair, cleaned = spectral.summary_udf(rate, mains), spectral.entropy_udf(), spectral.pair_udf(rate), spectral.preprocess_udf(rate, mains)
-    out = grouped
+    clean = eeg_kernels.kernels(timeline, window, rate, mains)
+    both = timeline.select(*KEYS, T, *[F.col(f"eeg_{c}") for c in CHANNELS]).join(clean.select(*KEYS, T, *[f"clean_{c}" for c in CHANNELS]), [*KEYS, T])
+    samples = {c: F.col(f"eeg_{c}") for c in CHANNELS} | {f"_c_{c}": F.col(f"clean_{c}") for c in CHANNELS}
+    out = windowed(both, samples, window, stride).withColumns({c: F.filter(F.flatten(c), lambda v: v.isNotNull()) for c in samples})
+    summary = spectral.summary_udf(rate, mains)
     for c in CHANNELS:
-        clean = F.filter(c, lambda v: v.isNotNull())
-        # spectra, coverage and clipping see the samples as they came; what follows the waveform sees them preprocessed
-        out = out.withColumn(c, clean).withColumn(f"_s_{c}", summary(clean)).withColumn(f"_c_{c}", cleaned(clean)).withColumn(f"_e_{c}", entropy(F.col(f"_c_{c}")))
+        out = out.withColumn(f"_s_{c}", summary(F.col(c)))
     columns = [*KEYS, T]
     for c in CHANNELS:
-        columns += [F.col(f"_s_{c}.{n}").alias(f"eeg_{c}_{n}") for n in spectral.SUMMARY_TYPE.names] + [F.col(f"_e_{c}.{n}").alias(f"eeg_{c}_{n}") for n in ("sample_entropy", "permutation_entropy")]
+        columns += [F.col(f"_s_{c}.{n}").alias(f"eeg_{c}_{n}") for n in spectral.SUMMARY_TYPE.names]
         columns += [f(F.col(f"_c_{c}")).alias(f"eeg_{c}_{n}") for n, f in (("rms_uv", arrays.rms), ("peak_to_peak_uv", arrays.peak_to_peak), ("line_length", arrays.line_length), ("zero_crossing_rate", arrays.zero_crossing_rate),
                     ("hjorth_activity", arrays.variance), ("hjorth_mobility", arrays.hjorth_mobility), ("hjorth_complexity", arrays.hjorth_complexity))]
         columns += [(F.size(c) / F.lit(float(rate * window))).alias(f"eeg_{c}_coverage_ratio"), arrays.share(F.col(c), lambda v: F.abs(v) >= 999).alias(f"eeg_{c}_clipping_ratio"),
                     arrays.share(F.col(c), lambda v: F.abs(v) > 200).alias(f"eeg_{c}_extreme_amplitude_ratio"), arrays.share(arrays.differences(F.col(c)), lambda d: F.abs(d) < 1e-9).alias(f"eeg_{c}_flatline_ratio")]
     log = lambda c: F.log(F.col(f"_s_{c}.alpha_abs_power"))
     columns += [(log("af8") - log("af7")).alias("eeg_frontal_alpha_asymmetry_af7_af8"), (log("tp10") - log("tp9")).alias("eeg_temporal_alpha_asymmetry_tp9_tp10")]
-    corr = lambda a, b: arrays.correlation(F.col(f"_c_{a}"), F.col(f"_c_{b}"))
-    pairs = [(a, b) for i, a in enumerate(CHANNELS) for b in CHANNELS[i + 1 :]]
-    for a, b in pairs:
-        out = out.withColumn(f"_p_{a}_{b}", pair(f"_c_{a}", f"_c_{b}"))
-        columns += [F.col(f"_p_{a}_{b}.{n}").alias(f"eeg_pair_{a}_{b}_{n}") for n in spectral.PAIR_TYPE.names]
-    columns += [(sum((F.coalesce(corr(a, b), F.lit(0.0)) for a, b in pairs), F.lit(0.0)) / len(pairs)).alias("eeg_channel_correlation_mean")]
     noise = sum((F.coalesce(F.col(f"_s_{c}.line_noise_ratio"), F.lit(1.0)) + F.coalesce(F.col(f"_s_{c}.high_freq_artifact_ratio"), F.lit(1.0)) for c in CHANNELS), F.lit(0.0)) / len(CHANNELS)
     quality = F.greatest(1 - noise, F.lit(0.0)) * F.least(sum((F.size(c) for c in CHANNELS), F.lit(0)) / F.lit(float(rate * window * len(CHANNELS))), F.lit(1.0))
     columns += [quality.alias("eeg_quality_score"), (quality < 0.3).alias("eeg_artifact_dominant")]
     columns += [sum(((F.size(c) >= 0.8 * rate * window).cast("int") for c in CHANNELS), F.lit(0)).alias("eeg_valid_channel_count")]
-    return require_no_truth(out.select(*columns))
+    entropies = clean.select(*KEYS, T, *[F.col(f"{c}_{n}").alias(f"eeg_{c}_{n}") for c in CHANNELS for n in ("sample_entropy", "permutation_entropy")])
+    pairs = eeg_kernels.pair_tables(timeline, (window,), rate, mains).drop("feature_window_sec")
+    return require_no_truth(out.select(*columns).join(entropies, [*KEYS, T]).join(pairs, [*KEYS, T]))
 
 
 def personal_baseline(df: DataFrame, keys: list[str], t: str, value: str | dict[str, str], eligible: Column, lookback: int, warmup: int, bucket: int, epsilon: float = 1e-9) -> DataFrame:

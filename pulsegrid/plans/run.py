@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timecols import DAY, HOUR, SECOND, floor_div
-from pulsegrid.operators import devices, features, labels, sanity, splits, truth, validation, windows
+from pulsegrid.operators import devices, eeg, features, labels, sanity, splits, truth, validation, windows
 from pulsegrid.sources import tables
 from pulsegrid.sources.config import RunConfig, config_hash, estimate, guard, resolved, run_id, source_files
 
@@ -113,6 +113,7 @@ def feature_tables(spark: SparkSession, config: RunConfig, home: str) -> dict[st
     every = windows.written(features.window_tables(light, tuple(f.windows_sec), f.minimum_coverage), "feature_window_sec") if len(f.windows_sec) > 1 else features.window_features(light, f.windows_sec[0], f.minimum_coverage)
     out = {f"features_{w}s": every.filter(F.col("feature_window_sec") == w).select(*KEYS, T, "feature_window_sec", "feature_valid", *features.names_of(w)) for w in f.windows_sec}
     out["features_eeg_5s"] = features.eeg_features(timeline, 5, stride=1, mains=config.artifacts.line_noise_hz)
+    out["features_eeg_pairs"] = eeg.pair_tables(timeline, tuple(w for w in f.windows_sec if w > 5), mains=config.artifacts.line_noise_hz)
     if config.run.duration_sec >= features.SHORTEST["hrv_frequency"]:
         out["features_hrv_300s"] = features.hrv_kernels(light, 300, 1)
     out |= {f"features_rr_entropy_{w}s": features.rr_entropy(light, w, 1) for w in f.windows_sec if features.SHORTEST["hrv_nonlinear"] <= w <= config.run.duration_sec}
@@ -147,8 +148,8 @@ def clip_features(native: DataFrame) -> dict[str, DataFrame]:
 
 def feature_registry(spark: SparkSession, home: str, names: list[str]) -> list[dict]:
     """The registry of window features, and of the columns that kernels give."""
-    keys = {*KEYS, T, "date_utc"}
-    kernels = {"features_eeg_5s": "eeg_features", "features_hrv_300s": "hrv_kernels", "features_baseline": "personal_baseline", "features_temperature": "latest_temperature", "features_motion_5s": "motion_spectra",
+    keys = {*KEYS, T, "date_utc", "feature_window_sec"}
+    kernels = {"features_eeg_5s": "eeg_features", "features_eeg_pairs": "eeg_features", "features_hrv_300s": "hrv_kernels", "features_baseline": "personal_baseline", "features_temperature": "latest_temperature", "features_motion_5s": "motion_spectra",
                "features_repetition_5s": "repetition", "features_pulse_transit_60s": "pulse_transit"}
     known = lambda n: kernels.get(n) or ("rr_entropy" if n.startswith("features_rr_entropy") else None)
     columns: dict[str, list[str]] = {}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import seeds, spectral
 from pulsegrid.functions.timecols import SECOND
-from pulsegrid.operators import devices, features, intervals, labels, sanity, splits, truth, validation, windows
+from pulsegrid.operators import devices, eeg, features, intervals, labels, sanity, splits, truth, validation, windows
 from pulsegrid.plans import cli, run
 from pulsegrid.sources import config as cfg
 from pulsegrid.sources import tables
@@ -533,7 +533,7 @@ def test_eeg_entropy_sees_the_whole_window(spark):
     got = features.eeg_features(t, 5, stride=1).select("canonical_time_ns", "eeg_tp9_sample_entropy", "eeg_tp9_permutation_entropy", "eeg_tp9_coverage_ratio").toPandas().set_index("canonical_time_ns").sort_index()
     assert len(got) == 8 and got.eeg_tp9_coverage_ratio[1 * SECOND] == pytest.approx(0.4)
     for end in (4, 5, 7):
-        part = spectral.preprocessed(x[256 * (end - 4) : 256 * (end + 1)], 256)
+        part = eeg.filtered(x.astype(np.float32).astype(float).reshape(1, 8, 256), 256, 60.0)[0, end - 4 : end + 1].ravel()
         assert got.eeg_tp9_sample_entropy[end * SECOND] == pytest.approx(spectral.sample_entropy(part)) and got.eeg_tp9_permutation_entropy[end * SECOND] == pytest.approx(spectral.permutation_entropy(part))
 
 
