@@ -139,9 +139,16 @@ def derive_records(responses: DataFrame, short: bool = False) -> DataFrame:
     )
 
 
+def field_value(value: object) -> str:
+    """A value that stays within its header line: control characters are percent-encoded, as a URI has them."""
+    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value)).strip()
+
+
 def write_warc(records: DataFrame, path: str) -> DataFrame:
     """Write derived records as gzipped WARC files (a member a record); returns the manifest (file, n_records).
 
+    Null and empty fields are left out, and no value can begin a line of its own (``field_value``).  The length is
+    that of the block as it is written.
     The response's HTTP header and block digest are kept as WARC-Source-HTTP-Header (a JSON string, so that it is one
     line) and WARC-Source-Block-Digest.
     """
@@ -158,12 +165,14 @@ def write_warc(records: DataFrame, path: str) -> DataFrame:
         with where.open_output_stream(name, compression=None) as out:  # by its name, Arrow would compress it once more
             for b in batches:
                 for row in b.to_pylist():
-                    head = "".join(f"{f}: {row[k]}\r\n" for f, k in zip(fields, names, strict=False) if row[k] is not None)
+                    block = (row["block"] or "").encode()
+                    values = {f: len(block) if k == "content_length" else field_value("" if row[k] is None else row[k]) for f, k in zip(fields, names, strict=False)}
+                    head = "".join(f"{f}: {v}\r\n" for f, v in values.items() if v != "")
                     if row.get("source_header"):
                         head += f"WARC-Source-HTTP-Header: {json.dumps(row['source_header'])}\r\n"
                     if row.get("source_block_digest"):
-                        head += f"WARC-Source-Block-Digest: {row['source_block_digest']}\r\n"
-                    out.write(gzip.compress(f"WARC/1.1\r\n{head}\r\n".encode() + row["block"].encode() + b"\r\n\r\n", mtime=0))
+                        head += f"WARC-Source-Block-Digest: {field_value(row['source_block_digest'])}\r\n"
+                    out.write(gzip.compress(f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n", mtime=0))
                     n += 1
         if n:
             yield pa.RecordBatch.from_pydict({"file": [name], "n_records": pa.array([n], pa.int64())})

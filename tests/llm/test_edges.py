@@ -341,6 +341,31 @@ def test_warc_keeps_headers_digests_and_bytes(spark, tmp_path, monkeypatch):
     assert [json.loads(x.split(": ", 1)[1]) for x in text.split("\r\n") if x.startswith("WARC-Source-HTTP-Header: ")].count("HTTP/1.1 200 OK\r\n\r\n") == 2
 
 
+def test_warc_fields_stay_in_their_lines(spark, tmp_path):
+    """A URL with line breaks can't forge a field; empty fields are left out; the file reads back as it was written."""
+    import gzip
+
+    bad = "http://a\r\nWARC-Type: response\r\nContent-Length: 3\x00"
+    pages = spark.createDataFrame([(1, bad, "<p>one</p>"), (2, None, "<a href='x'>two</a>"), (3, "http://b/\n\n<evil>", None)], "page_id long, url string, html string")
+    derived = warc.derive_records(warc.responses_of_pages(pages))
+    files = warc.write_warc(derived, f"file://{tmp_path}/out").collect()
+    heads = []
+    for f in files:
+        data = gzip.open(f.file.removeprefix("file://")).read()
+        while data:
+            head, rest = data.split(b"\r\n\r\n", 1)
+            fields = [line.split(b": ", 1) for line in head.split(b"\r\n")[1:]]
+            names = [k for k, _ in fields]
+            assert len(names) == len(set(names)) and all(v for _, v in fields)
+            heads.append(dict(fields))
+            n = int(dict(fields)[b"Content-Length"])
+            assert rest[n : n + 4] == b"\r\n\r\n"
+            data = rest[n + 4 :]
+    assert len(heads) == 6 and {h[b"WARC-Type"] for h in heads} == {b"metadata", b"conversion"}
+    assert sum(b"WARC-Target-URI" in h for h in heads) == 4
+    assert b"http://a%0D%0AWARC-Type: response%0D%0AContent-Length: 3%00" in {h.get(b"WARC-Target-URI") for h in heads}
+
+
 def test_warc_counts_damaged_records(spark, tmp_path):
     import gzip
 
