@@ -132,18 +132,23 @@ def back(df: DataFrame, totals: DataFrame, keys: list[str], how: str = "inner")
     return df.join(right, same, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def written(df: DataFrame, by: str | None = None) -> DataFrame:
-    """``df`` read back from the shared folder, in folders of the values of ``by``: what is read several times is planned and made once.
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    Where ``spark.checkpoint.dir`` is unset, a local session takes a temporary folder; on a cluster it is an error.
+    Where that is unset, a local session takes a temporary folder; on a cluster it is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{root.rstrip('/')}/windows/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{label}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` read back from the shared folder, in folders of the values of ``by``: what is read several times is planned and made once."""
+    spark = df.sparkSession
+    path = fresh_path(spark, "windows")
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 

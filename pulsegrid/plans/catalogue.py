@@ -1138,6 +1138,26 @@ def hourly_timeline(spark, sf_dir):
     )
 
 
+_DELAY = "(CAST(('0x' || substr(sha256('delay|' || event_id), 1, 13)) AS BIGINT) % 7200000) * 1000000"
+
+
+@query(f"""WITH {EV}, p AS (SELECT person_id, event_id AS packet_id, t AS time_ns, t + {_DELAY} AS arrival_ns FROM ev)
+    SELECT person_id, packet_id, time_ns, row_number() OVER (PARTITION BY person_id ORDER BY time_ns, packet_id) AS place,
+      coalesce(max(time_ns) OVER (PARTITION BY person_id ORDER BY arrival_ns, packet_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > time_ns, false) AS overtaken FROM p""")
+def reordered_packets(spark, sf_dir):
+    """Events that arrive up to two hours late, put back in order by a stateful stream."""
+    from pulsegrid.streaming import reorder
+
+    delay = F.conv(F.substring(F.sha2(F.concat(F.lit("delay|"), F.col("event_id").cast("string")), 256), 1, 13), 16, 10).cast("long") % 7_200_000 * 1_000_000
+    packets = series(spark, sf_dir).select("person_id", F.col("event_id").alias("packet_id"), F.col("t").alias("time_ns"), (F.col("t") + delay).alias("arrival_ns"))
+    path = windows.fresh_path(spark, "packets")
+    reorder.arrive(packets, f"{path}/in", "person_id", 6)
+    late = reorder.run(spark, f"{path}/in", packets.schema, f"{path}/out", "person_id", "3 hours")
+    if late:
+        raise RuntimeError(f"{late} packets came later than the watermark allows")
+    return spark.read.parquet(f"{path}/out").filter("packet_id >= 0")
+
+
 @query("SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, count(value) AS sample_count, round(avg(value), 6) AS value_mean FROM events GROUP BY 1, 2")
 def streaming_hourly(spark, sf_dir):
     """The streaming form of the hourly resampling, run here as a batch (a test runs it as a stream)."""
