@@ -151,13 +151,47 @@ def autocorrelation_peak(x: np.ndarray, rate: float, low: float = 0.5, high: flo
     return float(c[k]), rate / k
 
 
+def harmonic_sums(t: np.ndarray, y: np.ndarray, first: float, step: float, n: int) -> np.ndarray:
+    """sum of y exp(-2 pi i f t) at ``n`` frequencies f = first + k step.
+
+    Times of whole seconds lie on a grid, where a chirp transform gives all sums in two transforms of the length of
+    both together (jk = (j^2 + k^2 - (k - j)^2) / 2); other times are summed as they are.
+    """
+    if not np.array_equal(t, np.floor(t)):
+        return np.exp(-2j * np.pi * (first + step * np.arange(n))[:, None] * t[None, :]) @ y
+    at = (t - t.min()).astype(int)
+    grid = np.zeros(at.max() + 1, complex)
+    np.add.at(grid, at, y)
+    j = np.arange(max(len(grid), n), dtype=float)
+    chirp = np.exp(-1j * np.pi * np.mod(step * j * j, 2))
+    size = 1 << (len(grid) + n - 1).bit_length()
+    kernel = np.zeros(size, complex)
+    kernel[:n] = chirp[:n].conj()
+    kernel[size - len(grid) + 1 :] = chirp[1 : len(grid)].conj()[::-1]
+    tuned = grid * np.exp(-2j * np.pi * first * np.arange(len(grid))) * chirp[: len(grid)]
+    out = np.fft.ifft(np.fft.fft(tuned, size) * np.fft.fft(kernel))[:n] * chirp[:n]
+    return out * np.exp(-2j * np.pi * (first + step * np.arange(n)) * t.min())
+
+
+def lomb_scargle(t: np.ndarray, y: np.ndarray, first: float, step: float, n: int) -> np.ndarray:
+    """Power at ``n`` frequencies of values at uneven times, each with the time shift that makes its sine and cosine orthogonal.
+
+    A sinusoid has its variance at its frequency.
+    """
+    t = t - t[0]
+    values, twice = harmonic_sums(t, y - y.mean(), first, step, n), harmonic_sums(t, np.ones(len(t)), 2 * first, 2 * step, n)
+    size = np.abs(twice)
+    turned = values * np.exp(-0.5j * np.angle(twice))  # exp(i w tau), for tan(2 w tau) = sum of sines / sum of cosines at 2 w
+    cosines, sines = (len(t) + size) / 2, (len(t) - size) / 2
+    return (turned.real**2 / cosines + np.where(sines > 1e-9 * len(t), turned.imag**2 / np.maximum(sines, 1e-300), 0)) / len(t)
+
+
 def lomb_powers(times_s: np.ndarray, rr_ms: np.ndarray) -> tuple[float, float, float] | None:
     """VLF, LF and HF power (0.003-0.04, 0.04-0.15, 0.15-0.4 Hz) of unevenly spaced RR intervals."""
     if len(rr_ms) < 30 or times_s[-1] - times_s[0] < 240:
         return None
-    y, freq = rr_ms - rr_ms.mean(), np.arange(0.003, 0.4, 1 / (times_s[-1] - times_s[0]))
-    w = 2 * np.pi * freq[:, None] * times_s[None, :]
-    power = ((np.cos(w) @ y) ** 2 + (np.sin(w) @ y) ** 2) * 2 / len(y) ** 2
+    freq = np.arange(0.003, 0.4, 1 / (times_s[-1] - times_s[0]))
+    power = lomb_scargle(times_s, rr_ms, 0.003, 1 / (times_s[-1] - times_s[0]), len(freq))
     return tuple(float(power[(freq >= a) & (freq < b)].sum()) for a, b in ((0.003, 0.04), (0.04, 0.15), (0.15, 0.4)))
 
 

@@ -918,7 +918,9 @@ def personal_z_features(spark, sf_dir):
 
 @query(f"""WITH {TL}, w AS (SELECT person_id, s // 300 AS w, s, rr FROM tl WHERE rr IS NOT NULL), g AS (SELECT person_id, w, count(*) AS n, avg(rr) AS mu, max(s) - min(s) AS span FROM w GROUP BY 1, 2),
     f AS (SELECT *, 0.003 + j / span::DOUBLE AS hz FROM (SELECT *, unnest(range(0, CAST(ceil((0.4 - 0.003) / (1 / span::DOUBLE)) AS BIGINT))) AS j FROM g WHERE n >= 30 AND span >= 240)),
-    p AS (SELECT f.person_id, f.w, hz, (pow(sum((rr - mu) * cos(2 * pi() * hz * s)), 2) + pow(sum((rr - mu) * sin(2 * pi() * hz * s)), 2)) * 2 / pow(any_value(n), 2) AS power FROM f JOIN w ON w.person_id = f.person_id AND w.w = f.w GROUP BY 1, 2, 3),
+    tau AS (SELECT f.person_id, f.w, hz, any_value(mu) AS mu, any_value(n) AS n, atan2(sum(sin(4 * pi() * hz * s)), sum(cos(4 * pi() * hz * s))) / (4 * pi() * hz) AS tau FROM f JOIN w ON w.person_id = f.person_id AND w.w = f.w GROUP BY 1, 2, 3),
+    p AS (SELECT tau.person_id, tau.w, hz, (pow(sum((rr - mu) * cos(2 * pi() * hz * (s - tau))), 2) / sum(pow(cos(2 * pi() * hz * (s - tau)), 2))
+      + pow(sum((rr - mu) * sin(2 * pi() * hz * (s - tau))), 2) / sum(pow(sin(2 * pi() * hz * (s - tau)), 2))) / any_value(n) AS power FROM tau JOIN w ON w.person_id = tau.person_id AND w.w = tau.w GROUP BY 1, 2, 3),
     b AS (SELECT person_id, w, sum(power) FILTER (hz >= 0.003 AND hz < 0.04) AS vlf, sum(power) FILTER (hz >= 0.04 AND hz < 0.15) AS lf, sum(power) FILTER (hz >= 0.15 AND hz < 0.4) AS hf FROM p GROUP BY 1, 2)
     SELECT g.person_id, g.w * 300 + 299 AS s, round(vlf, 3) AS hrv_vlf_power, round(lf, 3) AS hrv_lf_power, round(hf, 3) AS hrv_hf_power, round(lf / hf, 5) AS hrv_lf_hf_ratio, round(vlf + lf + hf, 3) AS hrv_total_power
     FROM g LEFT JOIN b ON b.person_id = g.person_id AND b.w = g.w""")

@@ -477,6 +477,25 @@ def test_spectral_kernels():
     assert all(v is None for v in spectral.spectral_summary(np.zeros(3), 256).values())
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_lomb_scargle_equals_the_definition(whole):
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.choice(400, 150, replace=False)).astype(float) + 1e5
+    t = t if whole else t + rng.random(150) / 2
+    y = 800 + 30 * np.sin(2 * np.pi * 0.1 * t + 1) + rng.normal(size=150)
+    f = 0.003 + np.arange(90) / 300
+    expected = []
+    for w in 2 * np.pi * f:
+        tau = np.arctan2(np.sin(2 * w * t).sum(), np.cos(2 * w * t).sum()) / (2 * w)
+        c, s = np.cos(w * (t - tau)), np.sin(w * (t - tau))
+        x = y - y.mean()
+        expected.append(((x @ c) ** 2 / (c @ c) + (x @ s) ** 2 / (s @ s)) / len(t))
+    got = spectral.lomb_scargle(t, y, 0.003, 1 / 300, 90)
+    assert got == pytest.approx(np.array(expected), rel=1e-7, abs=1e-9)
+    tone = 30 * np.sin(2 * np.pi * 0.1 * t + 1)
+    assert spectral.lomb_scargle(t, tone, 0.1, 1.0, 1)[0] == pytest.approx(tone.var(), rel=0.02)  # all of what varies is at its frequency
+
+
 def test_kernels_on_native_streams(spark):
     c = cfg.builtin("golden")
     ev = truth.events(spark, c)
