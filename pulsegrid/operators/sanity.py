@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.splits import auc
@@ -121,15 +121,7 @@ def key_auc(df: DataFrame, key: str, label: str) -> DataFrame:
     per = df.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
     total = per.groupBy(key).agg(F.sum("n").alias("all"), F.sum(F.when(F.col(label), F.col("n")).otherwise(0)).alias("ones"))
     scored = back(per, total, [key]).filter("`all` > 1").select((F.col("ones") / F.col("all")).alias("p"), F.col(label).alias("y"), "n")
-    return weighted_auc(scored, "p", "y", "n")
-
-
-def weighted_auc(df: DataFrame, score: str, label: str, weight: str) -> DataFrame:
-    """AUC over few rows that stand for many: a row for each key, so one ordered pass will do."""
-    per = df.groupBy(score).agg(F.sum(F.when(F.col(label), F.col(weight)).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label), 0).otherwise(F.col(weight))).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
-    return per.withColumn("below", below).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
+    return auc(scored, "p", "y", weight="n")
 
 
 def key_entropy(df: DataFrame, key: str, label: str) -> DataFrame:

@@ -73,13 +73,13 @@ def artifact_stress(labels: DataFrame, keys: list[str], share: float = 0.25) ->
     return per.crossJoin(F.broadcast(limit)).select(*keys, "artifact_share", (F.col("artifact_share") >= F.col("_limit")).alias("stress"))
 
 
-def auc(df: DataFrame, score: str, label: str, groups: list[str] | None = None) -> DataFrame:
-    """Rank-sum AUC with ties at half; null scores and one-sided groups give null.
+def auc(df: DataFrame, score: str, label: str, groups: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Rank-sum AUC with ties at half; null scores and one-sided groups give null.  A row stands for ``weight`` rows.
 
     Scores are counted before they are ordered, and running totals go over distinct scores by ranges, in each group.
     """
-    groups = groups or []
-    counted = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*groups, score).agg(F.sum(F.when(F.col(label), 1).otherwise(0)).alias("_pos"), F.sum(F.when(F.col(label), 0).otherwise(1)).alias("_neg"))
+    groups, one = groups or [], F.col(weight) if weight else F.lit(1)
+    counted = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*groups, score).agg(F.sum(F.when(F.col(label), one).otherwise(0)).alias("_pos"), F.sum(F.when(F.col(label), 0).otherwise(one)).alias("_neg"))
     part = in_ranges(counted, groups, score)
     below = Window.partitionBy(*groups, "_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     local = part.withColumn("_local", F.coalesce(F.sum("_neg").over(below), F.lit(0)))

@@ -1066,6 +1066,18 @@ def logical_hash(spark, sf_dir):
     return series(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("content_hash"))
 
 
+_WORDS = ", ".join(f"sum(CAST(('0x' || substr(h, {1 + 8 * k}, 8)) AS BIGINT)) AS w{k}" for k in range(4))
+
+
+@query(f"""WITH h AS (SELECT event_type, sha256('{{"event_id":' || event_id || ',"user_id":' || user_id || '}}') AS h FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_type = 'error')),
+    s AS (SELECT event_type, count(*) AS rows, {_WORDS} FROM h GROUP BY 1), c3 AS (SELECT *, w3 // 4294967296 + w2 AS v2 FROM s), c2 AS (SELECT *, v2 // 4294967296 + w1 AS v1 FROM c3), c1 AS (SELECT *, v1 // 4294967296 + w0 AS v0 FROM c2)
+    SELECT event_type, rows, {" || ".join(f"format('{{:08x}}', CAST({v} % 4294967296 AS BIGINT))" for v in ("v0", "v1", "v2", "w3"))} AS hash FROM c1""")
+def content_hashes(spark, sf_dir):
+    """Hash of each type's rows as a multiset; errors are there twice."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return tables.partition_hashes(e.unionByName(e.filter("event_type = 'error'")), ["event_type"], ["event_id", "user_id"])
+
+
 @query("""SELECT user_id AS person_id, count(*) AS rows_a, count(*) AS rows_b FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error' AND value > 90) > 0""")
 def differing_partitions(spark, sf_dir):
     """Persons whose rows differ between two runs, told by hashes of their rows; one run has a few changed values."""
