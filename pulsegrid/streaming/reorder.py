@@ -1,8 +1,8 @@
 """Packets put back in order of their device's time, as a stateful streaming query.
 
 A device's packets wait in its state until the watermark has passed their time, and leave in order, each with its place
-among all of the device's.  State is bounded by what a device sends within the watermark's delay; timers are set for
-whole steps of time, so a device costs one timer a step and not one a packet.  Packets later than the watermark are
+among all of the device's.  State is bounded by what a device sends within the watermark's delay and a batch; a device
+costs one timer a batch, behind the last of its new packets, and not one a packet.  Packets later than the watermark are
 dropped by Spark and counted (``run``).
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-#: Milliseconds between the times at which a device's waiting packets are looked at.
+#: Timers are set at multiples of so many milliseconds.
 STEP_MS = 600_000
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,8 +41,7 @@ class Reorder(StatefulProcessor):
         before = new["time_ns"].cummax().shift(1, fill_value=latest).clip(lower=latest)
         self.waiting.appendList([(int(p), int(t), bool(b > t)) for p, t, b in zip(new["packet_id"], new["time_ns"], before, strict=True)])
         self.told.update((place, max(latest, int(new["time_ns"].max()))))
-        for step in sorted({int(t) // 1_000_000 // STEP_MS + 1 for t in new["time_ns"]}):
-            self.handle.registerTimer(step * STEP_MS)
+        self.handle.registerTimer((int(new["time_ns"].max()) // 1_000_000 // STEP_MS + 1) * STEP_MS)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
