@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import arrays, curves, seeds, spectral
 from pulsegrid.functions.timecols import DAY, HOUR, SECOND, floor_div, ns_of_ntz
-from pulsegrid.operators import devices, features, intervals, labels, matching, sanity, splits, truth, validation, windows
+from pulsegrid.operators import decayed, devices, features, intervals, labels, matching, sanity, splits, truth, validation, windows
 from pulsegrid.operators.sliding import Frames
 from pulsegrid.plans import run
 from pulsegrid.sources import config as cfg
@@ -1291,6 +1291,22 @@ def exponential_baseline(spark, sf_dir):
     return out.select("event_id", r(F.col("ew_median")).alias("ew_median"), r(F.col("ew_mad")).alias("ew_mad"))
 
 
+def _least_half(rows: str, c: str) -> str:
+    """Per event: the least cell up to which half of the weight lies, less what sums are off by."""
+    return f"""SELECT id, min({c}) AS m FROM (SELECT id, {c}, sum(w) OVER (PARTITION BY id ORDER BY {c}) AS upto, sum(w) OVER (PARTITION BY id) AS whole
+        FROM (SELECT id, {c}, sum(w) AS w FROM {rows} GROUP BY 1, 2)) WHERE upto >= whole * {decayed.HALF!r} GROUP BY id"""
+
+
+@query(f"""WITH {EV}, p AS (SELECT a.event_id AS id, CAST(floor(b.value / 0.5 + 0.5) AS BIGINT) AS c, pow(2.0, (b.t - a.t) / {float(3 * DAY)}) AS w
+      FROM ev a JOIN ev b ON a.person_id = b.person_id AND b.t < a.t WHERE b.value IS NOT NULL),
+    m AS ({_least_half('p', 'c')}), q AS (SELECT p.id, abs(c - m) AS g, w FROM p JOIN m ON m.id = p.id), d AS ({_least_half('q', 'g')})
+    SELECT event_id, round(m.m * 0.5, 6) AS ew_median, round(d.m * 0.5, 6) AS ew_mad FROM ev LEFT JOIN m ON m.id = event_id LEFT JOIN d ON d.id = event_id""")
+def decayed_baseline(spark, sf_dir):
+    """Decayed median and MAD of all earlier values, from merged sketches with cells of half a unit."""
+    out = decayed.decayed_median_mad(series(spark, sf_dir).select("event_id", "person_id", "t", "value"), ["person_id"], "t", "value", 3 * DAY, 0.5, BLOCK)
+    return out.select("event_id", r(F.col("ew_median")).alias("ew_median"), r(F.col("ew_mad")).alias("ew_mad"))
+
+
 @query(f"""WITH d AS (SELECT user_id AS person_id, avg(CASE WHEN value > 75 THEN 1.0 ELSE 0.0 END) AS a FROM events GROUP BY 1), q AS (SELECT quantile_cont(a, 0.75) AS lim FROM d)
     SELECT person_id, round(a, 6) AS artifact_share, a >= lim AS stress FROM d, q""")
 def artifact_stress_split(spark, sf_dir):
