@@ -15,7 +15,7 @@ from pulsegrid.functions import arrays, curves, seeds, spectral
 from pulsegrid.functions.timecols import DAY, HOUR, SECOND, floor_div, ns_of_ntz
 from pulsegrid.operators import decayed, devices, features, intervals, labels, matching, sanity, splits, truth, validation, windows
 from pulsegrid.operators.sliding import Frames
-from pulsegrid.plans import run
+from pulsegrid.plans import derived, run
 from pulsegrid.sources import config as cfg
 from pulsegrid.sources import tables
 
@@ -1291,6 +1291,33 @@ def exponential_baseline(spark, sf_dir):
     return out.select("event_id", r(F.col("ew_median")).alias("ew_median"), r(F.col("ew_mad")).alias("ew_mad"))
 
 
+CHANGED = "event_type = 'error' AND value > 90 AND person_id % 4 = 1 AND {0} % 10 = 3"
+
+
+@query(f"""WITH {EV}, e AS (SELECT event_id, person_id, t, t // {D} AS day, person_id % 4 AS shard, CASE WHEN {CHANGED.format(f't // {D}')} THEN value + 1 ELSE value END AS value FROM ev),
+    c AS (SELECT DISTINCT person_id % 4 AS shard, t // {D} AS day FROM ev WHERE {CHANGED.format(f't // {D}')}),
+    reached AS (SELECT DISTINCT shard, day + k AS day FROM c, (SELECT unnest([0, 1, 2]) AS k))
+    SELECT e.event_id, CAST(e.shard AS INTEGER) AS shard, e.day, count(e.value) OVER w AS n, round(avg(e.value) OVER w, 6) AS mean, reached.day IS NOT NULL AS remade
+    FROM e LEFT JOIN reached ON reached.shard = e.shard AND reached.day = e.day WINDOW w AS (PARTITION BY person_id ORDER BY t RANGE BETWEEN {48 * H - 1} PRECEDING AND CURRENT ROW)""")
+def incremental_update(spark, sf_dir):
+    """A derived table of two-day means made once, and brought up to a source of which some days have changed."""
+    day = floor_div(F.col("t"), D)
+    s = series(spark, sf_dir).withColumns({"day": day, "shard": F.expr("CAST(person_id % 4 AS INT)")})
+    before = s.select("event_id", "person_id", "t", "value", "shard", "day")
+    now = s.withColumn("value", F.when(F.expr(CHANGED.format("day")), F.col("value") + 1).otherwise(F.col("value"))).select(before.columns)
+    home = windows.fresh_path(spark, "derived")
+
+    def make(df):
+        v = F.col("value")
+        out = windows.trailing(df, ["person_id"], "t", 48 * H, {"n": lambda w: F.count(v).over(w), "mean": lambda w: F.avg(v).over(w)}, BLOCK)
+        return out.select("event_id", "n", "mean", "shard", "day")
+
+    derived.update(before, make, home, "two_day_means", ["shard"], "day", 2)
+    remade = derived.update(now, make, home, "two_day_means", ["shard"], "day", 2).withColumn("remade", F.lit(True))
+    out = spark.read.parquet(f"{home}/two_day_means").withColumn("day", F.col("day").cast("long")).join(tables.broadcast_if_small(remade, 100_000), ["shard", "day"], "left")
+    return out.select("event_id", "shard", "day", "n", r(F.col("mean")).alias("mean"), F.coalesce("remade", F.lit(False)).alias("remade"))
+
+
 def _least_half(rows: str, c: str) -> str:
     """Per event: the least cell up to which half of the weight lies, less what sums are off by."""
     return f"""SELECT id, min({c}) AS m FROM (SELECT id, {c}, sum(w) OVER (PARTITION BY id ORDER BY {c}) AS upto, sum(w) OVER (PARTITION BY id) AS whole

@@ -123,9 +123,8 @@ def content_hash(df: DataFrame, columns: list[str] | None = None) -> dict[str, i
     return {"rows": r["rows"], "hash": r["hash"]}
 
 
-def differing_partitions(a: DataFrame, b: DataFrame, parts: list[str]) -> DataFrame:
-    """(parts, rows_a, rows_b): partitions whose multisets of rows differ between two tables; 0 rows where one lacks it."""
-    one, two = partition_hashes(a, parts, a.columns), partition_hashes(b, parts, a.columns)
+def differing_hashes(one: DataFrame, two: DataFrame, parts: list[str]) -> DataFrame:
+    """(parts, rows_a, rows_b): where two results of ``partition_hashes`` differ; 0 rows where one lacks the partition."""
     same = F.lit(True)
     for p in parts:
         same &= F.col(f"a.{p}").eqNullSafe(F.col(f"b.{p}"))
@@ -135,6 +134,11 @@ def differing_partitions(a: DataFrame, b: DataFrame, parts: list[str]) -> DataFr
     return both.filter(apart).select(*[F.coalesce(F.col(f"a.{p}"), F.col(f"b.{p}")).alias(p) for p in parts], count("a").alias("rows_a"), count("b").alias("rows_b"))
 
 
+def differing_partitions(a: DataFrame, b: DataFrame, parts: list[str]) -> DataFrame:
+    """(parts, rows_a, rows_b): partitions whose multisets of rows differ between two tables."""
+    return differing_hashes(partition_hashes(a, parts, a.columns), partition_hashes(b, parts, a.columns), parts)
+
+
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
