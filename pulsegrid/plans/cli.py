@@ -24,6 +24,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
     p.add_argument("--truth-only", action="store_true")
     p.add_argument("--scope", choices=["all", "truth"], default="all")
     p.add_argument("--overwrite", action="store_true")
+    p.add_argument("--changed", action="store_true", help="features: make again what changes of the stored timeline reach")
     a = p.parse_args(args)
     if a.command == "json-schema":
         print(json.dumps(cfg.json_schema(), indent=1))
@@ -44,7 +45,10 @@ def main(args: list[str] | None = None, spark=None) -> int:
             run.generate(spark, config, a.output, a.truth_only, source)
             found = run.validate(spark, config, home, "truth" if a.truth_only else "all")
         elif a.command == "features":
-            run.write_features(spark, config, home, a.overwrite)
+            if a.changed:
+                print(json.dumps(run.update_features(spark, config, home)))
+            else:
+                run.write_features(spark, config, home, a.overwrite)
             return 0
         else:
             found = run.validate(spark, config, home, a.scope)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.timecols import DAY, HOUR, SECOND, floor_div
+from pulsegrid.functions.timecols import DAY, HOUR, SECOND, date_of_ns, floor_div
 from pulsegrid.operators import devices, eeg, features, labels, sanity, splits, truth, validation, windows
+from pulsegrid.plans import derived
 from pulsegrid.sources import tables
 from pulsegrid.sources.config import RunConfig, config_hash, estimate, guard, resolved, run_id, source_files
 
@@ -106,20 +108,82 @@ def baseline_features(timeline: DataFrame, config: RunConfig) -> DataFrame:
     return features.with_deviation(out.select(*KEYS, T, *names, "baseline_age_sec", "baseline_sample_count", "baseline_confidence"), list(features.Z_FEATURES))
 
 
+def timeline_makers(config: RunConfig) -> dict[str, tuple[Callable[[DataFrame], DataFrame], int | None]]:
+    """Feature tables made from the timeline beside those of windows: how, and how many days back a row looks (None: without bound)."""
+    f, mains, length = config.features, config.artifacts.line_noise_hz, config.run.duration_sec
+    days = lambda seconds: -(-seconds // 86_400)
+    out = {
+        "features_eeg_5s": (lambda t: features.eeg_features(t, 5, stride=1, mains=mains), None),  # filters carry their state
+        "features_eeg_pairs": (lambda t: eeg.pair_tables(t, tuple(w for w in f.windows_sec if w > 5), mains=mains), None),
+    }
+    if length >= features.SHORTEST["hrv_frequency"]:
+        out["features_hrv_300s"] = (lambda t: features.hrv_kernels(slim(t), 300, 1), days(300))
+    for w in f.windows_sec:
+        if features.SHORTEST["hrv_nonlinear"] <= w <= length:
+            out[f"features_rr_entropy_{w}s"] = (lambda t, w=w: features.rr_entropy(slim(t), w, 1), days(w))
+    return out | {"features_baseline": (lambda t: baseline_features(t, config), None), "features_temperature": (lambda t: features.latest_temperature(t), None)}
+
+
+def of_window(every: DataFrame, w: int) -> DataFrame:
+    """The table of one window out of those of all windows."""
+    return every.filter(F.col("feature_window_sec") == w).select(*KEYS, T, "feature_window_sec", "feature_valid", *features.names_of(w))
+
+
 def feature_tables(spark: SparkSession, config: RunConfig, home: str) -> dict[str, DataFrame]:
     """Every feature table of a run, over its stored timeline and clips."""
     timeline = tables.read_table(spark, home, "timeline_1hz")
     light, f = slim(timeline), config.features
     every = windows.written(features.window_tables(light, tuple(f.windows_sec), f.minimum_coverage), "feature_window_sec") if len(f.windows_sec) > 1 else features.window_features(light, f.windows_sec[0], f.minimum_coverage)
-    out = {f"features_{w}s": every.filter(F.col("feature_window_sec") == w).select(*KEYS, T, "feature_window_sec", "feature_valid", *features.names_of(w)) for w in f.windows_sec}
-    out["features_eeg_5s"] = features.eeg_features(timeline, 5, stride=1, mains=config.artifacts.line_noise_hz)
-    out["features_eeg_pairs"] = eeg.pair_tables(timeline, tuple(w for w in f.windows_sec if w > 5), mains=config.artifacts.line_noise_hz)
-    if config.run.duration_sec >= features.SHORTEST["hrv_frequency"]:
-        out["features_hrv_300s"] = features.hrv_kernels(light, 300, 1)
-    out |= {f"features_rr_entropy_{w}s": features.rr_entropy(light, w, 1) for w in f.windows_sec if features.SHORTEST["hrv_nonlinear"] <= w <= config.run.duration_sec}
-    out["features_baseline"] = baseline_features(timeline, config)
-    out["features_temperature"] = features.latest_temperature(timeline)
-    return out | clip_features(tables.read_table(spark, home, "native"))
+    out = {f"features_{w}s": of_window(every, w) for w in f.windows_sec}
+    out |= {name: make(timeline) for name, (make, _) in timeline_makers(config).items()}
+    return out | clip_features(devices.on_grid(tables.read_table(spark, home, "native")))
+
+
+def dated(df: DataFrame, t: str = T) -> DataFrame:
+    return df if "date_utc" in df.columns else df.withColumn("date_utc", date_of_ns(F.col(t)))
+
+
+def source_changes(spark: SparkSession, config: RunConfig, home: str) -> dict[str, tuple[DataFrame, derived.Change, str]]:
+    """What the derived layer is made from: each source, its changes since the layer was last made, and where that is remembered."""
+    out = {}
+    for name, df in (("timeline_1hz", tables.read_table(spark, home, "timeline_1hz")), ("native", dated(devices.on_grid(tables.read_table(spark, home, "native")), "second_ns"))):
+        state = f"{home}/provenance/state/{name}"
+        out[name] = df, derived.find_changes(df, state, ["person_id"], "date_utc", config_hash(config)), state
+    return out
+
+
+def update_features(spark: SparkSession, config: RunConfig, home: str) -> dict[str, int]:
+    """Bring the derived layer up to the stored timeline and clips; returns how many days of a person were made again, by table.
+
+    Only days that a change reaches are made (``derived``).  Window features hold the time since a response, however
+    long ago it was, so they are made again from the first changed day of a person on.
+    """
+    f, sources, out, held = config.features, source_changes(spark, config, home), {}, {}
+
+    def every(t: DataFrame) -> DataFrame:
+        """All windows in one pass, made once of the whole timeline and once of what changes reach."""
+        whole = t is sources["timeline_1hz"][0]
+        if whole not in held:
+            held[whole] = windows.written(features.window_tables(slim(t), tuple(f.windows_sec), f.minimum_coverage), "feature_window_sec")
+        return held[whole]
+
+    makers = {f"features_{w}s": (lambda t, w=w: of_window(every(t), w), None) for w in f.windows_sec} | timeline_makers(config)
+    clips = {name: (lambda n, name=name: clip_features(n)[name], None) for name in clip_features(sources["native"][0])}
+    for source, made in (("timeline_1hz", makers), ("native", clips)):
+        df, change, state = sources[source]
+        for table, (make, reach) in made.items():
+            put = lambda rows, table=table: tables.write_table(rows, home, table)
+            out[table] = derived.remake(df, change, lambda s, make=make: dated(make(s)), reach, put, tables.table_path(home, table)).count()
+    if out["features_baseline"]:
+        write_onset_orders(spark, home)
+    for _, change, state in sources.values():
+        derived.commit(change, state)
+    return out
+
+
+def write_onset_orders(spark: SparkSession, home: str) -> None:
+    far = features.deviation(tables.read_table(spark, home, "features_baseline"), list(features.Z_FEATURES))
+    tables.write_table(features.event_onset_orders(far, tables.read_table(spark, home, "events"), list(features.Z_FEATURES)), home, "event_onset_orders")
 
 
 def write_features(spark: SparkSession, config: RunConfig, home: str, overwrite: bool = True) -> list[str]:
@@ -129,15 +193,16 @@ def write_features(spark: SparkSession, config: RunConfig, home: str, overwrite:
         if overwrite or not tables.exists(spark, home, name):
             tables.write_table(df, home, name)
     names = list(made)
+    if overwrite:
+        for _, change, state in source_changes(spark, config, home).values():
+            derived.commit(change, state)
     if overwrite or not tables.exists(spark, home, "event_onset_orders"):
-        far = features.deviation(tables.read_table(spark, home, "features_baseline"), list(features.Z_FEATURES))
-        tables.write_table(features.event_onset_orders(far, tables.read_table(spark, home, "events"), list(features.Z_FEATURES)), home, "event_onset_orders")
+        write_onset_orders(spark, home)
     return [*names, "event_onset_orders"]
 
 
-def clip_features(native: DataFrame) -> dict[str, DataFrame]:
-    """Features that need native rates, over the seconds that clips hold; a second of several clips is taken from one."""
-    rows = devices.on_grid(native)
+def clip_features(rows: DataFrame) -> dict[str, DataFrame]:
+    """Features that need native rates, over the seconds of the grid that clips hold; a second of several clips is taken from one."""
     one = rows.groupBy(*KEYS, "second_ns").agg(F.min("clip_id").alias("clip_id"))
     rows = rows.join(one, [*KEYS, "second_ns", "clip_id"])
     return {

@@ -40,13 +40,9 @@ def files(home):
 START = [(p, t, float(t % 7) if t % 60 else None) for p in ("a", "b") for t in range(0, 1000, 20)]
 CASES = {
     "a value of one row": [(p, t, v + 1 if (p, t) == ("a", 340) else v) for p, t, v in START],
-    "repeated rows": START + [("b", 520, 1.0)] * 2,
-    "a unit is gone": [r for r in START if not (r[0] == "a" and 300 <= r[1] < 400)],
-    "the last unit is gone": [r for r in START if r[1] < 900],
-    "a new unit and a new person": START + [("a", 1010, 2.0), ("c", 15, 3.0)],
-    "a person is gone": [r for r in START if r[0] == "a"],
+    "repeated rows, a unit gone, the last unit gone": [r for r in START if not (r[0] == "a" and (300 <= r[1] < 400 or r[1] >= 900))] + [("b", 520, 1.0)] * 2,
+    "a new unit, a new person, a person gone": [r for r in START if r[0] == "a"] + [("a", 1010, 2.0), ("c", 15, 3.0)],
     "all is gone": [],
-    "nothing": START,
 }
 
 
@@ -65,12 +61,12 @@ def test_equals_a_full_run(spark, tmp_path, case, reach):
         assert files(home) == {}
     kept = {f: m for f, m in before.items() if not any(f"/p={p}/u={u}/" in f for p, u in remade)}
     assert kept.items() <= files(home).items()  # the very files
-    changed = {(p, t // UNIT) for p, t, v in set(START) ^ set(CASES[case])} | ({("b", 5)} if case == "repeated rows" else set())
+    changed = {(p, t // UNIT) for p, t, v in set(START) ^ set(CASES[case])} | ({("b", 5)} if "repeated" in case else set())
     there = {(p, t // UNIT) for p, t, _ in START + CASES[case]}
     after = {(p, u) for p, u in there for q, c in changed if p == q and c <= u and (reach is None or u - c <= reach)}
     assert remade == after
-    again = derived.update(now, make, home, "x", ["p"], "u", reach)
-    assert again.isEmpty()
+    if case == "a value of one row":
+        assert derived.update(now, make, home, "x", ["p"], "u", reach).isEmpty()  # nothing has changed since
 
 
 def test_another_version_or_a_lost_table_makes_all(spark, tmp_path):

@@ -517,7 +517,7 @@ def test_kernels_on_native_streams(spark):
 def test_a_run_calls_every_feature_operator():
     import inspect
 
-    called = "".join(map(inspect.getsource, (run.feature_tables, run.write_features, run.clip_features, run.baseline_features)))
+    called = "".join(map(inspect.getsource, (run.feature_tables, run.timeline_makers, run.write_features, run.write_onset_orders, run.clip_features, run.baseline_features)))
     assert all(f"features.{n}(" in called for n in ("hrv_kernels", "rr_entropy", "motion_spectra", "repetition", "pulse_transit", "latest_temperature", "deviation", "event_onset_orders"))
 
 
@@ -674,3 +674,5 @@ def test_golden_run_end_to_end(spark, tmp_path, capsys):
     assert cli.main(["features", "--config", "golden", "--output", str(tmp_path)], spark) == 0  # nothing is missing, so nothing is written
     assert os.path.getmtime(f"{home}/model_ready/features_5s") == before
     assert tables.read_table(spark, home, "evaluations").count() == 1
+    # nothing has changed since the layer was made, so an update makes nothing
+    assert set(run.update_features(spark, c, home).values()) == {0} and os.path.getmtime(f"{home}/model_ready/features_5s") == before
