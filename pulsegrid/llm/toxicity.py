@@ -10,6 +10,11 @@ chance.  Significant segments are added up.  Beside them stands weak evidence, t
 each shrunk by its own uncertainty and held in a hashed table of fixed size: it ranks texts without a segment, as
 with few labels most are.  A logistic curve over these gives the score.
 
+The curve is cross-fitted: the labelled texts are dealt to ``FOLDS`` folds by hash, and each is seen by a model of the
+words of the other folds, so that all of them serve the curve and none is judged by words learnt from itself.  The same
+rows choose the least |z| of a kept word (the one of ``LEVELS`` whose curve fits best) and the cut: the curve is shifted
+so that a half is the cut of highest Matthews correlation.  Rows outside the fit take no part in any of these choices.
+
 The model is fitted on a sample of labelled rows, bounded by ``SAMPLE_ROWS`` and taken by hash of the id; copies of
 one text count once.  Words that keep a score are words of that sample.  All else covers every row.
 
@@ -35,8 +40,10 @@ from pulsegrid.llm.common import ascii_lower, materialise, prepare, text_of
 
 #: Most labelled rows of the fit (12 bytes each when broadcast).
 SAMPLE_ROWS = 60_000
-#: Strength of the prior in words, least |z| of a kept word, loss of a word without score, expected chance segments.
-PRIOR_WORDS, LEAST_Z, LOSS, SIGNIFICANT = 2_000.0, 4.0, 0.05, 0.1
+#: Strength of the prior in words, loss of a word without score, expected chance segments.
+PRIOR_WORDS, LOSS, SIGNIFICANT = 2_000.0, 0.05, 0.1
+#: Folds of the cross-fit, and what the least |z| of a kept word is chosen from.
+FOLDS, LEVELS = 5, (3.0, 3.5, 4.0)
 #: Cells of the table of weak evidence, and the |z| at which log-odds are halved there.
 WEAK_CELLS, WEAK_Z = 1 << 16, 3.0
 #: Letters of a stem, and how many words a worker remembers the scores of.
@@ -57,6 +64,15 @@ class ToxicityModel:
     weak: tuple[float, ...] = (0.0,)  # by CRC-32 of a word, modulo the number of cells
 
 
+def word_score(text: str, scores: dict[str, float]) -> float | None:
+    """The score of a word: its own, else that of its longest kept stem."""
+    found = scores.get(text)
+    if found is None:
+        stems = (scores.get(f"{text[:n]}*") for n in range(min(STEMS[1], len(text) - 1), STEMS[0] - 1, -1))
+        found = next((x for x in stems if x is not None), None)
+    return found
+
+
 class WordScores(dict):
     """Scores of words in UTF-8, None where there is none; looked up once and remembered within a bound."""
 
@@ -65,11 +81,24 @@ class WordScores(dict):
         self.scores = scores
 
     def __missing__(self, word: bytes) -> float | None:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = found = word_score(word.decode(), self.scores)
+        return found
+
+
+class JointScores(dict):
+    """Scores of words in UTF-8 under several models, None where no model has one; remembered within a bound."""
+
+    def __init__(self, models: list[dict[str, float]]) -> None:
+        super().__init__()
+        self.models = models
+
+    def __missing__(self, word: bytes) -> tuple[float | None, ...] | None:
         text = word.decode()
-        found = self.scores.get(text)
-        if found is None:
-            stems = (self.scores.get(f"{text[:n]}*") for n in range(min(STEMS[1], len(text) - 1), STEMS[0] - 1, -1))
-            found = next((x for x in stems if x is not None), None)
+        found = tuple(word_score(text, m) for m in self.models)
+        if all(x is None for x in found):
+            found = None
         if len(self) >= MEMO_WORDS:
             self.clear()
         self[word] = found
@@ -123,14 +152,25 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_LETTERS).split()
 
 
+def segments_at(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
+    """Maximal scoring segments of a text whose scored words are ``hits`` (position, score)."""
+    return maximal_segments([i for i, _ in hits], [x for _, x in hits], LOSS) if hits else []
+
+
+def mean_weak(all_words: list[bytes], weak: WeakScores) -> float:
+    return sum(map(weak.__getitem__, all_words)) / len(all_words) if all_words else 0.0
+
+
+def with_chance(segments: list[tuple[int, int, float]], n: int, model: ToxicityModel) -> list[tuple[int, int, float, float]]:
+    """Segments of a text of ``n`` words with the number that chance would give."""
+    return [(a, b, s, model.size * n * math.exp(-model.decay * s)) for a, b, s in segments]
+
+
 def text_segments(text: str, model: ToxicityModel, scores: WordScores, weak: WeakScores) -> tuple[int, list[tuple[int, int, float, float]], float]:
     """Number of words, the segments with the number expected by chance, and the mean weak evidence."""
     all_words = words(text)
-    n = len(all_words)
-    hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, all_words)) if s is not None]
-    mean = sum(map(weak.__getitem__, all_words)) / n if n else 0.0
-    segments = maximal_segments([i for i, _ in hits], [s for _, s in hits], LOSS) if hits else []
-    return n, [(a, b, s, model.size * n * math.exp(-model.decay * s)) for a, b, s in segments], mean
+    found = segments_at([(i, s) for i, s in enumerate(map(scores.__getitem__, all_words)) if s is not None])
+    return len(all_words), with_chance(found, len(all_words), model), mean_weak(all_words, weak)
 
 
 def features(n_words: int, segments: list[tuple[int, int, float, float]], weak: float) -> list[float]:
@@ -158,42 +198,86 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
     return tuple(w)
 
 
+def best_cut(logits: np.ndarray, y: np.ndarray) -> float:
+    """The logit that parts the classes with the highest Matthews correlation, of equal ones that nearest to 0; 0 where none parts them."""
+    order = np.argsort(-logits, kind="stable")
+    found, hits = logits[order], np.cumsum(y[order])
+    n, ones = len(y), y.sum()
+    above = np.arange(1, n + 1)[:-1]
+    hits, gap = hits[:-1], found[:-1] - found[1:]
+    spread = above * (n - above) * ones * (n - ones)
+    parts = np.where(gap > 1e-9, (hits * n - above * ones) / np.sqrt(np.maximum(spread, 1)), -1.0)
+    if not len(parts) or parts.max() <= 0:
+        return 0.0
+    cuts = ((found[:-1] + found[1:]) / 2)[parts >= parts.max() - 1e-9]
+    return float(cuts[np.argmin(np.abs(cuts))])
+
+
+def curve_of(by_level: list[np.ndarray], y: np.ndarray) -> tuple[int, tuple[float, ...]]:
+    """Which level's curve fits cross-fitted rows best (of equal ones the highest), and that curve, cut at a half."""
+    curves = [fit_curve(x, y) for x in by_level]
+    logits = [np.clip(x @ np.array(w), -35, 35) for x, w in zip(by_level, curves, strict=True)]
+    losses = [float(np.logaddexp(0, z).sum() - y @ z) for z in logits]
+    level = max(k for k, loss in enumerate(losses) if loss <= min(losses) + 1e-6)
+    first, *rest = curves[level]
+    return level, (first - best_cut(logits[level], y), *rest)
+
+
+#: Counts of a word: toxic and clean texts that hold it, and its occurrences in clean ones.
+COUNTED = ("t", "c", "n")
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, t, c, n): toxic and clean texts with each word, and its occurrences in clean ones, over rows (text, toxic 0/1)."""
+    """(word, and t, c, n of each fold as t0, c0, n0, t1, ...) over rows (text, toxic 0/1, fold)."""
     split = F.array_remove(F.split(ascii_lower(F.col("text")), NOT_LETTERS), "")
     zero, one, toxic = F.lit(0).cast("long"), F.lit(1).cast("long"), F.col("toxic").cast("long")
     # each word once a text, and beside that all occurrences in clean texts: both are counted before anything moves
-    once = texts.select(toxic.alias("toxic"), F.explode(F.array_distinct(split)).alias("word")).select("word", F.col("toxic").alias("t"), (one - F.col("toxic")).alias("c"), zero.alias("n"))
-    each = texts.filter("toxic = 0").select(F.explode(split).alias("word")).select("word", zero.alias("t"), zero.alias("c"), one.alias("n"))
-    return once.unionByName(each).groupBy("word").agg(*[F.sum(x).cast("double").alias(x) for x in ("t", "c", "n")])
+    once = texts.select("fold", toxic.alias("toxic"), F.explode(F.array_distinct(split)).alias("word")).select("fold", "word", F.col("toxic").alias("t"), (one - F.col("toxic")).alias("c"), zero.alias("n"))
+    each = texts.filter("toxic = 0").select("fold", F.explode(split).alias("word")).select("fold", "word", zero.alias("t"), zero.alias("c"), one.alias("n"))
+    counted = once.unionByName(each).groupBy("word", "fold").agg(*[F.sum(x).cast("double").alias(x) for x in COUNTED])
+    of = lambda x, f: F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(x))), F.lit(0.0)).alias(f"{x}{f}")
+    return counted.groupBy("word").agg(*[of(x, f) for f in range(FOLDS) for x in COUNTED])
+
 
+def left_out(counts: DataFrame, key: str, totals: dict[str, list[float]]) -> DataFrame:
+    """(model, key, t, c, n, of_t, of_c): model f < FOLDS leaves fold f out, model FOLDS none; of_ are the model's totals."""
 
-def with_odds(units: DataFrame, n_t: float, n_c: float) -> DataFrame:
-    """``units`` (t, c) with log_odds and z under the Dirichlet prior, out of ``n_t`` and ``n_c`` words counted."""
-    prior = F.lit(PRIOR_WORDS) * (F.col("t") + F.col("c")) / F.lit(max(n_t + n_c, 1.0))
+    def counted(x: str, model: int) -> Column:
+        return sum((F.col(f"{x}{f}") for f in range(FOLDS) if f != model), F.lit(0.0))
 
-    def log_odds(k: Column, n: float) -> Column:
-        return F.log((k + prior) / F.greatest(F.lit(n + PRIOR_WORDS) - k - prior, F.lit(0.5)))
+    def total(x: str, model: int) -> float:
+        return sum(v for f, v in enumerate(totals[x]) if f != model)
 
-    odds = log_odds(F.col("t"), n_t) - log_odds(F.col("c"), n_c)
-    deviation = F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-    return units.withColumns({"log_odds": odds, "z": odds / deviation})
+    names = [x for x in COUNTED if f"{x}0" in counts.columns]
+    rows = [F.struct(F.lit(m).alias("model"), *[counted(x, m).alias(x) for x in names], F.lit(total("t", m)).alias("of_t"), F.lit(total("c", m)).alias("of_c")) for m in range(FOLDS + 1)]
+    return counts.select(key, F.inline(F.array(*rows))).filter(F.col("t") + F.col("c") > 0)
 
 
-def word_log_odds(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, clean, log_odds, z) of words and of stems with a star; and (cell, log_odds, z) of the cells of weak evidence.
+def with_odds(units: DataFrame) -> DataFrame:
+    """``units`` (t, c) with log_odds and z under the Dirichlet prior, out of ``of_t`` and ``of_c`` words counted."""
+    prior = F.lit(PRIOR_WORDS) * (F.col("t") + F.col("c")) / F.greatest(F.col("of_t") + F.col("of_c"), F.lit(1.0))
 
-    ``clean`` counts occurrences in clean texts.
+    def log_odds(k: Column, n: Column) -> Column:
+        return F.log((k + prior) / F.greatest(n + F.lit(PRIOR_WORDS) - k - prior, F.lit(0.5)))
+
+    odds = log_odds(F.col("t"), F.col("of_t")) - log_odds(F.col("c"), F.col("of_c"))
+    deviation = F.sqrt(F.try_divide(F.lit(1.0), F.col("t") + prior) + F.try_divide(F.lit(1.0), F.col("c") + prior))
+    return units.withColumns({"log_odds": odds, "z": F.try_divide(odds, deviation)})
+
+
+def word_log_odds(counts: DataFrame, totals: dict[str, list[float]]) -> tuple[DataFrame, DataFrame]:
+    """(model, word, clean, log_odds, z) of words and of stems with a star; and (model, cell, log_odds, z) of the cells of weak evidence.
+
+    ``clean`` counts occurrences in clean texts; ``totals`` are the sums of the counts by fold.
     """
-    total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
-    n_t, n_c = total["t"] or 0.0, total["c"] or 0.0
     longest = F.least(F.length("word") - 1, F.lit(STEMS[1]))
-    cut = counts.filter(longest >= STEMS[0]).select("word", "t", "c", "n", F.explode(F.sequence(F.lit(STEMS[0]), longest)).alias("k"))
-    add = [F.sum(x).alias(x) for x in ("t", "c", "n")]
-    stems = cut.groupBy(F.concat(F.substring(F.col("word"), F.lit(1), F.col("k")), F.lit("*")).alias("word")).agg(*add)
-    units = with_odds(counts.select("word", "t", "c", "n").unionByName(stems), n_t, n_c)
-    cells = counts.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(WEAK_CELLS)).cast("int").alias("cell")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    return units.select("word", F.col("n").alias("clean"), "log_odds", "z"), with_odds(cells, n_t, n_c).select("cell", "log_odds", "z")
+    names = [f"{x}{f}" for f in range(FOLDS) for x in COUNTED]
+    cut = counts.filter(longest >= STEMS[0]).select("word", *names, F.explode(F.sequence(F.lit(STEMS[0]), longest)).alias("k"))
+    stems = cut.groupBy(F.concat(F.substring(F.col("word"), F.lit(1), F.col("k")), F.lit("*")).alias("word")).agg(*[F.sum(x).alias(x) for x in names])
+    units = with_odds(left_out(counts.select("word", *names).unionByName(stems), "word", totals))
+    texts_with = [x for x in names if x[0] != "n"]
+    cells = counts.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(WEAK_CELLS)).cast("int").alias("cell")).agg(*[F.sum(x).alias(x) for x in texts_with])
+    return units.select("model", "word", F.col("n").alias("clean"), "log_odds", "z"), with_odds(left_out(cells, "cell", totals)).select("model", "cell", "log_odds", "z")
 
 
 def clean_shares(clean: dict[str, float], words_in_all: float) -> dict[str, float]:
@@ -227,7 +311,7 @@ def extreme_value_rate(scores: dict[str, float], share: dict[str, float]) -> flo
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, keep: Column, id_column: str, text_column: str) -> DataFrame:
-    """(text, toxic, calibrate): the bounded sample, each distinct text once; a fifth is kept for calibration."""
+    """(text, toxic, fold): the bounded sample, each distinct text once, and of texts that share a labelled id one."""
     usable = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(keep)
     sample = usable.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(SAMPLE_ROWS)  # a proven bound for both broadcasts
     light = docs.select(F.col(id_column).alias("label_id"), text_of(text_column).alias("text"))
@@ -237,7 +321,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, keep: Column, id_column:
     chosen = materialise(digests, "sample")
     once = chosen.groupBy("label_id").agg(F.max("toxic").alias("toxic"), F.min("digest").alias("digest"))
     texts = light.join(F.broadcast(once), "label_id").filter(F.sha2("text", 256) == F.col("digest"))
-    return texts.select("text", "toxic", (F.pmod(F.xxhash64("digest"), F.lit(5)) == 0).alias("calibrate"))
+    return texts.select("text", "toxic", F.pmod(F.xxhash64("digest"), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_column: str = "doc_id", text_column: str = "text") -> ToxicityModel:
@@ -248,45 +332,75 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_colum
 
 
 def fit_texts(texts: DataFrame) -> ToxicityModel:
-    """Fit on rows (text, toxic 0/1, calibrate): words are learnt from those that aren't kept for calibration."""
-    counts = materialise(word_counts(texts.filter("NOT calibrate")), "word_counts")
-    units, cells = word_log_odds(counts)
-    rows = units.filter(F.abs("z") >= LEAST_Z).collect()  # words of the bounded sample
-    scores = {r["word"]: r["log_odds"] for r in rows}
-    weak = [0.0] * WEAK_CELLS
-    for r in cells.collect():  # WEAK_CELLS rows at most
-        weak[r["cell"]] = r["log_odds"] * r["z"] ** 2 / (r["z"] ** 2 + WEAK_Z**2)
-    clean_words = counts.agg(F.sum("n")).first()[0]
-    share = clean_shares({r["word"]: r["clean"] for r in rows}, max(clean_words or 1, 1))
-    decay = extreme_value_rate(scores, share)
-    raw = ToxicityModel(scores, decay, 1.0, (), tuple(weak))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, light = WordScores(raw.scores), WeakScores(raw.weak)
-        for b in batches:
-            found = [text_segments(t, raw, known, light) for t in b.column("text").to_pylist()]
-            top = [max((s for *_, s, _ in seg), default=None) for _, seg, _ in found]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([n for n, *_ in found], pa.int64()), pa.array(top, pa.float64())], names=["toxic", "n", "top"])
+    """Fit on rows (text, toxic 0/1, fold).
 
-    clean = texts.filter("NOT calibrate AND toxic = 0").select("text", "toxic").mapInArrow(best, "toxic int, n long, top double")
+    Models of words are made for all rows and for all but each fold, at every level, from one count.  Those that
+    leave a fold out show the curve how its texts look; the model of all rows is the one that scores.
+    """
+    counts = materialise(word_counts(texts), "word_counts")
+    sums = counts.agg(*[F.sum(f"{x}{f}").alias(f"{x}{f}") for f in range(FOLDS) for x in COUNTED]).first()
+    totals = {x: [sums[f"{x}{f}"] or 0.0 for f in range(FOLDS)] for x in COUNTED}
+    units, cells = word_log_odds(counts, totals)
+    weak = np.zeros((FOLDS + 1, WEAK_CELLS))
+    found = cells.toArrow()  # WEAK_CELLS rows a model at most
+    z = found.column("z").to_numpy()
+    weak[found.column("model").to_numpy(), found.column("cell").to_numpy()] = found.column("log_odds").to_numpy() * z**2 / (z**2 + WEAK_Z**2)
+    rows = units.filter(F.abs("z") >= min(LEVELS)).collect()  # words of the bounded sample
+    raw: list[ToxicityModel] = []  # by model, then by level
+    for m in range(FOLDS + 1):
+        clean_words = max(sum(v for f, v in enumerate(totals["n"]) if f != m), 1)
+        for level in LEVELS:
+            kept = [r for r in rows if r["model"] == m and abs(r["z"]) >= level]
+            scores = {r["word"]: r["log_odds"] for r in kept}
+            decay = extreme_value_rate(scores, clean_shares({r["word"]: r["clean"] for r in kept}, clean_words))
+            raw.append(ToxicityModel(scores, decay, 1.0, ()))
+    words_of = texts.sparkSession.sparkContext.broadcast([m.scores for m in raw])
+    decays = [m.decay for m in raw]
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint = JointScores(words_of.value)
+        for b in batches:
+            total, count = [0.0] * len(decays), [0] * len(decays)
+            for text, fold in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True):
+                all_words = words(text)
+                hits = [(i, s) for i, s in enumerate(map(joint.__getitem__, all_words)) if s is not None]
+                for k, decay in enumerate(decays):
+                    if k // len(LEVELS) != fold and (segments := segments_at([(i, s[k]) for i, s in hits if s[k] is not None])):
+                        total[k] += decay * max(s for *_, s in segments) - math.log(len(all_words))
+                        count[k] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(decays)), pa.int32()), pa.array(total, pa.float64()), pa.array(count, pa.int64())], names=["k", "total", "n"])
+
+    clean = texts.filter("toxic = 0").select("text", "fold").mapInArrow(tops, "k int, total double, n long")
     # the mean of a Gumbel variable is its location plus Euler's constant
-    location = clean.filter("top IS NOT NULL AND n > 0").agg(F.avg(F.lit(decay) * F.col("top") - F.log("n"))).first()[0]
-    size = math.exp(min(20.0, location - 0.5772156649)) if location is not None else 1.0
-    model = ToxicityModel(scores, decay, size, (), tuple(weak))
+    located = {r["k"]: r["total"] / r["n"] for r in clean.groupBy("k").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).filter("n > 0").collect()}
+    models = [replace(m, size=math.exp(min(20.0, located[k] - 0.5772156649)) if k in located else 1.0) for k, m in enumerate(raw)]
+    constants = [replace(m, scores={}) for m in models]
+    weak_of = texts.sparkSession.sparkContext.broadcast(weak)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, light = WordScores(model.scores), WeakScores(model.weak)
+        joint, light = JointScores(words_of.value), [WeakScores(w) for w in weak_of.value]
         for b in batches:
-            x = [features(*text_segments(t, model, known, light)) for t in b.column("text").to_pylist()]
+            x = []
+            for text, fold in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True):
+                all_words = words(text)
+                hits, mean = [(i, s) for i, s in enumerate(map(joint.__getitem__, all_words)) if s is not None], mean_weak(all_words, light[fold])
+                of_text: list[float] = []
+                for k in range(fold * len(LEVELS), (fold + 1) * len(LEVELS)):
+                    segments = segments_at([(i, s[k]) for i, s in hits if s[k] is not None])
+                    of_text += features(len(all_words), with_chance(segments, len(all_words), constants[k]), mean)
+                x.append(of_text)
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    calibration = texts.filter("calibrate").select("text", "toxic").mapInArrow(seen, "toxic int, x array<double>").collect()  # at most SAMPLE_ROWS
-    y = np.array([r["toxic"] for r in calibration], float)
+    shown = texts.select("text", "toxic", "fold").mapInArrow(seen, "toxic int, x array<double>").toArrow()  # at most SAMPLE_ROWS
+    y = shown.column("toxic").to_numpy().astype(float)
+    last = FOLDS * len(LEVELS)
     if len(y) and 0 < y.sum() < len(y):
-        return replace(model, curve=fit_curve(np.array([r["x"] for r in calibration]), y))
-    prior = texts.agg(F.avg("toxic")).first()[0]
-    odds_of_prior = math.log((prior + 1e-3) / (1 - prior + 1e-3)) if prior is not None else 0.0
-    return replace(model, curve=(odds_of_prior, 0.0, 0.0, 0.0, 0.0, 0.0))
+        x = np.array(shown.column("x").to_pylist())
+        level, curve = curve_of(np.split(x, len(LEVELS), axis=1), y)
+    else:
+        prior = float(y.mean()) if len(y) else 0.5
+        level, curve = len(LEVELS) - 1, (math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0.0, 0.0, 0.0, 0.0, 0.0)
+    return replace(models[last + level], curve=curve, weak=tuple(weak[FOLDS].tolist()))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_column: str = "text", score_column: str = "score", segments_column: str | None = "segments") -> DataFrame:

@@ -111,15 +111,13 @@ def base_scores(rows):
     return {i: (held[i], len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws in split.items()}
 
 
-class ToxicModel:
-    """The toxicity score from its definition, over (text, toxic, calibrate) of the labelled sample."""
-
-    Z, LOSS, PRIOR, CHANCE = 4.0, 0.05, 2000.0, 0.1
+class ToxicWords:
+    """Word scores, extreme-value constants and weak evidence from their definition, over (text, toxic)."""
 
-    def __init__(self, sample):
-        import numpy as np
+    LOSS, PRIOR, CHANCE = 0.05, 2000.0, 0.1
 
-        train = [(self.words(t), y) for t, y, c in sample if not c]
+    def __init__(self, texts, least_z):
+        train = [(self.words(t), y) for t, y in texts]
         count = {y: Counter(w for ws, v in train if v == y for w in set(ws)) for y in (0, 1)}
         seen = Counter(w for ws, y in train if not y for w in ws)
         n = {y: sum(c.values()) for y, c in count.items()}
@@ -139,7 +137,7 @@ class ToxicModel:
             return o, o / math.sqrt(1 / (t + p) + 1 / (c + p))
 
         every = {u: odds(unit[1][u], unit[0][u]) for u in set(unit[0]) | set(unit[1]) if unit[0][u] + unit[1][u]}
-        self.scores = {u: o for u, (o, z) in every.items() if abs(z) >= self.Z}
+        self.scores = {u: o for u, (o, z) in every.items() if abs(z) >= least_z}
         cells = {y: Counter() for y in (0, 1)}
         for y in (0, 1):
             for w, k in count[y].items():
@@ -166,22 +164,6 @@ class ToxicModel:
         tops = [(max(s for _, _, s in seg), len(ws)) for ws, y in train if not y and (seg := self.segments(ws))]
         if tops:
             self.size = math.exp(min(20.0, sum(self.decay * s - math.log(k) for s, k in tops) / len(tops) - 0.5772156649))
-        held = [(self.features(t), y) for t, y, c in sample if c]
-        y = np.array([y for _, y in held], float)
-        if len(y) and 0 < y.sum() < len(y):
-            x, w = np.array([f for f, _ in held]), np.zeros(6)
-            loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.005 * w @ w
-            slope = lambda w: x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 0.01 * w
-            for _ in range(200):  # Newton's method with a halved step where it overshoots
-                p = 1 / (1 + np.exp(-x @ w))
-                step, by = np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.01 * np.eye(6), slope(w)), 1.0
-                while loss(w - by * step) > loss(w) + 1e-12 and by > 1e-6:
-                    by /= 2
-                w = w - by * step
-            self.curve = w
-        else:
-            prior = sum(y for _, y, _ in sample) / len(sample)
-            self.curve = np.array([math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0, 0, 0, 0, 0])
 
     @staticmethod
     def words(text):
@@ -215,5 +197,44 @@ class ToxicModel:
         weak = sum(self.weak.get(zlib.crc32(w.encode()) % 65536, 0.0) for w in ws) / len(ws) if ws else 0.0
         return [1.0, float(best > 0), math.log1p(best), math.log1p(total), math.log1p(total / max(len(ws), 1) * 100), 10 * weak]
 
+
+class ToxicModel:
+    """The toxicity score from its definition, over (text, toxic, fold) of the labelled sample: cross-fitted curve, level and cut."""
+
+    def __init__(self, sample):
+        import numpy as np
+
+        y = np.array([y for _, y, _ in sample], float)
+        levels = (3.0, 3.5, 4.0)
+        if not 0 < y.sum() < len(y):
+            prior = y.mean() if len(y) else 0.5
+            self.of, self.curve = ToxicWords([(t, v) for t, v, _ in sample], levels[-1]), np.array([math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0, 0, 0, 0, 0])
+            return
+        best = None
+        for z in levels:
+            others = {f: ToxicWords([(t, v) for t, v, g in sample if g != f], z) for f in {g for *_, g in sample}}
+            x, w = np.array([others[f].features(t) for t, _, f in sample]), np.zeros(6)
+            loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.005 * w @ w  # noqa: B023, E731
+            slope = lambda w: x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 0.01 * w  # noqa: B023, E731
+            for _ in range(200):  # Newton's method with a halved step where it overshoots
+                p = 1 / (1 + np.exp(-x @ w))
+                step, by = np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.01 * np.eye(6), slope(w)), 1.0
+                while loss(w - by * step) > loss(w) + 1e-12 and by > 1e-6:
+                    by /= 2
+                w = w - by * step
+            fit = loss(w) - 0.005 * w @ w
+            if best is None or fit <= best[0] + 1e-6:
+                best = (fit, z, w, x @ w)
+        _, z, w, logits = best
+        self.of, self.curve = ToxicWords([(t, v) for t, v, _ in sample], z), w.copy()
+        cuts, known = [], sorted(logits)
+        for a, b in zip(known, known[1:], strict=False):
+            if b - a > 1e-9:
+                cut = (a + b) / 2
+                above = logits > cut
+                cuts.append((-round(float(np.corrcoef(above, y)[0, 1]), 8), abs(cut), cut))
+        if cuts and min(cuts)[0] < 0:
+            self.curve[0] -= min(cuts)[2]
+
     def score(self, text):
-        return 1 / (1 + math.exp(-max(-35.0, min(35.0, float(sum(a * b for a, b in zip(self.features(text), self.curve, strict=True)))))))
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, float(sum(a * b for a, b in zip(self.of.features(text), self.curve, strict=True)))))))

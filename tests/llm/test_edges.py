@@ -468,7 +468,7 @@ def test_stage_toxicity_against_brute(spark, stage_input):
     d, docs = stage_input
     out = corpus_pipeline.drop_toxic(spark, docs, d)
     texts = toxicity.labelled_texts(docs, spark.read.parquet(f"{d}/labels.parquet"), F.lit(True), "doc_id", "text").collect()
-    model = brute.ToxicModel([(r.text, r.toxic, r.calibrate) for r in texts])
+    model = brute.ToxicModel([(r.text, r.toxic, r.fold) for r in texts])
     expected = [tuple(r) for r in docs.collect() if model.score(r.text) < 0.5]
     assert out.columns == docs.columns and kept_rows(out) == sorted(expected, key=repr) and 0 < len(expected) < docs.count()
 
@@ -498,9 +498,9 @@ def test_toxicity_scores_equal_their_definition(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
     texts = toxicity.labelled_texts(docs, labels, F.lit(True), "doc_id", "text").collect()
-    plain = brute.ToxicModel([(r.text, r.toxic, r.calibrate) for r in texts])
+    plain = brute.ToxicModel([(r.text, r.toxic, r.fold) for r in texts])
     model = toxicity.fit(docs, labels)
-    assert model.scores == pytest.approx(plain.scores) and model.decay == pytest.approx(plain.decay, rel=1e-6) and model.size == pytest.approx(plain.size, rel=1e-6)
+    assert model.scores == pytest.approx(plain.of.scores) and model.decay == pytest.approx(plain.of.decay, rel=1e-6) and model.size == pytest.approx(plain.of.size, rel=1e-6)
     some = docs.limit(60)
     found = {r.doc_id: r.score for r in toxicity.score(some, model).collect()}
     assert found == pytest.approx({r.doc_id: plain.score(r.text) for r in some.collect()}, rel=1e-4)
