@@ -335,16 +335,17 @@ def fit_texts(texts: DataFrame) -> ToxicityModel:
     """Fit on rows (text, toxic 0/1, fold).
 
     Models of words are made for all rows and for all but each fold, at every level, from one count.  Those that
-    leave a fold out show the curve how its texts look; the model of all rows is the one that scores.
+    leave a fold out scan its texts, once for all levels: these heights give a level's size and what the curve sees.
+    The model of all rows is the one that scores.
     """
     counts = materialise(word_counts(texts), "word_counts")
     sums = counts.agg(*[F.sum(f"{x}{f}").alias(f"{x}{f}") for f in range(FOLDS) for x in COUNTED]).first()
     totals = {x: [sums[f"{x}{f}"] or 0.0 for f in range(FOLDS)] for x in COUNTED}
     units, cells = word_log_odds(counts, totals)
     weak = np.zeros((FOLDS + 1, WEAK_CELLS))
-    found = cells.toArrow()  # WEAK_CELLS rows a model at most
-    z = found.column("z").to_numpy()
-    weak[found.column("model").to_numpy(), found.column("cell").to_numpy()] = found.column("log_odds").to_numpy() * z**2 / (z**2 + WEAK_Z**2)
+    cell = cells.toArrow()  # WEAK_CELLS rows a model at most
+    z = cell.column("z").to_numpy()
+    weak[cell.column("model").to_numpy(), cell.column("cell").to_numpy()] = cell.column("log_odds").to_numpy() * z**2 / (z**2 + WEAK_Z**2)
     rows = units.filter(F.abs("z") >= min(LEVELS)).collect()  # words of the bounded sample
     raw: list[ToxicityModel] = []  # by model, then by level
     for m in range(FOLDS + 1):
@@ -354,53 +355,42 @@ def fit_texts(texts: DataFrame) -> ToxicityModel:
             scores = {r["word"]: r["log_odds"] for r in kept}
             decay = extreme_value_rate(scores, clean_shares({r["word"]: r["clean"] for r in kept}, clean_words))
             raw.append(ToxicityModel(scores, decay, 1.0, ()))
-    words_of = texts.sparkSession.sparkContext.broadcast([m.scores for m in raw])
-    decays = [m.decay for m in raw]
+    words_of, weak_of = (texts.sparkSession.sparkContext.broadcast(x) for x in ([m.scores for m in raw], weak))
+    decays, n_levels = [m.decay for m in raw], len(LEVELS)
 
-    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joint = JointScores(words_of.value)
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint, light = JointScores(words_of.value), [WeakScores(w) for w in weak_of.value]
         for b in batches:
-            total, count = [0.0] * len(decays), [0] * len(decays)
+            lengths, means, heights = [], [], []
             for text, fold in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True):
                 all_words = words(text)
                 hits = [(i, s) for i, s in enumerate(map(joint.__getitem__, all_words)) if s is not None]
-                for k, decay in enumerate(decays):
-                    if k // len(LEVELS) != fold and (segments := segments_at([(i, s[k]) for i, s in hits if s[k] is not None])):
-                        total[k] += decay * max(s for *_, s in segments) - math.log(len(all_words))
-                        count[k] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(decays)), pa.int32()), pa.array(total, pa.float64()), pa.array(count, pa.int64())], names=["k", "total", "n"])
-
-    clean = texts.filter("toxic = 0").select("text", "fold").mapInArrow(tops, "k int, total double, n long")
+                lengths.append(len(all_words))
+                means.append(mean_weak(all_words, light[fold]))
+                own = range(fold * n_levels, (fold + 1) * n_levels)
+                heights.append([[decays[k] * s - math.log(len(all_words)) for *_, s in segments_at([(i, x[k]) for i, x in hits if x[k] is not None])] for k in own])
+            made = [b.column("toxic"), pa.array(lengths, pa.int64()), pa.array(means, pa.float64()), pa.array(heights, pa.list_(pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays(made, names=["toxic", "n", "weak", "heights"])
+
+    shown = materialise(texts.select("text", "toxic", "fold").mapInArrow(seen, "toxic int, n long, weak double, heights array<array<double>>"), "heights")
     # the mean of a Gumbel variable is its location plus Euler's constant
-    located = {r["k"]: r["total"] / r["n"] for r in clean.groupBy("k").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).filter("n > 0").collect()}
-    models = [replace(m, size=math.exp(min(20.0, located[k] - 0.5772156649)) if k in located else 1.0) for k, m in enumerate(raw)]
-    constants = [replace(m, scores={}) for m in models]
-    weak_of = texts.sparkSession.sparkContext.broadcast(weak)
+    located = shown.filter("toxic = 0").agg(*[F.avg(F.array_max(F.get("heights", F.lit(k)))).alias(f"at{k}") for k in range(n_levels)]).first()
+    sizes = [math.exp(min(20.0, at - 0.5772156649)) if at is not None else 1.0 for at in located]
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joint, light = JointScores(words_of.value), [WeakScores(w) for w in weak_of.value]
+    def as_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = []
-            for text, fold in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True):
-                all_words = words(text)
-                hits, mean = [(i, s) for i, s in enumerate(map(joint.__getitem__, all_words)) if s is not None], mean_weak(all_words, light[fold])
-                of_text: list[float] = []
-                for k in range(fold * len(LEVELS), (fold + 1) * len(LEVELS)):
-                    segments = segments_at([(i, s[k]) for i, s in hits if s[k] is not None])
-                    of_text += features(len(all_words), with_chance(segments, len(all_words), constants[k]), mean)
-                x.append(of_text)
+            rows = zip(*(b.column(c).to_pylist() for c in ("n", "weak", "heights")), strict=True)
+            x = [[v for size, high in zip(sizes, levels, strict=True) for v in features(n, [(0, 0, h, size * math.exp(-h)) for h in high], mean)] for n, mean, levels in rows]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    shown = texts.select("text", "toxic", "fold").mapInArrow(seen, "toxic int, x array<double>").toArrow()  # at most SAMPLE_ROWS
-    y = shown.column("toxic").to_numpy().astype(float)
-    last = FOLDS * len(LEVELS)
+    found = shown.mapInArrow(as_features, "toxic int, x array<double>").toArrow()  # at most SAMPLE_ROWS
+    y = found.column("toxic").to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
-        x = np.array(shown.column("x").to_pylist())
-        level, curve = curve_of(np.split(x, len(LEVELS), axis=1), y)
+        level, curve = curve_of(np.split(np.array(found.column("x").to_pylist()), n_levels, axis=1), y)
     else:
         prior = float(y.mean()) if len(y) else 0.5
-        level, curve = len(LEVELS) - 1, (math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0.0, 0.0, 0.0, 0.0, 0.0)
-    return replace(models[last + level], curve=curve, weak=tuple(weak[FOLDS].tolist()))
+        level, curve = n_levels - 1, (math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0.0, 0.0, 0.0, 0.0, 0.0)
+    return replace(raw[FOLDS * n_levels + level], size=sizes[level], curve=curve, weak=tuple(weak[FOLDS].tolist()))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_column: str = "text", score_column: str = "score", segments_column: str | None = "segments") -> DataFrame:

@@ -161,9 +161,6 @@ class ToxicWords:
                 lo, hi = (lo, mid) if f(mid) > 0 else (mid, hi)
             self.decay = max(hi, 0.05)
         self.size = 1.0
-        tops = [(max(s for _, _, s in seg), len(ws)) for ws, y in train if not y and (seg := self.segments(ws))]
-        if tops:
-            self.size = math.exp(min(20.0, sum(self.decay * s - math.log(k) for s, k in tops) / len(tops) - 0.5772156649))
 
     @staticmethod
     def words(text):
@@ -206,14 +203,22 @@ class ToxicModel:
 
         y = np.array([y for _, y, _ in sample], float)
         levels = (3.0, 3.5, 4.0)
+        folds = {f for *_, f in sample}
+        every = {z: {f: ToxicWords([(t, v) for t, v, g in sample if g != f], z) for f in folds} for z in levels}
+        size = {}
+        for z, of in every.items():
+            tops = [of[f].decay * max(s for *_, s in seg) - math.log(len(ws)) for t, v, f in sample if not v and (seg := of[f].segments(ws := of[f].words(t)))]
+            size[z] = math.exp(min(20.0, sum(tops) / len(tops) - 0.5772156649)) if tops else 1.0
+            for m in of.values():
+                m.size = size[z]
         if not 0 < y.sum() < len(y):
             prior = y.mean() if len(y) else 0.5
-            self.of, self.curve = ToxicWords([(t, v) for t, v, _ in sample], levels[-1]), np.array([math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0, 0, 0, 0, 0])
+            self.of = ToxicWords([(t, v) for t, v, _ in sample], levels[-1])
+            self.of.size, self.curve = size[levels[-1]], np.array([math.log((prior + 1e-3) / (1 - prior + 1e-3)), 0, 0, 0, 0, 0])
             return
         best = None
         for z in levels:
-            others = {f: ToxicWords([(t, v) for t, v, g in sample if g != f], z) for f in {g for *_, g in sample}}
-            x, w = np.array([others[f].features(t) for t, _, f in sample]), np.zeros(6)
+            x, w = np.array([every[z][f].features(t) for t, _, f in sample]), np.zeros(6)
             loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.005 * w @ w  # noqa: B023, E731
             slope = lambda w: x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 0.01 * w  # noqa: B023, E731
             for _ in range(200):  # Newton's method with a halved step where it overshoots
@@ -227,6 +232,7 @@ class ToxicModel:
                 best = (fit, z, w, x @ w)
         _, z, w, logits = best
         self.of, self.curve = ToxicWords([(t, v) for t, v, _ in sample], z), w.copy()
+        self.of.size = size[z]
         cuts, known = [], sorted(logits)
         for a, b in zip(known, known[1:], strict=False):
             if b - a > 1e-9:
