@@ -778,8 +778,12 @@ def stand_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     for j, c in enumerate(features.CHANNELS):
         given |= {f"eeg_{c}_1s_{band}_abs_power": 1 + v * (b + 1) / 100 + F.col("k") * (j + 1) / 50 for b, band in enumerate(spectral.BANDS)}
         given |= {f"eeg_{c}_1s_{n}": F.col("k") / 100 for n in ("spectral_entropy", "line_noise_ratio", "high_freq_artifact_ratio")} | {f"eeg_{c}_rms_uv": v, f"eeg_{c}_coverage_ratio": F.when(F.col("event_type") != "error", 1.0).otherwise(0.25)}
-    missing = ["ecg_rpeak_count", "ecg_coverage_ratio", "ecg_rr_ms", "quality_min", "ecg_rpeak_confidence", "ecg_mean_uv", "ecg_rms_uv", "ecg_line_length", "eeg_gfp"]
-    missing += [f"{l}_{n}" for l in ("head", "chest") for n in ("x", "y", "z", "vm", "enmo", "jerk", "sma", "coverage_ratio")]
+    cover = F.when(F.col("event_type") != "error", 1.0).otherwise(0.25)
+    given |= {
+        "ecg_rpeak_count": F.floor(F.col("k") / 40).cast("double"), "ecg_coverage_ratio": cover, "ecg_rr_ms": F.when(F.col("event_type") != "view", F.lit(60000) / (60 + F.col("k") * 0.4)), "ecg_rpeak_confidence": F.col("k") / 100,
+        "ecg_mean_uv": v, "ecg_rms_uv": v + 50, "ecg_line_length": v + F.col("k"), "chest_enmo": F.greatest(vm - 1, F.lit(0.0)), "head_vm": vm, "eeg_gfp": F.col("k"), "quality_min": cover,
+    }
+    missing = [f"{l}_{n}" for l in ("head", "chest") for n in ("x", "y", "z", "vm", "enmo", "jerk", "sma", "coverage_ratio") if f"{l}_{n}" not in given]
     return base.withColumns(given | {n: F.lit(None).cast("double") for n in missing})
 
 
@@ -837,6 +841,26 @@ def cardiac_window_features(spark, sf_dir):
     return windowed_features(spark, sf_dir, "cardiac", list(_CARDIAC))
 
 
+_ECG = {
+    "ecg_rpeak_count": "sum(floor(k / 40)) W", "polar_rr_device_median_ms": "median(rr) W", "polar_rr_ecg_median_ms": "median(CASE WHEN event_type <> 'view' THEN ibi END) W",
+    "polar_rr_source_disagreement_ms": "abs(median(rr) W - median(CASE WHEN event_type <> 'view' THEN ibi END) W)", "ecg_coverage_ratio": "avg(cover) W", "ecg_rpeak_confidence_mean": "avg(k / 100) W",
+    "ecg_baseline_wander_score": "stddev_samp(value) W / avg(value + 50) W", "ecg_motion_artifact_score": f"abs({_corr('(value + k)', 'enmo')})",
+    "ecg_quality_score": "avg(cover) W * avg(CASE WHEN rr IS NOT NULL THEN CAST(rr BETWEEN 300 AND 2000 AS DOUBLE) END) W * avg(k / 100) W",
+}
+_QUALITY = {"eeg_global_field_power": "avg(k) W", "eeg_motion_correlation": _corr("value", "vm"), "multisensor_quality_min": "min(cover) W", "multisensor_quality_mean": "avg(cover) W"}
+
+
+@query(_window_sql(_ECG, digits=5))
+def ecg_window_features(spark, sf_dir):
+    """Peaks, both sources of RR, wander, motion and quality of the ECG over a minute."""
+    return windowed_features(spark, sf_dir, "cardiac", list(_ECG), digits=5)
+
+
+@query(_window_sql(_QUALITY, digits=5))
+def multisensor_quality_features(spark, sf_dir):
+    return windowed_features(spark, sf_dir, "cross_modal", list(_QUALITY), digits=5)
+
+
 _POINCARE = {"poincare_sd1_ms": "sqrt(var_samp(drr) W / 2)", "poincare_sd2_ms": "sqrt(greatest(2 * var_samp(rr) W - var_samp(drr) W / 2, 0))"}
 
 
@@ -860,6 +884,66 @@ def cross_modal_window_features(spark, sf_dir):
     return windowed_features(spark, sf_dir, "cross_modal", list(_CROSS), digits=5)
 
 
+#: Samples of one second from a vector of 64 entries: stream, rate, channels as (name, first entry, entries, scale, offset); entries under -0.15 are lost.
+_VECTOR_STREAMS = (
+    ("acc", 16, (("x", 1, 16, 4.0, 0.0), ("y", 17, 16, 4.0, 0.0), ("z", 33, 16, 4.0, 0.0))), ("eda", 4, (("eda", 1, 4, 1.0, 1.0),)), ("ecg", 32, (("ecg", 1, 32, 5000.0, 0.0),)),
+    ("ppg", 16, (("green", 1, 16, 100.0, 50.0), ("ir", 17, 16, 100.0, 50.0), ("red", 33, 16, 100.0, 50.0))), ("temperature", 1, (("skin", 64, 1, 10.0, 30.0),)), ("hr_rr", 1, (("hr", 1, 1, 10.0, 60.0),)),
+)
+_SAMPLES = "sa AS (SELECT vec_id, label, i, CASE WHEN v >= -0.15 THEN v END AS v FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))"
+
+
+def vector_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings table as native seconds of six streams: every vector is a second."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    lost = F.transform("embedding", lambda v: F.when(v.cast("double") >= -0.15, v.cast("double")))
+
+    def samples(first: int, n: int, scale: float, offset: float):
+        return F.transform(F.slice("_v", first, n), lambda v: v * F.lit(scale) + F.lit(offset))
+
+    def stream(name: str, rate: int, channels):
+        pairs = [c for channel, *how in channels for c in (F.lit(channel), samples(*how))]
+        quality = F.col("label") / F.lit(10.0) + F.lit(rate / 1000)
+        return F.struct(F.lit(name).alias("stream_name"), F.lit(rate).alias("sample_rate_hz"), F.create_map(*pairs).alias("channels"), quality.alias("quality_native"))
+
+    keys = [F.lit("r").alias("run_id"), F.pmod("vec_id", F.lit(16)).cast("string").alias("person_id"), F.expr("vec_id div 128").alias("clip_id"), F.lit("d").alias("device_id"), (F.col("vec_id") * F.lit(SECOND).cast("long")).alias("second_ns")]
+    return e.withColumn("_v", lost).select(*keys, F.inline(F.array(*[stream(*x) for x in _VECTOR_STREAMS])))
+
+
+_SECOND_COLUMNS = (
+    "wrist_vm", "wrist_vm_sd", "wrist_enmo", "wrist_jerk", "wrist_sma", "wrist_coverage_ratio", "wrist_x", "ecg_rpeak_count", "ecg_rpeak_confidence", "ecg_mean_uv", "ecg_rms_uv", "ecg_line_length", "ecg_coverage_ratio",
+    "eda_us", "eda_min_us", "eda_max_us", "eda_slope_us_per_sec", "eda_coverage_ratio", "ppg_green_dc", "ppg_green_ac", "ppg_ir_ac", "ppg_red_ac", "ppg_coverage_ratio", "skin_temp_c", "hr_bpm", "quality_min", "quality_score",
+)
+
+
+@query(f"""WITH {_SAMPLES}, ax AS (SELECT vec_id, (i - 1) % 16 AS j, max(CASE WHEN i <= 16 THEN 4 * v END) AS x, max(CASE WHEN i BETWEEN 17 AND 32 THEN 4 * v END) AS y, max(CASE WHEN i BETWEEN 33 AND 48 THEN 4 * v END) AS z FROM sa WHERE i <= 48 GROUP BY 1, 2),
+    am AS (SELECT *, sqrt(x * x + y * y + z * z) AS vm, abs(x) + abs(y) + abs(z) AS sma FROM ax), ad AS (SELECT vec_id, abs(vm - lag(vm) OVER (PARTITION BY vec_id ORDER BY j)) AS d FROM am WHERE vm IS NOT NULL),
+    aj AS (SELECT vec_id, avg(d) * 16 AS wrist_jerk FROM ad GROUP BY 1), aa AS (SELECT vec_id, avg(vm) AS wrist_vm, stddev_pop(vm) AS wrist_vm_sd, avg(greatest(vm - 1, 0)) FILTER (vm IS NOT NULL) AS wrist_enmo, avg(sma) AS wrist_sma,
+      count(vm) / 16.0 AS wrist_coverage_ratio, avg(x) AS wrist_x FROM am GROUP BY 1),
+    ec AS (SELECT vec_id, 5000 * v AS u, lag(5000 * v) OVER w AS before, lead(5000 * v) OVER w AS after FROM sa WHERE i <= 32 AND v IS NOT NULL WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+    ea AS (SELECT vec_id, count(*) FILTER (u > 500 AND u >= after AND u > coalesce(before, 0)) AS ecg_rpeak_count, least(greatest(max(u) / 1000, 0), 1) AS ecg_rpeak_confidence, avg(u) AS ecg_mean_uv, sqrt(avg(u * u)) AS ecg_rms_uv,
+      sum(abs(u - before)) AS ecg_line_length, count(*) / 32.0 AS ecg_coverage_ratio FROM ec GROUP BY 1),
+    ed AS (SELECT vec_id, v + 1 AS u, row_number() OVER (PARTITION BY vec_id ORDER BY i) / 4.0 AS sec FROM sa WHERE i <= 4 AND v IS NOT NULL),
+    da AS (SELECT vec_id, avg(u) AS eda_us, min(u) AS eda_min_us, max(u) AS eda_max_us, CASE WHEN count(*) > 1 THEN regr_slope(u, sec) END AS eda_slope_us_per_sec FROM ed GROUP BY 1),
+    re AS (SELECT vec_id, count(v) FILTER (i <= 4) / 4.0 AS eda_coverage_ratio, avg(100 * v + 50) FILTER (i <= 16) AS ppg_green_dc, {", ".join(f"100 * (max(v) FILTER (i BETWEEN {a} AND {a + 15}) - min(v) FILTER (i BETWEEN {a} AND {a + 15})) AS ppg_{c}_ac" for c, a in (("green", 1), ("ir", 17), ("red", 33)))},
+      count(v) FILTER (i <= 16) / 16.0 AS ppg_coverage_ratio, max(10 * v + 30) FILTER (i = 64) AS skin_temp_c, max(10 * v + 60) FILTER (i = 1) AS hr_bpm, min(label) / 10.0 + 0.001 AS quality_min, min(label) / 10.0 + 70 / 6000.0 AS quality_score FROM sa GROUP BY 1)
+    SELECT vec_id, {", ".join("CAST(coalesce(ecg_rpeak_count, 0) AS BIGINT) AS ecg_rpeak_count" if c == "ecg_rpeak_count" else f"round(CAST({c} AS DOUBLE) + 1e-9, 5) AS {c}" for c in _SECOND_COLUMNS)}
+    FROM re LEFT JOIN aa USING (vec_id) LEFT JOIN aj USING (vec_id) LEFT JOIN ea USING (vec_id) LEFT JOIN da USING (vec_id)""")
+def second_summaries(spark, sf_dir):
+    """The 1 Hz summaries of motion, ECG, skin, optical and temperature samples, some of which are lost."""
+    one = devices.one_second_summaries(vector_seconds(spark, sf_dir))
+    second = floor_div(F.col("canonical_time_ns"), SECOND).alias("vec_id")
+    whole = F.col("ecg_rpeak_count").cast("long").alias("ecg_rpeak_count")
+    return one.select(second, *[whole if c == "ecg_rpeak_count" else r(F.col(c).cast("double") + 1e-9, 5).alias(c) for c in _SECOND_COLUMNS])
+
+
+@query(f"""WITH {_SAMPLES}, st AS (SELECT * FROM (VALUES {", ".join(f"('{s}', {rate}, {c[0][1]})" for s, rate, c in _VECTOR_STREAMS)}) AS v(stream, rate, first)),
+    cl AS (SELECT vec_id % 16 AS p, vec_id // 128 AS c, stream, count(v) AS n, count(*) AS due FROM sa JOIN st ON i >= first AND i < first + rate GROUP BY 1, 2, 3)
+    SELECT 'sample_count' AS "check", CAST(count(*) FILTER (n < 0.7 * due) AS BIGINT) AS violations FROM cl""")
+def sample_count_check(spark, sf_dir):
+    """Streams of a clip that lost more than three samples in ten."""
+    return validation.sample_counts(vector_seconds(spark, sf_dir))
+
+
 def _eeg_sql(c: str) -> dict[str, str]:
     total = " + ".join(f"avg({c}_{b}) W" for b in spectral.BANDS)
     return {
