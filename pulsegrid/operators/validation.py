@@ -100,11 +100,26 @@ def truth_leak(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.lit(f"truth_leak_{name}").alias("check"), F.lit(bad).cast("long").alias("violations"))
 
 
-def future_leak(timeline: DataFrame, compute, at_ns: int, keys: list[str], t: str, columns: list[str]) -> DataFrame:
-    """Differences at and before ``at_ns`` between features of the whole timeline and of the timeline cut there."""
-    cut = compute(timeline.filter(F.col(t) <= at_ns))
-    out = recomputed(compute(timeline).filter(F.col(t) <= at_ns), cut, [*keys, t], columns)
-    return out.withColumn("check", F.lit("future_leak"))
+def future_leak(timeline: DataFrame, compute, instants: int | list[int], keys: list[str], t: str, columns: list[str]) -> DataFrame:
+    """Differences at and before each instant between features of the whole timeline and of the timeline cut there.
+
+    All cuts are made in one pass: ``compute`` sees each as a run of its own, under the first of ``keys``.
+    """
+    cuts = F.array(*[F.lit(x).cast("long") for x in ([instants] if isinstance(instants, int) else instants)])
+
+    def cut(df: DataFrame) -> DataFrame:
+        every = df.withColumn("_cut", F.explode(cuts)).filter(F.col(t) <= F.col("_cut"))
+        return every.withColumn(keys[0], F.concat_ws("|", F.col(keys[0]), F.col("_cut").cast("string"))).drop("_cut")
+
+    return recomputed(cut(compute(timeline)), compute(cut(timeline)), [*keys, t], columns).withColumn("check", F.lit("future_leak"))
+
+
+def clips_are_slices(clips: DataFrame, whole: DataFrame, keys: list[str], values: list[Column]) -> DataFrame:
+    """(only_in_clips, differing): seconds of clips that the whole recording lacks, and those whose values differ there."""
+    digest = F.sha2(F.concat_ws("|", *[F.coalesce(v, F.lit("-")) for v in values]), 256)
+    met = clips.select(*keys, digest.alias("_c")).distinct().join(whole.select(*keys, digest.alias("_w")), keys, "left")
+    gone, other = F.col("_w").isNull(), F.col("_w") != F.col("_c")
+    return met.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long")).alias(n) for n, c in (("only_in_clips", gone), ("differing", other))])
 
 
 def same_content(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -447,12 +447,9 @@ def clip_is_slice(spark, sf_dir):
     """Seconds of clips that the whole recording lacks or has otherwise, for chunks of two lengths."""
     c, ev, latent, people, days, faults = golden_truth(spark)
     key = ["run_id", "person_id", "device_id", "stream_name", "second_ns"]
-    digest = lambda df: df.select(*key, F.sha2(F.concat_ws("|", F.to_json("channels"), F.col("quality_native").cast("string"), "missing_kind"), 256).alias("d"))
     short = c.model_copy(update={"run": c.run.model_copy(update={"chunk_duration_sec": 97})})
-    whole = digest(devices.native(latent, people, faults, None, short, days)).withColumnRenamed("d", "w")
-    clip = digest(devices.native(latent, people, faults, truth.clips(spark, c, ev), c, days)).distinct()
-    met = clip.join(whole, key, "left")
-    return met.agg(F.sum(F.col("w").isNull().cast("long")).alias("only_in_clips"), F.sum((F.col("w") != F.col("d")).cast("long")).alias("differing"))
+    whole, clip = devices.native(latent, people, faults, None, short, days), devices.native(latent, people, faults, truth.clips(spark, c, ev), c, days)
+    return validation.clips_are_slices(clip, whole, key, [F.to_json("channels"), F.col("quality_native").cast("string"), F.col("missing_kind")])
 
 
 # resampling and windows ---------------------------------------------------------------------------------------------
@@ -944,6 +941,33 @@ def sample_count_check(spark, sf_dir):
     return validation.sample_counts(vector_seconds(spark, sf_dir))
 
 
+@query(f"""SELECT CAST({len(_VECTOR_STREAMS)} * count(*) FILTER (label = 7) AS BIGINT) AS only_in_clips, CAST({len(_VECTOR_STREAMS)} * count(*) FILTER (label = 3) AS BIGINT) AS differing FROM embeddings""")
+def clip_slice_check(spark, sf_dir):
+    """Clips whose recording lacks some seconds and has others with another quality: both are found and counted."""
+    clips = vector_seconds(spark, sf_dir)
+    label = F.round((F.col("quality_native") - F.col("sample_rate_hz") / 1000) * 10)
+    faulty = clips.filter(label != 7).withColumn("quality_native", F.when(label == 3, F.lit(0.0)).otherwise(F.col("quality_native")))
+    key = ["run_id", "person_id", "device_id", "stream_name", "second_ns"]
+    return validation.clips_are_slices(clips.unionByName(clips), faulty, key, [F.to_json("channels"), F.col("quality_native").cast("string")])
+
+
+_CUTS = (100, 300, 500)
+
+
+@query(f"""WITH {TL}, n AS (SELECT person_id, max(s) AS last FROM tl GROUP BY 1)
+    SELECT 'future_leak' AS "check", CAST(count(*) FILTER (last > cut) AS BIGINT) AS violations FROM n, (SELECT unnest([{", ".join(map(str, _CUTS))}]) AS cut)""")
+def future_leak_check(spark, sf_dir):
+    """One feature of several looks a second ahead: the last second before each cut gives it away, and no other."""
+
+    def leaking(d: DataFrame) -> DataFrame:
+        ahead = d.select(*features.KEYS, features.T, F.lead("value").over(Window.partitionBy(*features.KEYS).orderBy(features.T)).alias("next_value"))
+        return features.window_features(d, 60, families=("eda", "motion")).join(ahead, [*features.KEYS, features.T])
+
+    timeline = windows.written(stand_in(spark, sf_dir))
+    columns = ["eda_mean_us", "eda_median_us", "eda_time_since_last_scr_sec", "wrist_jerk_p95_g_per_sec", "next_value"]
+    return validation.future_leak(timeline, leaking, [x * SECOND for x in _CUTS], features.KEYS, features.T, columns)
+
+
 def _eeg_sql(c: str) -> dict[str, str]:
     total = " + ".join(f"avg({c}_{b}) W" for b in spectral.BANDS)
     return {

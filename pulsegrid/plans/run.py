@@ -243,6 +243,9 @@ def findings(spark: SparkSession, config: RunConfig, home: str, scope: str = "al
         light, stored = slim(one), get(f"features_{w}s")
         again = features.window_features(light, w, config.features.minimum_coverage)
         compared = validation.comparable(again, [*KEYS, T])
+        ws = config.features.windows_sec
+        every = validation.comparable(features.window_tables(light, tuple(ws)), [*KEYS, T, "feature_window_sec"])
+        instants = [config.run.start_ns + config.run.duration_sec * k // 7 * SECOND for k in (2, 4, 5)]
         derived = [n for n in manifest["tables"] if n.startswith("features_")]
         labelled = stored.join(lab.select(*KEYS, T, "event_binary"), [*KEYS, T])
         local = lab.select("person_id", floor_div(F.col(T) + F.lit(config.run.local_utc_offset_hours * HOUR).cast("long"), HOUR).alias("_h"), "event_binary").withColumn("hour_of_day", F.pmod("_h", F.lit(24)))
@@ -250,7 +253,7 @@ def findings(spark: SparkSession, config: RunConfig, home: str, scope: str = "al
         checks += [
             validation.row_count(lab, rows, "labels"), validation.row_count(one, rows, "timeline_1hz"), validation.sample_counts(get("native")), validation.split_overlap(get("splits")),
             *[validation.truth_leak(get(n), n) for n in derived], validation.truth_leak(one, "timeline_1hz"), validation.recomputed(stored, again, [*KEYS, T], compared),
-            validation.future_leak(light, lambda d: features.window_features(d, w), config.run.start_ns + config.run.duration_sec // 2 * SECOND, KEYS, T, compared),
+            validation.future_leak(light, lambda d: features.window_tables(d, tuple(ws)), instants, KEYS if len(ws) == 1 else [*KEYS, "feature_window_sec"], T, every),
             validation.no_perfect_feature(sanity.feature_aucs(labelled, compared, "event_binary"), sanity.TOO_GOOD),
             *[validation.key_does_not_decide(sanity.key_auc(local, k, "event_binary"), k) for k in ("person_id", "hour_of_day")],
             validation.unregistered(spark, columns, [r["name"] for r in feature_registry(spark, home, derived)]),
