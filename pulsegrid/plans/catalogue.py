@@ -1273,7 +1273,8 @@ def reordered_packets(spark, sf_dir):
     delay = F.conv(F.substring(F.sha2(F.concat(F.lit("delay|"), F.col("event_id").cast("string")), 256), 1, 13), 16, 10).cast("long") % 7_200_000 * 1_000_000
     packets = series(spark, sf_dir).select("person_id", F.col("event_id").alias("packet_id"), F.col("t").alias("time_ns"), (F.col("t") + delay).alias("arrival_ns"))
     path = windows.fresh_path(spark, "packets")
-    reorder.arrive(packets, f"{path}/in", "person_id", 6)
+    batches = max(6, -(-packets.count() // reorder.BATCH_ROWS))
+    reorder.arrive(packets, f"{path}/in", "person_id", batches)
     late = reorder.run(spark, f"{path}/in", packets.schema, f"{path}/out", "person_id", "3 hours")
     if late:
         raise RuntimeError(f"{late} packets came later than the watermark allows")
