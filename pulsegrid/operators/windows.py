@@ -10,12 +10,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pulsegrid.functions.timecols import floor_div
+from pulsegrid.operators.blocks import block_starts, whole_blocks
 
 Aggregate = Callable[[object], Column]
 
@@ -208,21 +212,68 @@ def sessions(df: DataFrame, keys: list[str], t: str, gap: int) -> DataFrame:
     return df.withColumn("session_start", F.last(start, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+#: Rows, about, whose blocks are weighted together, and values that are sorted together.
+ROWS_AT_ONCE, CELLS_AT_ONCE = 4096, 1 << 16
+
+
+def _weighted_middles(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of each line the least value up to which at least half of the weight lies; weights of equal values ascend, what is missing is NaN without weight at the end."""
+    order = np.argsort(v, axis=1, kind="stable")
+    upto = np.cumsum(np.take_along_axis(w, order, 1), axis=1)
+    at = (upto >= upto[:, -1:] / 2).argmax(axis=1)
+    return np.take_along_axis(v, np.take_along_axis(order, at[:, None], 1), 1)[:, 0]
+
+
+def _exponential_block(t: np.ndarray, v: np.ndarray, there: np.ndarray, here: np.ndarray, length: int, half_life: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(median, MAD, values in the window) of the rows ``here``; ``t`` ascends, and only values ``there`` count."""
+    counted, now = np.concatenate([[0], np.cumsum(there)]), t[here]
+    low, high = counted[np.searchsorted(t, now - length, "left")], counted[np.searchsorted(t, now, "left")]
+    v, t, n = v[there], t[there], high - low
+    middle, mad = np.full(len(n), np.nan), np.full(len(n), np.nan)
+    rows = np.argsort(n, kind="stable")  # lines of like lengths together
+    k = int(np.searchsorted(n[rows], 1))
+    while k < len(rows):
+        upto = k + 1
+        while upto < len(rows) and n[rows[min(2 * upto - k, len(rows)) - 1]] * (min(2 * upto - k, len(rows)) - k) <= CELLS_AT_ONCE:
+            upto = min(2 * upto - k, len(rows))
+        these = rows[k:upto]
+        place = np.arange(n[these[-1]])
+        inside = place < n[these, None]
+        at = np.where(inside, low[these, None] + place, 0)
+        x = np.where(inside, v[at], np.nan)
+        w = np.where(inside, np.power(0.5, (now[these, None] - t[at]) / float(half_life)), 0.0)
+        middle[these] = _weighted_middles(x, w)
+        mad[these] = _weighted_middles(np.abs(x - middle[these, None]), w)
+        k = upto
+    return middle, mad, n
+
 
 def exponential_robust(df: DataFrame, keys: list[str], t: str, value: str, half_life: int, length: int, block: int) -> DataFrame:
     """Exponentially weighted median and MAD of the strictly earlier values within ``length``, as ``ew_median`` and ``ew_mad``.
 
-    Weights halve every ``half_life``.  The window is bounded and collected once, then weighted in the JVM.
+    Weights halve every ``half_life``.  Blocks of time with a halo are dealt to tasks; windows of like sizes are weighted
+    and sorted together, a bounded number of values at a time (a single window is never cut).
     """
-    pair = F.struct(F.col(value).cast("double").alias("v"), F.col(t).alias("t"))
-    out = trailing(df, keys, t, length, {"_past": lambda w: F.collect_list(F.when(F.col(value).isNotNull(), pair)).over(w)}, block, until=-1)
-
-    def weighted(rows: Column, of) -> Column:
-        w = F.array_sort(F.transform(rows, lambda x: F.struct(of(x).alias("v"), F.pow(F.lit(0.5), (F.col(t) - x["t"]) / F.lit(float(half_life))).alias("w"))))
-        half = F.aggregate(w, F.lit(0.0), lambda a, x: a + x["w"]) / 2
-        start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("v"))
-        step = lambda a, x: F.struct((a["w"] + x["w"]).alias("w"), F.when(a["v"].isNull() & (a["w"] + x["w"] >= half), x["v"]).otherwise(a["v"]).alias("v"))
-        return F.aggregate(w, start, step, lambda a: a["v"])
-
-    out = out.withColumn("ew_median", weighted(F.col("_past"), lambda x: x["v"]))
-    return out.withColumn("ew_mad", weighted(F.col("_past"), lambda x: F.abs(x["v"] - F.col("ew_median")))).drop("_past")
+    own, reach = floor_div(F.col(t), block), floor_div(F.col(t) + F.lit(length).cast("long"), block)
+    spread = df.withColumns({"_v": F.col(value).cast("double"), "_own": own}).withColumn("_block", F.explode(F.sequence("_own", reach)))
+    dealt = spread.repartition(tasks_of(df.sparkSession), *keys, "_block").sortWithinPartitions(*keys, "_block", t)
+    kept, keys = df.columns, list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_blocks(batches, keys, ROWS_AT_ONCE):
+            starts, times = block_starts(table, keys), table.column(t).to_numpy()
+            sizes = np.diff(np.append(starts, len(times)))
+            since = times - np.repeat(times[starts], sizes)
+            apart = int(since.max()) + length + 2  # no window reaches another block
+            values, there = table.column("_v").to_numpy().astype(np.float64), ~table.column("_v").is_null().to_numpy()
+            here = table.column("_own").to_numpy() == table.column("_block").to_numpy()
+            most = max((1 << 61) // apart, 1)  # blocks whose times fit 64 bits
+            for k in range(0, len(starts), most):
+                part = slice(int(starts[k]), int(starts[k + most]) if k + most < len(starts) else len(times))
+                placed = since[part] + np.repeat(np.arange(len(sizes[k : k + most]), dtype=np.int64), sizes[k : k + most]) * apart
+                middle, mad, n = _exponential_block(placed, values[part], there[part], here[part], length, half_life)
+                rows = table.slice(part.start, part.stop - part.start).select(kept).filter(pa.array(here[part]))
+                made = [pa.array(x, pa.float64(), mask=n == 0, from_pandas=False) for x in (middle, mad)]
+                yield from pa.table([*rows.columns, *made], names=[*kept, "ew_median", "ew_mad"]).to_batches()
+
+    return dealt.mapInArrow(run, StructType([*df.schema.fields, StructField("ew_median", DoubleType()), StructField("ew_mad", DoubleType())]))

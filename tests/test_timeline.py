@@ -676,3 +676,29 @@ def test_golden_run_end_to_end(spark, tmp_path, capsys):
     assert tables.read_table(spark, home, "evaluations").count() == 1
     # nothing has changed since the layer was made, so an update makes nothing
     assert set(run.update_features(spark, c, home).values()) == {0} and os.path.getmtime(f"{home}/model_ready/features_5s") == before
+
+
+def test_exponential_median_sorts_bounded_arrays(spark, monkeypatch):
+    """Ties, nulls, NaN, one hot person and cuts at any size; no window is collected row by row in the plan."""
+    rng = np.random.default_rng(9)
+    rows = [("hot" if k % 3 else None if k % 2 else f"p{k % 7}", int(rng.integers(0, 300)), None if k % 11 == 0 else float("nan") if k % 53 == 0 else float(rng.integers(0, 6)), k) for k in range(700)]
+    df = spark.createDataFrame(rows, "p string, t long, v double, id long").repartition(3)
+
+    def middle(pairs):
+        half, upto = sum((w for _, w in pairs), 0.0) / 2, 0.0
+        for v, w in sorted(pairs, key=lambda x: (np.isnan(x[0]), x)):
+            upto += w
+            if upto >= half:
+                return v
+
+    for block, cells in ((60, 1 << 16), (200, 7)):
+        monkeypatch.setattr(windows, "CELLS_AT_ONCE", cells)
+        out = windows.exponential_robust(df, ["p"], "t", "v", 30, 100, block)
+        assert "collect_list" not in out._jdf.queryExecution().toString()
+        got = {r.id: (r.ew_median, r.ew_mad) for r in out.collect()}
+        assert len(got) == len(rows)
+        for p, t, _, k in rows:
+            past = [(v, 0.5 ** ((t - u) / 30)) for q, u, v, _ in rows if q == p and t - 100 <= u < t and v is not None]
+            m = middle(past) if past else None
+            expected = (m, middle([(abs(v - m), w) for v, w in past])) if past else (None, None)
+            assert all(a == b or a is not None and b is not None and np.isnan(a) and np.isnan(b) for a, b in zip(got[k], expected, strict=True)), (p, t, got[k], expected)
