@@ -419,9 +419,10 @@ def matched_stretches(spark, sf_dir):
     order = Window.partitionBy("person_id").orderBy("t", "event_id")  # a user's errors
     wanted = s.filter("event_type = 'error'").select("person_id", F.row_number().over(order).alias("turn"), F.col("t").alias("like"))
     zero, span = F.lit(1_704_067_200 * SECOND).cast("long"), F.lit(_STRETCH * H).cast("long")
-    used = s.select("person_id", floor_div(F.col("t") - zero, _STRETCH * H).alias("slot")).distinct()
-    slots = s.select("person_id").distinct().select("person_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_STRETCHES - 1).cast("long"))).alias("slot"))
-    free = slots.join(used, ["person_id", "slot"], "left_anti").withColumn("start", zero + F.col("slot") * span)
+    slot = floor_div(F.col("t") - zero, _STRETCH * H)
+    used = s.groupBy("person_id").agg(F.collect_set(F.when(slot.between(0, _STRETCHES - 1), slot)).alias("used"))  # at most all stretches
+    slots = F.sequence(F.lit(0).cast("long"), F.lit(_STRETCHES - 1).cast("long"))
+    free = used.select("person_id", F.explode(F.array_except(slots, "used")).alias("slot")).withColumn("start", zero + F.col("slot") * span)
     return matching.deferred_acceptance(wanted, free, ["person_id"], DAY, 1_704_067_200 * SECOND).select("person_id", "turn", "slot", "apart")
 
 

@@ -6,6 +6,7 @@ import json
 import numpy as np
 import pytest
 
+from pulsegrid.operators import matching
 from pulsegrid.operators.matching import deferred_acceptance
 from pulsegrid.sources import tables
 
@@ -68,3 +69,22 @@ def test_differing_partitions(spark, parts):
     count = lambda table, key: sum(r[: len(parts)] == key for r in table)
     keys = {(0, 0)[: len(parts)], (9, 1)[: len(parts)], (3, 1)[: len(parts)]}
     assert got == {key: (count(rows, key), count([tuple(r) for r in b.collect()], key)) for key in keys}
+
+
+@pytest.mark.parametrize("held", [0, 300])
+def test_rounds_and_held_keys_agree(spark, monkeypatch, held):
+    """The same matching whether keys go in rounds, in one row each, or some so and some so."""
+    rng = np.random.default_rng(6)
+    people = {"a": (25, 40), "b": (12, 20), "c": (3, 1), "d": (1, 300)}
+    moments = {p: [(k + 1, int(x)) for k, x in enumerate(rng.integers(-DAY, 5 * DAY, w))] for p, (w, _) in people.items()}
+    stretches = {p: [(k, (k * 240) % (5 * DAY)) for k in range(f)] for p, (_, f) in people.items()}
+    a = spark.createDataFrame([(p, *x) for p, v in moments.items() for x in v], "p string, turn int, like long")
+    b = spark.createDataFrame([(p, *x) for p, v in stretches.items() for x in v], "p string, slot long, start long")
+    expected = {(p, *x) for p in people for x in greedy(moments[p], stretches[p])}
+    seen = []
+    rounds = matching._in_rounds
+    monkeypatch.setattr(matching, "_in_rounds", lambda w, *more: seen.extend(r.p for r in w.select("p").distinct().collect()) or rounds(w, *more))
+    assert {(r.p, r.turn, r.slot, r.apart) for r in deferred_acceptance(a, b, ["p"], DAY).collect()} == expected and not seen
+    monkeypatch.setattr(matching, "HELD_PAIRS", held)
+    assert {(r.p, r.turn, r.slot, r.apart) for r in deferred_acceptance(a, b, ["p"], DAY).collect()} == expected
+    assert set(seen) == ({"a", "b", "c", "d"} if held == 0 else {"a"})
