@@ -48,6 +48,20 @@ def trailing(df: DataFrame, keys: list[str], t: str, width: int, aggregates: dic
     return out.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
 
 
+def moments(pairs: Column) -> Column:
+    """(n, mean, slope) of an array of (x, y): count and average of y and its least-squares slope over x, summed as Spark's own aggregates do."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "sum", "x", "y", "together", "squares")])
+
+    def step(a: Column, p: Column) -> Column:
+        n, dx = a["n"] + 1, p["x"] - a["x"]
+        y = a["y"] + (p["y"] - a["y"]) / n
+        new = {"n": n, "sum": a["sum"] + p["y"], "x": a["x"] + dx / n, "y": y, "together": a["together"] + dx * (p["y"] - y), "squares": a["squares"] + dx * (dx - dx / n)}
+        return F.struct(*[c.alias(k) for k, c in new.items()])
+
+    done = lambda a: F.struct(a["n"].cast("long").alias("n"), F.try_divide(a["sum"], a["n"]).alias("mean"), F.try_divide(a["together"], a["squares"]).alias("slope"))
+    return F.aggregate(pairs, zero, step, done)
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, not wherever it is named."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -1242,22 +1242,27 @@ _FLAG = f"""WITH {EV}, b AS (SELECT person_id, min(t // {H}) AS lo, max(t // {H}
 
 @query(_FLAG)
 def hourly_timeline(spark, sf_dir):
-    """Flagship: hourly grid, coverage, trailing day, time since the last target and forecast of the next."""
+    """Flagship: hourly grid, coverage, trailing day, time since the last target and forecast of the next.
+
+    Only hours with events are moved: each of them knows the next one, the targets on either side and the means of its
+    trailing day, and then stands for the empty hours up to the next one as well.
+    """
     s = series(spark, sf_dir)
     on = F.when(F.col("event_type") == "error", F.col("t"))
-    hour = floor_div(F.col("t"), H)
-    h = s.groupBy("person_id", (hour * F.lit(H).cast("long")).alias("hour_ns")).agg(F.avg("value").alias("m"), F.count("value").alias("n"), F.max(on).alias("last_on"), F.min(on).alias("first_on"))
-    lim = s.groupBy("person_id").agg(F.min(hour).alias("lo"), F.max(hour).alias("hi"))
-    grid = lim.select("person_id", F.explode(F.sequence("lo", "hi")).alias("k")).select("person_id", (F.col("k") * F.lit(H).cast("long")).alias("hour_ns"))
-    j = grid.join(h, ["person_id", "hour_ns"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    x = (F.col("hour_ns") - F.lit(1_704_067_200 * SECOND).cast("long")) / F.lit(3600e9)
-    rolled = windows.trailing(j, ["person_id"], "hour_ns", 24 * H, {"tm": lambda w: F.avg("m").over(w), "tn": lambda w: F.count("m").over(w), "ts": lambda w: F.regr_slope(F.col("m"), x).over(w)})
+    one, day = F.lit(H).cast("long"), F.lit(24 * H).cast("long")
+    h = s.groupBy("person_id", (floor_div(F.col("t"), H) * one).alias("hour_ns")).agg(F.avg("value").alias("m"), F.count("value").alias("n"), F.max(on).alias("last_on"), F.min(on).alias("first_on"))
     # an hour's own onsets are past at its end; the forecast looks at the hours after it
-    found = windows.nearest(rolled, ["person_id"], "hour_ns", ["last_on"], ["first_on"], BLOCK)
-    end = F.col("hour_ns") + F.lit(H).cast("long")
-    return found.select(
-        "person_id", "hour_ns", r(F.col("m")).alias("value_mean"), F.col("n").alias("sample_count"), r(F.least(F.col("n"), F.lit(1)) * 1.0).alias("coverage_ratio"), r(F.col("tm")).alias("trailing_mean"),
-        F.when(F.col("tn") > 1, r(F.col("ts"), 7)).alias("trailing_slope"), r((end - F.col("last_on")) / F.lit(1e9)).alias("since_onset_sec"), F.coalesce(F.col("first_on") - end <= 24 * H - 1, F.lit(False)).alias("onset_within_24h"),
+    found = windows.nearest(h.withColumn("next_ns", F.col("hour_ns")), ["person_id"], "hour_ns", ["last_on"], ["first_on", "next_ns"], BLOCK)
+    x = (F.col("hour_ns") - F.lit(1_704_067_200 * SECOND).cast("long")) / F.lit(3600e9)
+    pair = F.when(F.col("m").isNotNull(), F.struct(x.alias("x"), F.col("m").alias("y"), F.col("hour_ns").alias("at")))
+    rolled = windows.trailing(found, ["person_id"], "hour_ns", 24 * H, {"past": lambda w: F.collect_list(pair).over(w)}, tasks=windows.tasks_of(spark))  # at most 24
+    hours = rolled.withColumn("_hour", F.explode(F.sequence("hour_ns", F.coalesce(F.col("next_ns") - one, F.col("hour_ns")), one)))
+    there, end = F.col("_hour") == F.col("hour_ns"), F.col("_hour") + one
+    day_of = windows.moments(F.filter("past", lambda p: p["at"] > F.col("_hour") - day))
+    full = hours.select("person_id", "_hour", F.when(there, F.col("m")).alias("m"), F.when(there, F.col("n")).otherwise(0).alias("n"), "last_on", "first_on", day_of.alias("day"))
+    return full.select(
+        "person_id", F.col("_hour").alias("hour_ns"), r(F.col("m")).alias("value_mean"), F.col("n").alias("sample_count"), r(F.least(F.col("n"), F.lit(1)) * 1.0).alias("coverage_ratio"), r(F.col("day.mean")).alias("trailing_mean"),
+        F.when(F.col("day.n") > 1, r(F.col("day.slope"), 7)).alias("trailing_slope"), r((end - F.col("last_on")) / F.lit(1e9)).alias("since_onset_sec"), F.coalesce(F.col("first_on") - end <= 24 * H - 1, F.lit(False)).alias("onset_within_24h"),
     )
 
 
