@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -10,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import windows
 from pulsegrid.operators.splits import auc
 from pulsegrid.operators.windows import back
 
@@ -21,18 +24,20 @@ def model_auc(train: DataFrame, test: DataFrame, features: list[str], label: str
     """(positives, negatives, auc) of a model fitted on ``train`` and scored on ``test``; missing values become medians.
 
     ``kind`` is logistic, forest, or isolation, which never sees labels: it scores how far a row of ``test`` stands apart.
+    A score follows from the features alone, so rows that share them are counted first, and scored once.
     """
+    counted = windows.written(test.groupBy(*features, label).agg(F.count(F.lit(1)).alias("_n")))
     if kind == "isolation":
-        apart = isolation_scores(test, features, seed=seed)
-        return auc(apart.select(F.round("isolation_score", 6).alias("p"), F.col(label).cast("boolean").alias("y")), "p", "y")
+        apart = counted.transform(isolation_forest(test, features, seed=seed))
+        return auc(apart.select(F.round("isolation_score", 6).alias("p"), F.col(label).cast("boolean").alias("y"), "_n"), "p", "y", weight="_n")
     filled = [f"{f}_filled" for f in features]
     fill = Imputer(inputCols=features, outputCols=filled, strategy="median").fit(train)
     join = VectorAssembler(inputCols=filled, outputCol="features")
     ready = lambda df: join.transform(fill.transform(df)).withColumn("y", F.col(label).cast("double"))
     chosen = LogisticRegression(labelCol="y", regParam=0.01) if kind == "logistic" else RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=5, seed=seed)
-    scored = chosen.fit(ready(train)).transform(ready(test))
-    p = scored.select(F.round(vector_to_array("probability")[1], 6).alias("p"), (F.col("y") > 0.5).alias("y"))
-    return auc(p, "p", "y")
+    scored = chosen.fit(ready(train)).transform(ready(counted))
+    p = scored.select(F.round(vector_to_array("probability")[1], 6).alias("p"), (F.col("y") > 0.5).alias("y"), "_n")
+    return auc(p, "p", "y", weight="_n")
 
 
 #: Trees of an isolation forest, and rows that each of them is grown on.
@@ -72,6 +77,11 @@ def isolation_scores(df: DataFrame, features: list[str], column: str = "isolatio
     Trees are grown on a hashed sample of at most TREES x TREE_ROWS rows; every row is scored.  Missing values count
     as the sample's median.
     """
+    return df.transform(isolation_forest(df, features, column, seed))
+
+
+def isolation_forest(df: DataFrame, features: list[str], column: str = "isolation_score", seed: int = 1) -> Callable[[DataFrame], DataFrame]:
+    """The forest grown on a hashed sample of ``df``, as a function that adds the score to rows with the same features."""
     light = df.select(*[F.col(f).cast("double").alias(f) for f in features])
     rows = light.orderBy(F.xxhash64(F.lit(seed), *features)).limit(TREES * TREE_ROWS).toPandas().to_numpy(float)  # bounded
     middle = np.array([np.nanmedian(c) if np.isfinite(c).any() else 0.0 for c in rows.T]) if len(rows) else np.zeros(len(features))
@@ -96,7 +106,7 @@ def isolation_scores(df: DataFrame, features: list[str], column: str = "isolatio
             length += tree[at, 4]
         return pd.Series(2.0 ** -(length / max(len(forest), 1) / whole))
 
-    return df.withColumn(column, score(*[F.col(f).cast("double") for f in features]))
+    return lambda rows: rows.withColumn(column, score(*[F.col(f).cast("double") for f in features]))
 
 
 def feature_aucs(df: DataFrame, features: list[str], label: str) -> DataFrame:

@@ -702,3 +702,22 @@ def test_exponential_median_sorts_bounded_arrays(spark, monkeypatch):
             m = middle(past) if past else None
             expected = (m, middle([(abs(v - m), w) for v, w in past])) if past else (None, None)
             assert all(a == b or a is not None and b is not None and np.isnan(a) and np.isnan(b) for a, b in zip(got[k], expected, strict=True)), (p, t, got[k], expected)
+
+
+def test_models_score_what_repeats_once(spark, monkeypatch):
+    """Rows that share features and label are one scored row, and count as often as they occur."""
+    rng = np.random.default_rng(7)
+    rows = [(float(a), float(b) if b else None, bool(y)) for a, b, y in zip(rng.integers(0, 4, 3000), rng.integers(0, 3, 3000), rng.random(3000) < 0.3, strict=True)]
+    df, scored, make = spark.createDataFrame(rows, "a double, b double, y boolean"), [], sanity.isolation_forest
+    one_by_one = splits.auc(sanity.isolation_scores(df, ["a", "b"]).select(F.round("isolation_score", 6).alias("p"), "y"), "p", "y").first()
+
+    def spy(*args, **more):
+        add = make(*args, **more)
+        return lambda x: (scored.append(x.count()), add(x))[1]
+
+    monkeypatch.setattr(sanity, "isolation_forest", spy)
+    got = sanity.model_auc(df, df, ["a", "b"], "y", "isolation").first()
+    assert (got.positives, got.negatives, got.auc) == (one_by_one.positives, one_by_one.negatives, pytest.approx(one_by_one.auc)) and scored == [24]
+    for kind in ("logistic", "forest"):
+        found = sanity.model_auc(df, df, ["a", "b"], "y", kind).first()
+        assert (found.positives, found.negatives) == (got.positives, got.negatives) and 0.45 < found.auc < 0.6
