@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timecols import floor_div
+from pulsegrid.operators.blocks import block_starts, whole_blocks
 from pulsegrid.operators.windows import tasks_of
 
-
-#: Rows, about, whose blocks are answered together; a block is never cut.
+#: Most rows whose blocks are answered together, however large a batch is; a block is never cut.
 ROWS_AT_ONCE = 4096
 
 
@@ -76,17 +76,8 @@ class Frames:
         asked, keys, t = dict(self.asked), list(self.keys), self.t
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []
-            for b in batches:
-                held.append(b)
-                if sum(x.num_rows for x in held) >= ROWS_AT_ONCE:
-                    table = pa.Table.from_batches(held)
-                    whole = int(_starts(table, keys)[-1])  # the last block may go on
-                    if whole:
-                        yield from _answered(table.slice(0, whole), asked, keys, kept, t, reach)
-                    held = table.slice(whole).to_batches()
-            if held:
-                yield from _answered(pa.Table.from_batches(held), asked, keys, kept, t, reach)
+            for table in whole_blocks(batches, keys, ROWS_AT_ONCE):
+                yield from _answered(table, asked, keys, kept, t, reach)
 
         return dealt.mapInArrow(run, ", ".join(fields))
 
@@ -297,19 +288,9 @@ class _Block:
         return self.once(("ranks", name), make)
 
 
-def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """Where each block of a series begins; rows are in order."""
-    new = np.zeros(table.num_rows, bool)
-    new[:1] = True
-    for k in (*keys, "_block"):
-        code = table.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy()
-        new[1:] |= code[1:] != code[:-1]
-    return np.flatnonzero(new)
-
-
 def _answered(table: pa.Table, asked: dict[tuple, str], keys: list[str], kept: list[str], t: str, reach: int) -> Iterator[pa.RecordBatch]:
     """Answers of whole blocks, many at a time: their times are set so far apart that no window reaches another block."""
-    starts = _starts(table, keys)
+    starts = block_starts(table, keys)
     times = table.column(t).to_numpy()
     sizes = np.diff(np.append(starts, len(times)))
     since = times - np.repeat(times[starts], sizes)

@@ -1,9 +1,11 @@
 """Sliding windows against plain versions, row by row."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsegrid.operators import windows
+from pulsegrid.operators.blocks import whole_blocks
 from pulsegrid.operators.sliding import Frames, WaveletMatrix
 
 
@@ -97,3 +99,14 @@ def test_group_medians(spark, monkeypatch, held):
         else:
             assert k not in got
     assert windows.group_median(df.limit(0), ["k"], "v", "m").count() == 0
+
+
+def test_large_batches_are_cut_into_whole_blocks():
+    """However many rows a batch has, blocks are answered a bounded number of rows at a time, each whole and once."""
+    for sizes, batch in (([50] * 300, 10_000), ([1, 7, 400, 3] * 20 + [9000] + [2] * 50, 1000), ([5], 1), ([4096, 4096], 8192), ([], 10)):
+        k = np.repeat(np.arange(len(sizes)), sizes)
+        table = pa.table({"p": pa.array([None if i // 3 % 2 else f"p{i // 6}" for i in k], pa.string()), "_block": k % 3, "row": np.arange(len(k))})
+        got = [t.to_pydict() for t in whole_blocks(iter(table.to_batches(batch)), ["p"], 4096)]
+        assert [r for t in got for r in t["row"]] == list(range(len(k)))
+        parts = [set(k[t["row"]].tolist()) for t in got]
+        assert all(len(t["row"]) <= 4096 or len(p) == 1 for t, p in zip(got, parts, strict=True)) and sum(map(len, parts)) == len(sizes)
