@@ -110,3 +110,12 @@ def test_large_batches_are_cut_into_whole_blocks():
         assert [r for t in got for r in t["row"]] == list(range(len(k)))
         parts = [set(k[t["row"]].tolist()) for t in got]
         assert all(len(t["row"]) <= 4096 or len(p) == 1 for t, p in zip(got, parts, strict=True)) and sum(map(len, parts)) == len(sizes)
+
+
+def test_memory_of_a_task_follows_slices_not_batches():
+    """The rows that are answered at once stay the same when a batch holds ten times as many."""
+    sizes = [3600] * 20  # hours of seconds
+    k = np.repeat(np.arange(len(sizes)), sizes)
+    table = pa.table({"p": ["p"] * len(k), "_block": k})
+    most = [max(t.num_rows for t in whole_blocks(iter(table.to_batches(n)), ["p"], 4096)) for n in (7200, 72_000)]
+    assert most == [3600, 3600]
