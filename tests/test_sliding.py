@@ -4,9 +4,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pulsegrid.operators import windows
+from pulsegrid.operators import sliding, windows
 from pulsegrid.operators.blocks import whole_blocks
 from pulsegrid.operators.sliding import Frames, WaveletMatrix
+from pulsegrid.plans import catalogue
 
 
 def plain(rows, now, width, until):
@@ -119,3 +120,30 @@ def test_memory_of_a_task_follows_slices_not_batches():
     table = pa.table({"p": ["p"] * len(k), "_block": k})
     most = [max(t.num_rows for t in whole_blocks(iter(table.to_batches(n)), ["p"], 4096)) for n in (7200, 72_000)]
     assert most == [3600, 3600]
+
+
+@pytest.mark.parametrize("name", ["poincare_window_features"])
+def test_queries_answer_few_rows_at_once(spark, tmp_path, monkeypatch, name):
+    """In a task with large batches no more rows are worked on together than in one with small ones, and the result is the same."""
+    n = 12_000
+    spark.range(n).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "16 * (id % 5) AS user_id", "element_at(array('view', 'click', 'error', 'signup'), int(id % 4) + 1) AS event_type",
+        "double(id * 7919 % 1000) / 10 AS value", "concat('{\"k\": ', id * 104729 % 100, '}') AS props").write.parquet(f"{tmp_path}/events.parquet")
+    answered = sliding._answered
+
+    def few(table, *how):
+        assert table.num_rows <= 4096  # of blocks of an hour at most, with halo
+        return answered(table, *how)
+
+    monkeypatch.setattr(sliding, "_answered", few)
+    batch, parts = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"
+    before = {c: spark.conf.get(c) for c in (batch, parts)}
+    try:
+        spark.conf.set(parts, "1")
+        got = []
+        for rows in ("10000", "500"):
+            spark.conf.set(batch, rows)
+            got.append(sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect()), key=lambda r: r[1]))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert [r[1] for r in got[0]] == list(range(1, n + 1)) and got[0] == got[1]
