@@ -122,7 +122,7 @@ def test_memory_of_a_task_follows_slices_not_batches():
     assert most == [3600, 3600]
 
 
-@pytest.mark.parametrize("name", ["poincare_window_features"])
+@pytest.mark.parametrize("name", ["poincare_window_features", "motion_window_features"])
 def test_queries_answer_few_rows_at_once(spark, tmp_path, monkeypatch, name):
     """In a task with large batches no more rows are worked on together than in one with small ones, and the result is the same."""
     n = 12_000
